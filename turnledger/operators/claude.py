@@ -33,7 +33,7 @@ def keyword(line: Column) -> Column:
     return first & second
 
 
-def _extract(parsed: DataFrame) -> DataFrame:
+def extract(parsed: DataFrame) -> DataFrame:
     doc = F.col("doc")
     usage = node(doc, "$.message.usage")
     model = nonblank(text(doc, "$.message.model"))
@@ -79,7 +79,7 @@ def _extract(parsed: DataFrame) -> DataFrame:
 
 def cut(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES) -> DataFrame:
     """Typed rows of the Claude lines in ``lines``."""
-    return cut_rows(lines.filter(F.col("source") == SOURCE), keyword, _extract, max_line_bytes)
+    return cut_rows(lines.filter(F.col("source") == SOURCE), keyword, extract, max_line_bytes)
 
 
 def with_neighbours(cut: DataFrame) -> DataFrame:
@@ -117,6 +117,8 @@ def turns(assistant: DataFrame) -> DataFrame:
         scan(assistant, FILE_KEYS, "chunk", "pos", latest={"_head": head})
         .filter(ends)
         .withColumn("dedup_key", key)
+        .withColumn("head_offset", F.col("_head.line_offset"))
+        .withColumn("head_session", F.col("_head.session_id"))
         .drop("prev_request", "next_request", "_head")
     )
 

@@ -37,7 +37,7 @@ def keyword(line: Column) -> Column:
     return hit
 
 
-def _extract(parsed: DataFrame) -> DataFrame:
+def extract(parsed: DataFrame) -> DataFrame:
     doc = F.col("doc")
     picked = parsed.select(
         "*",
@@ -101,29 +101,27 @@ def _extract(parsed: DataFrame) -> DataFrame:
 
 def cut(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES) -> DataFrame:
     """Typed rows of the Codex lines in ``lines``."""
-    return cut_rows(lines.filter(F.col("source") == SOURCE), keyword, _extract, max_line_bytes)
+    return cut_rows(lines.filter(F.col("source") == SOURCE), keyword, extract, max_line_bytes)
 
 
-def with_context(cut: DataFrame) -> DataFrame:
-    """Offsets, and session, model and the resettable settings carried forward through each file.
-
-    The model keeps its last known value; effort, approval policy and sandbox mode are replaced by
-    every context row, also by nothing. That is why they travel inside one non-null struct.
-    ``calls_seen`` counts the tool calls up to each row.
-    """
+def context_scan(calls: Column | None = None) -> dict[str, dict[str, Column]]:
+    """Running columns that carry the context; ``calls`` is what a row adds to the call count."""
+    is_call = F.when(F.col("kind") == "tool", 1).otherwise(0)
     settings = F.struct("context.effort", "context.approval_policy", "context.sandbox_mode")
-    return placed(
-        cut,
-        sums={"calls_seen": F.when(F.col("kind") == "tool", 1).otherwise(0)},
-        latest={
+    return {
+        "sums": {"calls_seen": is_call if calls is None else calls},
+        "latest": {
             "_session": F.col("session.id"),
             "_model": F.col("context.model"),
-            "_settings": F.when(F.col("kind") == "context", settings),
+            "_settings": F.when(F.col("context").isNotNull(), settings),
         },
-    ).select(
-        *cut.columns,
-        "line_offset",
-        "calls_seen",
+    }
+
+
+def resolved(scanned: DataFrame) -> DataFrame:
+    """Name the carried values."""
+    return scanned.select(
+        *[c for c in scanned.columns if c not in ("_session", "_model", "_settings")],
         F.coalesce("_session", F.lit("")).alias("session_id"),
         F.coalesce("_model", F.lit(UNKNOWN_MODEL)).alias("model"),
         F.col("_settings.effort").alias("effort"),
@@ -132,6 +130,16 @@ def with_context(cut: DataFrame) -> DataFrame:
     )
 
 
+def with_context(cut: DataFrame) -> DataFrame:
+    """Offsets, and session, model and the resettable settings carried forward through each file.
+
+    The model keeps its last known value; effort, approval policy and sandbox mode are replaced by
+    every context row, also by nothing. That is why they travel inside one non-null struct.
+    ``calls_seen`` counts the tool calls up to each row.
+    """
+    return resolved(placed(cut, **context_scan()))
+
+
 def rows(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES) -> DataFrame:
     """Typed rows with context. The raw text is read once, then two small tables are written."""
     return staged(with_context(staged(cut(lines, max_line_bytes), "codex-cut")), "codex-rows")
@@ -185,38 +193,51 @@ def record_key(session: Column, file_path: Column, offset: Column) -> Column:
     return F.concat_ws(":", F.lit(SOURCE), session, file_scope(file_path), offset.cast("string"))
 
 
-def tool_events(carried: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Tool calls given to the token row that follows them.
+def placed_calls(calls: DataFrame, turns: DataFrame) -> DataFrame:
+    """Calls with the token row that follows them (``to_turn``, null = none yet) and their index.
 
-    Calls wait across rows that end early and across session changes; calls before a token row that
-    bills nothing are dropped. The index is the call's order within its turn, found as the running
-    count of calls minus that count at the previous token row.
+    The index is the call's order within its turn: the running count of calls minus that count at
+    the previous token row.
     """
-    calls = carried.filter(F.col("kind") == "tool").select(
-        *FILE_KEYS, "chunk", "pos", "tool_name", "calls_seen"
-    )
-    turns = tokens.select(
+    waiting = calls.select(*FILE_KEYS, "chunk", "pos", "tool_name", "calls_seen")
+    ends = turns.select(
         *FILE_KEYS, "chunk", "pos", "calls_seen",
         F.struct("dedup_key", "session_id", "ts_utc", "billed").alias("own_turn"),
     )
-    mixed = calls.unionByName(turns, allowMissingColumns=True)
     given = scan(
-        mixed, FILE_KEYS, "chunk", "pos",
-        previous={"calls_before": F.when(F.col("own_turn").isNotNull(), F.col("calls_seen"))},
+        waiting.unionByName(ends, allowMissingColumns=True), FILE_KEYS, "chunk", "pos",
+        previous={"_before": F.when(F.col("own_turn").isNotNull(), F.col("calls_seen"))},
         following={"to_turn": F.col("own_turn")},
     )
-    index = F.col("calls_seen") - 1 - F.coalesce("calls_before", F.lit(0))
-    return given.filter(F.col("own_turn").isNull() & F.col("to_turn.billed")).select(
+    return given.filter(F.col("own_turn").isNull()).select(
+        *waiting.columns,
+        (F.col("calls_seen") - 1 - F.coalesce("_before", F.lit(0))).alias("call_index"),
+        "to_turn",
+    )
+
+
+def given_calls(placed: DataFrame) -> DataFrame:
+    """Tool events of calls whose token row bills something; the others are dropped."""
+    return placed.filter("to_turn.billed").select(
         *FILE_KEYS,
         F.col("to_turn.session_id").alias("session_id"),
         F.col("to_turn.ts_utc").alias("ts_utc"),
         "tool_name",
         F.lit(False).alias("is_sidechain"),
         F.col("to_turn.dedup_key").alias("record_dedup_key"),
-        F.concat_ws("#", "to_turn.dedup_key", index.cast("string")).alias("event_key"),
+        F.concat_ws("#", "to_turn.dedup_key", F.col("call_index").cast("string")).alias("event_key"),
     )
 
 
+def tool_events(carried: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Tool calls given to the token row that follows them.
+
+    Calls wait across rows that end early and across session changes; calls before a token row that
+    bills nothing are dropped.
+    """
+    return given_calls(placed_calls(carried.filter(F.col("kind") == "tool"), tokens))
+
+
 def running_totals(tokens: DataFrame) -> DataFrame:
     """Final cumulative totals per (file, session)."""
     seen = tokens.filter("from_total")

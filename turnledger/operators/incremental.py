@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnledger.functions.rates import LONG_CONTEXT_THRESHOLD
@@ -16,6 +18,9 @@ from turnledger.operators.rollups import (
 from turnledger.sources.inventory import DAY_MS, DAYS_PER_MONTH
 from turnledger.sources.lines import with_offsets
 
+if TYPE_CHECKING:
+    from turnledger.sources.store import UsageStore
+
 SKIP, APPEND, REINGEST, FIRST_READ = "skip", "append", "reingest", "firstRead"
 
 
@@ -114,14 +119,15 @@ def missing_sources(records: DataFrame, found: DataFrame) -> DataFrame:
 # --- stored tables -------------------------------------------------------------------------------
 
 
-def upsert_records(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace by record key."""
-    return old.join(new.select("dedup_key"), "dedup_key", "left_anti").unionByName(new)
+def upsert_records(old: DataFrame, new: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Replace by record key; ``keys`` may also name keys that get no new record."""
+    keys = new if keys is None else keys
+    return old.join(keys.select("dedup_key"), "dedup_key", "left_anti").unionByName(new)
 
 
-def upsert_tools(old: DataFrame, new_records: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_tools(old: DataFrame, keys: DataFrame, new: DataFrame) -> DataFrame:
     """Drop the old calls of every record written again, then replace by event key."""
-    rewritten = new_records.select(F.col("dedup_key").alias("record_dedup_key"))
+    rewritten = keys.select(F.col("dedup_key").alias("record_dedup_key"))
     return (
         old.join(rewritten, "record_dedup_key", "left_anti")
         .join(new.select("event_key"), "event_key", "left_anti")
@@ -134,6 +140,18 @@ def delete_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(files.select("file_id"), "file_id", "left_anti")
 
 
+def leaving_rows(old: DataFrame, files: DataFrame, new: DataFrame) -> DataFrame:
+    """Old records of the given files, and old records whose key is written again.
+
+    Two semi-joins instead of one with OR, so that each is an equi-join.
+    """
+    names = ["dedup_key", "file_id", "source", "session_id", "model", "day_local"]
+    rows = old.select(*names)
+    by_file = rows.join(files.select("file_id"), "file_id", "left_semi")
+    by_key = rows.join(new.select("dedup_key"), "dedup_key", "left_semi")
+    return by_file.select(*names).unionByName(by_key.select(*names))
+
+
 def replace_files(old: DataFrame, files: DataFrame, new: DataFrame) -> DataFrame:
     """Old rows of the files leave, the new ones enter."""
     return delete_files(old, files).unionByName(new)
@@ -172,6 +190,14 @@ def refresh_sessions(sessions: DataFrame, records: DataFrame, touched: DataFrame
     return sessions.join(keys, SESSION_KEY, "left_anti").unionByName(fresh.select(*sessions.columns))
 
 
+def refresh_rollups(store: UsageStore, touched: DataFrame, days: DataFrame, card: DataFrame) -> None:
+    """Bring both stored rollups up to date with the stored records."""
+    records = store.read("usage_record")
+    sessions, daily = store.read("session_rollup"), store.read("daily_rollup")
+    store.overwrite("session_rollup", refresh_sessions(sessions, records, touched, card))
+    store.overwrite("daily_rollup", refresh_daily(daily, records, touched, days, card))
+
+
 def reprice(records: DataFrame, card: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both rollups under new rates, from stored records; no log is read."""
     return daily_rollup(records, card), session_rollup(records, card)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,8 +11,9 @@ from turnledger.functions.columns import base_model, effort_of, local_day, local
 from turnledger.operators import claude, codex, filters, incremental, logrows, normalize, pricing, rollups
 from turnledger.operators.filters import UsageQuery
 from turnledger.plans import diagnostics, extras, periods, samples, views
-from turnledger.session import staged
-from turnledger.sources import inventory, lines as line_source, rates
+from turnledger.session import shared_folder, staged
+from turnledger.sources import inventory, lines as line_source, rates, store
+from turnledger.streaming import rollups as stream_rollups, stateful_parse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -764,3 +766,171 @@ def x04_exact_cache_savings(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def x05_sidechain_split(spark: SparkSession, sf: str) -> DataFrame:
     return extras.sidechain_split(samples.records(spark, sf), rates.default_card(spark))
+
+
+# --- incremental refresh -------------------------------------------------------------------------
+
+CUT_OFF = 1_705_708_800_000  # 2024-01-20: what had been read by then
+
+
+def _file_state(spark: SparkSession, sf: str) -> DataFrame:
+    """State of the files as of the cut-off, with some odd ones: every kind of action occurs."""
+    known = _event_files(spark, sf, CUT_OFF)
+    user = F.regexp_extract("file_path", r"s(\d+)-\d\.jsonl$", 1).cast("bigint")
+    return known.select(
+        "source", "file_path",
+        F.when(user % 11 == 3, F.concat("file_id", F.lit("~old"))).otherwise(F.col("file_id")).alias("file_id"),
+        "size", "mtime_ms",
+        F.when(user % 13 == 5, F.col("size") + 1_000_000).otherwise(F.col("size")).alias("last_offset"),
+        F.lit(0).cast("bigint").alias("prefix_check"),
+        F.when(user % 17 == 7, 0).otherwise(F.col("turns")).alias("turns"),
+        F.lit(0).cast("bigint").alias("tools"),
+    )
+
+
+@query
+def i01_classified_files(spark: SparkSession, sf: str) -> DataFrame:
+    found = _event_files(spark, sf).select(*inventory.INVENTORY_COLUMNS)
+    return incremental.classify(found, _file_state(spark, sf), 1, MONTH.to_utc + 27 * inventory.DAY_MS).select(
+        "source", "file_path", "action"
+    )
+
+
+@query
+def i02_rewritten_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files read once, then again after some had their first line changed and all had grown."""
+    logs = staged(samples.unsized_log_lines(spark, sf), "lines")
+    sizes = logs.groupBy("source", "file_path").agg(F.sum(line_source.line_bytes()).alias("last_offset"))
+    state = sizes.join(incremental.prefix_checks(logs, sizes), ["source", "file_path"], "left")
+    first = F.min("pos").alias("_first")
+    heads = logs.groupBy("source", "file_path").agg(first)
+    changed = F.endswith("file_path", F.lit("-3.jsonl")) & (F.col("pos") == F.col("_first"))
+    again = logs.join(heads, ["source", "file_path"]).withColumn(
+        "value", F.when(changed, F.reverse("value")).otherwise(F.col("value"))
+    ).drop("_first")
+    grown = again.unionByName(
+        heads.select("source", "file_path", F.lit(0).cast("bigint").alias("user_id"), F.lit(1 << 40).alias("chunk"),
+                     F.lit(0).cast("bigint").alias("pos"), F.lit("{}").alias("value"), F.lit(None).cast("bigint").alias("file_size"))
+    )
+    return incremental.rewritten_files(grown, state)
+
+
+@query
+def i03_overlapping_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = samples.records(spark, sf)
+    stored = rows.filter(F.col("ts_utc") <= CUT_OFF)
+    appended = rows.filter((F.col("ts_utc") > CUT_OFF) | (F.col("context_used_tokens") > 300_000))
+    return incremental.overlapping_files(appended, stored)
+
+
+def _running_input(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("file_id").alias("file_path"), "session_id").agg(
+        (F.sum("input_tokens") * 4).alias("input_total"), F.sum("output_tokens").alias("output_total")
+    )
+
+
+@query
+def i04_crossing_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    rows = samples.records(spark, sf)
+    appended = rows.filter(F.col("ts_utc") > CUT_OFF)
+    return incremental.crossing_sessions(
+        _running_input(rows.filter(F.col("ts_utc") <= CUT_OFF)), _running_input(rows), appended, rates.default_card(spark)
+    )
+
+
+@query
+def i05_replaced_files(spark: SparkSession, sf: str) -> DataFrame:
+    rows = samples.records(spark, sf)
+    files = rows.filter(F.endswith("session_id", F.lit("-2"))).select("file_id").distinct()
+    fresh = rows.join(files, "file_id", "left_semi").filter(F.col("hour_local") < 12).select(*rows.columns)
+    return incremental.replace_files(rows, files, fresh).select("dedup_key", "file_id")
+
+
+@query
+def i06_append_equals_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the logs parsed in three pieces, state carried from one to the next."""
+    records, _ = _in_pieces(spark, sf)
+    return records.select("dedup_key", "session_id", "ts_utc", "model", "variant_id", "total_tokens")
+
+
+@query
+def i07_file_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    files = inventory.INVENTORY_COLUMNS
+    before = _event_files(spark, sf, CUT_OFF).select(*files)
+    empty = before.limit(0).select(
+        *files, *[F.lit(None).cast("bigint").alias(c) for c in ("first_seen_utc", "last_seen_utc", "last_changed_utc", "last_checked_utc", "last_ingested_utc")],
+        *[F.lit(None).cast("string").alias(c) for c in ("min_day", "max_day", "state")],
+    )
+    first = staged(incremental.catalog_discovered(empty, before, CUT_OFF), "catalog")
+    after = _event_files(spark, sf).filter(~F.endswith("file_path", F.lit("-6.jsonl"))).select(*files)
+    catalog = incremental.catalog_discovered(first, after, MONTH.to_utc)
+    return catalog.select("file_path", "size", "first_seen_utc", "last_seen_utc", "last_changed_utc", "state")
+
+
+@query
+def i08_missing_sources(spark: SparkSession, sf: str) -> DataFrame:
+    rows = samples.records(spark, sf)
+    found = _event_files(spark, sf).filter(F.col("source") == "codex")
+    return incremental.missing_sources(rows, found)
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+def _in_pieces(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The rendered logs in three batches, cut through the middle of sessions, turns and requests."""
+    placed = staged(line_source.with_offsets(samples.unsized_log_lines(spark, sf)), "placed")
+    folder = f"{shared_folder(spark)}/stateful-{uuid.uuid4().hex}"
+    parser = stateful_parse.BatchParser(spark, folder)
+    piece = F.least(F.lit(2), F.shiftright("line_offset", 12))
+    for batch in range(3):
+        parser.run(placed.filter(piece == batch).select("source", "file_path", "line_offset", "value"), batch)
+    return parser.outputs("records"), parser.outputs("tool_events")
+
+
+@query
+def t01_stateful_parse(spark: SparkSession, sf: str) -> DataFrame:
+    _, calls = _in_pieces(spark, sf)
+    return calls.select("event_key", "tool_name", "session_id", "ts_utc")
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events file as a stream, mapped to records."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return samples.as_records(samples.turns_of(raw))
+
+
+@query
+def t02_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record arrives twice in the stream; one copy leaves it."""
+    folder = f"{shared_folder(spark)}/dedup-{uuid.uuid4().hex}"
+    twice = _stream(spark, sf).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    stream_rollups.into_folder(stream_rollups.deduplicated(twice), f"{folder}/out", f"{folder}/state", "append").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("dedup_key", "total_tokens")
+
+
+@query
+def t03_stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
+    stream_rollups.into_folder(stream_rollups.tumbling(_stream(spark, sf)), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return stream_rollups.latest_windows(spark.read.parquet(f"{folder}/out"))
+
+
+@query
+def t04_stream_into_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream of records put into a store batch by batch; the result is its daily rollup."""
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    usage, card = store.UsageStore(spark, f"{folder}/tables"), rates.default_card(spark)
+    handle = stream_rollups.into_store(usage, card)
+    no_calls = samples.tools(spark, sf).limit(0)
+
+    def put(rows: DataFrame, batch: int) -> None:
+        kept = staged(rows, "batch")
+        handle(kept, no_calls, kept.select("dedup_key"), batch)
+
+    (
+        _stream(spark, sf).writeStream.foreachBatch(put)
+        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    )
+    return rollups.with_usd(usage.read("daily_rollup"))

@@ -591,3 +591,39 @@ FROM priced p LEFT JOIN rates t ON t.model = p.effective_model GROUP BY p.model"
 _add("x05_sidechain_split", """
 SELECT source, is_sidechain, CAST(SUM(total_tokens) AS BIGINT) AS total_tokens, CAST(COUNT(*) AS BIGINT) AS turns, CAST(SUM(nano) AS DOUBLE) / 1e9 AS cost_usd
 FROM priced GROUP BY ALL""")
+
+# --- incremental refresh -------------------------------------------------------------------------
+
+_KNOWN = "(SELECT source, file_id, MIN(user_id) AS u, COUNT(*) * 100 AS size, MAX(ts_utc) AS mtime FROM rec WHERE ts_utc <= 1705708800000 GROUP BY source, file_id)"
+_add("i01_classified_files", f"""
+SELECT f.source, f.file_path, CASE WHEN s.file_id IS NULL THEN CASE WHEN f.mtime_ms < 1706659199999 - 3 * 86400000 THEN 'skip' ELSE 'firstRead' END
+  WHEN s.u % 11 = 3 THEN 'reingest' WHEN s.u % 17 = 7 THEN 'reingest' WHEN f.size = s.size AND f.mtime_ms = s.mtime THEN 'skip'
+  WHEN f.size < s.size + CASE WHEN s.u % 13 = 5 THEN 1000000 ELSE 0 END THEN 'reingest' ELSE 'append' END AS action
+FROM ({_FILES}) f LEFT JOIN {_KNOWN} s ON s.file_id = f.file_id AND s.source = f.source""")
+_add("i02_rewritten_files", "SELECT DISTINCT source, file_id AS file_path FROM rec WHERE event_id % 7 = 3")
+_add("i03_overlapping_files", "SELECT DISTINCT source, file_id FROM rec WHERE ts_utc <= 1705708800000 AND context_used_tokens > 300000")
+_add("i04_crossing_sessions", """
+SELECT file_id AS file_path, session_id FROM rec GROUP BY ALL
+HAVING SUM(input_tokens) FILTER (ts_utc <= 1705708800000) * 4 <= 272000 AND SUM(input_tokens) * 4 > 272000
+  AND bool_or(ts_utc > 1705708800000 AND model = 'gpt-5.5')""")
+_add("i05_replaced_files", "SELECT dedup_key, file_id FROM rec WHERE event_id % 7 <> 2 OR hour_local < 12")
+_log("i06_append_equals_full", f"SELECT dedup_key, session_id, ts_utc, model, variant_id, total_tokens FROM ({_PARSED})")
+_add("i07_file_catalog", f"""
+SELECT f.file_path, CASE WHEN f.file_path LIKE '%-6.jsonl' THEN k.size ELSE f.size END AS size,
+  CASE WHEN k.file_id IS NULL THEN 1706659199999 ELSE 1705708800000 END AS first_seen_utc,
+  CASE WHEN f.file_path LIKE '%-6.jsonl' THEN 1705708800000 ELSE 1706659199999 END AS last_seen_utc,
+  CASE WHEN k.file_id IS NULL OR (f.file_path NOT LIKE '%-6.jsonl' AND k.size <> f.size) THEN 1706659199999 ELSE 1705708800000 END AS last_changed_utc,
+  CASE WHEN k.file_id IS NULL THEN 'discovered' WHEN f.file_path NOT LIKE '%-6.jsonl' AND k.size <> f.size THEN 'changed' ELSE 'discovered' END AS state
+FROM ({_FILES}) f LEFT JOIN {_KNOWN} k ON k.file_id = f.file_id WHERE k.file_id IS NOT NULL OR f.file_path NOT LIKE '%-6.jsonl'""")
+_add("i08_missing_sources", "SELECT DISTINCT source FROM rec WHERE source = 'claude'")
+
+# --- streams -------------------------------------------------------------------------------------
+
+_log("t01_stateful_parse", f"""
+SELECT x.event_key, x.tool_name, x.session_id, t.ts_utc FROM ({_CX_TOOLS}) x JOIN cx_turn t ON t.dedup_key = x.record_dedup_key WHERE x.timed
+UNION ALL SELECT dedup_key || '#' || n, CASE WHEN k % 10 = 5 THEN 'unknown' WHEN n = 0 THEN 'shell' WHEN n = 1 THEN 'apply_patch' ELSE 'read_file' END,
+  session_id, ts_utc FROM (SELECT *, unnest(range(k % 4)) AS n FROM cl_turn WHERE timed)""")
+_add("t02_stream_dedup", "SELECT dedup_key, total_tokens FROM rec")
+_add("t03_stream_hourly", f"""
+SELECT ts_utc // 3600000 * 3600000 AS window_start_utc, source, {_SUMS}, CAST(COUNT(*) AS BIGINT) AS turns FROM rec GROUP BY ts_utc // 3600000, source""")
+_add("t04_stream_into_rollups", f"SELECT {_DAILY} FROM daily")

@@ -1,0 +1,166 @@
+"""The refresh job: list, classify, read changed files, replace their rows, bring rollups up to date."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from turnledger.operators import incremental, normalize, pricing
+from turnledger.operators.incremental import APPEND, REINGEST, SKIP
+from turnledger.operators.logrows import FILE_KEYS
+from turnledger.operators.rollups import file_counts
+from turnledger.session import staged
+from turnledger.sources import inventory, lines as line_source
+from turnledger.sources.store import UsageStore
+
+
+@dataclass(frozen=True)
+class RefreshOptions:
+    roots: Mapping[str, str | None]
+    max_line_bytes: int = line_source.DEFAULT_MAX_LINE_BYTES
+    backfill_months: int = 0
+    full_rescan: bool = False
+
+
+def _read_changed(
+    spark: SparkSession, roots: Mapping[str, str | None], actions: DataFrame, whole: bool
+) -> DataFrame | None:
+    """Lines of the files to read.
+
+    Where nothing is skipped (a first run, a full rescan) the roots are read as they are. Otherwise
+    the changed paths are an argument of the reader: one short string per changed file on the
+    driver, as in the reader's own file index.
+    """
+    todo = actions.filter(F.col("action") != SKIP)
+    if todo.isEmpty():
+        return None
+    everything = whole and actions.filter(F.col("action") == SKIP).isEmpty()
+    out = None
+    for source, root in roots.items():
+        mine = todo.filter(F.col("source") == source)
+        if not root or mine.isEmpty():
+            continue
+        paths = [root] if everything else [r.file_path for r in mine.select("file_path").toLocalIterator()]
+        part = line_source.read_lines(spark, paths, source)
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("file_path", inventory.plain_path(F.col("file_path")))
+
+
+def refresh(store: UsageStore, options: RefreshOptions, card: DataFrame, now_ms: int, changed: list[str] | None = None) -> DataFrame:
+    """Run one refresh; return the action taken per file.
+
+    A changed file is read whole and all its rows are replaced, so an append gives the same rows as
+    a full parse, and a session that newly crosses the long-context threshold is priced right.
+    """
+    spark = store.spark
+    if options.full_rescan:
+        store.clear()
+    found = (
+        inventory.scan_roots(spark, options.roots) if changed is None
+        else inventory.scan_changed(spark, changed, options.roots)
+    )
+    months = 0 if options.full_rescan else options.backfill_months
+    state = store.read("file_state")
+    actions = staged(incremental.classify(found, state, months, now_ms), "actions")
+    store.overwrite("file_catalog", incremental.catalog_discovered(store.read("file_catalog"), actions.select(*found.columns), now_ms))
+
+    logs = _read_changed(spark, options.roots, actions, changed is None)
+    if logs is None:
+        return _finish(store, actions, now_ms, options, card, None)
+
+    parsed = normalize.parse_lines(logs, options.max_line_bytes)
+    records, tools = staged(parsed.records, "records"), staged(parsed.tool_events, "tools")
+    appended = actions.filter(F.col("action") == APPEND).select("source", "file_path")
+    rewritten = staged(
+        incremental.rewritten_files(logs.join(appended, FILE_KEYS, "left_semi"), state.join(appended, FILE_KEYS, "left_semi")),
+        "rewritten",
+    )
+    decided = staged(
+        actions.join(rewritten.withColumn("_rewritten", F.lit(True)), FILE_KEYS, "left")
+        .join(parsed.incomplete.withColumn("_incomplete", F.lit(True)), FILE_KEYS, "left")
+        .withColumn(
+            "action",
+            F.when(F.col("_incomplete") & (F.col("action") != SKIP), SKIP)
+            .when(F.col("_rewritten"), REINGEST)
+            .otherwise(F.col("action")),
+        )
+        .drop("_rewritten", "_incomplete"),
+        "decided",
+    )
+    applied = decided.filter(F.col("action") != SKIP)
+    files = applied.select("file_id")
+
+    old = store.read("usage_record")
+    touched = staged(incremental.touched_sessions(incremental.leaving_rows(old, files, records), records), "touched")
+    days = store.apply(files, records, tools)
+    incremental.refresh_rollups(store, touched, days, card)
+
+    _remember_files(store, applied, logs, records, tools, parsed.running_totals)
+    bad = parsed.quality.join(applied.select(*FILE_KEYS), FILE_KEYS, "left_semi")
+    return _finish(store, decided, now_ms, options, card, bad)
+
+
+def _remember_files(store: UsageStore, applied: DataFrame, logs: DataFrame, records: DataFrame, tools: DataFrame, totals: DataFrame) -> None:
+    upto = applied.select(*FILE_KEYS, F.col("size").alias("last_offset"))
+    checks = incremental.prefix_checks(logs, upto)
+    counts = file_counts(records, tools)
+    fresh = (
+        applied.drop("last_offset").join(upto, FILE_KEYS).join(checks, FILE_KEYS, "left").join(counts, "file_id", "left")
+        .select(
+            "file_path", "file_id", "source", "size", "mtime_ms", "last_offset", "prefix_check",
+            F.coalesce("turns", F.lit(0)).alias("turns"), F.coalesce("tools", F.lit(0)).alias("tools"),
+        )
+    )
+    paths = applied.select("file_path")
+    kept = store.read("file_state").join(paths, "file_path", "left_anti")
+    store.overwrite("file_state", kept.unionByName(fresh))
+    held = store.read("running_total").join(paths, "file_path", "left_anti")
+    new = totals.join(paths, "file_path", "left_semi").select(*held.columns)
+    store.overwrite("running_total", held.unionByName(new))
+
+
+def _finish(
+    store: UsageStore, actions: DataFrame, now_ms: int, options: RefreshOptions, card: DataFrame, bad: DataFrame | None
+) -> DataFrame:
+    spark = store.spark
+    records = store.read("usage_record")
+    spans = records.groupBy("file_id").agg(F.min("day_local").alias("min_day"), F.max("day_local").alias("max_day"))
+    held = store.read("file_state").select("file_path", F.lit(True).alias("has_state"))
+    results = (
+        actions.join(held, "file_path", "left").join(spans, "file_id", "left")
+        .select("file_path", "action", F.coalesce("has_state", F.lit(False)).alias("has_state"), "min_day", "max_day")
+    )
+    store.overwrite("file_catalog", incremental.catalog_ingested(store.read("file_catalog"), results, now_ms))
+    counts = spark.range(1).select(F.lit(0).cast("bigint").alias("malformed"), F.lit(0).cast("bigint").alias("oversized"))
+    if bad is not None:
+        counts = bad.agg(
+            F.coalesce(F.sum("malformed_count"), F.lit(0)).alias("malformed"),
+            F.coalesce(F.sum("oversized_count"), F.lit(0)).alias("oversized"),
+        )
+    store.append("run_metrics", counts.select(
+        F.lit(now_ms).cast("bigint").alias("run_utc"), F.lit(options.full_rescan).alias("full_rescan"), "malformed", "oversized"
+    ))
+    unmapped = pricing.unmapped_models(records, card)
+    store.overwrite("unmapped_model", pricing.refresh_unmapped(store.read("unmapped_model"), unmapped, F.lit(now_ms).cast("bigint")))
+    return actions.select("source", "file_path", "action")
+
+
+def reprice(store: UsageStore, card: DataFrame, now_ms: int) -> None:
+    """Bring rollups and unmapped models to new rates without reading a log."""
+    records = store.read("usage_record")
+    daily, sessions = incremental.reprice(records, card)
+    store.overwrite("daily_rollup", daily)
+    store.overwrite("session_rollup", sessions)
+    unmapped = pricing.unmapped_models(records, card)
+    store.overwrite("unmapped_model", pricing.refresh_unmapped(store.read("unmapped_model"), unmapped, F.lit(now_ms).cast("bigint")))
+
+
+def rebuild(store: UsageStore, options: RefreshOptions, card: DataFrame, now_ms: int) -> bool:
+    """Full rescan, only if every stored file can still be read; else nothing changes."""
+    stored = store.read("file_state").filter((F.col("turns") > 0)).select("source", "file_path", "file_id")
+    if not incremental.rebuild_is_safe(stored, inventory.scan_roots(store.spark, options.roots)):
+        return False
+    refresh(store, RefreshOptions(options.roots, options.max_line_bytes, 0, True), card, now_ms)
+    return True

@@ -30,7 +30,10 @@ TOOL_NAMES = ("shell", "apply_patch", "read_file")
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the derived turn columns."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return turns_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def turns_of(raw: DataFrame) -> DataFrame:
     c = F.col
     keyed = raw.select(
         "event_id", "user_id", "event_type", "ts",
@@ -84,9 +87,12 @@ def file_path() -> Column:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage records, one per event."""
+    return as_records(events(spark, sf_dir))
+
+
+def as_records(turns: DataFrame) -> DataFrame:
     return (
-        events(spark, sf_dir)
-        .withColumn("file_id", file_path())
+        turns.withColumn("file_id", file_path())
         .withColumn("total_tokens", total_tokens())
         .withColumn("variant_id", variant_id(F.col("model"), F.col("effort")))
         .withColumn("stop_reason", F.lit(None).cast("string"))

@@ -28,10 +28,12 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def read_lines(spark: SparkSession, paths: Sequence[str], source: str) -> DataFrame:
-    """Lines of the given files. ``lineSep`` is fixed so that CR bytes stay in the value."""
+def read_lines(spark: SparkSession, paths: Sequence[str], source: str, glob: str = "*.jsonl") -> DataFrame:
+    """Lines of the given files or folders. ``lineSep`` is fixed so that CR bytes stay in the value."""
     return (
         spark.read.option("lineSep", "\n")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", glob)
         .text(list(paths))
         .select(
             F.lit(source).alias("source"),
