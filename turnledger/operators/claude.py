@@ -10,11 +10,9 @@ from turnledger.operators.logrows import (
     event_time,
     file_scope,
     mentions,
-    node,
     nonblank,
     number,
     placed,
-    text,
 )
 from turnledger.operators.ordered import scan
 from turnledger.session import staged
@@ -33,45 +31,47 @@ def keyword(line: Column) -> Column:
     return first & second
 
 
+_USAGE = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+SCHEMA = (
+    "type string, timestamp string, sessionId string, requestId string, uuid string, cwd string, version string, "
+    "gitBranch string, isSidechain string, entrypoint string, message struct<model: string, stop_reason: string, "
+    f"usage: struct<{', '.join(f'{f}: string' for f in _USAGE)}>, content: array<string>>"
+)
+
+
 def extract(parsed: DataFrame) -> DataFrame:
-    doc = F.col("doc")
-    usage = node(doc, "$.message.usage")
-    model = nonblank(text(doc, "$.message.model"))
+    c = F.col
+    model = c("doc.message.model")
     wanted = (
-        (text(doc, "$.type") == "assistant")
-        & usage.isNotNull()
-        & model.isNotNull()
+        (c("doc.type") == "assistant")
+        & c("doc.message.usage").isNotNull()
+        & nonblank(model).isNotNull()
         & ~F.startswith(model, F.lit("<"))
         & (model != UNKNOWN_MODEL)
     )
-
-    def count(field: str) -> Column:
-        return F.coalesce(number(doc, f"$.message.usage.{field}"), F.lit(0))
-
-    blocks = F.try_variant_get(doc, "$.message.content", "array<variant>")
-    calls = F.filter(blocks, lambda b: F.try_variant_get(b, "$.type", "string") == "tool_use")
-    names = F.transform(
-        calls, lambda b: F.coalesce(F.try_variant_get(b, "$.name", "string"), F.lit(UNKNOWN_TOOL))
-    )
-    return parsed.select(
+    counts = [F.coalesce(number(c(f"doc.message.usage.{f}")), F.lit(0)) for f in _USAGE]
+    # Blocks stay text until here; only those that quote the word are looked into.
+    quoted = F.filter("doc.message.content", lambda b: F.contains(b, F.lit('"tool_use"')))
+    calls = F.filter(quoted, lambda b: F.get_json_object(b, "$.type") == "tool_use")
+    names = F.transform(calls, lambda b: F.coalesce(F.get_json_object(b, "$.name"), F.lit(UNKNOWN_TOOL)))
+    return parsed.withColumn("kind", F.when(wanted, F.lit("assistant"))).select(
         *parsed.columns,
-        F.when(wanted, F.lit("assistant")).alias("kind"),
-        F.when(wanted, F.struct(
-            F.coalesce(text(doc, "$.sessionId"), F.lit("")).alias("session_id"),
-            F.coalesce(nonblank(text(doc, "$.requestId")), nonblank(text(doc, "$.uuid")), F.lit(""))
-            .alias("request_id"),
-            event_time(doc).alias("ts_utc"),
+        "kind",
+        F.when(c("kind").isNotNull(), F.struct(
+            F.coalesce("doc.sessionId", F.lit("")).alias("session_id"),
+            F.coalesce(nonblank(c("doc.requestId")), nonblank(c("doc.uuid")), F.lit("")).alias("request_id"),
+            event_time(c("doc.timestamp")).alias("ts_utc"),
             model.alias("model"),
-            F.coalesce(nonblank(text(doc, "$.cwd")), F.lit("")).alias("workspace"),
-            nonblank(text(doc, "$.message.stop_reason")).alias("stop_reason"),
-            F.try_variant_get(doc, "$.isSidechain", "boolean").alias("is_sidechain"),
-            nonblank(text(doc, "$.entrypoint")).alias("entrypoint"),
-            nonblank(text(doc, "$.version")).alias("version"),
-            text(doc, "$.gitBranch").alias("git_branch"),
-            count("input_tokens").alias("raw_input"),
-            count("output_tokens").alias("raw_output"),
-            count("cache_read_input_tokens").alias("raw_cache_read"),
-            count("cache_creation_input_tokens").alias("raw_cache_creation"),
+            F.coalesce("doc.cwd", F.lit("")).alias("workspace"),
+            nonblank(c("doc.message.stop_reason")).alias("stop_reason"),
+            c("doc.isSidechain").try_cast("boolean").alias("is_sidechain"),
+            nonblank(c("doc.entrypoint")).alias("entrypoint"),
+            nonblank(c("doc.version")).alias("version"),
+            c("doc.gitBranch").alias("git_branch"),
+            counts[0].alias("raw_input"),
+            counts[1].alias("raw_output"),
+            counts[2].alias("raw_cache_read"),
+            counts[3].alias("raw_cache_creation"),
             F.coalesce(names, F.array().cast("array<string>")).alias("tool_names"),
         )).alias("turn"),
     )
@@ -79,7 +79,7 @@ def extract(parsed: DataFrame) -> DataFrame:
 
 def cut(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES) -> DataFrame:
     """Typed rows of the Claude lines in ``lines``."""
-    return cut_rows(lines.filter(F.col("source") == SOURCE), keyword, extract, max_line_bytes)
+    return cut_rows(lines.filter(F.col("source") == SOURCE), keyword, SCHEMA, extract, max_line_bytes)
 
 
 def with_neighbours(cut: DataFrame) -> DataFrame:

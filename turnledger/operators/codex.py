@@ -10,11 +10,9 @@ from turnledger.operators.logrows import (
     event_time,
     file_scope,
     mentions,
-    node,
     nonblank,
     number,
     placed,
-    text,
 )
 from turnledger.operators.ordered import scan
 from turnledger.session import staged
@@ -37,71 +35,77 @@ def keyword(line: Column) -> Column:
     return hit
 
 
+_USAGE_TYPE = f"struct<{', '.join(f'{f}: string' for f in _USAGE)}>"
+_INFO_TYPE = (
+    f"struct<last_token_usage: {_USAGE_TYPE}, total_token_usage: {_USAGE_TYPE}, model_context_window: string>"
+)
+_LIMITS_TYPE = "struct<primary: struct<used_percent: string>, secondary: struct<used_percent: string>>"
+SCHEMA = (
+    "type string, timestamp string, payload struct<id: string, cwd: string, cli_version: string, source: string, "
+    "git: struct<branch: string, repository_url: string>, model: string, effort: string, approval_policy: string, "
+    f"sandbox_policy: struct<mode: string>, type: string, name: string, info: {_INFO_TYPE}, rate_limits: {_LIMITS_TYPE}>, "
+    f"info {_INFO_TYPE}, rate_limits {_LIMITS_TYPE}"
+)
+
+
 def extract(parsed: DataFrame) -> DataFrame:
-    doc = F.col("doc")
+    c = F.col
+    kind, ptype = c("doc.type"), c("doc.payload.type")
+    is_item = kind == "response_item"
+    tool = F.when(is_item & (ptype == "function_call"), nonblank(c("doc.payload.name"))).when(
+        is_item & (ptype == "image_generation_call"), F.lit("image_generation")
+    )
     picked = parsed.select(
         "*",
-        text(doc, "$.type").alias("_type"),
-        text(doc, "$.payload.type").alias("_ptype"),
-        node(doc, "$.payload").alias("_payload"),
-        F.coalesce(node(doc, "$.info"), node(doc, "$.payload.info")).alias("_info"),
-        F.coalesce(node(doc, "$.rate_limits"), node(doc, "$.payload.rate_limits")).alias("_limits"),
+        nonblank(c("doc.payload.id")).alias("_session"),
+        tool.alias("_tool"),
+        F.coalesce("doc.info", "doc.payload.info").alias("_info"),
+        F.coalesce("doc.rate_limits", "doc.payload.rate_limits").alias("_limits"),
     )
-    payload, info, limits = F.col("_payload"), F.col("_info"), F.col("_limits")
-    is_item = F.col("_type") == "response_item"
-    tool = F.when(
-        is_item & (F.col("_ptype") == "function_call"), nonblank(text(payload, "$.name"))
-    ).when(is_item & (F.col("_ptype") == "image_generation_call"), F.lit("image_generation"))
-    session = nonblank(text(payload, "$.id"))
-    kind = (
-        F.when((F.col("_type") == "session_meta") & session.isNotNull(), "session")
-        .when((F.col("_type") == "turn_context") & payload.isNotNull(), "context")
-        .when(tool.isNotNull(), "tool")
-        .when(
-            (F.col("_type") == "event_msg") & (F.col("_ptype") == "token_count") & info.isNotNull(),
-            "tokens",
-        )
+    sorted_out = picked.withColumn(
+        "kind",
+        F.when((kind == "session_meta") & c("_session").isNotNull(), "session")
+        .when((kind == "turn_context") & c("doc.payload").isNotNull(), "context")
+        .when(c("_tool").isNotNull(), "tool")
+        .when((kind == "event_msg") & (ptype == "token_count") & c("_info").isNotNull(), "tokens"),
     )
 
     def usage(path: str) -> Column:
-        fields = [
-            number(info, f"$.{path}.{field}").alias(name)
-            for field, name in zip(_USAGE, _COUNTS, strict=True)
-        ]
-        return F.when(node(info, f"$.{path}").isNotNull(), F.struct(*fields))
-
-    return picked.select(
-        *[c for c in parsed.columns],
-        kind.alias("kind"),
-        F.when(kind == "session", F.struct(
-            session.alias("id"),
-            text(payload, "$.cwd").alias("cwd"),
-            text(payload, "$.cli_version").alias("cli_version"),
-            text(payload, "$.source").alias("origin"),
-            text(payload, "$.git.branch").alias("git_branch"),
-            text(payload, "$.git.repository_url").alias("git_repo"),
+        fields = [number(c(f"{path}.{f}")).alias(n) for f, n in zip(_USAGE, _COUNTS, strict=True)]
+        return F.when((c("kind") == "tokens") & c(path).isNotNull(), F.struct(*fields))
+
+    return sorted_out.select(
+        *parsed.columns,
+        "kind",
+        F.when(c("kind") == "session", F.struct(
+            c("_session").alias("id"),
+            "doc.payload.cwd",
+            "doc.payload.cli_version",
+            c("doc.payload.source").alias("origin"),
+            c("doc.payload.git.branch").alias("git_branch"),
+            c("doc.payload.git.repository_url").alias("git_repo"),
         )).alias("session"),
-        F.when(kind == "context", F.struct(
-            text(payload, "$.model").alias("model"),
-            text(payload, "$.effort").alias("effort"),
-            text(payload, "$.approval_policy").alias("approval_policy"),
-            text(payload, "$.sandbox_policy.mode").alias("sandbox_mode"),
+        F.when(c("kind") == "context", F.struct(
+            "doc.payload.model",
+            "doc.payload.effort",
+            "doc.payload.approval_policy",
+            c("doc.payload.sandbox_policy.mode").alias("sandbox_mode"),
         )).alias("context"),
-        F.when(kind == "tool", tool).alias("tool_name"),
-        F.when(kind == "tokens", usage("total_token_usage")).alias("total"),
-        F.when(kind == "tokens", usage("last_token_usage")).alias("last"),
-        F.when(kind == "tokens", F.struct(
-            event_time(doc).alias("ts_utc"),
-            number(info, "$.model_context_window").alias("context_window"),
-            F.try_variant_get(limits, "$.primary.used_percent", "double").alias("primary_pct"),
-            F.try_variant_get(limits, "$.secondary.used_percent", "double").alias("secondary_pct"),
+        F.when(c("kind") == "tool", c("_tool")).alias("tool_name"),
+        usage("_info.total_token_usage").alias("total"),
+        usage("_info.last_token_usage").alias("last"),
+        F.when(c("kind") == "tokens", F.struct(
+            event_time(c("doc.timestamp")).alias("ts_utc"),
+            number(c("_info.model_context_window")).alias("context_window"),
+            c("_limits.primary.used_percent").try_cast("double").alias("primary_pct"),
+            c("_limits.secondary.used_percent").try_cast("double").alias("secondary_pct"),
         )).alias("turn"),
     )
 
 
 def cut(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES) -> DataFrame:
     """Typed rows of the Codex lines in ``lines``."""
-    return cut_rows(lines.filter(F.col("source") == SOURCE), keyword, extract, max_line_bytes)
+    return cut_rows(lines.filter(F.col("source") == SOURCE), keyword, SCHEMA, extract, max_line_bytes)
 
 
 def context_scan(calls: Column | None = None) -> dict[str, dict[str, Column]]:

@@ -22,35 +22,34 @@ from turnledger.sources.lines import (
 FILE_KEYS = ["source", "file_path"]
 
 
-def present(value: Column) -> Column:
-    """True where a JSON value exists and is not null."""
-    return value.isNotNull() & ~F.is_variant_null(value)
-
+def nonblank(value: Column) -> Column:
+    return F.nullif(value, F.lit(""))
 
-def node(doc: Column, path: str) -> Column:
-    """A JSON sub-value, or SQL NULL where it is missing or null."""
-    value = F.try_variant_get(doc, path, "variant")
-    return F.when(present(value), value)
 
+def number(value: Column) -> Column:
+    """A JSON number, read as text, as a whole number; ``5.0`` and ``5`` are the same."""
+    return value.try_cast("double").try_cast("bigint")
 
-def text(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "string")
 
+def event_time(raw: Column) -> Column:
+    """Epoch milliseconds of a timestamp; null where it is missing or cannot be read."""
+    is_number = raw.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
+    return F.when(is_number, number(raw)).otherwise(F.unix_millis(raw.try_cast("timestamp")))
 
-def nonblank(value: Column) -> Column:
-    return F.nullif(value, F.lit(""))
 
+def json_doc(line: Column, schema: str) -> Column:
+    """A parsed line. Scalars are read as text, so a field of another type never spoils the rest."""
+    return F.from_json(line, f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
 
-def number(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "bigint")
 
+def is_malformed(line: Column) -> Column:
+    """True for lines that are no JSON.
 
-def event_time(doc: Column) -> Column:
-    """Epoch milliseconds of ``timestamp``; null where it is missing or cannot be read."""
-    raw = text(doc, "$.timestamp")
-    return F.when(
-        raw.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), raw.try_cast("double").cast("bigint")
-    ).otherwise(F.unix_millis(raw.try_cast("timestamp")))
+    The first parse also flags fields of an unexpected type; only flagged lines that yielded
+    nothing are parsed once more to tell the two apart.
+    """
+    suspect = F.col("doc._corrupt_record").isNotNull() & F.col("doc.type").isNull()
+    return F.when(suspect, F.try_parse_json(line).isNull())
 
 
 def mentions(line: Column, *words: str) -> list[Column]:
@@ -60,13 +59,14 @@ def mentions(line: Column, *words: str) -> list[Column]:
 def cut_rows(
     lines: DataFrame,
     keyword: Callable[[Column], Column],
+    schema: str,
     extract: Callable[[DataFrame], DataFrame],
     max_line_bytes: int = DEFAULT_MAX_LINE_BYTES,
 ) -> DataFrame:
     """Typed rows of the useful lines, with their place inside the chunk.
 
     ``keyword`` says which lines are worth parsing; only those can be malformed. ``extract`` turns
-    the parsed ``doc`` column into typed fields, one of them ``kind`` (null = of no use).
+    the parsed ``doc`` (of ``schema``) into typed fields, one of them ``kind`` (null = of no use).
     """
     oversized = is_oversized(max_line_bytes)
     cut = lines.select(
@@ -75,8 +75,8 @@ def cut_rows(
         oversized.alias("oversized"),
         F.when(~oversized & keyword(F.col("value")), line_text()).alias("candidate"),
     )
-    parsed = cut.withColumn("doc", F.try_parse_json("candidate")).withColumn(
-        "malformed", F.col("candidate").isNotNull() & F.col("doc").isNull()
+    parsed = cut.withColumn("doc", json_doc(F.col("candidate"), schema)).withColumn(
+        "malformed", F.coalesce(is_malformed(F.col("candidate")), F.lit(False))
     )
     typed = extract(parsed).drop("doc", "candidate")
 

@@ -51,16 +51,27 @@ def _tables(spark: SparkSession, sf: str) -> views.UsageTables:
     return views.UsageTables(samples.records(spark, sf), samples.tools(spark, sf), rates.default_card(spark))
 
 
+def _logs(spark: SparkSession, sf: str) -> DataFrame:
+    """Rendered log lines, written once as files of logs would be."""
+    return staged(samples.unsized_log_lines(spark, sf), "lines")
+
+
 def _codex_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return codex.rows(samples.unsized_log_lines(spark, sf))
+    return codex.rows(_logs(spark, sf))
 
 
 def _claude_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return claude.turns(claude.assistant_rows(claude.rows(samples.unsized_log_lines(spark, sf))))
+    return claude.turns(claude.assistant_rows(claude.rows(_logs(spark, sf))))
+
+
+def _both_turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    logs = _logs(spark, sf)
+    won = claude.turns(claude.assistant_rows(claude.rows(logs)))
+    return codex.token_rows(codex.rows(logs)).filter("billed"), won
 
 
 def _parsed(spark: SparkSession, sf: str) -> normalize.ParsedLogs:
-    return normalize.parse_lines(samples.unsized_log_lines(spark, sf))
+    return normalize.parse_lines(_logs(spark, sf))
 
 
 # --- sources and sinks ---------------------------------------------------------------------------
@@ -79,14 +90,14 @@ def s02_changed_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def s03_line_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    placed = line_source.emitted_lines(samples.unsized_log_lines(spark, sf))
+    placed = line_source.emitted_lines(_logs(spark, sf))
     return placed.select("source", "file_path", "line_offset", "n_bytes")
 
 
 @query
 def s04_oversized_lines(spark: SparkSession, sf: str) -> DataFrame:
     return line_source.oversized_counts(
-        samples.unsized_log_lines(spark, sf), line_source.MIN_MAX_LINE_BYTES
+        _logs(spark, sf), line_source.MIN_MAX_LINE_BYTES
     )
 
 
@@ -146,7 +157,7 @@ def s09_delete_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p01_keyword_filter(spark: SparkSession, sf: str) -> DataFrame:
-    logs = samples.unsized_log_lines(spark, sf)
+    logs = _logs(spark, sf)
     hit = F.when(F.col("source") == "codex", codex.keyword(F.col("value"))).otherwise(claude.keyword(F.col("value")))
     return logs.groupBy("source", "file_path").agg(
         F.count("*").alias("line_count"), F.count_if(hit).alias("keyword_count")
@@ -155,7 +166,7 @@ def p01_keyword_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p02_malformed_lines(spark: SparkSession, sf: str) -> DataFrame:
-    logs = samples.unsized_log_lines(spark, sf)
+    logs = _logs(spark, sf)
     return logrows.quality(codex.rows(logs)).unionByName(logrows.quality(claude.rows(logs)))
 
 
@@ -200,7 +211,7 @@ def p07_codex_tools(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p08_assistant_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = claude.assistant_rows(claude.rows(samples.unsized_log_lines(spark, sf)))
+    rows = claude.assistant_rows(claude.rows(_logs(spark, sf)))
     return rows.select(
         "session_id", "line_offset", "request_id", "model", "workspace", "raw_input", "raw_output",
         "raw_cache_read", "raw_cache_creation",
@@ -221,10 +232,9 @@ def p10_claude_tools(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p11_turn_times(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = codex.token_rows(_codex_rows(spark, sf)).filter("billed")
-    both = tokens.select("source", "session_id", "line_offset", "ts_utc").unionByName(
-        _claude_turns(spark, sf).select("source", "session_id", "line_offset", "ts_utc")
-    )
+    tokens, won = _both_turns(spark, sf)
+    names = ["source", "session_id", "line_offset", "ts_utc"]
+    both = tokens.select(*names).unionByName(won.select(*names))
     return both.filter(F.col("ts_utc") > 0)
 
 
@@ -246,13 +256,13 @@ def p12_dedupe_by_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p13_record_keys(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = codex.token_rows(_codex_rows(spark, sf)).filter("billed")
-    return tokens.select("dedup_key").unionByName(_claude_turns(spark, sf).select("dedup_key"))
+    tokens, won = _both_turns(spark, sf)
+    return tokens.select("dedup_key").unionByName(won.select("dedup_key"))
 
 
 @query
 def p14_session_headers(spark: SparkSession, sf: str) -> DataFrame:
-    logs = samples.unsized_log_lines(spark, sf)
+    logs = _logs(spark, sf)
     heads = codex.session_dimension(codex.rows(logs))
     others = claude.session_dimension(claude.assistant_rows(claude.rows(logs)))
     names = ["source", "file_path", "session_id", "cwd", "cli_version", "git_branch"]
@@ -799,7 +809,7 @@ def i01_classified_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def i02_rewritten_files(spark: SparkSession, sf: str) -> DataFrame:
     """Files read once, then again after some had their first line changed and all had grown."""
-    logs = staged(samples.unsized_log_lines(spark, sf), "lines")
+    logs = _logs(spark, sf)
     sizes = logs.groupBy("source", "file_path").agg(F.sum(line_source.line_bytes()).alias("last_offset"))
     state = sizes.join(incremental.prefix_checks(logs, sizes), ["source", "file_path"], "left")
     first = F.min("pos").alias("_first")
@@ -879,7 +889,7 @@ def i08_missing_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def _in_pieces(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The rendered logs in three batches, cut through the middle of sessions, turns and requests."""
-    placed = staged(line_source.with_offsets(samples.unsized_log_lines(spark, sf)), "placed")
+    placed = staged(line_source.with_offsets(_logs(spark, sf)), "placed")
     folder = f"{shared_folder(spark)}/stateful-{uuid.uuid4().hex}"
     parser = stateful_parse.BatchParser(spark, folder)
     piece = F.least(F.lit(2), F.shiftright("line_offset", 12))

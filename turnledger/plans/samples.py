@@ -6,6 +6,8 @@ Log lines are rendered from the same events, so that parsing them can be checked
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnledger.functions.columns import total_tokens, variant_id
@@ -122,32 +124,20 @@ def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- log lines ---------------------------------------------------------------------------------
 
 
-def _quoted(value: Column) -> Column:
-    return F.concat(F.lit('"'), value, F.lit('"'))
-
-
-def _num(value: Column) -> Column:
-    return value.cast("string")
-
-
-def _text(*parts: str | Column) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+def _fill(template: str, when: str | None = None) -> Column:
+    """Text with ``<sql>`` marks replaced by column values; null unless ``when`` holds."""
+    parts = re.split(r"<([^<>]+)>", template)
+    quoted = [f"'{p}'" if i % 2 == 0 else f"CAST({p} AS STRING)" for i, p in enumerate(parts) if p]
+    text = f"concat({', '.join(quoted)})"
+    return F.expr(f"CASE WHEN {when} THEN {text} END" if when else text)
 
 
-def _stamp() -> Column:
-    """Timestamp field: usually ISO, sometimes epoch milliseconds, sometimes absent."""
-    k = F.col("k")
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return (
-        F.when(k % 23 == 7, "")
-        .when(k % 8 == 0, _text('"timestamp":', _num(F.col("ts_utc")), ","))
-        .otherwise(_text('"timestamp":', _quoted(iso), ","))
-    )
-
-
-def _usage(i: Column, c: Column, o: Column, r: Column) -> Column:
-    return _text('{"input_tokens":', _num(i), ',"cached_input_tokens":', _num(c), ',"output_tokens":', _num(o),
-                 ',"reasoning_output_tokens":', _num(r), "}")
+# Timestamp field: usually ISO, sometimes epoch milliseconds, sometimes absent.
+_STAMP = (
+    "CASE WHEN k % 23 = 7 THEN '' WHEN k % 8 = 0 THEN concat('\"timestamp\":', ts_utc, ',') ELSE "
+    """concat('"timestamp":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), '",') END"""
+)
+_FILLER = "CASE WHEN k % 29 = 0 THEN repeat('x', 5000) ELSE '' END"
 
 
 def _codex_lines(turns: DataFrame) -> DataFrame:
@@ -156,71 +146,75 @@ def _codex_lines(turns: DataFrame) -> DataFrame:
     Kept odd on purpose: context rows are sparse, some rows have no cumulative total, some repeat
     the last one, some lack a time.
     """
-    k = F.col("k")
-    cumulative = k % 9 != 0
-    raw_in, raw_out = F.col("input_tokens") + F.col("cache_read_tokens"), F.col("output_tokens") + F.col("reasoning_tokens")
-
-    def step(value: Column) -> Column:
-        return F.when(cumulative, value).otherwise(F.lit(0))
-
-    totals = scan(
-        turns, ["session_id"], "chunk", "event_id",
-        sums={"cum_in": step(raw_in), "cum_cached": step(F.col("cache_read_tokens")),
-              "cum_out": step(raw_out), "cum_reason": step(F.col("reasoning_tokens")), "nth": F.lit(1)},
+    def step(value: str) -> Column:
+        return F.expr(f"CASE WHEN k % 9 <> 0 THEN {value} ELSE 0 END")
+
+    sums = {
+        "cum_in": step("input_tokens + cache_read_tokens"), "cum_cached": step("cache_read_tokens"),
+        "cum_out": step("output_tokens + reasoning_tokens"), "cum_reason": step("reasoning_tokens"), "nth": F.lit(1),
+    }
+    totals = scan(turns, ["session_id"], "chunk", "event_id", sums=sums)
+    usage = '{"input_tokens":<%s>,"cached_input_tokens":<%s>,"output_tokens":<%s>,"reasoning_output_tokens":<%s>}'
+    whole = usage % ("cum_in", "cum_cached", "cum_out", "cum_reason")
+    single = usage % ("input_tokens + cache_read_tokens", "cache_read_tokens", "output_tokens + reasoning_tokens", "reasoning_tokens")
+    info = F.coalesce(
+        _fill(f'{{"last_token_usage":{{"input_tokens":<context_used_tokens>}},"total_token_usage":{whole},"model_context_window":1000000}}', "k % 9 <> 0"),
+        _fill(f'{{"last_token_usage":{single},"model_context_window":1000000}}'),
+    )
+    limits = '"rate_limits":{"primary":{"used_percent":<k>},"secondary":{"used_percent":<k % 7>}}'
+    tokens = F.coalesce(
+        _fill('{"type":"event_msg",<stamp>"payload":{"type":"token_count","info":<info>,' + limits + "}}", "k % 2 = 0"),
+        _fill('{"type":"event_msg",<stamp>"payload":{"type":"token_count"},"info":<info>,' + limits + "}"),
+    )
+    call = '{"type":"response_item","payload":{"type":"function_call","name":"%s","arguments":"{}"}}'
+    effort = """CASE WHEN effort = 'n/a' THEN '' ELSE concat(',"effort":"', effort, '"') END"""
+    return (
+        totals.withColumn("stamp", F.expr(_STAMP)).withColumn("filler", F.expr(_FILLER)).withColumn("info", info)
+        .withColumn("tokens", tokens).withColumn("effort_field", F.expr(effort))
+        .withColumn("lines", F.array(
+            _fill('{"type":"session_meta","payload":{"id":"<session_id>","cwd":"/home/dev","cli_version":"1.2.3",'
+                  '"source":"cli","git":{"branch":"main","repository_url":"https://example.org/r.git"}}}', "nth = 1"),
+            _fill('{"type":"turn_context","payload":{"model":"<model>"<effort_field>,"approval_policy":"p<k % 2>",'
+                  '"sandbox_policy":{"mode":"m<k % 5>"}}}', "nth = 1 OR k % 3 = 0"),
+            _fill('{"type":"response_item","payload":{"type":"message","text":"größe <filler>"}}'),
+            *[_fill(call % name, f"k % 4 > {i}") for i, name in enumerate(TOOL_NAMES)],
+            _fill('{"type":"response_item","payload":{"type":"image_generation_call"}}', "k % 11 = 0"),
+            F.col("tokens"),
+            _fill("<tokens>", "k % 9 <> 0 AND k % 5 = 1"),
+            _fill('{"type":"event_msg","payload":{"type":"token_count",', "k % 17 = 3"),
+        ))
     )
-    first = F.col("nth") == 1
-    head = F.when(first, _text('{"type":"session_meta","payload":{"id":', _quoted(F.col("session_id")),
-                               ',"cwd":"/home/dev","cli_version":"1.2.3","source":"cli","git":{"branch":"main","repository_url":"https://example.org/r.git"}}}'))
-    effort = F.when(F.col("effort") == "n/a", "").otherwise(_text(',"effort":', _quoted(F.col("effort"))))
-    context = F.when(first | (k % 3 == 0), _text('{"type":"turn_context","payload":{"model":', _quoted(F.col("model")), effort,
-                     ',"approval_policy":"p', _num(k % 2), '","sandbox_policy":{"mode":"m', _num(k % 5), '"}}}'))
-    calls = [
-        F.when(k % 4 > i, _text('{"type":"response_item","payload":{"type":"function_call","name":"', TOOL_NAMES[i], '","arguments":"{}"}}'))
-        for i in range(3)
-    ]
-    image = F.when(k % 11 == 0, F.lit('{"type":"response_item","payload":{"type":"image_generation_call"}}'))
-    chat = _text('{"type":"response_item","payload":{"type":"message","text":"größe ', F.when(k % 29 == 0, F.repeat(F.lit("x"), 5000)).otherwise(""), '"}}')
-    usage_total = _usage(F.col("cum_in"), F.col("cum_cached"), F.col("cum_out"), F.col("cum_reason"))
-    last = F.when(
-        cumulative, _text('{"input_tokens":', _num(F.col("context_used_tokens")), "}")
-    ).otherwise(_usage(raw_in, F.col("cache_read_tokens"), raw_out, F.col("reasoning_tokens")))
-    info = _text('{"last_token_usage":', last, F.when(cumulative, _text(',"total_token_usage":', usage_total)).otherwise(""),
-                 ',"model_context_window":1000000}')
-    limits = _text('"rate_limits":{"primary":{"used_percent":', _num(k), '},"secondary":{"used_percent":', _num(k % 7), "}}")
-    tokens = F.when(
-        k % 2 == 0, _text('{"type":"event_msg",', _stamp(), '"payload":{"type":"token_count","info":', info, ",", limits, "}}")
-    ).otherwise(_text('{"type":"event_msg",', _stamp(), '"payload":{"type":"token_count"},"info":', info, ",", limits, "}"))
-    again = F.when(cumulative & (k % 5 == 1), tokens)
-    broken = F.when(k % 17 == 3, F.lit('{"type":"event_msg","payload":{"type":"token_count",'))
-    return totals.withColumn("lines", F.array(head, context, chat, *calls, image, tokens, again, broken))
 
 
 def _claude_lines(turns: DataFrame) -> DataFrame:
     """Lines of Claude turns; request ids repeat, so some turns merge into their neighbour."""
-    k = F.col("k")
-    request = F.when(k % 6 == 1, "").otherwise(_text('"requestId":"r', _num(k % 4), '",'))
-    model = F.when(k % 19 == 0, F.lit("<synthetic>")).otherwise(F.col("model"))
-    side = F.when(k % 5 == 0, '"isSidechain":true,').when(k % 5 == 1, '"isSidechain":false,').otherwise("")
-    calls = F.array_join(
-        F.filter(F.array(*[
-            F.when(k % 4 > i, F.when(k % 10 == 5, '{"type":"tool_use"}').otherwise(f'{{"type":"tool_use","name":"{TOOL_NAMES[i]}"}}'))
-            for i in range(3)
-        ]), lambda x: x.isNotNull()), ",",
-    )
+    request = """CASE WHEN k % 6 = 1 THEN '' ELSE concat('"requestId":"r', k % 4, '",') END"""
+    side = """CASE WHEN k % 5 = 0 THEN '"isSidechain":true,' WHEN k % 5 = 1 THEN '"isSidechain":false,' ELSE '' END"""
+    blocks = [
+        F.coalesce(_fill('{"type":"tool_use"}', f"k % 4 > {i} AND k % 10 = 5"), _fill(f'{{"type":"tool_use","name":"{name}"}}', f"k % 4 > {i}"))
+        for i, name in enumerate(TOOL_NAMES)
+    ]
+
+    def assistant(output: str, content: str, when: str | None = None) -> Column:
+        return _fill(
+            '{"type":"assistant",<stamp>"sessionId":"<session_id>",<request>"uuid":"u<event_id>","cwd":"<workspace>",<side>'
+            '"version":"2.0","message":{"model":"<logged_model>","stop_reason":"end_turn","usage":{"input_tokens":<input_tokens>,'
+            f'"output_tokens":{output},"cache_read_input_tokens":<cache_read_tokens>,'
+            f'"cache_creation_input_tokens":<cache_creation_tokens>}},"content":[{content}]}}}}', when,
+        )
 
-    def assistant(output: Column, content: Column) -> Column:
-        return _text('{"type":"assistant",', _stamp(), '"sessionId":', _quoted(F.col("session_id")), ",", request,
-                     '"uuid":"u', _num(F.col("event_id")), '","cwd":', _quoted(F.col("workspace")), ",", side,
-                     '"version":"2.0","message":{"model":', _quoted(model), ',"stop_reason":"end_turn","usage":{"input_tokens":',
-                     _num(F.col("input_tokens")), ',"output_tokens":', _num(output), ',"cache_read_input_tokens":',
-                     _num(F.col("cache_read_tokens")), ',"cache_creation_input_tokens":', _num(F.col("cache_creation_tokens")),
-                     '},"content":[', content, "]}}")
-
-    user = _text('{"type":"user","message":{"role":"user","content":"größe ', F.when(k % 29 == 0, F.repeat(F.lit("x"), 5000)).otherwise(""), '"}}')
-    partial = F.when(k % 3 == 0, assistant(F.lit(1), F.lit("")))
-    final = assistant(F.col("output_tokens"), calls)
-    broken = F.when(k % 17 == 3, F.lit('{"type":"assistant","message":{"usage":{'))
-    return turns.withColumn("lines", F.array(user, partial, final, broken))
+    return (
+        turns.withColumn("stamp", F.expr(_STAMP)).withColumn("filler", F.expr(_FILLER))
+        .withColumn("request", F.expr(request)).withColumn("side", F.expr(side))
+        .withColumn("logged_model", F.expr("CASE WHEN k % 19 = 0 THEN '<synthetic>' ELSE model END"))
+        .withColumn("content", F.concat_ws(",", *blocks))
+        .withColumn("lines", F.array(
+            _fill('{"type":"user","message":{"role":"user","content":"größe <filler>"}}'),
+            assistant("1", "", "k % 3 = 0"),
+            assistant("<output_tokens>", "<content>"),
+            _fill('{"type":"assistant","message":{"usage":{', "k % 17 = 3"),
+        ))
+    )
 
 
 def log_lines(spark: SparkSession, sf_dir: str, chunk_bits: int = CHUNK_BITS) -> DataFrame:

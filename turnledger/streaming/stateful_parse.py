@@ -12,12 +12,13 @@ The stream brings ``source, file_path, line_offset, value``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from turnledger.operators import claude, codex, normalize
-from turnledger.operators.logrows import FILE_KEYS
+from turnledger.operators.logrows import FILE_KEYS, json_doc
 from turnledger.operators.ordered import scan
 from turnledger.sources.lines import line_text
 
@@ -30,12 +31,12 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
 
-def _typed(lines: DataFrame, keyword: Callable[[Column], Column], extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    hit = lines.filter(keyword(F.col("value"))).select(
+def _typed(lines: DataFrame, source: ModuleType) -> DataFrame:
+    hit = lines.filter(source.keyword(F.col("value"))).select(
         *FILE_KEYS, F.shiftright("line_offset", CHUNK_BITS).alias("chunk"), F.col("line_offset").alias("pos"),
-        "line_offset", F.try_parse_json(line_text()).alias("doc"),
+        "line_offset", json_doc(line_text(), source.SCHEMA).alias("doc"),
     )
-    return extract(hit).drop("doc").filter(F.col("kind").isNotNull())
+    return source.extract(hit).drop("doc").filter(F.col("kind").isNotNull())
 
 
 def _last(rows: DataFrame, keys: list[str], *names: str) -> DataFrame:
@@ -95,7 +96,7 @@ class BatchParser:
         return rows.join(latest, [key, "batch"], "left_semi").drop("batch")
 
     def _codex(self, lines: DataFrame, batch: int) -> tuple[DataFrame, DataFrame]:
-        typed = self._keep(batch, "codex_typed", _typed(lines, codex.keyword, codex.extract))
+        typed = self._keep(batch, "codex_typed", _typed(lines, codex))
         added = F.when(F.col("kind") == "tool", 1).when(F.col("kind") == "state", F.col("calls_so_far")).otherwise(0)
         rows = self._with_state(batch, "codex_context", typed.withColumn("calls_so_far", _long(0)))
         carried = self._keep(
@@ -140,7 +141,7 @@ class BatchParser:
         return tokens, codex.given_calls(given)
 
     def _claude(self, lines: DataFrame, batch: int) -> DataFrame:
-        typed = _typed(lines, claude.keyword, claude.extract).select(*FILE_KEYS, "chunk", "pos", "line_offset", "turn.*")
+        typed = _typed(lines, claude).select(*FILE_KEYS, "chunk", "pos", "line_offset", "turn.*")
         rows = self._keep(batch, "claude_typed", self._with_state(batch, "claude_open", typed))
         request = F.col("request_id")
         edged = self._keep(batch, "claude_edged", scan(
