@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from turnledger.functions.columns import TOKEN_COLUMNS, base_model, usd
 from turnledger.functions.rates import LONG_CONTEXT_THRESHOLD
 from turnledger.operators.pricing import BILLING_KEY, price_sums
-from turnledger.schemas import DAILY_ROLLUP
+from turnledger.schemas import DAILY_ROLLUP, SESSION_ROLLUP
 
 DAILY_KEY = ["day_local", "source", "variant_id", "workspace"]
 SESSION_KEY = ["source", "session_id"]
@@ -26,13 +26,23 @@ def session_sums(records: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 
 def _daily(priced: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return priced.groupBy(*keys).agg(
-        F.min(F.coalesce(F.nullif("model", F.lit("")), base_model(F.col("variant_id")))).alias("base_model"),
-        *[F.sum(c).alias(c) for c in _MEASURES],
-        F.sum("turns").alias("turns"),
+    """Add priced sums up per ``keys``.
+
+    The model stays a key of the first step, so that it sums numbers only and can hash; the text
+    minimum is left to the second step, which sees no more than the rollup's own rows.
+    """
+    per_model = priced.groupBy(*keys, "model").agg(
+        *[F.sum(c).alias(c) for c in (*_MEASURES, "turns")],
         F.sum("cost_nano").cast("decimal(38,6)").alias("cost_nano"),
         F.sum(F.when(F.col("cost_unknown"), F.col("turns")).otherwise(0)).alias("unknown_cost_turns"),
     )
+    named = F.coalesce(F.nullif("model", F.lit("")), base_model(F.col("variant_id")))
+    return per_model.groupBy(*keys).agg(
+        F.min(named).alias("base_model"),
+        *[F.sum(c).alias(c) for c in (*_MEASURES, "turns")],
+        F.sum("cost_nano").cast("decimal(38,6)").alias("cost_nano"),
+        F.sum("unknown_cost_turns").alias("unknown_cost_turns"),
+    )
 
 
 def daily_from_priced(priced: DataFrame) -> DataFrame:
@@ -59,40 +69,52 @@ def hourly_rollup(records: DataFrame, card: DataFrame, long_keys: DataFrame) ->
     )
 
 
-def _session_parts(records: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def _priced_session_parts(records: DataFrame, card: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Priced sums per billing key, workspace and ``extra``, laid out by session.
+
+    Records are summed by hash before anything else. What is left of a session is one row per model
+    and workspace, so sessions can then be brought together whole.
+    """
     fill = F.when(
         F.col("context_window") > 0,
         F.col("context_used_tokens").cast("double") / F.col("context_window").cast("double"),
     )
-    return records.groupBy(*BILLING_KEY, *extra).agg(
+    parts = records.groupBy(*BILLING_KEY, *extra, "workspace").agg(
         *[F.sum(c).alias(c) for c in _MEASURES],
         F.count("*").alias("turns"),
         F.max("context_used_tokens").alias("max_context"),
-        F.max("workspace").alias("workspace"),
         F.min("ts_utc").alias("first_ts_utc"),
         F.max("ts_utc").alias("last_ts_utc"),
         F.max(fill).alias("peak_context_fill"),
         F.sum(F.when(F.col("is_sidechain"), F.col("total_tokens")).otherwise(0)).alias("sidechain_tokens"),
     )
+    by_session = parts.repartition(*[F.col(c) for c in (*extra, *SESSION_KEY)])
+    return price_sums(by_session, card, keys=[*extra, *BILLING_KEY])
 
 
 def _sessions(priced: DataFrame, keys: Sequence[str]) -> DataFrame:
+    def totals() -> list[Column]:
+        return [
+            F.min("first_ts_utc").alias("first_ts_utc"),
+            F.max("last_ts_utc").alias("last_ts_utc"),
+            F.sum("turns").alias("turns"),
+            *[F.sum(c).alias(c) for c in _MEASURES],
+            F.sum("cost_nano").cast("decimal(38,6)").alias("cost_nano"),
+            F.max("peak_context_fill").alias("peak_context_fill"),
+            F.sum("sidechain_tokens").alias("sidechain_tokens"),
+        ]
+
+    per_model = priced.groupBy(*keys, "model").agg(F.max("workspace").alias("workspace"), *totals())
     named = F.when(F.col("workspace") != "", F.col("model"))
-    return priced.groupBy(*keys).agg(
-        F.coalesce(F.min_by("workspace", named), F.lit("")).alias("workspace"),
-        F.min("first_ts_utc").alias("first_ts_utc"),
-        F.max("last_ts_utc").alias("last_ts_utc"),
-        F.sum("turns").alias("turns"),
-        F.sum("total_tokens").alias("total_tokens"),
-        F.sum("cost_nano").cast("decimal(38,6)").alias("cost_nano"),
-        F.max("peak_context_fill").alias("peak_context_fill"),
-        F.sum("sidechain_tokens").alias("sidechain_tokens"),
+    return per_model.groupBy(*keys).agg(
+        F.coalesce(F.min_by("workspace", named), F.lit("")).alias("workspace"), *totals()
     )
 
 
 def session_rollup(records: DataFrame, card: DataFrame) -> DataFrame:
     """One row per session; its workspace is that of the first model (by name) that has one."""
-    return _sessions(price_sums(_session_parts(records), card), SESSION_KEY)
+    sessions = _sessions(_priced_session_parts(records, card), SESSION_KEY)
+    return sessions.select(*SESSION_ROLLUP.fieldNames())
 
 
 def file_daily(records: DataFrame, card: DataFrame) -> DataFrame:
@@ -104,11 +126,8 @@ def file_daily(records: DataFrame, card: DataFrame) -> DataFrame:
 
 def file_sessions(records: DataFrame, card: DataFrame) -> DataFrame:
     """What each file adds to the session rollup, token buckets included."""
-    parts = _session_parts(records, ["file_id"])
-    priced = price_sums(parts, card, keys=["file_id", *BILLING_KEY])
-    keys = ["file_id", *SESSION_KEY]
-    buckets = priced.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TOKEN_COLUMNS])
-    return _sessions(priced, keys).join(buckets, keys)
+    priced = _priced_session_parts(records, card, ["file_id"])
+    return _sessions(priced, ["file_id", *SESSION_KEY])
 
 
 def file_counts(records: DataFrame, tools: DataFrame) -> DataFrame:

@@ -51,17 +51,17 @@ def _tables(spark: SparkSession, sf: str) -> views.UsageTables:
     return views.UsageTables(samples.records(spark, sf), samples.tools(spark, sf), rates.default_card(spark))
 
 
-def _logs(spark: SparkSession, sf: str) -> DataFrame:
+def _logs(spark: SparkSession, sf: str, source: str | None = None) -> DataFrame:
     """Rendered log lines, written once as files of logs would be."""
-    return staged(samples.unsized_log_lines(spark, sf), "lines")
+    return staged(samples.unsized_log_lines(spark, sf, source=source), "lines")
 
 
 def _codex_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return codex.rows(_logs(spark, sf))
+    return codex.rows(_logs(spark, sf, "codex"))
 
 
 def _claude_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return claude.turns(claude.assistant_rows(claude.rows(_logs(spark, sf))))
+    return claude.turns(claude.assistant_rows(claude.rows(_logs(spark, sf, "claude"))))
 
 
 def _both_turns(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -211,7 +211,7 @@ def p07_codex_tools(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p08_assistant_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = claude.assistant_rows(claude.rows(_logs(spark, sf)))
+    rows = claude.assistant_rows(claude.rows(_logs(spark, sf, "claude")))
     return rows.select(
         "session_id", "line_offset", "request_id", "model", "workspace", "raw_input", "raw_output",
         "raw_cache_read", "raw_cache_creation",

@@ -35,56 +35,39 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-def turns_of(raw: DataFrame) -> DataFrame:
-    c = F.col
-    keyed = raw.select(
-        "event_id", "user_id", "event_type", "ts",
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        F.round(c("value") * 100).cast("bigint").alias("v"),
-    )
-    codex = c("user_id") % 2 == 0
-    model = F.create_map(*[F.lit(x) for pair in MODEL_OF_EVENT.items() for x in pair])[c("event_type")]
-    effort = (
-        F.when(~codex, F.lit("n/a"))
-        .when(c("k") % 4 == 0, "low")
-        .when(c("k") % 4 == 1, "medium")
-        .when(c("k") % 4 == 2, "high")
-        .otherwise("n/a")
-    )
+_KEYED = (
+    "event_id", "user_id", "event_type", "ts",
+    "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
+    "CAST(round(value * 100) AS BIGINT) AS v",
+)
+_TURN = (
+    "*",
+    "concat('ev:', event_id) AS dedup_key",
+    "if(user_id % 2 = 0, 'codex', 'claude') AS source",
+    "concat('s', user_id, '-', event_id % 7) AS session_id",
     # The zone-less event time is read as UTC, whatever the session time zone is.
-    micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), c("ts"))
-    return keyed.select(
-        "*",
-        F.concat(F.lit("ev:"), c("event_id").cast("string")).alias("dedup_key"),
-        F.when(codex, "codex").otherwise("claude").alias("source"),
-        F.concat(F.lit("s"), c("user_id").cast("string"), F.lit("-"), (c("event_id") % 7).cast("string"))
-        .alias("session_id"),
-        F.floor(micros / 1000).cast("bigint").alias("ts_utc"),
-        F.date_format("ts", "yyyy-MM-dd").alias("day_local"),
-        (F.dayofweek("ts") - 1).cast("bigint").alias("dow_local"),
-        F.hour("ts").cast("bigint").alias("hour_local"),
-        model.alias("model"),
-        effort.alias("effort"),
-        F.concat(F.lit("/ws/"), (c("k") % 3).cast("string")).alias("workspace"),
-        (c("v") + 1).alias("input_tokens"),
-        (c("k") * 11).alias("output_tokens"),
-        (c("k") * 7).alias("cache_read_tokens"),
-        F.when(codex, F.lit(0)).otherwise(c("k")).cast("bigint").alias("cache_creation_tokens"),
-        F.when(codex, c("k") * 3).otherwise(F.lit(0)).cast("bigint").alias("reasoning_tokens"),
-        F.lit(1_000_000).cast("bigint").alias("context_window"),
-        (c("v") * 20).alias("context_used_tokens"),
-        (c("k") % 5 == 0).alias("is_sidechain"),
-    )
+    "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000 AS ts_utc",
+    "CAST(CAST(ts AS DATE) AS STRING) AS day_local",
+    "CAST(dayofweek(ts) - 1 AS BIGINT) AS dow_local",
+    "CAST(hour(ts) AS BIGINT) AS hour_local",
+    "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{m}'" for e, m in MODEL_OF_EVENT.items()) + " END AS model",
+    "CASE WHEN user_id % 2 = 1 THEN 'n/a' WHEN k % 4 = 0 THEN 'low' WHEN k % 4 = 1 THEN 'medium' WHEN k % 4 = 2 THEN 'high' ELSE 'n/a' END AS effort",
+    "concat('/ws/', k % 3) AS workspace",
+    "v + 1 AS input_tokens",
+    "k * 11 AS output_tokens",
+    "k * 7 AS cache_read_tokens",
+    "if(user_id % 2 = 1, k, 0) AS cache_creation_tokens",
+    "if(user_id % 2 = 0, k * 3, 0) AS reasoning_tokens",
+    "CAST(1000000 AS BIGINT) AS context_window",
+    "v * 20 AS context_used_tokens",
+    "k % 5 = 0 AS is_sidechain",
+    "if(user_id % 2 = 0, concat('/logs/codex/', replace(CAST(date_add(DATE'2024-01-01', CAST(user_id % 28 AS INT)) AS STRING), '-', '/'), '/s',"
+    " user_id, '-', event_id % 7, '.jsonl'), concat('/logs/claude/u', user_id, '/s', user_id, '-', event_id % 7, '.jsonl')) AS file_path",
+)
 
 
-def file_path() -> Column:
-    """Path of the rendered file of a session; Codex paths hold a folder day."""
-    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("user_id") % 28).cast("int")), "yyyy/MM/dd")
-    return F.when(
-        F.col("source") == "codex", F.concat(F.lit("/logs/codex/"), day, F.lit("/"), F.col("session_id"), F.lit(".jsonl"))
-    ).otherwise(
-        F.concat(F.lit("/logs/claude/u"), F.col("user_id").cast("string"), F.lit("/"), F.col("session_id"), F.lit(".jsonl"))
-    )
+def turns_of(raw: DataFrame) -> DataFrame:
+    return raw.selectExpr(*_KEYED).selectExpr(*_TURN)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +77,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_records(turns: DataFrame) -> DataFrame:
     return (
-        turns.withColumn("file_id", file_path())
+        turns.withColumnRenamed("file_path", "file_id")
         .withColumn("total_tokens", total_tokens())
         .withColumn("variant_id", variant_id(F.col("model"), F.col("effort")))
         .withColumn("stop_reason", F.lit(None).cast("string"))
@@ -107,7 +90,7 @@ def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.element_at(F.array(*[F.lit(n) for n in TOOL_NAMES]), (F.col("_i") % 3 + 1).cast("int"))
     return (
         events(spark, sf_dir)
-        .withColumn("file_id", file_path())
+        .withColumnRenamed("file_path", "file_id")
         .filter(F.col("k") % 4 > 0)
         .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") % 4 - 1)))
         .select(
@@ -217,17 +200,16 @@ def _claude_lines(turns: DataFrame) -> DataFrame:
     )
 
 
-def log_lines(spark: SparkSession, sf_dir: str, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+def log_lines(spark: SparkSession, sf_dir: str, chunk_bits: int = CHUNK_BITS, source: str | None = None) -> DataFrame:
     """A lines frame rendered from all events, in event order within each session's file.
 
     Files of every third user lack the final newline, as a file still being written does.
     """
-    turns = events(spark, sf_dir).withColumn("chunk", F.shiftright("event_id", chunk_bits)).withColumn("file_path", file_path())
+    turns = events(spark, sf_dir).withColumn("chunk", F.shiftright("event_id", chunk_bits))
     keep = ["source", "file_path", "user_id", "event_id", "chunk", "lines"]
-    rendered = (
-        _codex_lines(turns.filter(F.col("source") == "codex")).select(*keep)
-        .unionByName(_claude_lines(turns.filter(F.col("source") == "claude")).select(*keep))
-    )
+    render = {"codex": _codex_lines, "claude": _claude_lines}
+    parts = [render[s](turns.filter(F.col("source") == s)).select(*keep) for s in ([source] if source else render)]
+    rendered = parts[0] if source else parts[0].unionByName(parts[1])
     exploded = rendered.select(
         "source", "file_path", "user_id", "event_id", "chunk", F.posexplode("lines").alias("_i", "value")
     ).filter(F.col("value").isNotNull())
@@ -248,6 +230,6 @@ def sized_log_lines(spark: SparkSession, sf_dir: str, chunk_bits: int = CHUNK_BI
     return lines.join(sizes, ["source", "file_path"])
 
 
-def unsized_log_lines(spark: SparkSession, sf_dir: str, chunk_bits: int = CHUNK_BITS) -> DataFrame:
+def unsized_log_lines(spark: SparkSession, sf_dir: str, chunk_bits: int = CHUNK_BITS, source: str | None = None) -> DataFrame:
     """Rendered lines of files taken as complete."""
-    return log_lines(spark, sf_dir, chunk_bits).withColumn("file_size", F.lit(None).cast("bigint"))
+    return log_lines(spark, sf_dir, chunk_bits, source).withColumn("file_size", F.lit(None).cast("bigint"))
