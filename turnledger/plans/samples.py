@@ -205,7 +205,12 @@ def log_lines(spark: SparkSession, sf_dir: str, chunk_bits: int = CHUNK_BITS, so
 
     Files of every third user lack the final newline, as a file still being written does.
     """
-    turns = events(spark, sf_dir).withColumn("chunk", F.shiftright("event_id", chunk_bits))
+    # Laid out as the running totals need it, and spread before the lines grow long.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    turns = (
+        events(spark, sf_dir).withColumn("chunk", F.shiftright("event_id", chunk_bits))
+        .repartition(width, "session_id", "chunk")
+    )
     keep = ["source", "file_path", "user_id", "event_id", "chunk", "lines"]
     render = {"codex": _codex_lines, "claude": _claude_lines}
     parts = [render[s](turns.filter(F.col("source") == s)).select(*keep) for s in ([source] if source else render)]
