@@ -16,6 +16,9 @@ def spark():
         "tests", "local[8]",
         **{
             "spark.sql.shuffle.partitions": "4",
+            # The tests' tables hold a few rows each: compiling their plans costs more than running them.
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "6g",

@@ -53,19 +53,19 @@ def classify(inventory: DataFrame, state: DataFrame, backfill_months: int = 0, n
     )
 
 
-def line_check() -> Column:
-    """Order-free fingerprint of lines at their offsets; ``bit_xor`` cannot overflow."""
-    return F.bit_xor(F.xxhash64("line_offset", "value"))
-
-
 def prefix_checks(lines: DataFrame, upto: DataFrame) -> DataFrame:
-    """Per file: fingerprint of the lines that end at or before ``last_offset``."""
+    """Per file: fingerprint of the lines that end at or before ``last_offset``.
+
+    Lines are hashed before they are shuffled, so their text stays where it was read. ``bit_xor``
+    does not depend on order and cannot overflow.
+    """
+    hashed = lines.withColumn("_line", F.xxhash64("value"))
     return (
-        with_offsets(lines)
+        with_offsets(hashed)
         .join(upto.select("source", "file_path", "last_offset"), ["source", "file_path"])
-        .filter(F.col("line_offset") + F.octet_length("value") <= F.col("last_offset"))
+        .filter(F.col("line_offset") + F.col("n_bytes") - 1 <= F.col("last_offset"))
         .groupBy("source", "file_path")
-        .agg(line_check().alias("prefix_check"))
+        .agg(F.bit_xor(F.xxhash64("line_offset", "_line")).alias("prefix_check"))
     )
 
 

@@ -65,7 +65,10 @@ def is_oversized(max_line_bytes: int) -> Column:
 
 
 def with_offsets(lines: DataFrame) -> DataFrame:
-    """Add ``line_offset``, the byte at which each line starts, and ``n_bytes``."""
+    """Add ``line_offset``, the byte at which each line starts, and ``n_bytes``.
+
+    Columns that are not used afterwards, the text among them, are pruned before the shuffle.
+    """
     from turnledger.operators.ordered import scan
 
     sized = lines.withColumn("n_bytes", line_bytes())
@@ -78,11 +81,12 @@ def with_offsets(lines: DataFrame) -> DataFrame:
 
 def emitted_lines(lines: DataFrame, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES) -> DataFrame:
     """Lines that reach a parser: offset kept, oversized and empty lines left out."""
+    judged = lines.withColumn("line", line_text()).withColumn(
+        "_emitted", ~is_oversized(max_line_bytes) & (F.length("line") > 0)
+    )
     return (
-        with_offsets(lines)
-        .filter(~is_oversized(max_line_bytes))
-        .withColumn("line", line_text())
-        .filter(F.length("line") > 0)
+        with_offsets(judged)
+        .filter("_emitted")
         .select("source", "file_path", "chunk", "pos", "line_offset", "n_bytes", "line")
     )
 
