@@ -15,6 +15,7 @@ from turnledger.operators.rollups import (
     session_rollup,
     session_sums,
 )
+from turnledger.session import staged
 from turnledger.sources.inventory import DAY_MS, DAYS_PER_MONTH
 from turnledger.sources.lines import with_offsets
 
@@ -56,28 +57,31 @@ def classify(inventory: DataFrame, state: DataFrame, backfill_months: int = 0, n
 def prefix_checks(lines: DataFrame, upto: DataFrame) -> DataFrame:
     """Per file: fingerprint of the lines that end at or before ``last_offset``.
 
-    Lines are hashed before they are shuffled, so their text stays where it was read. ``bit_xor``
-    does not depend on order and cannot overflow.
+    Lines are hashed before they are shuffled, so their text stays where it was read; the limit is
+    brought to them by chunk, so a large file is not one join key. ``bit_xor`` does not depend on
+    order and cannot overflow.
     """
-    hashed = lines.withColumn("_line", F.xxhash64("value"))
+    keys = ["source", "file_path"]
+    hashed = lines.select(*keys, "chunk", "pos", F.xxhash64("value").alias("_line"), "value")
+    limits = lines.select(*keys, "chunk").distinct().join(upto.select(*keys, "last_offset"), keys)
     return (
-        with_offsets(hashed)
-        .join(upto.select("source", "file_path", "last_offset"), ["source", "file_path"])
+        with_offsets(hashed).drop("value")
+        .join(limits, [*keys, "chunk"])
         .filter(F.col("line_offset") + F.col("n_bytes") - 1 <= F.col("last_offset"))
-        .groupBy("source", "file_path")
+        .groupBy(*keys)
         .agg(F.bit_xor(F.xxhash64("line_offset", "_line")).alias("prefix_check"))
-    )
+    )
 
 
 def rewritten_files(lines: DataFrame, state: DataFrame) -> DataFrame:
-    """Files whose stored prefix no longer reads the same."""
-    stored = state.select("source", "file_path", F.col("prefix_check").alias("_stored"))
-    now = prefix_checks(lines, state)
+    """Files of ``state`` whose stored prefix no longer reads the same."""
+    keys = ["source", "file_path"]
+    stored = state.select(*keys, F.col("prefix_check").alias("_stored"))
     return (
-        stored.join(lines.select("source", "file_path").distinct(), ["source", "file_path"], "left_semi")
-        .join(now, ["source", "file_path"], "left")
+        stored.join(lines.select(*keys).distinct(), keys, "left_semi")
+        .join(prefix_checks(lines, state), keys, "left")
         .filter(~F.col("_stored").eqNullSafe(F.col("prefix_check")))
-        .select("source", "file_path")
+        .select(*keys)
     )
 
 
@@ -141,15 +145,14 @@ def delete_files(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def leaving_rows(old: DataFrame, files: DataFrame, new: DataFrame) -> DataFrame:
-    """Old records of the given files, and old records whose key is written again.
-
-    Two semi-joins instead of one with OR, so that each is an equi-join.
+    """Billing keys and days of the old records that leave: those of the given files, and those
+    whose key is written again. Two semi-joins instead of one with OR, so that each is an
+    equi-join; the one by file runs on distinct rows, so a large file is few of them.
     """
-    names = ["dedup_key", "file_id", "source", "session_id", "model", "day_local"]
-    rows = old.select(*names)
-    by_file = rows.join(files.select("file_id"), "file_id", "left_semi")
-    by_key = rows.join(new.select("dedup_key"), "dedup_key", "left_semi")
-    return by_file.select(*names).unionByName(by_key.select(*names))
+    names = [*BILLING_KEY, "day_local"]
+    by_file = old.select("file_id", *names).distinct().join(files.select("file_id"), "file_id", "left_semi")
+    by_key = old.select("dedup_key", *names).join(new.select("dedup_key"), "dedup_key", "left_semi")
+    return by_file.select(*names).unionByName(by_key.select(*names)).distinct()
 
 
 def replace_files(old: DataFrame, files: DataFrame, new: DataFrame) -> DataFrame:
@@ -172,10 +175,13 @@ def refresh_daily(daily: DataFrame, records: DataFrame, touched: DataFrame, gone
     so the days come from all records of the touched sessions. ``gone_days`` are days of rows that
     were removed.
     """
-    days = (
-        records.join(touched, BILLING_KEY, "left_semi").select("day_local")
-        .unionByName(gone_days.select("day_local")).distinct()
+    per_session = records.select(*BILLING_KEY, "day_local").distinct()
+    days = staged(
+        per_session.join(touched, BILLING_KEY, "left_semi").select("day_local")
+        .unionByName(gone_days.select("day_local")).distinct(),
+        "days",
     )
+    # One row per calendar day: known to be small, so it prunes the partitions of the records.
     affected = records.join(days, "day_local", "left_semi")
     sums = session_sums(affected, ["day_local", "variant_id", "workspace"])
     priced = price_sums(sums, card, long_keys=long_context_keys(records))
@@ -186,7 +192,7 @@ def refresh_daily(daily: DataFrame, records: DataFrame, touched: DataFrame, gone
 def refresh_sessions(sessions: DataFrame, records: DataFrame, touched: DataFrame, card: DataFrame) -> DataFrame:
     """Session rollup after a change: touched sessions are computed afresh, others stay."""
     keys = touched.select(*SESSION_KEY).distinct()
-    fresh = session_rollup(records.join(keys, SESSION_KEY, "left_semi"), card)
+    fresh = session_rollup(records, card, only=keys)
     return sessions.join(keys, SESSION_KEY, "left_anti").unionByName(fresh.select(*sessions.columns))
 
 

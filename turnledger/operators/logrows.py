@@ -131,7 +131,10 @@ def incomplete_files(rows: DataFrame) -> DataFrame:
 
 
 def without_incomplete(rows: DataFrame) -> DataFrame:
-    return rows.join(incomplete_files(rows), FILE_KEYS, "left_anti")
+    """Rows of complete files. The join runs by chunk, so a large file is not one join key."""
+    chunks = rows.filter("closes_chunk").select(*FILE_KEYS, "chunk")
+    dropped = chunks.join(incomplete_files(rows), FILE_KEYS)
+    return rows.join(dropped, [*FILE_KEYS, "chunk"], "left_anti")
 
 
 def file_scope(file_path: Column) -> Column:

@@ -69,7 +69,9 @@ def hourly_rollup(records: DataFrame, card: DataFrame, long_keys: DataFrame) ->
     )
 
 
-def _priced_session_parts(records: DataFrame, card: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def _priced_session_parts(
+    records: DataFrame, card: DataFrame, extra: Sequence[str] = (), only: DataFrame | None = None
+) -> DataFrame:
     """Priced sums per billing key, workspace and ``extra``, laid out by session.
 
     Records are summed by hash before anything else. What is left of a session is one row per model
@@ -88,6 +90,8 @@ def _priced_session_parts(records: DataFrame, card: DataFrame, extra: Sequence[s
         F.max(fill).alias("peak_context_fill"),
         F.sum(F.when(F.col("is_sidechain"), F.col("total_tokens")).otherwise(0)).alias("sidechain_tokens"),
     )
+    if only is not None:
+        parts = parts.join(only, SESSION_KEY, "left_semi")
     by_session = parts.repartition(*[F.col(c) for c in (*extra, *SESSION_KEY)])
     return price_sums(by_session, card, keys=[*extra, *BILLING_KEY])
 
@@ -111,9 +115,12 @@ def _sessions(priced: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def session_rollup(records: DataFrame, card: DataFrame) -> DataFrame:
-    """One row per session; its workspace is that of the first model (by name) that has one."""
-    sessions = _sessions(_priced_session_parts(records, card), SESSION_KEY)
+def session_rollup(records: DataFrame, card: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """One row per session; its workspace is that of the first model (by name) that has one.
+
+    ``only`` restricts it to some sessions, after their records are added up.
+    """
+    sessions = _sessions(_priced_session_parts(records, card, only=only), SESSION_KEY)
     return sessions.select(*SESSION_ROLLUP.fieldNames())
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,7 +10,7 @@ from turnledger.functions.columns import base_model, effort_of, local_day, local
 from turnledger.operators import claude, codex, filters, incremental, logrows, normalize, pricing, rollups
 from turnledger.operators.filters import UsageQuery
 from turnledger.plans import diagnostics, extras, periods, samples, views
-from turnledger.session import shared_folder, staged
+from turnledger.session import staged, work_folder
 from turnledger.sources import inventory, lines as line_source, rates, store
 from turnledger.streaming import rollups as stream_rollups, stateful_parse
 
@@ -103,7 +102,7 @@ def s04_oversized_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def s05_incomplete_files(spark: SparkSession, sf: str) -> DataFrame:
-    logs = staged(samples.sized_log_lines(spark, sf), "sized-lines")
+    logs = samples.sized_log_lines(spark, sf)
     return logrows.incomplete_files(codex.rows(logs)).unionByName(logrows.incomplete_files(claude.rows(logs)))
 
 
@@ -323,7 +322,7 @@ def _overrides(spark: SparkSession, sf: str) -> DataFrame:
     """Rate overrides for every model seen, plus a fallback override."""
     seen = samples.records(spark, sf).select("model").distinct()
     flat = [F.lit(rates.nano(r)).cast(rates.RATE_TYPE).alias(c) for c, r in zip(rates.RATE_COLUMNS, (0.01, 0.002, 0.003, 0.04), strict=True)]
-    fallback = samples.records(spark, sf).select(F.lit(rates.FALLBACK_KEY).alias("model")).limit(1)
+    fallback = spark.range(1).select(F.lit(rates.FALLBACK_KEY).alias("model"))
     return seen.unionByName(fallback).select("model", *flat)
 
 
@@ -815,9 +814,12 @@ def i02_rewritten_files(spark: SparkSession, sf: str) -> DataFrame:
     first = F.min("pos").alias("_first")
     heads = logs.groupBy("source", "file_path").agg(first)
     changed = F.endswith("file_path", F.lit("-3.jsonl")) & (F.col("pos") == F.col("_first"))
-    again = logs.join(heads, ["source", "file_path"]).withColumn(
-        "value", F.when(changed, F.reverse("value")).otherwise(F.col("value"))
-    ).drop("_first")
+    # The first line's place is brought to the lines by chunk, like everything joined to lines.
+    by_chunk = heads.join(logs.select("source", "file_path", "chunk").distinct(), ["source", "file_path"])
+    again = logs.join(by_chunk, ["source", "file_path", "chunk"]).select(
+        "source", "file_path", "user_id", "chunk", "pos",
+        F.when(changed, F.reverse("value")).otherwise(F.col("value")).alias("value"), "file_size",
+    )
     grown = again.unionByName(
         heads.select("source", "file_path", F.lit(0).cast("bigint").alias("user_id"), F.lit(1 << 40).alias("chunk"),
                      F.lit(0).cast("bigint").alias("pos"), F.lit("{}").alias("value"), F.lit(None).cast("bigint").alias("file_size"))
@@ -890,7 +892,7 @@ def i08_missing_sources(spark: SparkSession, sf: str) -> DataFrame:
 def _in_pieces(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The rendered logs in three batches, cut through the middle of sessions, turns and requests."""
     placed = staged(line_source.with_offsets(_logs(spark, sf)), "placed")
-    folder = f"{shared_folder(spark)}/stateful-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "stateful")
     parser = stateful_parse.BatchParser(spark, folder)
     piece = F.least(F.lit(2), F.shiftright("line_offset", 12))
     for batch in range(3):
@@ -914,7 +916,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def t02_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every record arrives twice in the stream; one copy leaves it."""
-    folder = f"{shared_folder(spark)}/dedup-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "dedup")
     twice = _stream(spark, sf).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
     stream_rollups.into_folder(stream_rollups.deduplicated(twice), f"{folder}/out", f"{folder}/state", "append").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("dedup_key", "total_tokens")
@@ -922,7 +924,7 @@ def t02_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def t03_stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/hourly-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "hourly")
     stream_rollups.into_folder(stream_rollups.tumbling(_stream(spark, sf)), f"{folder}/out", f"{folder}/state").awaitTermination()
     return stream_rollups.latest_windows(spark.read.parquet(f"{folder}/out"))
 
@@ -930,10 +932,10 @@ def t03_stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def t04_stream_into_rollups(spark: SparkSession, sf: str) -> DataFrame:
     """The stream of records put into a store batch by batch; the result is its daily rollup."""
-    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "store")
     usage, card = store.UsageStore(spark, f"{folder}/tables"), rates.default_card(spark)
     handle = stream_rollups.into_store(usage, card)
-    no_calls = samples.tools(spark, sf).limit(0)
+    no_calls = samples.tools(spark, sf).filter(F.lit(False))
 
     def put(rows: DataFrame, batch: int) -> None:
         kept = staged(rows, "batch")

@@ -73,10 +73,9 @@ def refresh(store: UsageStore, options: RefreshOptions, card: DataFrame, now_ms:
     parsed = normalize.parse_lines(logs, options.max_line_bytes)
     records, tools = staged(parsed.records, "records"), staged(parsed.tool_events, "tools")
     appended = actions.filter(F.col("action") == APPEND).select("source", "file_path")
-    rewritten = staged(
-        incremental.rewritten_files(logs.join(appended, FILE_KEYS, "left_semi"), state.join(appended, FILE_KEYS, "left_semi")),
-        "rewritten",
-    )
+    rewritten = appended.limit(0) if appended.isEmpty() else staged(
+        incremental.rewritten_files(logs, state.join(appended, FILE_KEYS, "left_semi")), "rewritten"
+    )
     decided = staged(
         actions.join(rewritten.withColumn("_rewritten", F.lit(True)), FILE_KEYS, "left")
         .join(parsed.incomplete.withColumn("_incomplete", F.lit(True)), FILE_KEYS, "left")

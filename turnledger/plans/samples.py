@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from turnledger.functions.columns import total_tokens, variant_id
 from turnledger.operators.ordered import scan
 from turnledger.schemas import TOOL_EVENT, USAGE_RECORD
+from turnledger.session import staged
 
 # Events per chunk of a rendered file, as a power of two.
 CHUNK_BITS = 18
@@ -226,13 +227,19 @@ def log_lines(spark: SparkSession, sf_dir: str, chunk_bits: int = CHUNK_BITS, so
 
 
 def sized_log_lines(spark: SparkSession, sf_dir: str, chunk_bits: int = CHUNK_BITS) -> DataFrame:
-    """Rendered lines with the file size a directory listing would give."""
-    lines = log_lines(spark, sf_dir, chunk_bits)
+    """Rendered lines with the file size a directory listing would give.
+
+    The size is found from one row per chunk and joined by chunk, so a large file is not one key.
+    """
+    lines = staged(log_lines(spark, sf_dir, chunk_bits), "lines")
     open_file = F.when(F.col("user_id") % 3 == 0, 1).otherwise(0)
-    sizes = lines.groupBy("source", "file_path").agg(
-        (F.sum(F.octet_length("value").cast("bigint") + 1) - F.max(open_file)).alias("file_size")
+    keys = ["source", "file_path"]
+    chunks = lines.groupBy(*keys, "chunk").agg(
+        F.sum(F.octet_length("value").cast("bigint") + 1).alias("_n"), F.max(open_file).alias("_open")
     )
-    return lines.join(sizes, ["source", "file_path"])
+    whole = Window.partitionBy(*keys)
+    sizes = chunks.select(*keys, "chunk", (F.sum("_n").over(whole) - F.max("_open").over(whole)).alias("file_size"))
+    return lines.join(sizes, [*keys, "chunk"])
 
 
 def unsized_log_lines(spark: SparkSession, sf_dir: str, chunk_bits: int = CHUNK_BITS, source: str | None = None) -> DataFrame:

@@ -42,20 +42,26 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name in the shared folder; all of an application's lie under its own name."""
+    root = shared_folder(spark)
+    if not root:
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+    return f"{root.rstrip('/')}/turnledger-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Several readers of an expensive frame (a scan of raw logs) then read a small columnar table
-    instead of repeating the work, and a lost executor costs one re-read. All tables of an
-    application lie in one folder named after it, to be dropped when it ends. A cluster that names
-    no shared folder gets a persisted frame, which keeps its lineage.
+    instead of repeating the work, and a lost executor costs one re-read. The folder of an
+    application can be dropped when it ends. A cluster that names no shared folder gets a
+    persisted frame, which keeps its lineage.
     """
     spark = df.sparkSession
-    root = shared_folder(spark)
-    if not root:
+    if not shared_folder(spark):
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    app = spark.sparkContext.applicationId
-    path = f"{root.rstrip('/')}/turnledger-{app}/{label}-{uuid.uuid4().hex}"
+    path = work_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
