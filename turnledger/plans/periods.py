@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from turnledger.functions.columns import percent, percent_change, ratio, usd
+from turnledger.functions.columns import local_day, percent, percent_change, ratio, usd
 
 PERIODS = ("today", "day", "week", "month", "year")
 # Visible buckets per period.
@@ -352,8 +352,6 @@ def main_model(daily: DataFrame, as_of: Column) -> DataFrame:
 
 def live_status(records: DataFrame, as_of: Column) -> DataFrame:
     """Live where the newest record is of the day, stale where it is older, paused without any."""
-    from turnledger.functions.columns import local_day
-
     newest = records.agg(F.max("ts_utc").alias("latest_record_utc"))
     return newest.select(
         "latest_record_utc",

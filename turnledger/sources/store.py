@@ -101,10 +101,12 @@ class UsageStore:
         return days
 
     def _write(self, name: str, content: DataFrame, mode: str) -> None:
+        by_day = name in BY_DAY
+        if by_day:
+            # A few files per day: small days are put together, a day that is too large is split.
+            content = content.hint("rebalance", "day_local")
         writer = content.write.mode("overwrite").option("partitionOverwriteMode", mode)
-        if name in BY_DAY:
-            writer = writer.partitionBy("day_local")
-        writer.parquet(self.path(name))
+        (writer.partitionBy("day_local") if by_day else writer).parquet(self.path(name))
 
     def _files(self, path: str):
         jvm = self.spark.sparkContext._jvm
