@@ -49,4 +49,4 @@ def dedup_substrings(docs: DataFrame, length: int = 200, trigger: int = 48) -> D
     """
     spans = repeated(docs, Windows(length, trigger, words=False, earlier_only=False))
     keyed = with_key(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"))
-    return keyed.join(spans, ["_id", "_hash"], "left").select("doc_id", "text", "spans").mapInPandas(_strip, RESULT)
+    return keyed.join(spans, ["_doc_key", "_text_key"], "left").select("doc_id", "text", "spans").mapInPandas(_strip, RESULT)

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnledger.llm import prefix_free_parsing, suffix_trees
+from turnledger.llm import prefix_free_parsing, simhash, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
+
+
 def op4_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free_parsing.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -23,7 +28,7 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_prefix_free_parsing, op10_suffix_trees)
+    f.__name__: f for f in (op2_simhash_vantage_trees, op4_prefix_free_parsing, op10_suffix_trees)
 }
 
 #: DuckDB SQL of the queries that SQL can express.

@@ -27,7 +27,7 @@ from turnledger.llm import anchors
 from turnledger.llm.text import text_bytes, with_key, word_codes
 from turnledger.session import staged
 
-SPAN_SCHEMA = "_id long, _hash long, first int, count int, anchor long, content long, inner boolean"
+SPAN_SCHEMA = "_doc_key long, _text_key long, first int, count int, anchor long, content long, inner boolean"
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,7 @@ def _span_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     pa.array(found.count.astype(np.int32)), pa.array(found.anchor.view(np.int64)),
                     pa.array(found.content.view(np.int64)), pa.array(found.inner),
                 ],
-                names=["_id", "_hash", "first", "count", "anchor", "content", "inner"],
+                names=["_doc_key", "_text_key", "first", "count", "anchor", "content", "inner"],
             )
 
     return rows
@@ -213,18 +213,18 @@ def _lengthened(spec: Windows) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
 
 
 def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
-    """(_id, _hash, spans): places [start, stop) of symbols that repeated windows cover, per document key.
+    """(_doc_key, _text_key, spans): places [start, stop) of symbols that repeated windows cover, per document key.
 
     Documents without any are absent. Spans may overlap and are in no order. Rows with a null id
     take part for byte windows; for ``earlier_only`` they neither lose nor take anything.
     """
     keyed = with_key(docs.select("doc_id", "text"))
-    texts = keyed.select("_id", "_hash", "text")
+    texts = keyed.select("_doc_key", "_text_key", "text")
     known = keyed.filter("doc_id IS NOT NULL") if spec.earlier_only else keyed
-    cut = known.select("_id", "_hash", "text").mapInArrow(_span_rows(spec), SPAN_SCHEMA)
+    cut = known.select("_doc_key", "_text_key", "text").mapInArrow(_span_rows(spec), SPAN_SCHEMA)
     table = staged(cut, "spans")
     seen = table.groupBy("anchor").agg(
-        F.count("*").alias("runs"), F.min("_id").alias("low"), F.max("_id").alias("high"),
+        F.count("*").alias("runs"), F.min("_doc_key").alias("low"), F.max("_doc_key").alias("high"),
         F.min("content").alias("c0"), F.max("content").alias("c1"), F.max("inner").alias("twice"),
     )
     if spec.earlier_only:
@@ -233,20 +233,20 @@ def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
         seen = seen.filter("runs > 1 OR twice").withColumn("alike", F.expr("c0 = c1 AND NOT twice"))
     seen = seen.select("anchor", "low", "alike", (F.col("runs") > spec.group_rows).alias("large"))
     shared = staged(table.drop("inner").join(seen, "anchor"), "shared")
-    loses = F.col("low") < F.col("_id") if spec.earlier_only else F.lit(True)
+    loses = F.col("low") < F.col("_doc_key") if spec.earlier_only else F.lit(True)
     plain = shared.filter(F.col("alike") & loses).select(
-        "_id", "_hash", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + spec.window).alias("stop")
+        "_doc_key", "_text_key", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + spec.window).alias("stop")
     )
     unlike = shared.filter(~F.col("alike"))
     chosen = unlike.groupBy("anchor", "content").agg(
-        F.count("*").alias("copies"), F.min("_id").alias("owner"), F.first("large").alias("large"),
-        F.min(F.struct("_id", "_hash", "first", "count")).alias("at"),
+        F.count("*").alias("copies"), F.min("_doc_key").alias("owner"), F.first("large").alias("large"),
+        F.min(F.struct("_doc_key", "_text_key", "first", "count")).alias("at"),
     )
-    wanted = chosen.groupBy("at._id", "at._hash").agg(
+    wanted = chosen.groupBy("at._doc_key", "at._text_key").agg(
         F.collect_list(F.struct("anchor", "content", "copies", "owner", "large", "at.first", "at.count")).alias("spans")
     )
     # Rows that repeat an id and a text are alike: the representative is taken from each, and counted once.
-    fetched = texts.join(wanted, ["_id", "_hash"]).select("text", "spans").mapInPandas(
+    fetched = texts.join(wanted, ["_doc_key", "_text_key"]).select("text", "spans").mapInPandas(
         _contents(spec), "anchor long, content long, copies long, owner long, large boolean, symbols binary"
     )
     return _joined_back(plain, unlike, fetched, spec)
@@ -265,12 +265,12 @@ def _joined_back(plain: DataFrame, unlike: DataFrame, fetched: DataFrame, spec:
     found = by_sort.unionByName(by_hash)
     if not spec.earlier_only:
         found = found.filter("value > 1")
-    hit = unlike.select("anchor", "content", "_id", "_hash", "first").join(found, ["anchor", "content"])
+    hit = unlike.select("anchor", "content", "_doc_key", "_text_key", "first").join(found, ["anchor", "content"])
     if spec.earlier_only:
-        hit = hit.filter("value < _id")
+        hit = hit.filter("value < _doc_key")
     start = F.col("first") + F.col("start")
-    spans = plain.unionByName(hit.select("_id", "_hash", start.alias("start"), (start + F.col("windows") - 1 + spec.window).alias("stop")))
-    return spans.groupBy("_id", "_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = plain.unionByName(hit.select("_doc_key", "_text_key", start.alias("start"), (start + F.col("windows") - 1 + spec.window).alias("stop")))
+    return spans.groupBy("_doc_key", "_text_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def covered(spans: list | np.ndarray | None, size: int) -> tuple[np.ndarray, int]:

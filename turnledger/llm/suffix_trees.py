@@ -51,9 +51,9 @@ def dedup_passages(docs: DataFrame, length: int = 50, prefix: int = 10) -> DataF
     are replaced.
     """
     results = ["n_words", "n_removed", "kept_sha256", "kept"]
-    docs = docs.drop(*results, "_id", "_hash", "spans")
+    docs = docs.drop(*results, "_doc_key", "_text_key", "spans")
     spans = repeated(docs, Windows(length, prefix, words=True, earlier_only=True))
-    joined = with_key(docs).join(spans, ["_id", "_hash"], "left").drop("_id", "_hash")
+    joined = with_key(docs).join(spans, ["_doc_key", "_text_key"], "left").drop("_doc_key", "_text_key")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInPandas(_strip, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept string").select(
         *[F.col(f"`{c}`") for c in docs.columns], *results

@@ -18,10 +18,10 @@ NO_ID = -(2**63)
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """Add _id and _hash, never null: rows with one key hold the same doc_id and text."""
+    """Add _doc_key and _text_key, never null: rows with one key hold the same doc_id and text."""
     return docs.withColumns({
-        "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-        "_hash": F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), F.col("text")),
+        "_doc_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+        "_text_key": F.xxhash64(F.col("doc_id").isNull(), F.col("text").isNull(), F.col("text")),
     })
 
 
