@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnledger.llm import prefix_free_parsing, simhash, suffix_trees
+from turnledger.llm import language_spans, prefix_free_parsing, simhash, suffix_trees, weak_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +23,30 @@ def op4_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free_parsing.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weak_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"
+    )
+
+
+def op9_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_spans.train_on_rest(docs)
+    found = language_spans.with_language(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", language_spans.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"),
+    )
+
+
 def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_trees.dedup_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_vantage_trees, op4_prefix_free_parsing, op10_suffix_trees)
+    f.__name__: f for f in (op2_simhash_vantage_trees, op4_prefix_free_parsing, op8_weak_supervision, op9_language_viterbi, op10_suffix_trees)
 }
 
 #: DuckDB SQL of the queries that SQL can express.
