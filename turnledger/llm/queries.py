@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import language_spans, prefix_free_parsing, simhash, suffix_trees, weak_rules
+from turnledger.llm import language_spans, packing, prefix_free_parsing, raking, simhash, suffix_trees, weak_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
@@ -23,6 +27,10 @@ def op4_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free_parsing.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raking.drawn(_table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 9))
+
+
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weak_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select(
@@ -46,8 +54,43 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_vantage_trees, op4_prefix_free_parsing, op8_weak_supervision, op9_language_viterbi, op10_suffix_trees)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_simhash_vantage_trees, op4_prefix_free_parsing, op7_raked_mixture, op8_weak_supervision,
+        op9_language_viterbi, op10_suffix_trees,
+    )
 }
 
+
+def _raked_sql() -> str:
+    """The rounds of raking, one common table each: every margin's sum is a window over the cells."""
+    names, powers = raking.MARGINS, raking.POWERS
+    parts = [
+        """measured AS (
+    SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+           CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN regexp_matches(text, ' \\| ') THEN 'table'
+                WHEN regexp_matches(text, '[0-9]{4}') THEN 'numeric' WHEN length(text) < 400 THEN 'brief' ELSE 'prose' END AS topic,
+           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+           ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || coalesce(text, '')), 1, 12))::BIGINT / pow(2, 48) AS draw
+    FROM documents)""",
+        "sums AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n_tokens FROM measured GROUP BY ALL)",
+    ]
+    for name in names:
+        share = f"pow(sum(n_tokens), {powers[name]})"
+        parts.append(f"target_{name} AS (SELECT {name}, {share} / sum({share}) OVER () AS t_{name} FROM sums GROUP BY {name})")
+    joins = " ".join(f"JOIN target_{name} USING ({name})" for name in names)
+    parts.append(f"r0 AS (SELECT *, n_tokens AS weight FROM sums {joins})")
+    for step in range(raking.ROUNDS * len(names)):
+        name = names[step % len(names)]
+        held = f"sum(weight) OVER (PARTITION BY {name})"
+        scaled = f"CASE WHEN {held} > 0 THEN weight * t_{name} / {held} ELSE 0 END AS weight"
+        parts.append(f"r{step + 1} AS MATERIALIZED (SELECT * REPLACE ({scaled}) FROM r{step})")
+    parts.append(f"ratios AS (SELECT *, CASE WHEN n_tokens > 0 THEN weight / n_tokens ELSE 0 END AS ratio FROM r{raking.ROUNDS * len(names)})")
+    parts.append("chances AS (SELECT source, lang, topic, CASE WHEN max(ratio) OVER () > 0 THEN ratio / max(ratio) OVER () ELSE 0 END AS p FROM ratios)")
+    return "WITH " + ",\n".join(parts) + """
+SELECT source, lang, topic, doc_id, draw, n_tokens, round(p, 9) AS probability, draw < p AS kept
+FROM measured JOIN chances USING (source, lang, topic)"""
+
+
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_raked_mixture": _raked_sql()}

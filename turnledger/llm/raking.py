@@ -9,7 +9,7 @@ document being taken twice allows. Draws depend on the document only, so a retry
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.text import word_count
@@ -19,8 +19,7 @@ MARGINS = ("source", "lang", "topic")
 ROUNDS = 12
 #: Target share of a value is its share of all tokens to this power, scaled to add up to one.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
-#: Names of the columns added, in order.
-ADDED = ("n_tokens", "topic", "weight", "probability", "draw")
+TOGETHER = 100_000  # cells raked in one task
 
 
 def topic(text: Column) -> Column:
@@ -34,62 +33,62 @@ def topic(text: Column) -> Column:
     )
 
 
-def _known(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
+def _cell(prefix: str = "") -> dict[str, Column]:
+    """The columns that place a row in a cell, and ``draw``: a number in [0, 1) from its id and text."""
+    mark = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    draw = F.conv(F.substring(mark, 1, 12), 16, 10).cast("long") / F.lit(float(2**48))
+    known = {name: F.coalesce(F.col(name).cast("string"), F.lit("")) for name in ("source", "lang")}
+    return {f"{prefix}{name}": value for name, value in (known | {"topic": topic(F.col("text")), "draw": draw}).items()}
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, draw) of each row of ``docs``.
+    """(doc_id, source, lang, topic, draw, n_tokens) of each row of ``docs``.
 
-    ``draw`` is a number in [0, 1) from the id and the text. Null sources and languages are a value
-    of their own, the empty string.
+    Null sources and languages are a value of their own, the empty string.
     """
-    mark = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    draw = F.conv(F.substring(mark, 1, 12), 16, 10).cast("long") / F.lit(float(2**48))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), _known("source"), _known("lang"), topic(F.col("text")).alias("topic"),
-        word_count(F.col("text")).alias("n_tokens"), draw.alias("draw"),
-    )
+    cell = [value.alias(name) for name, value in _cell().items()]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *cell, word_count(F.col("text")).alias("n_tokens"))
 
 
-def targets(cells: DataFrame, name: str, power: float) -> DataFrame:
-    """(name, target): shares of one margin; a value without tokens has none."""
-    margin = cells.groupBy(name).agg(F.sum("n_tokens").alias("t")).withColumn("t", F.pow(F.col("t"), F.lit(power)))
-    total = margin.agg(F.sum("t").alias("all"))
-    return margin.crossJoin(total).select(name, (F.col("t") / F.col("all")).alias("target"))  # the total is one row
+def _targets(cells: DataFrame, powers: dict[str, float]) -> DataFrame:
+    """Add each margin's target share as ``_<name>``: 0 for values without tokens."""
+    for name, power in powers.items():
+        whole = F.sum("n_tokens").over(Window.partitionBy(name))
+        first = F.row_number().over(Window.partitionBy(name).orderBy(*MARGINS))
+        cells = cells.withColumn("_part", F.pow(whole, F.lit(power))).withColumn("_once", F.when(first == 1, F.col("_part")))
+        total = cells.agg(F.sum("_once").alias("_all"))  # one row
+        cells = cells.join(F.broadcast(total)).withColumn(f"_{name}", F.col("_part") / F.col("_all")).drop("_part", "_once", "_all")
+    return cells
 
 
-def rake(cells: DataFrame, shares: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
     """Add ``weight`` to cells with ``n_tokens``: shares that meet each margin's targets.
 
-    A cell without tokens, or whose value has no target, weighs nothing. Margins with values whose
-    cells are all empty cannot be met; what is left then is the last round's state. Each round is
-    three small aggregates; the table of cells is stored every few rounds to keep the plan short.
+    A cell without tokens weighs nothing. Up to ``TOGETHER`` cells are raked in one task without
+    any shuffle; more are shuffled by each margin in turn. Both give the same weights.
     """
-    fitted = cells.withColumn("weight", F.col("n_tokens").cast("double"))
-    columns = fitted.columns
+    small = cells.count() <= TOGETHER
+    near = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+    fitted = near(cells).withColumn("weight", F.col("n_tokens").cast("double"))
+    fitted = near(staged(_targets(fitted, powers), "cells"))
     for done in range(rounds):
-        for name, share in shares.items():
-            sums = fitted.groupBy(name).agg(F.sum("weight").alias("_sum"))
-            factor = sums.join(share, name, "left").select(
-                name, F.when(F.col("_sum") > 0, F.coalesce("target", F.lit(0.0)) / F.col("_sum")).otherwise(0.0).alias("_factor")
-            )
-            fitted = fitted.join(factor, name).withColumn("weight", F.col("weight") * F.col("_factor")).select(*columns)
+        for name in powers:
+            held = F.sum("weight").over(Window.partitionBy(name))
+            scaled = F.col("weight") * F.col(f"_{name}") / held
+            fitted = fitted.withColumn("weight", F.when(held > 0, scaled).otherwise(0.0))
         if done % 3 == 2 or done == rounds - 1:
-            fitted = staged(fitted.coalesce(1), "cells")
-    return fitted
+            fitted = near(staged(fitted, "cells"))
+    return fitted.drop(*[f"_{name}" for name in powers])
 
 
 def calibrated(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """(cells) source, lang, topic, n_tokens, weight, probability of every cell of ``docs``."""
-    cells = staged(measured(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1), "cells")
-    shares = {name: targets(cells, name, powers[name]) for name in MARGINS}
-    fitted = rake(cells, {name: staged(share.coalesce(1), "targets") for name, share in shares.items()}, rounds)
+    """source, lang, topic, n_tokens, weight and probability of every cell of ``docs``."""
+    cells = staged(measured(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens")), "cells")
     ratio = F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(0.0)
-    largest = fitted.agg(F.max(ratio).alias("_most"))
-    return fitted.crossJoin(largest).withColumn(  # one row
-        "probability", F.when(F.col("_most") > 0, ratio / F.col("_most")).otherwise(0.0)
-    ).drop("_most")
+    fitted = staged(rake(cells, powers, rounds).withColumn("ratio", ratio), "fitted")
+    largest = fitted.agg(F.max("ratio").alias("most"))  # one row
+    chance = F.when(F.col("most") > 0, F.col("ratio") / F.col("most")).otherwise(0.0)
+    return fitted.join(F.broadcast(largest)).withColumn("probability", chance).drop("most", "ratio")
 
 
 def drawn(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
@@ -105,13 +104,7 @@ def drawn(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUN
 
 def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
     """The rows of ``docs`` that are drawn (see ``drawn``), with their columns unchanged."""
-    cells = calibrated(docs, powers, rounds).select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINS], F.col("probability").alias("_mix_p"))
-    keys = docs.withColumns({f"_mix_{name}": value for name, value in _cell(docs).items()})
-    hit = keys.join(cells, [f"_mix_{m}" for m in MARGINS]).filter(F.col("_mix_draw") < F.col("_mix_p"))
-    return hit.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _cell(docs: DataFrame) -> dict[str, Column]:
-    mark = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    draw = F.conv(F.substring(mark, 1, 12), 16, 10).cast("long") / F.lit(float(2**48))
-    return {"source": _known("source"), "lang": _known("lang"), "topic": topic(F.col("text")), "draw": draw}
+    cells = calibrated(docs, powers, rounds)
+    cells = cells.select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINS], F.col("probability").alias("_mix_probability"))
+    hit = docs.withColumns(_cell("_mix_")).join(cells, [f"_mix_{m}" for m in MARGINS])
+    return hit.filter("_mix_draw < _mix_probability").select(*[F.col(f"`{c}`") for c in docs.columns])

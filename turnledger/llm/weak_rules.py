@@ -67,9 +67,7 @@ def repeated_words(codes: list[np.ndarray], window: int = 3) -> np.ndarray:
     return np.bincount(owner, np.cumsum(step[:-1]) > 0, len(codes)).astype(np.int64)
 
 
-@F.pandas_udf(", ".join(f"{name} long" for name in METRICS))
-def metrics(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """The figures that the rules look at; null texts have none of anything."""
+def _measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         rows, repeats, held, size = [], [], [], 0
         for text in texts:
@@ -87,6 +85,11 @@ def metrics(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield frame.assign(n_repeat_words=np.concatenate(repeats))[list(METRICS)]
 
 
+def metrics(text: Column) -> Column:
+    """A struct of the figures that the rules look at; null texts have none of anything."""
+    return F.pandas_udf(_measure, ", ".join(f"{name} long" for name in METRICS))(text)
+
+
 def _share(part: str, whole: str) -> Column:
     return F.col(part) / F.when(F.col(whole) > 0, F.col(whole))
 
@@ -153,7 +156,7 @@ def judge(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
     spark = docs.sparkSession
     votes = rules()
     results = [*METRICS, "base_failed", "probability", "kept", *[f"vote_{name}" for name in votes]]
-    measured = docs.drop(*results).withColumn("_metrics", metrics("text")).select("*", "_metrics.*").drop("_metrics")
+    measured = docs.drop(*results).withColumn("_metrics", metrics(F.col("text"))).select("*", "_metrics.*").drop("_metrics")
     measured = measured.withColumns({f"vote_{name}": vote for name, vote in votes.items()})
     table = staged(measured, "metrics")
     columns = [f"vote_{name}" for name in votes]
