@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import language_spans, packing, prefix_free_parsing, raking, simhash, suffix_trees, weak_rules
+from turnledger.llm import language_spans, multi_index, packing, prefix_free_parsing, raking, simhash, suffix_trees, weak_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free_parsing.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.drawn(_table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 9))
 
@@ -56,8 +60,8 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_simhash_vantage_trees, op4_prefix_free_parsing, op7_raked_mixture, op8_weak_supervision,
-        op9_language_viterbi, op10_suffix_trees,
+        op1_best_fit_packing, op2_simhash_vantage_trees, op4_prefix_free_parsing, op5_multi_index_hashing, op7_raked_mixture,
+        op8_weak_supervision, op9_language_viterbi, op10_suffix_trees,
     )
 }
 
