@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import language_spans, multi_index, packing, prefix_free_parsing, raking, simhash, suffix_trees, weak_rules
+from turnledger.llm import html_crf, language_spans, multi_index, packing, prefix_free_parsing, raking, simhash, suffix_trees, weak_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_simhash_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal().alias("fingerprint"), "component_id")
 
 
+def op3_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.with_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free_parsing.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -60,7 +64,8 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_best_fit_packing, op2_simhash_vantage_trees, op4_prefix_free_parsing, op5_multi_index_hashing, op7_raked_mixture,
+        op1_best_fit_packing, op2_simhash_vantage_trees, op3_html_crf, op4_prefix_free_parsing, op5_multi_index_hashing,
+        op7_raked_mixture,
         op8_weak_supervision, op9_language_viterbi, op10_suffix_trees,
     )
 }
