@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import html_crf, language_spans, multi_index, packing, prefix_free_parsing, raking, simhash, suffix_trees, weak_rules
+from turnledger.llm import html_crf, language_spans, licenses, multi_index, packing, prefix_free_parsing, raking, simhash, suffix_trees, weak_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raking.drawn(_table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 9))
 
@@ -65,7 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_simhash_vantage_trees, op3_html_crf, op4_prefix_free_parsing, op5_multi_index_hashing,
-        op7_raked_mixture,
+        op6_license_minhash, op7_raked_mixture,
         op8_weak_supervision, op9_language_viterbi, op10_suffix_trees,
     )
 }
@@ -102,4 +106,4 @@ FROM measured JOIN chances USING (source, lang, topic)"""
 
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op7_raked_mixture": _raked_sql()}
+ORACLES: dict[str, str] = {"op6_license_minhash": licenses.scan_sql(), "op7_raked_mixture": _raked_sql()}
