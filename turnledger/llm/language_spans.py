@@ -70,7 +70,7 @@ def words_of(text: str, letter: np.ndarray, scripts: np.ndarray) -> Words | None
     codes = np.concatenate([[0], np.where(inside, codes, 0), [0]]).astype(np.uint32)
     inside = codes != 0
     before = np.concatenate([[0], codes[:-1]]).astype(np.uint32)
-    two = np.concatenate([[0], before[:-1]]).astype(np.uint32)
+    two = np.where(before == 0, 0, np.concatenate([[0], before[:-1]])).astype(np.uint32)  # trigrams stay in their word
     mix = (two * np.uint32(0x85EBCA6B)) ^ (before * np.uint32(0xC2B2AE35)) ^ (codes * np.uint32(0x27D4EB2F))
     mix ^= mix >> np.uint32(15)
     mix *= np.uint32(0x2C1B3C6D)
