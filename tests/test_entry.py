@@ -10,7 +10,8 @@ QUICK = ("a01_daily_rollup", "q03_variant_breakdown", "q06_tool_usage", "q08_hou
 
 
 def test_every_query_has_sql_but_the_file_listings():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"s01_file_inventory", "s02_changed_inventory"}
+    without = {n for n in set(entry.queries()) - set(entry.oracle_sql()) if n != "pipeline" and not n.startswith("op")}
+    assert without == {"s01_file_inventory", "s02_changed_inventory"}
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
@@ -30,7 +31,7 @@ def test_query_equals_sql(spark, name):
 def test_chunk_width_does_not_change_the_rendered_lines(spark):
     from turnledger.plans import samples
 
-    wide = samples.unsized_log_lines(spark, FOLDER).select("file_path", "pos", "value")
+    wide = samples.unsized_log_lines(spark, FOLDER, chunk_bits=20).select("file_path", "pos", "value")
     narrow = samples.unsized_log_lines(spark, FOLDER, chunk_bits=5).select("file_path", "pos", "value")
     assert wide.exceptAll(narrow).isEmpty() and narrow.exceptAll(wide).isEmpty()
 
@@ -43,7 +44,7 @@ def test_chunk_width_does_not_change_the_parse(spark):
     from turnledger.session import staged
 
     out = []
-    for bits in (18, 5):
+    for bits in (20, 5):
         logs = staged(samples.unsized_log_lines(spark, FOLDER, chunk_bits=bits), "lines")
         parsed = normalize.parse_lines(logs)
         out.append((parsed.records, parsed.tool_events, parsed.quality))

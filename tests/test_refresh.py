@@ -36,7 +36,7 @@ def test_classification(spark):
          ("same", "same", 5, 5), ("short", "short", 3, 6), ("more", "more", 8, 6), ("touched", "touched", 5, 6)]],
         "source string, file_path string, file_id string, size long, mtime_ms long",
     )
-    state = spark.createDataFrame([(p, p, "codex", 5, 5, 5, 0, 0 if p == "empty" else 1, 0) for p in ("id", "empty", "same", "short", "more", "touched")], FILE_STATE)
+    state = spark.createDataFrame([(p, p, "codex", 5, 5, 5, 0, 0 if p == "empty" else 1, 0, 0, 0) for p in ("id", "empty", "same", "short", "more", "touched")], FILE_STATE)
     day = 86_400_000
     got = {r.file_path: r.action for r in incremental.classify(found.withColumn("mtime_ms", F.col("mtime_ms") * F.when(F.col("file_path").isin("new", "old"), day).otherwise(1)), state, 1, 35 * day).collect()}
     assert got == {"new": "firstRead", "old": "skip", "id": "reingest", "empty": "reingest", "same": "skip", "short": "reingest", "more": "append", "touched": "append"}
@@ -59,10 +59,16 @@ def test_refresh_over_a_life_of_files(spark, small_card, tmp_path):
     assert run(1) == {"a.jsonl": "firstRead", "b.jsonl": "firstRead"}
     assert store.read("usage_record").count() == 2 and store.read("tool_event").count() == 1
     assert consistent(store, card)
-    assert store.read("run_metrics").first().malformed == 1
+    bad = lambda: {r.warning: r["count"] for r in refresh.warnings(store).filter("model = ''").collect()}
+    assert bad() == {"malformed_lines": 1, "oversized_lines": 0}
     assert {r.model for r in store.read("unmapped_model").collect()} == {"claude-sonnet-4-20250514"}
 
     assert run(2) == {"a.jsonl": "skip", "b.jsonl": "skip"}
+    # An append reads the bad line of its file again; it still counts once.
+    write(two, [assistant("r0", 1)], mode="a")
+    assert run(2)["b.jsonl"] == "append" and bad()["malformed_lines"] == 1
+    write(two, [assistant("r1", 5), "{\"assistant\" \"usage\" broken"])
+    assert run(2)["b.jsonl"] == "reingest" and bad()["malformed_lines"] == 1
     assert store.read("usage_record").count() == 2
 
     # An append continues the cumulative totals and takes the session over the threshold.
@@ -106,6 +112,8 @@ def test_refresh_over_a_life_of_files(spark, small_card, tmp_path):
     assert refresh.rebuild(store, options, card, 9)
     assert consistent(store, card) and store.read("run_metrics").filter("full_rescan").count() == 1
     store.delete_files(store.read("usage_record").filter("source = 'claude'").select("file_id").distinct())
+    incremental.refresh_rollups(store, card)
+    assert consistent(store, card)
     assert {r.source for r in store.read("usage_record").collect()} == {"codex"}
     one.unlink()
     assert not refresh.rebuild(store, options, card, 10)
@@ -128,3 +136,84 @@ def test_apply_is_idempotent_and_replaces_by_key(spark, tmp_path):
     store.apply(none, moved, tools)
     got = {r.dedup_key: r.day_local for r in store.read("usage_record").collect()}
     assert got == {"a": "2024-01-03", "b": "2024-01-02"}
+
+
+class Failing(UsageStore):
+    """A store whose run ends at its n-th write."""
+
+    def __init__(self, spark, root, writes):
+        super().__init__(spark, root)
+        self.left = writes
+
+    def _step(self):
+        self.left -= 1
+        if self.left < 0:
+            raise InterruptedError
+
+    def append(self, name, df):
+        self._step()
+        super().append(name, df)
+
+    def _note(self, path, text):
+        self._step()
+        super()._note(path, text)
+
+    def _put(self, entry):
+        self._step()
+        super()._put(entry)
+        self._step()
+
+
+def test_a_run_can_fail_at_any_write_and_be_repeated(spark, small_card, tmp_path):
+    """A file moves from one day and session to others; the repeat leaves what a fresh build has."""
+    import shutil
+
+    logs, begun = tmp_path / "logs", tmp_path / "begun"
+    options = RefreshOptions({"claude": str(logs)})
+    moving, staying = logs / "a.jsonl", logs / "b.jsonl"
+    other = lambda r, n, **kw: {**assistant(r, n), **kw}
+    write(moving, [other("r1", 5, timestamp="2024-01-01T10:00:00Z", sessionId="s1"), other("r2", 5, timestamp="2024-01-02T10:00:00Z", sessionId="s1")])
+    write(staying, [other("r3", 7, timestamp="2024-01-01T11:00:00Z", sessionId="s2")])
+    refresh.refresh(UsageStore(spark, str(begun)), options, small_card, 1)
+    write(moving, [other("r8", 50, timestamp="2024-01-03T10:00:00Z", sessionId="s9"), other("r9", 50, timestamp="2024-01-03T11:00:00Z", sessionId="s9")])
+    want = None
+    for writes in (1, 5, 10, 17, 1000):  # before the facts, between them and the rollups, between rollups, at the end
+        root = tmp_path / f"run{writes}"
+        shutil.copytree(begun, root)
+        failing = Failing(spark, str(root), writes)
+        try:
+            refresh.refresh(failing, options, small_card, 2)
+            failed = False
+        except InterruptedError:
+            failed = True
+        store = UsageStore(spark, str(root))
+        if failed:
+            refresh.refresh(store, options, small_card, 3)
+        assert consistent(store, small_card)
+        assert not store._listed(store.path("_journal")) and store.read("pending").isEmpty()
+        names = [n for n in TABLES if n not in ("run_metrics", "file_catalog", "unmapped_model")]
+        got = {n: sorted(map(str, store.read(n).collect())) for n in names}
+        want = want or got
+        assert got == want, (writes, [n for n in names if got[n] != want[n]])
+        if not failed:
+            break
+    assert not failed and {r.day_local for r in store.read("usage_record").collect()} == {"2024-01-01", "2024-01-03"}
+
+
+def test_a_small_change_reads_and_writes_few_partitions(spark, small_card, tmp_path):
+    store = UsageStore(spark, str(tmp_path / "t"))
+    none = records(spark, record("a", "2024-01-01T00:00:00")).select("file_id").limit(0)
+    tools = spark.createDataFrame([], TABLES["tool_event"])
+    store.apply(none, records(spark, *[record(f"k{d}", f"2024-01-{d:02}T00:00:00", session_id=f"s{d}") for d in range(1, 21)]), tools)
+    incremental.refresh_rollups(store, small_card)
+    before = {name: set(store._listed(store.path(name))) for name in ("usage_record", "daily_rollup", "session_rollup")}
+    files = lambda name: {f for part in store._listed(store.path(name)) for f in store._listed(part)}
+    held = {name: files(name) for name in before}
+    store.apply(none, records(spark, record("new", "2024-01-05T00:00:00", session_id="s5")), tools)
+    incremental.refresh_rollups(store, small_card)
+    for name in before:
+        assert set(store._listed(store.path(name))) == before[name]
+        touched = {f.rsplit("/", 2)[1] for f in files(name) ^ held[name]}
+        assert len(touched) == 1, (name, touched)
+    plan = store.read("usage_record", ["2024-01-05"])._jdf.queryExecution().executedPlan().toString()
+    assert "day_local" in plan.split("PartitionFilters")[1].split("]")[0] and "2024-01-05" in plan.split("PartitionFilters")[1].split("]")[0]

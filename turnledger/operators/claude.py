@@ -33,7 +33,7 @@ def keyword(line: Column) -> Column:
 
 _USAGE = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
 SCHEMA = (
-    "type string, timestamp string, sessionId string, requestId string, uuid string, cwd string, version string, "
+    "type string, timestamp variant, sessionId string, requestId string, uuid string, cwd string, version string, "
     "gitBranch string, isSidechain string, entrypoint string, message struct<model: string, stop_reason: string, "
     f"usage: struct<{', '.join(f'{f}: string' for f in _USAGE)}>, content: array<string>>"
 )

@@ -41,7 +41,7 @@ _INFO_TYPE = (
 )
 _LIMITS_TYPE = "struct<primary: struct<used_percent: string>, secondary: struct<used_percent: string>>"
 SCHEMA = (
-    "type string, timestamp string, payload struct<id: string, cwd: string, cli_version: string, source: string, "
+    "type string, timestamp variant, payload struct<id: string, cwd: string, cli_version: string, source: string, "
     "git: struct<branch: string, repository_url: string>, model: string, effort: string, approval_policy: string, "
     f"sandbox_policy: struct<mode: string>, type: string, name: string, info: {_INFO_TYPE}, rate_limits: {_LIMITS_TYPE}>, "
     f"info {_INFO_TYPE}, rate_limits {_LIMITS_TYPE}"

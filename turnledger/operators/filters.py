@@ -25,7 +25,7 @@ class UsageQuery:
     rollup_to_base_model: bool = False
 
 
-def _days(df: DataFrame, q: UsageQuery) -> DataFrame:
+def in_days(df: DataFrame, q: UsageQuery) -> DataFrame:
     # The range is turned into local days the same way the days were written.
     return df.filter(
         F.col("day_local").between(local_day(F.lit(q.from_utc)), local_day(F.lit(q.to_utc)))
@@ -33,7 +33,7 @@ def _days(df: DataFrame, q: UsageQuery) -> DataFrame:
 
 
 def filter_daily(daily: DataFrame, q: UsageQuery) -> DataFrame:
-    out = _days(daily, q)
+    out = in_days(daily, q)
     if q.sources:
         out = out.filter(F.col("source").isin(*q.sources))
     if q.models:
@@ -46,7 +46,7 @@ def filter_daily(daily: DataFrame, q: UsageQuery) -> DataFrame:
 
 
 def filter_records(records: DataFrame, q: UsageQuery) -> DataFrame:
-    out = _days(records, q)
+    out = in_days(records, q)
     if q.sources:
         out = out.filter(F.col("source").isin(*q.sources))
     if q.models:

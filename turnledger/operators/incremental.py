@@ -7,7 +7,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnledger.functions.rates import LONG_CONTEXT_THRESHOLD
-from turnledger.operators.pricing import BILLING_KEY, long_context_keys, price_sums
+from turnledger.operators.pricing import BILLING_KEY, price_sums
 from turnledger.operators.rollups import (
     SESSION_KEY,
     daily_from_priced,
@@ -160,48 +160,49 @@ def replace_files(old: DataFrame, files: DataFrame, new: DataFrame) -> DataFrame
     return delete_files(old, files).unionByName(new)
 
 
-def touched_sessions(*rows: DataFrame) -> DataFrame:
-    """Billing keys met in any of the given records."""
-    out = rows[0].select(*BILLING_KEY)
+def touched_days(*rows: DataFrame) -> DataFrame:
+    """Billing keys and days met in any of the given records."""
+    out = rows[0].select(*BILLING_KEY, "day_local")
     for part in rows[1:]:
-        out = out.unionByName(part.select(*BILLING_KEY))
+        out = out.unionByName(part.select(*BILLING_KEY, "day_local"))
     return out.distinct()
 
 
-def refresh_daily(daily: DataFrame, records: DataFrame, touched: DataFrame, gone_days: DataFrame, card: DataFrame) -> DataFrame:
-    """Daily rollup after a change: days of the touched sessions are computed afresh, others stay.
+def session_days(records: DataFrame) -> DataFrame:
+    """Days of each billing key with its largest context: what a refresh must know of all records."""
+    return records.groupBy(*BILLING_KEY, "day_local").agg(F.max("context_used_tokens").alias("max_context"))
 
-    A session that newly counts as long context changes the cost of its turns on every day it has,
-    so the days come from all records of the touched sessions. ``gone_days`` are days of rows that
-    were removed.
-    """
-    per_session = records.select(*BILLING_KEY, "day_local").distinct()
-    days = staged(
-        per_session.join(touched, BILLING_KEY, "left_semi").select("day_local")
-        .unionByName(gone_days.select("day_local")).distinct(),
-        "days",
-    )
-    # One row per calendar day: known to be small, so it prunes the partitions of the records.
-    affected = records.join(days, "day_local", "left_semi")
-    sums = session_sums(affected, ["day_local", "variant_id", "workspace"])
-    priced = price_sums(sums, card, long_keys=long_context_keys(records))
-    fresh = daily_from_priced(priced)
-    return daily.join(days, "day_local", "left_anti").unionByName(fresh)
 
+def long_keys_of_days(days: DataFrame) -> DataFrame:
+    """Billing keys whose context ever went above the threshold."""
+    return (
+        days.filter(F.col("max_context") > LONG_CONTEXT_THRESHOLD)
+        .groupBy(*BILLING_KEY).agg(F.max("max_context").alias("key_context"))
+    )
 
-def refresh_sessions(sessions: DataFrame, records: DataFrame, touched: DataFrame, card: DataFrame) -> DataFrame:
-    """Session rollup after a change: touched sessions are computed afresh, others stay."""
-    keys = touched.select(*SESSION_KEY).distinct()
-    fresh = session_rollup(records, card, only=keys)
-    return sessions.join(keys, SESSION_KEY, "left_anti").unionByName(fresh.select(*sessions.columns))
 
+def refresh_rollups(store: UsageStore, card: DataFrame) -> None:
+    """Bring the stored rollups up to date for what is pending.
 
-def refresh_rollups(store: UsageStore, touched: DataFrame, days: DataFrame, card: DataFrame) -> None:
-    """Bring both stored rollups up to date with the stored records."""
-    records = store.read("usage_record")
-    sessions, daily = store.read("session_rollup"), store.read("daily_rollup")
-    store.overwrite("session_rollup", refresh_sessions(sessions, records, touched, card))
-    store.overwrite("daily_rollup", refresh_daily(daily, records, touched, days, card))
+    A session that newly counts as long context changes the cost of its turns on every day it has,
+    so the days are those pending and all others of the pending sessions, which the small table of
+    session days tells. Only these days of the records are read, and only touched partitions of the
+    rollups are written.
+    """
+    pending = store.read("pending")
+    if pending.isEmpty():
+        return
+    keys = staged(pending.select(*SESSION_KEY).distinct(), "touched")
+    held = store.read("session_day", store.parts_of("session_day", keys)).join(keys, SESSION_KEY, "left_semi")
+    days = store.parts_of("usage_record", pending.select("day_local").unionByName(held.select("day_local")))
+    records = store.read("usage_record", days)
+    mine = records.join(keys, SESSION_KEY, "left_semi")
+    store.replace_rows("session_day", keys, SESSION_KEY, session_days(mine))
+    store.replace_rows("session_rollup", keys, SESSION_KEY, session_rollup(mine, card))
+    sums = session_sums(records, ["day_local", "variant_id", "workspace"])
+    priced = price_sums(sums, card, long_keys=long_keys_of_days(store.read("session_day")))
+    store.replace("daily_rollup", days, daily_from_priced(priced))
+    store.done_pending()
 
 
 def reprice(records: DataFrame, card: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -251,7 +252,7 @@ def catalog_ingested(catalog: DataFrame, results: DataFrame, now_ms: int) -> Dat
         "file_path", "file_id", "source", "size", "mtime_ms", "first_seen_utc", "last_seen_utc", "last_changed_utc",
         F.when(checked, now).otherwise(c("last_checked_utc")).alias("last_checked_utc"),
         F.when(read, now).otherwise(c("last_ingested_utc")).alias("last_ingested_utc"),
-        F.when(checked, c("_min")).otherwise(c("min_day")).alias("min_day"),
-        F.when(checked, c("_max")).otherwise(c("max_day")).alias("max_day"),
+        F.when(read, c("_min")).otherwise(c("min_day")).alias("min_day"),
+        F.when(read, c("_max")).otherwise(c("max_day")).alias("max_day"),
         F.when(checked & c("_has"), "complete").when(checked, "ignored").otherwise(c("state")).alias("state"),
     )

@@ -32,30 +32,41 @@ def number(value: Column) -> Column:
 
 
 def event_time(raw: Column) -> Column:
-    """Epoch milliseconds of a timestamp; null where it is missing or cannot be read."""
-    is_number = raw.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
-    return F.when(is_number, number(raw)).otherwise(F.unix_millis(raw.try_cast("timestamp")))
+    """Epoch milliseconds of a timestamp; null where it is missing or cannot be read.
+
+    ``raw`` is the JSON value with its type: a number is milliseconds, a text is a date, so the
+    text "2024" is a year and a quoted number of milliseconds is nothing.
+    """
+    kind, text = F.schema_of_variant(raw), F.try_variant_get(raw, "$", "string")
+    as_date = F.unix_millis(text.try_cast("timestamp"))
+    return F.when(kind == "STRING", as_date).when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number(text))
 
 
 def json_doc(line: Column, schema: str) -> Column:
     """A parsed line. Scalars are read as text, so a field of another type never spoils the rest."""
-    return F.from_json(line, f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE"})
+    return F.from_json(line, schema, {"mode": "PERMISSIVE"})
 
 
 def is_malformed(line: Column) -> Column:
-    """True for lines that are no JSON.
+    """True for lines that are not exactly one JSON value: text after it counts as well.
 
-    The first parse also flags fields of an unexpected type; only flagged lines that yielded
-    nothing are parsed once more to tell the two apart.
+    Between brackets a line must give an array of one element. Null for a null line.
     """
-    suspect = F.col("doc._corrupt_record").isNotNull() & F.col("doc.type").isNull()
-    return F.when(suspect, F.try_parse_json(line).isNull())
+    listed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(line.isNotNull(), listed.isNull() | ~alone)
 
 
 def mentions(line: Column, *words: str) -> list[Column]:
     return [F.contains(line, F.lit(f'"{word}"')) for word in words]
 
 
+def parsed_lines(cut: DataFrame, schema: str) -> DataFrame:
+    """Add ``malformed`` and ``doc`` to rows with a ``candidate`` line; a malformed line has no doc."""
+    judged = cut.withColumn("malformed", F.coalesce(is_malformed(F.col("candidate")), F.lit(False)))
+    return judged.withColumn("doc", json_doc(F.when(~F.col("malformed"), F.col("candidate")), schema))
+
+
 def cut_rows(
     lines: DataFrame,
     keyword: Callable[[Column], Column],
@@ -75,9 +86,7 @@ def cut_rows(
         oversized.alias("oversized"),
         F.when(~oversized & keyword(F.col("value")), line_text()).alias("candidate"),
     )
-    parsed = cut.withColumn("doc", json_doc(F.col("candidate"), schema)).withColumn(
-        "malformed", F.coalesce(is_malformed(F.col("candidate")), F.lit(False))
-    )
+    parsed = parsed_lines(cut, schema)
     typed = extract(parsed).drop("doc", "candidate")
 
     by_chunk = Window.partitionBy(*FILE_KEYS, "chunk").orderBy("pos")

@@ -144,6 +144,20 @@ def s08_upsert_tool_events(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.upsert_tools(calls, new, fresh.select(*calls.columns)).select("event_key", "tool_name")
 
 
+@query
+def s08_store_repeat(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches through a store; the second fails half-way, is recovered and comes again."""
+    usage, card = store.UsageStore(spark, work_folder(spark, "store")), rates.default_card(spark)
+    old, new = (staged(rows, "batch") for rows in _two_batches(spark, sf))
+    none, no_calls = old.select("file_id").limit(0), spark.createDataFrame([], store.TABLES["tool_event"])
+    usage.apply(none, old, no_calls)
+    incremental.refresh_rollups(usage, card)
+    usage.apply(none, new, no_calls)  # and no rollups: the run ends here
+    again = store.UsageStore(spark, usage.root)
+    stream_rollups.into_store(again, card)(new, no_calls, new.select("dedup_key"), 1)
+    return rollups.with_usd(again.read("daily_rollup"))
+
+
 @query
 def s09_delete_files(spark: SparkSession, sf: str) -> DataFrame:
     rows = samples.records(spark, sf)
@@ -516,11 +530,9 @@ def q10_source_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
     """Run metrics: one run per day of events; the run of the 10th was a full rescan."""
-    return samples.events(spark, sf).groupBy("day_local").agg(
-        F.max("ts_utc").alias("run_utc"),
-        F.count_if(F.col("k") % 17 == 3).alias("malformed"),
-        F.count_if(F.col("k") % 29 == 0).alias("oversized"),
-    ).withColumn("full_rescan", F.col("day_local") == "2024-01-10")
+    return samples.events(spark, sf).groupBy("day_local").agg(F.max("ts_utc").alias("run_utc")).withColumn(
+        "full_rescan", F.col("day_local") == "2024-01-10"
+    )
 
 
 @query
@@ -530,8 +542,21 @@ def q11_freshness(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q12_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """Two states of the growing logs are parsed and stored one after the other; each bad line counts once."""
+    logs = _logs(spark, sf)
+    usage = store.UsageStore(spark, work_folder(spark, "store"))
+    for state in (logs.filter(F.col("chunk") < 8), logs):
+        bad = logrows.quality(codex.rows(state, line_source.MIN_MAX_LINE_BYTES)).unionByName(
+            logrows.quality(claude.rows(state, line_source.MIN_MAX_LINE_BYTES))
+        )
+        none = [F.lit(0).cast("bigint").alias(c) for c in ("size", "mtime_ms", "last_offset", "prefix_check", "turns", "tools")]
+        rows = staged(bad.select(
+            "file_path", F.col("file_path").alias("file_id"), "source", *none,
+            F.col("malformed_count").alias("malformed"), F.col("oversized_count").alias("oversized"),
+        ), "bad")
+        usage.replace_rows("file_state", rows, ["file_path"], rows)
     unmapped = pricing.unmapped_models(samples.records(spark, sf), rates.default_card(spark))
-    return views.warnings(_runs(spark, sf), unmapped)
+    return views.warnings(usage.read("file_state"), unmapped)
 
 
 @query
@@ -861,8 +886,7 @@ def i05_replaced_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def i06_append_equals_full(spark: SparkSession, sf: str) -> DataFrame:
     """Records of the logs parsed in three pieces, state carried from one to the next."""
-    records, _ = _in_pieces(spark, sf)
-    return records.select("dedup_key", "session_id", "ts_utc", "model", "variant_id", "total_tokens")
+    return _in_pieces(spark, sf).outputs("records").select("dedup_key", "session_id", "ts_utc", "model", "variant_id", "total_tokens")
 
 
 @query
@@ -889,35 +913,45 @@ def i08_missing_sources(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------------
 
 
-def _in_pieces(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The rendered logs in three batches, cut through the middle of sessions, turns and requests."""
+def _in_pieces(spark: SparkSession, sf: str) -> stateful_parse.BatchParser:
+    """The rendered logs as a stream of three files, cut through the middle of sessions, turns and requests."""
     placed = staged(line_source.with_offsets(_logs(spark, sf)), "placed")
     folder = work_folder(spark, "stateful")
-    parser = stateful_parse.BatchParser(spark, folder)
+    rows = placed.select("source", "file_path", "line_offset", "value")
     piece = F.least(F.lit(2), F.shiftright("line_offset", 12))
+    # Each run of the stream finds one more file; what came before is known by its checkpoint.
     for batch in range(3):
-        parser.run(placed.filter(piece == batch).select("source", "file_path", "line_offset", "value"), batch)
-    return parser.outputs("records"), parser.outputs("tool_events")
+        rows.filter(piece == batch).write.mode("append").parquet(f"{folder}/in")
+        lines = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        stateful_parse.start(lines, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return stateful_parse.BatchParser(spark, f"{folder}/out")
 
 
 @query
 def t01_stateful_parse(spark: SparkSession, sf: str) -> DataFrame:
-    _, calls = _in_pieces(spark, sf)
-    return calls.select("event_key", "tool_name", "session_id", "ts_utc")
+    return _in_pieces(spark, sf).outputs("tool_events").select("event_key", "tool_name", "session_id", "ts_utc")
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The events file as a stream, mapped to records."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return samples.as_records(samples.turns_of(raw))
+@query
+def t01_stateful_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Bad lines of the same stream: as many as one parse of the whole counts."""
+    return _in_pieces(spark, sf).quality().filter("malformed_count + oversized_count > 0")
+
+
+def _turn_stream(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    """The events as a stream of five files whose times overlap and go back, one file per batch."""
+    raw = spark.read.parquet(f"{sf}/events.parquet")
+    raw.repartition(5, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return samples.turns_of(arriving)
 
 
 @query
 def t02_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Every record arrives twice in the stream; one copy leaves it."""
+    """Every record arrives twice in the stream; one copy leaves it, however late the other is."""
     folder = work_folder(spark, "dedup")
-    twice = _stream(spark, sf).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    rows = samples.as_records(_turn_stream(spark, sf, folder))
+    twice = rows.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
     stream_rollups.into_folder(stream_rollups.deduplicated(twice), f"{folder}/out", f"{folder}/state", "append").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("dedup_key", "total_tokens")
 
@@ -925,24 +959,34 @@ def t02_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def t03_stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_folder(spark, "hourly")
-    stream_rollups.into_folder(stream_rollups.tumbling(_stream(spark, sf)), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return stream_rollups.latest_windows(spark.read.parquet(f"{folder}/out"))
+    rows = samples.as_records(_turn_stream(spark, sf, folder))
+    stream_rollups.into_windows(rows, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return stream_rollups.window_totals(spark.read.parquet(f"{folder}/out"))
 
 
-@query
-def t04_stream_into_rollups(spark: SparkSession, sf: str) -> DataFrame:
-    """The stream of records put into a store batch by batch; the result is its daily rollup."""
+def _streamed_store(spark: SparkSession, sf: str) -> store.UsageStore:
+    """Turns and their tool calls put into a store batch by batch."""
     folder = work_folder(spark, "store")
     usage, card = store.UsageStore(spark, f"{folder}/tables"), rates.default_card(spark)
     handle = stream_rollups.into_store(usage, card)
-    no_calls = samples.tools(spark, sf).filter(F.lit(False))
 
     def put(rows: DataFrame, batch: int) -> None:
-        kept = staged(rows, "batch")
-        handle(kept, no_calls, kept.select("dedup_key"), batch)
+        turns = staged(rows, "batch")
+        kept = samples.as_records(turns)
+        handle(kept, samples.tools_of(turns), kept.select("dedup_key"), batch)
 
     (
-        _stream(spark, sf).writeStream.foreachBatch(put)
+        _turn_stream(spark, sf, folder).writeStream.foreachBatch(put)
         .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     )
-    return rollups.with_usd(usage.read("daily_rollup"))
+    return usage
+
+
+@query
+def t04_stream_into_rollups(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.with_usd(_streamed_store(spark, sf).read("daily_rollup"))
+
+
+@query
+def t04_stream_tool_events(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed_store(spark, sf).read("tool_event").select("event_key", "record_dedup_key", "tool_name", "day_local")

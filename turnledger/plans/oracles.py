@@ -82,7 +82,7 @@ _LOGS = (
     _BASE
     + """,
 stamped AS (
-  SELECT *, CASE WHEN k % 23 = 7 THEN '' WHEN k % 8 = 0 THEN '"timestamp":' || ts_utc || ','
+  SELECT *, CASE WHEN k % 23 = 7 AND k % 2 = 1 THEN '' WHEN k % 23 = 7 THEN '"timestamp":"' || ts_utc || '",' WHEN k % 8 = 0 THEN '"timestamp":' || ts_utc || ','
     ELSE '"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z",' END AS stamp,
     k % 9 <> 0 AS cumulative, input_tokens + cache_read_tokens AS raw_in, output_tokens + reasoning_tokens AS raw_out
   FROM rec),
@@ -118,7 +118,8 @@ cx_lines AS (
     CASE WHEN k % 11 = 0 THEN '{"type":"response_item","payload":{"type":"image_generation_call"}}' END,
     tokens,
     CASE WHEN cumulative AND k % 5 = 1 THEN tokens END,
-    CASE WHEN k % 17 = 3 THEN '{"type":"event_msg","payload":{"type":"token_count",' END] AS texts
+    CASE WHEN k % 17 = 3 THEN '{"type":"event_msg","payload":{"type":"token_count",' END,
+    CASE WHEN k % 13 = 5 THEN tokens || '{"x":1}' END] AS texts
   FROM cx_tokens),
 cl AS (
   SELECT *, CASE WHEN k % 6 = 1 THEN 'u' || event_id ELSE 'r' || (k % 4) END AS request_id,
@@ -136,7 +137,8 @@ cl_lines AS (
     before_out || output_tokens || after_out || array_to_string(list_transform(range(k % 4), lambda i:
       CASE WHEN k % 10 = 5 THEN '{"type":"tool_use"}' ELSE '{"type":"tool_use","name":"'
         || CASE i WHEN 0 THEN 'shell' WHEN 1 THEN 'apply_patch' ELSE 'read_file' END || '"}' END), ',') || ']}}',
-    CASE WHEN k % 17 = 3 THEN '{"type":"assistant","message":{"usage":{' END] AS texts
+    CASE WHEN k % 17 = 3 THEN '{"type":"assistant","message":{"usage":{' END,
+    CASE WHEN k % 13 = 5 THEN before_out || '7' || after_out || ']}}{"x":1}' END] AS texts
   FROM cl),
 log0 AS (
   SELECT source, file_id, user_id, event_id, unnest(texts) AS value, generate_subscripts(texts, 1) AS i
@@ -188,7 +190,7 @@ SELECT source, file_path, CAST(COUNT(*) AS BIGINT) AS line_count, CAST(COUNT(*)
 FROM log GROUP BY ALL""")
 _log("s05_incomplete_files", """
 SELECT source, file_path FROM log WHERE user_id % 3 = 0
-GROUP BY ALL HAVING arg_max(i, line_offset) = CASE source WHEN 'codex' THEN 10 ELSE 4 END""")
+GROUP BY ALL HAVING arg_max(i, line_offset) IN (10, 11) OR (source = 'claude' AND arg_max(i, line_offset) IN (4, 5))""")
 _FILES = """
 SELECT source, file_id AS file_path, file_id, CAST(COUNT(*) * 100 AS BIGINT) AS size, MAX(ts_utc) AS mtime_ms FROM rec GROUP BY source, file_id"""
 _add("s06_backfill_window", f"""
@@ -196,6 +198,10 @@ SELECT * FROM ({_FILES}) WHERE mtime_ms >= 1706659199999 - 3 * 86400000""")
 _add("s08_upsert_records", """
 SELECT dedup_key, day_local, output_tokens FROM rec WHERE hour_local < 12
 UNION ALL SELECT dedup_key, day_local, output_tokens + 1 FROM rec WHERE hour_local >= 12""")
+_add("s08_store_repeat", "SELECT {daily} FROM daily", _BASE.replace(
+    "  SELECT *,\n    CASE WHEN effort = 'n/a' THEN model",
+    "  SELECT * REPLACE (output_tokens + CASE WHEN hour_local >= 12 THEN 1 ELSE 0 END AS output_tokens),\n    CASE WHEN effort = 'n/a' THEN model",
+))
 _add("s08_upsert_tool_events", """
 SELECT t.event_key, t.tool_name FROM tool t JOIN rec r ON r.dedup_key = t.record_dedup_key
 WHERE r.hour_local < 12 OR t.event_key LIKE '%#0'""")
@@ -210,7 +216,7 @@ SELECT source, file_path, CAST(COUNT(*) AS BIGINT) AS line_count,
   CAST(COUNT(*) FILTER ((source = 'codex' AND i <> 3) OR (source = 'claude' AND i > 1)) AS BIGINT) AS keyword_count
 FROM log GROUP BY ALL""")
 _log("p02_malformed_lines", """
-SELECT source, file_path, CAST(COUNT(*) FILTER ((source = 'codex' AND i = 10) OR (source = 'claude' AND i = 4)) AS BIGINT) AS malformed_count,
+SELECT source, file_path, CAST(COUNT(*) FILTER ((source = 'codex' AND i IN (10, 11)) OR (source = 'claude' AND i IN (4, 5))) AS BIGINT) AS malformed_count,
   CAST(0 AS BIGINT) AS oversized_count FROM log GROUP BY ALL""")
 _log("p03_context_carry", """
 SELECT t.session_id, l.line_offset, t.model, CASE WHEN t.effort = 'n/a' THEN '-' ELSE t.effort END AS effort, t.approval_policy, t.sandbox_mode
@@ -297,6 +303,7 @@ FROM priced GROUP BY day_local, source, variant_id, workspace""")
 _USD = "CAST(nano AS DOUBLE) / 1e9"
 _DAILY = f"day_local, source, variant_id, base_model, workspace, {_COLS}, turns, {_USD} AS cost_usd, unknown_cost_turns"
 _add("a01_daily_rollup", f"SELECT {_DAILY} FROM daily")
+ORACLES["s08_store_repeat"] = ORACLES["s08_store_repeat"].replace("{daily}", _DAILY)
 _SESS = "source, session_id, workspace, first_ts_utc, last_ts_utc, turns, total_tokens, CAST(nano AS DOUBLE) / 1e9 AS cost_usd, peak_context_fill, sidechain_tokens"
 _add("a02_session_rollup", f"SELECT {_SESS} FROM sess")
 _FILE_DAILY = f"""
@@ -406,9 +413,10 @@ _add("q10_source_comparison", f"""
 SELECT source, CAST(SUM(total_tokens) AS BIGINT) AS total_tokens, CAST(SUM(nano) AS DOUBLE) / 1e9 AS cost_usd, bool_or(unknown_cost_turns > 0) AS cost_unknown,
   CAST(SUM(turns) AS BIGINT) AS turns, CAST(COUNT(DISTINCT day_local || workspace) AS BIGINT) AS sessions FROM daily WHERE {_MONTH} GROUP BY source""")
 _add("q11_freshness", "SELECT MAX(ts_utc) AS last_ingest_run_utc, MAX(ts_utc) AS latest_record_utc FROM rec")
-_add("q12_warnings", """
-SELECT 'malformed_lines' AS warning, '' AS model, CAST(COUNT(*) AS BIGINT) AS count FROM rec WHERE day_local >= '2024-01-10' AND k % 17 = 3
-UNION ALL SELECT 'oversized_lines', '', COUNT(*) FROM rec WHERE day_local >= '2024-01-10' AND k % 29 = 0
+_log("q12_warnings", """
+SELECT 'malformed_lines' AS warning, '' AS model,
+  CAST(COUNT(*) FILTER ((source = 'codex' AND i IN (10, 11)) OR (source = 'claude' AND i IN (4, 5))) AS BIGINT) AS count FROM log
+UNION ALL SELECT 'oversized_lines', '', COUNT(*) FROM log WHERE n_bytes - 1 > 4096
 UNION ALL SELECT DISTINCT 'unmapped_model', model, 1 FROM rec WHERE model = 'unlisted-model'""")
 _log("q13_latest_rate_limit", """
 SELECT ts_utc, CAST(k AS DOUBLE) AS primary_pct, CAST(k % 7 AS DOUBLE) AS secondary_pct FROM cx_turn WHERE timed ORDER BY ts_utc DESC, dedup_key DESC LIMIT 1""")
@@ -623,7 +631,12 @@ _log("t01_stateful_parse", f"""
 SELECT x.event_key, x.tool_name, x.session_id, t.ts_utc FROM ({_CX_TOOLS}) x JOIN cx_turn t ON t.dedup_key = x.record_dedup_key WHERE x.timed
 UNION ALL SELECT dedup_key || '#' || n, CASE WHEN k % 10 = 5 THEN 'unknown' WHEN n = 0 THEN 'shell' WHEN n = 1 THEN 'apply_patch' ELSE 'read_file' END,
   session_id, ts_utc FROM (SELECT *, unnest(range(k % 4)) AS n FROM cl_turn WHERE timed)""")
+_BAD = "(source = 'codex' AND i IN (10, 11)) OR (source = 'claude' AND i IN (4, 5))"
+_log("t01_stateful_quality", f"""
+SELECT source, file_path, CAST(COUNT(*) FILTER ({_BAD}) AS BIGINT) AS malformed_count, CAST(0 AS BIGINT) AS oversized_count
+FROM log GROUP BY ALL HAVING malformed_count > 0""")
 _add("t02_stream_dedup", "SELECT dedup_key, total_tokens FROM rec")
 _add("t03_stream_hourly", f"""
 SELECT ts_utc // 3600000 * 3600000 AS window_start_utc, source, {_SUMS}, CAST(COUNT(*) AS BIGINT) AS turns FROM rec GROUP BY ts_utc // 3600000, source""")
+_add("t04_stream_tool_events", "SELECT event_key, record_dedup_key, tool_name, day_local FROM tool")
 _add("t04_stream_into_rollups", f"SELECT {_DAILY} FROM daily")

@@ -11,6 +11,7 @@ from turnledger.operators import incremental, normalize, pricing
 from turnledger.operators.incremental import APPEND, REINGEST, SKIP
 from turnledger.operators.logrows import FILE_KEYS
 from turnledger.operators.rollups import file_counts
+from turnledger.plans import views
 from turnledger.session import staged
 from turnledger.sources import inventory, lines as line_source
 from turnledger.sources.store import UsageStore
@@ -55,6 +56,7 @@ def refresh(store: UsageStore, options: RefreshOptions, card: DataFrame, now_ms:
     a full parse, and a session that newly crosses the long-context threshold is priced right.
     """
     spark = store.spark
+    store.recover()
     if options.full_rescan:
         store.clear()
     found = (
@@ -68,7 +70,8 @@ def refresh(store: UsageStore, options: RefreshOptions, card: DataFrame, now_ms:
 
     logs = _read_changed(spark, options.roots, actions, changed is None)
     if logs is None:
-        return _finish(store, actions, now_ms, options, card, None)
+        incremental.refresh_rollups(store, card)  # what a failed run left
+        return _finish(store, actions, None, now_ms, options, card)
 
     parsed = normalize.parse_lines(logs, options.max_line_bytes)
     records, tools = staged(parsed.records, "records"), staged(parsed.tool_events, "tools")
@@ -91,69 +94,76 @@ def refresh(store: UsageStore, options: RefreshOptions, card: DataFrame, now_ms:
     applied = decided.filter(F.col("action") != SKIP)
     files = applied.select("file_id")
 
-    old = store.read("usage_record")
-    touched = staged(incremental.touched_sessions(incremental.leaving_rows(old, files, records), records), "touched")
-    days = store.apply(files, records, tools)
-    incremental.refresh_rollups(store, touched, days, card)
+    store.apply(files, records, tools)
+    incremental.refresh_rollups(store, card)
+    _remember_files(store, applied, logs, records, tools, parsed)
+    return _finish(store, decided, records, now_ms, options, card)
 
-    _remember_files(store, applied, logs, records, tools, parsed.running_totals)
-    bad = parsed.quality.join(applied.select(*FILE_KEYS), FILE_KEYS, "left_semi")
-    return _finish(store, decided, now_ms, options, card, bad)
 
-
-def _remember_files(store: UsageStore, applied: DataFrame, logs: DataFrame, records: DataFrame, tools: DataFrame, totals: DataFrame) -> None:
+def _remember_files(store: UsageStore, applied: DataFrame, logs: DataFrame, records: DataFrame, tools: DataFrame, parsed: normalize.ParsedLogs) -> None:
+    """Replace what is stored per file. The state comes last: until then a repeated run reads the file again."""
     upto = applied.select(*FILE_KEYS, F.col("size").alias("last_offset"))
     checks = incremental.prefix_checks(logs, upto)
     counts = file_counts(records, tools)
+    bad = parsed.quality.select(*FILE_KEYS, F.col("malformed_count").alias("malformed"), F.col("oversized_count").alias("oversized"))
     fresh = (
         applied.drop("last_offset").join(upto, FILE_KEYS).join(checks, FILE_KEYS, "left").join(counts, "file_id", "left")
-        .select(
+        .join(bad, FILE_KEYS, "left").select(
             "file_path", "file_id", "source", "size", "mtime_ms", "last_offset", "prefix_check",
-            F.coalesce("turns", F.lit(0)).alias("turns"), F.coalesce("tools", F.lit(0)).alias("tools"),
+            *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("turns", "tools", "malformed", "oversized")],
         )
     )
-    paths = applied.select("file_path")
-    kept = store.read("file_state").join(paths, "file_path", "left_anti")
-    store.overwrite("file_state", kept.unionByName(fresh))
-    held = store.read("running_total").join(paths, "file_path", "left_anti")
-    new = totals.join(paths, "file_path", "left_semi").select(*held.columns)
-    store.overwrite("running_total", held.unionByName(new))
+    paths = staged(applied.select("file_path"), "paths")
+    for name, rows in (
+        ("running_total", parsed.running_totals), ("rate_limit", parsed.rate_limits), ("session", parsed.sessions), ("file_state", fresh)
+    ):
+        store.replace_rows(name, paths, ["file_path"], rows.join(paths, "file_path", "left_semi"))
 
 
 def _finish(
-    store: UsageStore, actions: DataFrame, now_ms: int, options: RefreshOptions, card: DataFrame, bad: DataFrame | None
+    store: UsageStore, actions: DataFrame, records: DataFrame | None, now_ms: int, options: RefreshOptions, card: DataFrame
 ) -> DataFrame:
+    """Catalog, run metrics and unmapped models; no fact is read for them."""
     spark = store.spark
-    records = store.read("usage_record")
-    spans = records.groupBy("file_id").agg(F.min("day_local").alias("min_day"), F.max("day_local").alias("max_day"))
+    fresh = store.read("usage_record").limit(0) if records is None else records
+    spans = fresh.groupBy("file_id").agg(F.min("day_local").alias("min_day"), F.max("day_local").alias("max_day"))
     held = store.read("file_state").select("file_path", F.lit(True).alias("has_state"))
     results = (
         actions.join(held, "file_path", "left").join(spans, "file_id", "left")
         .select("file_path", "action", F.coalesce("has_state", F.lit(False)).alias("has_state"), "min_day", "max_day")
     )
     store.overwrite("file_catalog", incremental.catalog_ingested(store.read("file_catalog"), results, now_ms))
-    counts = spark.range(1).select(F.lit(0).cast("bigint").alias("malformed"), F.lit(0).cast("bigint").alias("oversized"))
-    if bad is not None:
-        counts = bad.agg(
-            F.coalesce(F.sum("malformed_count"), F.lit(0)).alias("malformed"),
-            F.coalesce(F.sum("oversized_count"), F.lit(0)).alias("oversized"),
-        )
-    store.append("run_metrics", counts.select(
-        F.lit(now_ms).cast("bigint").alias("run_utc"), F.lit(options.full_rescan).alias("full_rescan"), "malformed", "oversized"
+    store.append("run_metrics", spark.range(1).select(
+        F.lit(now_ms).cast("bigint").alias("run_utc"), F.lit(options.full_rescan).alias("full_rescan")
     ))
-    unmapped = pricing.unmapped_models(records, card)
-    store.overwrite("unmapped_model", pricing.refresh_unmapped(store.read("unmapped_model"), unmapped, F.lit(now_ms).cast("bigint")))
+    if records is not None:
+        _unmapped(store, card, now_ms)
     return actions.select("source", "file_path", "action")
 
 
+def _unmapped(store: UsageStore, card: DataFrame, now_ms: int) -> None:
+    unmapped = pricing.unmapped_models(store.read("session_day"), card)
+    store.overwrite("unmapped_model", pricing.refresh_unmapped(store.read("unmapped_model"), unmapped, F.lit(now_ms).cast("bigint")))
+
+
 def reprice(store: UsageStore, card: DataFrame, now_ms: int) -> None:
     """Bring rollups and unmapped models to new rates without reading a log."""
-    records = store.read("usage_record")
-    daily, sessions = incremental.reprice(records, card)
+    store.recover()
+    daily, sessions = incremental.reprice(store.read("usage_record"), card)
     store.overwrite("daily_rollup", daily)
     store.overwrite("session_rollup", sessions)
-    unmapped = pricing.unmapped_models(records, card)
-    store.overwrite("unmapped_model", pricing.refresh_unmapped(store.read("unmapped_model"), unmapped, F.lit(now_ms).cast("bigint")))
+    _unmapped(store, card, now_ms)
+
+
+def tables(store: UsageStore, card: DataFrame) -> views.UsageTables:
+    """What the views read, from the store."""
+    names = ("usage_record", "tool_event")
+    return views.UsageTables(*[store.read(n) for n in names], card, store.read("daily_rollup"), store.read("session_rollup"))
+
+
+def warnings(store: UsageStore) -> DataFrame:
+    """Bad lines of all files as they are now, each counted once, and unmapped models."""
+    return views.warnings(store.read("file_state"), store.read("unmapped_model"))
 
 
 def rebuild(store: UsageStore, options: RefreshOptions, card: DataFrame, now_ms: int) -> bool:

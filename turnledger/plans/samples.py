@@ -16,7 +16,7 @@ from turnledger.schemas import TOOL_EVENT, USAGE_RECORD
 from turnledger.session import staged
 
 # Events per chunk of a rendered file, as a power of two.
-CHUNK_BITS = 18
+CHUNK_BITS = 9
 # Room for the lines of one event.
 LINES_PER_EVENT = 16
 
@@ -88,10 +88,13 @@ def as_records(turns: DataFrame) -> DataFrame:
 
 def tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool events: ``k % 4`` calls per turn."""
+    return tools_of(events(spark, sf_dir))
+
+
+def tools_of(turns: DataFrame) -> DataFrame:
     named = F.element_at(F.array(*[F.lit(n) for n in TOOL_NAMES]), (F.col("_i") % 3 + 1).cast("int"))
     return (
-        events(spark, sf_dir)
-        .withColumnRenamed("file_path", "file_id")
+        turns.withColumnRenamed("file_path", "file_id")
         .filter(F.col("k") % 4 > 0)
         .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") % 4 - 1)))
         .select(
@@ -118,7 +121,7 @@ def _fill(template: str, when: str | None = None) -> Column:
 
 # Timestamp field: usually ISO, sometimes epoch milliseconds, sometimes absent.
 _STAMP = (
-    "CASE WHEN k % 23 = 7 THEN '' WHEN k % 8 = 0 THEN concat('\"timestamp\":', ts_utc, ',') ELSE "
+    "CASE WHEN k % 23 = 7 AND k % 2 = 1 THEN '' WHEN k % 23 = 7 THEN concat('\"timestamp\":\"', ts_utc, '\",') WHEN k % 8 = 0 THEN concat('\"timestamp\":', ts_utc, ',') ELSE "
     """concat('"timestamp":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), '",') END"""
 )
 _FILLER = "CASE WHEN k % 29 = 0 THEN repeat('x', 5000) ELSE '' END"
@@ -166,6 +169,7 @@ def _codex_lines(turns: DataFrame) -> DataFrame:
             F.col("tokens"),
             _fill("<tokens>", "k % 9 <> 0 AND k % 5 = 1"),
             _fill('{"type":"event_msg","payload":{"type":"token_count",', "k % 17 = 3"),
+            _fill('<tokens>{"x":1}', "k % 13 = 5"),
         ))
     )
 
@@ -179,12 +183,12 @@ def _claude_lines(turns: DataFrame) -> DataFrame:
         for i, name in enumerate(TOOL_NAMES)
     ]
 
-    def assistant(output: str, content: str, when: str | None = None) -> Column:
+    def assistant(output: str, content: str, when: str | None = None, tail: str = "") -> Column:
         return _fill(
             '{"type":"assistant",<stamp>"sessionId":"<session_id>",<request>"uuid":"u<event_id>","cwd":"<workspace>",<side>'
             '"version":"2.0","message":{"model":"<logged_model>","stop_reason":"end_turn","usage":{"input_tokens":<input_tokens>,'
             f'"output_tokens":{output},"cache_read_input_tokens":<cache_read_tokens>,'
-            f'"cache_creation_input_tokens":<cache_creation_tokens>}},"content":[{content}]}}}}', when,
+            f'"cache_creation_input_tokens":<cache_creation_tokens>}},"content":[{content}]}}}}{tail}', when,
         )
 
     return (
@@ -197,6 +201,7 @@ def _claude_lines(turns: DataFrame) -> DataFrame:
             assistant("1", "", "k % 3 = 0"),
             assistant("<output_tokens>", "<content>"),
             _fill('{"type":"assistant","message":{"usage":{', "k % 17 = 3"),
+            assistant("7", "", "k % 13 = 5", '{"x":1}'),
         ))
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from turnledger.functions.columns import (
     NO_EFFORT,
@@ -19,6 +19,7 @@ from turnledger.operators.filters import (
     filter_daily,
     filter_records,
     filter_sessions,
+    in_days,
 )
 from turnledger.operators.pricing import long_context_keys, price_sums, unmapped_models
 from turnledger.operators.rollups import (
@@ -91,9 +92,13 @@ def session_leaderboard(sessions: DataFrame, q: UsageQuery, limit: int | None =
     return ranked.limit(limit) if limit else ranked
 
 
-def _call_counts(tools: DataFrame, *names: str) -> DataFrame:
-    # Counted per record first: the join then meets one row per record and name.
-    return tools.groupBy(F.col("record_dedup_key").alias("dedup_key"), *names).agg(
+def _call_counts(tools: DataFrame, q: UsageQuery, *names: str) -> DataFrame:
+    """Calls per record. A call has its record's day, so the range prunes days of the calls as well.
+
+    Counted per record first: the join then meets one row per record and name.
+    """
+    in_range = in_days(tools, q)
+    return in_range.groupBy(F.col("record_dedup_key").alias("dedup_key"), *names).agg(
         F.count("*").alias("_n")
     )
 
@@ -101,12 +106,13 @@ def _call_counts(tools: DataFrame, *names: str) -> DataFrame:
 def tool_usage(tools: DataFrame, records: DataFrame, q: UsageQuery) -> DataFrame:
     kept = filter_records(records, q).select("dedup_key", "source")
     counts = (
-        _call_counts(tools, "tool_name").join(kept, "dedup_key")
+        _call_counts(tools, q, "tool_name").join(kept, "dedup_key")
         .groupBy("tool_name", "source").agg(F.sum("_n").alias("count"))
     )
-    grand = counts.agg(F.sum("count").alias("_all"))
+    # One row per tool and source: the total is taken over these few, not by counting again.
+    grand = F.sum("count").over(Window.partitionBy())
     return (
-        counts.crossJoin(grand)
+        counts.withColumn("_all", grand)
         .select("tool_name", "source", "count", percent(F.col("count"), F.col("_all")).alias("share_pct"))
         .orderBy(F.col("count").desc(), "tool_name", "source")
     )
@@ -115,7 +121,7 @@ def tool_usage(tools: DataFrame, records: DataFrame, q: UsageQuery) -> DataFrame
 def tool_calls_by_day(tools: DataFrame, records: DataFrame, q: UsageQuery) -> DataFrame:
     kept = filter_records(records, q).select("dedup_key", "day_local")
     return (
-        _call_counts(tools).join(kept, "dedup_key")
+        _call_counts(tools, q).join(kept, "dedup_key")
         .groupBy("day_local").agg(F.sum("_n").alias("count")).orderBy("day_local")
     )
 
@@ -167,13 +173,10 @@ def freshness(records: DataFrame, runs: DataFrame) -> DataFrame:
     return last.crossJoin(newest)
 
 
-def warnings(runs: DataFrame, unmapped: DataFrame) -> DataFrame:
-    """Bad-line totals since the last full rescan, and one row per unmapped model."""
-    since = runs.agg(F.max(F.when(F.col("full_rescan"), F.col("run_utc"))).alias("_from"))
+def warnings(file_state: DataFrame, unmapped: DataFrame) -> DataFrame:
+    """Bad-line totals over all files as last read, and one row per unmapped model."""
     counts = (
-        runs.crossJoin(since)
-        .filter(F.col("_from").isNull() | (F.col("run_utc") >= F.col("_from")))
-        .agg(
+        file_state.agg(
             F.coalesce(F.sum("malformed"), F.lit(0)).alias("malformed_lines"),
             F.coalesce(F.sum("oversized"), F.lit(0)).alias("oversized_lines"),
         )

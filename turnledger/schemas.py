@@ -43,6 +43,7 @@ SESSION_ROLLUP = _struct(
 FILE_STATE = _struct(
     ("file_path", _S), ("file_id", _S), ("source", _S), ("size", _L), ("mtime_ms", _L),
     ("last_offset", _L), ("prefix_check", _L), ("turns", _L), ("tools", _L),
+    ("malformed", _L), ("oversized", _L),
 )
 
 RUNNING_TOTAL = _struct(
@@ -56,7 +57,21 @@ FILE_CATALOG = _struct(
 )
 
 RUN_METRICS = _struct(
-    ("run_utc", _L), ("full_rescan", _B), ("malformed", _L), ("oversized", _L),
+    ("run_utc", _L), ("full_rescan", _B),
+)
+
+# Days of each billing key, with its largest context of the day.
+SESSION_DAY = _struct(("source", _S), ("session_id", _S), ("model", _S), ("day_local", _S), ("max_context", _L))
+
+# Billing keys and days whose rollups are to be computed again.
+PENDING = _struct(("source", _S), ("session_id", _S), ("model", _S), ("day_local", _S))
+
+SESSION = _struct(
+    ("source", _S), ("file_path", _S), ("session_id", _S), ("cwd", _S), ("cli_version", _S), ("git_branch", _S),
+)
+
+RATE_LIMIT = _struct(
+    ("file_path", _S), ("ts_utc", _L), ("dedup_key", _S), ("primary_pct", _D), ("secondary_pct", _D),
 )
 
 UNMAPPED_MODEL = _struct(("model", _S), ("first_seen_utc", _L))

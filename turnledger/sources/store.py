@@ -1,16 +1,20 @@
 """Stored tables as Parquet folders.
 
-Facts are partitioned by local day. A change reads only the touched days, writes their new content
-to the shared folder, and then replaces those day partitions with dynamic partition overwrite. The
-content is complete on disk before any partition is replaced, so a run that fails half-way can be
-repeated: every step is a replacement, never an addition.
+Facts and daily rollups are partitioned by local day, the other large tables by a hash bucket of
+their key. A change reads the touched partitions only and replaces them. Every replacement is
+written down first: its content is complete in the store's own folder and a journal entry names it
+before any partition is touched, so ``recover`` can finish it after a failure. Billing keys and
+days whose rollups are not up to date yet stand in the ``pending`` table from before the facts
+change until the rollups are done. So a run can fail at any step and be repeated.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+import uuid
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from turnledger import schemas
 from turnledger.operators import incremental
@@ -21,16 +25,33 @@ TABLES: dict[str, T.StructType] = {
     "tool_event": schemas.TOOL_EVENT,
     "daily_rollup": schemas.DAILY_ROLLUP,
     "session_rollup": schemas.SESSION_ROLLUP,
+    "session_day": schemas.SESSION_DAY,
+    "session": schemas.SESSION,
+    "rate_limit": schemas.RATE_LIMIT,
     "file_state": schemas.FILE_STATE,
     "running_total": schemas.RUNNING_TOTAL,
     "file_catalog": schemas.FILE_CATALOG,
     "unmapped_model": schemas.UNMAPPED_MODEL,
     "run_metrics": schemas.RUN_METRICS,
+    "pending": schemas.PENDING,
 }
 BY_DAY = ("usage_record", "tool_event", "daily_rollup")
+# Columns whose hash gives the bucket of a row.
+BY_BUCKET = {
+    "session_rollup": ("source", "session_id"), "session_day": ("source", "session_id"), "session": ("file_path",),
+    "rate_limit": ("file_path",), "file_state": ("file_path",), "running_total": ("file_path",), "file_catalog": ("file_path",),
+}
+BUCKETS = 32
 # Kept when ingested data is cleared for a full rescan; a reset drops these too.
 KEPT_ON_CLEAR = ("run_metrics",)
 
+def part_column(name: str) -> str | None:
+    return "day_local" if name in BY_DAY else "bucket" if name in BY_BUCKET else None
+
+
+def bucket(name: str) -> Column:
+    return F.pmod(F.xxhash64(*BY_BUCKET[name]), F.lit(BUCKETS)).cast("int")
+
 
 class UsageStore:
     """Named tables under one root folder."""
@@ -42,71 +63,108 @@ class UsageStore:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, parts: Sequence[str | int] | None = None) -> DataFrame:
+        """A table, or some of its days or buckets: a literal filter, so that only they are listed and read."""
         schema = TABLES[name]
         if not self._exists(self.path(name)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path(name)).select(*schema.fieldNames())
+        stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]) if name in BY_BUCKET else schema
+        table = self.spark.read.schema(stored).parquet(self.path(name))
+        if parts is not None:
+            table = table.filter(F.col(part_column(name)).isin(list(parts)))
+        return table.select(*schema.fieldNames())
+
+    def parts_of(self, name: str, rows: DataFrame) -> list[str | int]:
+        """Days or buckets that ``rows`` fall into: as many values as the table has partitions at most."""
+        value = F.col("day_local") if name in BY_DAY else bucket(name)
+        return sorted(row[0] for row in rows.select(value.alias("p")).distinct().collect())
 
     def overwrite(self, name: str, df: DataFrame) -> None:
         """Replace a whole table; its new content may be derived from the old."""
-        content = staged(df.select(*TABLES[name].fieldNames()), name)
-        self._write(name, content, "static")
+        self._journalled(name, df, [], whole=True)
 
     def append(self, name: str, df: DataFrame) -> None:
         df.select(*TABLES[name].fieldNames()).write.mode("append").parquet(self.path(name))
 
-    def replace_days(self, name: str, days: DataFrame, df: DataFrame) -> None:
-        """Replace the partitions of ``days``; a day without rows in ``df`` loses its partition."""
-        content = staged(df.select(*TABLES[name].fieldNames()), name)
-        self._write(name, content, "dynamic")
-        # One row per calendar day touched: small whatever the size of the facts.
-        emptied = days.join(content.select("day_local").distinct(), "day_local", "left_anti")
-        self._drop(f"{self.path(name)}/day_local={row.day_local}" for row in emptied.distinct().collect())
+    def replace(self, name: str, parts: Sequence[str | int], df: DataFrame) -> None:
+        """Replace the partitions ``parts`` with ``df``, whose rows lie in them; one without rows is dropped."""
+        if parts:
+            self._journalled(name, df, parts, whole=False)
+
+    def replace_rows(self, name: str, keys: DataFrame, on: Sequence[str], df: DataFrame) -> None:
+        """In a bucketed table, replace the rows with ``keys`` (of columns ``on``) by ``df``."""
+        parts = self.parts_of(name, keys.select(*BY_BUCKET[name]))
+        kept = self.read(name, parts).join(keys.select(*on).distinct(), list(on), "left_anti")
+        self.replace(name, parts, kept.unionByName(df.select(*kept.columns)))
 
     def clear(self) -> None:
         """Drop ingested data, keep run metrics."""
-        self._drop(self.path(name) for name in TABLES if name not in KEPT_ON_CLEAR)
+        self._drop(self.path(name) for name in (*TABLES, "_journal", "_content") if name not in KEPT_ON_CLEAR)
 
     def reset(self) -> None:
         """Drop everything."""
-        self._drop(self.path(name) for name in TABLES)
+        self._drop(self.path(name) for name in (*TABLES, "_journal", "_content"))
 
     def delete_files(self, files: DataFrame) -> None:
-        """Delete the records and tool events of the given files."""
-        for name in ("tool_event", "usage_record"):
-            old = self.read(name)
-            days = staged(old.join(files, "file_id", "left_semi").select("day_local").distinct(), "days")
-            touched = old.join(days, "day_local", "left_semi")
-            self.replace_days(name, days, incremental.delete_files(touched, files))
-
-    def apply(
-        self, files: DataFrame, records: DataFrame, tools: DataFrame, keys: DataFrame | None = None
-    ) -> DataFrame:
-        """Put the rows of re-read ``files`` in the place of their old ones; return touched days.
+        """Delete the records and tool events of the given files; their rollups become pending."""
+        none = self.spark.createDataFrame([], TABLES["usage_record"])
+        self.apply(files, none, self.spark.createDataFrame([], TABLES["tool_event"]))
+
+    def apply(self, files: DataFrame, records: DataFrame, tools: DataFrame, keys: DataFrame | None = None) -> None:
+        """Put the rows of re-read ``files`` in the place of their old ones.
 
         Old rows with one of ``keys`` (by default the keys of the new records) go as well, whatever
-        file they came from.
+        file they came from. Touched billing keys and days are added to ``pending`` first.
         """
         keys = records.select("dedup_key") if keys is None else keys
-        old_records, old_tools = self.read("usage_record"), self.read("tool_event")
-        leaving = incremental.leaving_rows(old_records, files, keys)
-        days = staged(
-            leaving.select("day_local").unionByName(records.select("day_local")).distinct(), "days"
-        )
-        kept = incremental.delete_files(old_records.join(days, "day_local", "left_semi"), files)
-        kept_tools = incremental.delete_files(old_tools.join(days, "day_local", "left_semi"), files)
-        self.replace_days("tool_event", days, incremental.upsert_tools(kept_tools, keys, tools))
-        self.replace_days("usage_record", days, incremental.upsert_records(kept, records, keys))
-        return days
-
-    def _write(self, name: str, content: DataFrame, mode: str) -> None:
-        by_day = name in BY_DAY
-        if by_day:
-            # A few files per day: small days are put together, a day that is too large is split.
-            content = content.hint("rebalance", "day_local")
-        writer = content.write.mode("overwrite").option("partitionOverwriteMode", mode)
-        (writer.partitionBy("day_local") if by_day else writer).parquet(self.path(name))
+        leaving = incremental.leaving_rows(self.read("usage_record"), files, keys)
+        moved = staged(incremental.touched_days(leaving, records), "moved")
+        if moved.isEmpty():
+            return
+        self.append("pending", moved)
+        days = self.parts_of("usage_record", moved)
+        kept = incremental.delete_files(self.read("usage_record", days), files)
+        kept_tools = incremental.delete_files(self.read("tool_event", days), files)
+        self.replace("tool_event", days, incremental.upsert_tools(kept_tools, keys, tools))
+        self.replace("usage_record", days, incremental.upsert_records(kept, records, keys))
+
+    def done_pending(self) -> None:
+        """The rollups hold what ``pending`` names."""
+        self._drop([self.path("pending")])
+
+    def recover(self) -> None:
+        """Finish the replacements that a failed run left; each gives the same however often it is done."""
+        for entry in self._listed(self.path("_journal")):
+            if not entry.endswith(".tmp"):
+                self._put(entry)
+            self._drop([entry])
+        # Content without an entry was never begun to be put in place.
+        self._drop([self.path("_content")])
+
+    def _journalled(self, name: str, df: DataFrame, parts: Sequence[str | int], whole: bool) -> None:
+        mark = uuid.uuid4().hex
+        content, entry = f"{self.path('_content')}/{name}-{mark}", f"{self.path('_journal')}/{name}-{mark}"
+        rows = df.select(*TABLES[name].fieldNames())
+        if name in BY_BUCKET:
+            rows = rows.withColumn("bucket", bucket(name))
+        rows.write.parquet(content)
+        self._note(entry, json.dumps({"name": name, "content": content, "parts": [str(p) for p in parts], "whole": whole}))
+        self._put(entry)
+        self._drop([entry, content])
+
+    def _put(self, entry: str) -> None:
+        note = json.loads(self._noted(entry))
+        name, column = note["name"], part_column(note["name"])
+        fields = TABLES[name].fields + ([T.StructField("bucket", T.IntegerType())] if name in BY_BUCKET else [])
+        content = self.spark.read.schema(T.StructType(fields)).parquet(note["content"])
+        if column:
+            # A few files per partition: small ones are put together, one that is too large is split.
+            content = content.hint("rebalance", column)
+        writer = content.write.mode("overwrite").option("partitionOverwriteMode", "static" if note["whole"] else "dynamic")
+        (writer.partitionBy(column) if column else writer).parquet(self.path(name))
+        if note["parts"]:
+            held = {str(row[0]) for row in content.select(column).distinct().collect()}
+            self._drop(f"{self.path(name)}/{column}={part}" for part in note["parts"] if part not in held)
 
     def _files(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -114,12 +172,31 @@ class UsageStore:
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         return target.getFileSystem(conf), target
 
+    def _note(self, path: str, text: str) -> None:
+        """Write a small file; it appears whole, by a rename."""
+        fs, target = self._files(path)
+        _, begun = self._files(f"{path}.tmp")
+        out = fs.create(begun, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.rename(begun, target)
+
+    def _noted(self, path: str) -> str:
+        fs, target = self._files(path)
+        reader = fs.open(target)
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(reader, "UTF-8")
+        reader.close()
+        return text
+
     def _exists(self, path: str) -> bool:
         fs, target = self._files(path)
         return fs.exists(target)
 
+    def _listed(self, path: str) -> list[str]:
+        fs, target = self._files(path)
+        return [str(status.getPath()) for status in fs.listStatus(target)] if fs.exists(target) else []
+
     def _drop(self, paths: Iterable[str]) -> None:
         for path in paths:
             fs, target = self._files(path)
             fs.delete(target, True)
-

@@ -9,39 +9,50 @@ from pyspark.sql.streaming import StreamingQuery
 
 from turnledger.functions.columns import TOKEN_COLUMNS, instant
 from turnledger.operators import incremental
-from turnledger.session import staged
 from turnledger.sources.store import UsageStore
 
-WATERMARK = "1 day"
 _MEASURES = (*TOKEN_COLUMNS, "total_tokens")
 
 
-def timed(records: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    return records.withColumn("event_time", instant(F.col("ts_utc"))).withWatermark("event_time", watermark)
+def deduplicated(records: DataFrame, watermark: str | None = None) -> DataFrame:
+    """First record per key, at any age; run it after requests are collapsed.
 
-
-def deduplicated(records: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """First record per key within the watermark; run it after requests are collapsed."""
-    return timed(records, watermark).dropDuplicatesWithinWatermark(["dedup_key"])
+    All keys stay in the state store, which should be on disk (RocksDB). ``watermark`` bounds the
+    state instead, at a price: keys come back after it, and records that are later than it are lost.
+    """
+    if watermark is None:
+        return records.dropDuplicates(["dedup_key"])
+    timed = records.withColumn("event_time", instant(F.col("ts_utc"))).withWatermark("event_time", watermark)
+    return timed.dropDuplicatesWithinWatermark(["dedup_key"])
 
 
-def tumbling(records: DataFrame, width: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
-    """Sums per window and source. The sums are partial before the shuffle, so one busy source
-    does not put its rows into one task."""
+def window_sums(records: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Sums per window and source of one batch. The sums are partial before the shuffle, so one
+    busy source does not put its rows into one task."""
     return (
-        timed(records, watermark)
-        .groupBy(F.window("event_time", width), "source")
+        records.groupBy(F.window(instant(F.col("ts_utc")), width), "source")
         .agg(*[F.sum(c).alias(c) for c in _MEASURES], F.count("*").alias("turns"))
         .select(F.unix_millis("window.start").alias("window_start_utc"), "source", *_MEASURES, "turns")
     )
 
 
-def latest_windows(updates: DataFrame) -> DataFrame:
-    """Last state of each window from the appended update batches (``batch`` tells their order)."""
-    values = F.struct(*_MEASURES, "turns")
+def window_totals(parts: DataFrame) -> DataFrame:
+    """Windows over all batches so far: sums add up, so a late record counts whenever it comes."""
+    return parts.groupBy("window_start_utc", "source").agg(*[F.sum(c).alias(c) for c in (*_MEASURES, "turns")])
+
+
+def into_windows(records: DataFrame, folder: str, checkpoint: str, width: str = "1 hour") -> StreamingQuery:
+    """Write the window sums of every batch to a folder of its own; see ``window_totals``.
+
+    No state and no watermark: a window never closes, and a repeated batch overwrites its folder.
+    """
+
+    def handle(batch_rows: DataFrame, batch: int) -> None:
+        window_sums(batch_rows, width).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
     return (
-        updates.groupBy("window_start_utc", "source").agg(F.max_by(values, "batch").alias("_v"))
-        .select("window_start_utc", "source", "_v.*")
+        records.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
@@ -60,14 +71,13 @@ def into_folder(updates: DataFrame, folder: str, checkpoint: str, mode: str = "u
 def into_store(store: UsageStore, card: DataFrame) -> Callable[[DataFrame, DataFrame, DataFrame, int], None]:
     """Batch handler: replace turns by key in the store, then compute the touched rollups afresh.
 
-    Every step is a replacement, so a batch that is delivered again changes nothing.
+    Every step is a replacement that a later call finishes if this one fails, so a batch that is
+    delivered again changes nothing.
     """
 
     def handle(records: DataFrame, tools: DataFrame, keys: DataFrame, batch: int) -> None:
-        no_files = records.select("file_id").limit(0)
-        leaving = incremental.leaving_rows(store.read("usage_record"), no_files, keys)
-        touched = staged(incremental.touched_sessions(leaving, records), "touched")
-        days = store.apply(no_files, records, tools, keys)
-        incremental.refresh_rollups(store, touched, days, card)
+        store.recover()
+        store.apply(records.select("file_id").limit(0), records, tools, keys)
+        incremental.refresh_rollups(store, card)
 
     return handle

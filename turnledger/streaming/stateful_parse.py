@@ -18,9 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from turnledger.operators import claude, codex, normalize
-from turnledger.operators.logrows import FILE_KEYS, json_doc
+from turnledger.operators.logrows import FILE_KEYS, parsed_lines, quality
 from turnledger.operators.ordered import scan
-from turnledger.sources.lines import line_text
+from turnledger.sources.lines import DEFAULT_MAX_LINE_BYTES, is_oversized, line_text
 
 # Bytes of a file per chunk, as a power of two.
 CHUNK_BITS = 27
@@ -31,12 +31,15 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
 
-def _typed(lines: DataFrame, source: ModuleType) -> DataFrame:
-    hit = lines.filter(source.keyword(F.col("value"))).select(
-        *FILE_KEYS, F.shiftright("line_offset", CHUNK_BITS).alias("chunk"), F.col("line_offset").alias("pos"),
-        "line_offset", json_doc(line_text(), source.SCHEMA).alias("doc"),
+def _judged(lines: DataFrame, source: ModuleType, max_line_bytes: int) -> DataFrame:
+    """Rows cut down as the batch parse does: the same limit, keyword and JSON rules."""
+    oversized = is_oversized(max_line_bytes)
+    cut = lines.select(
+        *FILE_KEYS, F.shiftright("line_offset", CHUNK_BITS).alias("chunk"), F.col("line_offset").alias("pos"), "line_offset",
+        oversized.alias("oversized"), F.when(~oversized & source.keyword(F.col("value")), line_text()).alias("candidate"),
     )
-    return source.extract(hit).drop("doc").filter(F.col("kind").isNotNull())
+    rows = source.extract(parsed_lines(cut, source.SCHEMA)).drop("doc", "candidate")
+    return rows.filter(F.col("kind").isNotNull() | F.col("malformed") | F.col("oversized"))
 
 
 def _last(rows: DataFrame, keys: list[str], *names: str) -> DataFrame:
@@ -52,9 +55,10 @@ def _in_front(rows: DataFrame) -> DataFrame:
 class BatchParser:
     """Parses batches of lines one after another; their ids count up from 0."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.max_line_bytes = max_line_bytes
 
     def _keep(self, batch: int, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}/batch={batch}"
@@ -95,8 +99,19 @@ class BatchParser:
         rows = self.spark.read.parquet(f"{self.folder}/{name}")
         return rows.join(latest, [key, "batch"], "left_semi").drop("batch")
 
+    def quality(self) -> DataFrame:
+        """Malformed and oversized lines per file, over all batches so far."""
+        counts = [F.sum(c).alias(c) for c in ("malformed_count", "oversized_count")]
+        return self.spark.read.parquet(f"{self.folder}/quality").groupBy(*FILE_KEYS).agg(*counts)
+
+    def _typed(self, lines: DataFrame, source: ModuleType, batch: int) -> DataFrame:
+        """Typed rows of one source; its bad lines are counted on the way."""
+        rows = self._keep(batch, f"{source.SOURCE}_rows", _judged(lines, source, self.max_line_bytes))
+        self._keep(batch, f"quality/source_rows={source.SOURCE}", quality(rows))
+        return rows.filter(F.col("kind").isNotNull()).drop("malformed", "oversized")
+
     def _codex(self, lines: DataFrame, batch: int) -> tuple[DataFrame, DataFrame]:
-        typed = self._keep(batch, "codex_typed", _typed(lines, codex))
+        typed = self._typed(lines, codex, batch)
         added = F.when(F.col("kind") == "tool", 1).when(F.col("kind") == "state", F.col("calls_so_far")).otherwise(0)
         rows = self._with_state(batch, "codex_context", typed.withColumn("calls_so_far", _long(0)))
         carried = self._keep(
@@ -141,7 +156,7 @@ class BatchParser:
         return tokens, codex.given_calls(given)
 
     def _claude(self, lines: DataFrame, batch: int) -> DataFrame:
-        typed = _typed(lines, claude).select(*FILE_KEYS, "chunk", "pos", "line_offset", "turn.*")
+        typed = self._typed(lines, claude, batch).select(*FILE_KEYS, "chunk", "pos", "line_offset", "turn.*")
         rows = self._keep(batch, "claude_typed", self._with_state(batch, "claude_open", typed))
         request = F.col("request_id")
         edged = self._keep(batch, "claude_edged", scan(
@@ -157,9 +172,9 @@ class BatchParser:
 
 
 def start(lines: DataFrame, folder: str, checkpoint: str, on_batch: Callable[[DataFrame, DataFrame, DataFrame, int], None] | None = None,
-          **trigger: object) -> StreamingQuery:
+          max_line_bytes: int = DEFAULT_MAX_LINE_BYTES, **trigger: object) -> StreamingQuery:
     """Parse a stream of lines; ``on_batch`` receives records, tool events and keys of each batch."""
-    parser = BatchParser(lines.sparkSession, folder)
+    parser = BatchParser(lines.sparkSession, folder, max_line_bytes)
 
     def handle(batch_lines: DataFrame, batch: int) -> None:
         output = parser.run(batch_lines, batch)
