@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from turnledger.llm.html_blocks import Block, blocks
 from turnledger.llm.labelled_pages import labelled_pages
+from turnledger.llm.text import bound_batches
 
 _HINTS = ("cookie", "subscribe", "newsletter", "copyright", "©", "rights reserved", "sign up", "privacy", "share", "comment", "reply", "advert")
 
@@ -160,5 +161,6 @@ def extract(html: Column, model: Model) -> Column:
 
 def with_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """Add ``text`` and ``n_chars`` (code points) to the rows of ``pages``, replacing columns of those names."""
+    bound_batches(pages)
     found = pages.withColumn("text", extract(F.col("html"), model or train()))
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.llm.text import text_bytes
+from turnledger.llm.text import bound_batches, text_bytes
 
 #: First and last code point of the scripts told apart (Unicode blocks).
 SCRIPTS = (
@@ -34,7 +34,7 @@ N_SCRIPTS = 32  # number 0 is any other script
 NONE = "und"
 BUCKETS = 1 << 16
 _CUT = 400_000  # code points scored at once
-_WORDS = 1_200_000  # words decoded at once
+_WORDS = 600_000  # words decoded at once
 
 
 def code_point_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +137,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     The model's size is fixed: a table of 65,536 trigram buckets per language. Counts are summed up
     per partition and then by Spark, so no text and no open-ended vocabulary reaches the driver.
     """
+    bound_batches(docs)
     letter, scripts = code_point_tables()
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).dropna()
     counted = labelled.mapInArrow(_count_rows(letter, scripts), "lang string, kind long, bucket long, n long")
@@ -247,7 +248,8 @@ def identify(text: Column, model: Model, penalty: float = 12.0) -> Column:
         paths = viterbi([h[0] for h in held], penalty) if held and model.languages else [np.zeros(0, int)] * len(held)
         return [_label(p, first, length, model.languages) for p, (_, first, length) in zip(paths, held, strict=True)]
 
-    return label(text)
+    # Else a filter on the result would run the function twice.
+    return label.asNondeterministic()(text)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -262,10 +264,5 @@ def train_on_rest(docs: DataFrame) -> Model:
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """Add ``language`` (see ``identify``) to the rows of ``docs``, replacing a column of that name."""
+    bound_batches(docs)
     return docs.withColumn("language", identify(F.col("text"), model))
-
-
-def with_letters(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that a language was found in, with their columns unchanged."""
-    found = docs.withColumn("_language_found", identify(F.col("text"), model)["lang"])
-    return found.filter(F.col("_language_found") != NONE).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm import anchors
-from turnledger.llm.text import text_bytes, with_key, word_codes
+from turnledger.llm.text import bound_batches, text_bytes, with_key, word_codes
 from turnledger.session import staged
 
 SPAN_SCHEMA = "_doc_key long, _text_key long, first int, count int, anchor long, content long, inner boolean"
@@ -39,7 +39,7 @@ class Windows:
     words: bool  # symbols are words, else bytes
     earlier_only: bool  # repeats count if they start in a document with a smaller id
     longest: int = 512  # windows of a span
-    chunk: int = 1 << 19  # symbols handled at once
+    chunk: int = 1 << 18  # symbols handled at once
     group_rows: int = 20_000  # spans of an anchor that one task sorts
 
 
@@ -218,6 +218,7 @@ def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
     Documents without any are absent. Spans may overlap and are in no order. Rows with a null id
     take part for byte windows; for ``earlier_only`` they neither lose nor take anything.
     """
+    bound_batches(docs)
     keyed = with_key(docs.select("doc_id", "text"))
     texts = keyed.select("_doc_key", "_text_key", "text")
     known = keyed.filter("doc_id IS NOT NULL") if spec.earlier_only else keyed

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.components import stars
-from turnledger.llm.text import with_key
+from turnledger.llm.text import bound_batches, with_key
 from turnledger.session import staged
 
 BLOCK = 768  # fingerprints compared directly
@@ -196,6 +196,7 @@ def near_duplicates(docs: DataFrame, reach: int = 3) -> DataFrame:
     other); repeated rows give repeated rows; an empty table gives an empty result; other columns
     are ignored.
     """
+    bound_batches(docs)
     keyed = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     columns = "_doc_key long, _text_key long, doc_id long, print long"
     prints = staged(keyed.select("_doc_key", "_text_key", "doc_id", "text").mapInPandas(_fingerprints, columns), "prints")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Words are runs of bytes outside space and the five ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: Stands for a null id inside keys, so that joins on it need no null handling.
 NO_ID = -(2**63)
 
@@ -25,6 +27,16 @@ def with_key(docs: DataFrame) -> DataFrame:
     })
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Bound the bytes of an Arrow batch, where the session names no bound: texts can be long.
+
+    Workers then hold some megabytes of texts at a time, whatever ten thousand rows come to.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, "4m")
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each value of a string column; nulls are empty."""
     for value in column.cast(pa.large_binary()):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnledger.llm import anchors
-from turnledger.llm.text import word_codes
+from turnledger.llm.text import bound_batches, word_codes
 from turnledger.session import staged
 
 SYMBOLS = b"#*$%&|<>"
@@ -154,6 +154,7 @@ def judge(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
     Columns of ``docs`` with the names of results are replaced.
     """
     spark = docs.sparkSession
+    bound_batches(docs)
     votes = rules()
     results = [*METRICS, "base_failed", "probability", "kept", *[f"vote_{name}" for name in votes]]
     measured = docs.drop(*results).withColumn("_metrics", metrics(F.col("text"))).select("*", "_metrics.*").drop("_metrics")
