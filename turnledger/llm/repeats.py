@@ -224,17 +224,17 @@ def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
     known = keyed.filter("doc_id IS NOT NULL") if spec.earlier_only else keyed
     cut = known.select("_doc_key", "_text_key", "text").mapInArrow(_span_rows(spec), SPAN_SCHEMA)
     table = staged(cut, "spans")
-    seen = table.groupBy("anchor").agg(
-        F.count("*").alias("runs"), F.min("_doc_key").alias("low"), F.max("_doc_key").alias("high"),
-        F.min("content").alias("c0"), F.max("content").alias("c1"), F.max("inner").alias("twice"),
-    )
+    facts = [F.min("content").alias("c0"), F.max("content").alias("c1"), F.count("*").alias("runs")]
     if spec.earlier_only:
-        seen = seen.filter("low < high").withColumn("alike", F.expr("c0 = c1"))
+        facts += [F.min("_doc_key").alias("low"), F.max("_doc_key").alias("high")]
+        repeats, alike, loses = F.expr("low < high"), F.expr("c0 = c1"), F.expr("low < _doc_key")
+        table = table.drop("inner")
     else:
-        seen = seen.filter("runs > 1 OR twice").withColumn("alike", F.expr("c0 = c1 AND NOT twice"))
-    seen = seen.select("anchor", "low", "alike", (F.col("runs") > spec.group_rows).alias("large"))
+        facts += [F.max("inner").alias("twice")]
+        repeats, alike, loses = F.expr("runs > 1 OR twice"), F.expr("c0 = c1 AND NOT twice"), F.lit(True)
+    seen = table.groupBy("anchor").agg(*facts).filter(repeats).withColumns({"alike": alike, "large": F.col("runs") > spec.group_rows})
+    seen = seen.drop("c0", "c1", "runs", "high", "twice")
     shared = staged(table.drop("inner").join(seen, "anchor"), "shared")
-    loses = F.col("low") < F.col("_doc_key") if spec.earlier_only else F.lit(True)
     plain = shared.filter(F.col("alike") & loses).select(
         "_doc_key", "_text_key", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + spec.window).alias("stop")
     )
