@@ -7,15 +7,19 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from turnledger.session import build_session
+from turnledger.sources import store
 from turnledger.sources.rates import default_card
 
+# The tests' stores hold a few rows: two buckets show all that many would.
+store.BUCKETS = 2
+
 
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
         "tests", "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
             # The tests' tables hold a few rows each: compiling their plans costs more than running them.
             "spark.sql.codegen.wholeStage": "false",
             "spark.sql.codegen.factoryMode": "NO_CODEGEN",

@@ -416,7 +416,7 @@ def a03_file_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a03_file_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return rollups.with_usd(rollups.file_sessions(samples.records(spark, sf), rates.default_card(spark))).drop("peak_context_fill")
+    return rollups.with_usd(rollups.file_sessions(samples.records(spark, sf), rates.default_card(spark)))
 
 
 @query
@@ -441,7 +441,7 @@ def a04_merged_contributions(spark: SparkSession, sf: str) -> DataFrame:
 def a05_merged_sessions(spark: SparkSession, sf: str) -> DataFrame:
     card = rates.default_card(spark)
     first, second = (rollups.session_rollup(part, card) for part in _halves(spark, sf))
-    return rollups.with_usd(rollups.merge_sessions(first, second)).drop("workspace")
+    return rollups.with_usd(rollups.merge_sessions(first, second))
 
 
 @query
@@ -564,16 +564,30 @@ def q13_latest_rate_limit(spark: SparkSession, sf: str) -> DataFrame:
     return views.latest_rate_limit(_parsed(spark, sf).rate_limits)
 
 
+# Key columns and measures of the dashboard's parts.
+DASHBOARD_CELLS = {
+    "series": (("day_local", "source", "variant_id", "workspace"), ("total_tokens", "turns", "cost_usd")),
+    "variants": (("variant_id", "source"), ("total_tokens", "cost_usd")),
+    "sessions": (("source", "session_id", "workspace"), ("total_tokens", "turns", "cost_usd", "peak_context_fill")),
+    "tools": (("tool_name", "source"), ("count", "share_pct")),
+    "tool_calls_by_day": (("day_local",), ("count",)),
+    "hourly_series": (("day_local", "hour_local"), ("total_tokens", "turns", "cost_usd")),
+}
+
+
 @query
 def q14_dashboard(spark: SparkSession, sf: str) -> DataFrame:
-    """Row count of every part of the dashboard."""
+    """All values of the dashboard, one row per part, key and measure."""
     tables = _tables(spark, sf)
     tables.daily, tables.sessions = staged(tables.daily, "daily"), staged(tables.sessions, "sessions")
-    parts = views.dashboard(tables, TWO_DAYS)
     out = None
-    for name, part in parts.items():
-        size = part.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("part"), "row_count")
-        out = size if out is None else out.unionByName(size)
+    for name, part in views.dashboard(tables, TWO_DAYS).items():
+        keys, measures = DASHBOARD_CELLS[name]
+        cells = part.select(
+            F.lit(name).alias("part"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"),
+            *[F.col(m).cast("double").alias(m) for m in measures],
+        ).unpivot(["part", "key"], list(measures), "measure", "value")
+        out = cells if out is None else out.unionByName(cells)
     return out
 
 

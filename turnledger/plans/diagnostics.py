@@ -15,8 +15,9 @@ def _long_context(records: DataFrame, card: DataFrame) -> DataFrame:
     return above_threshold(records).join(card, "model", "left")
 
 
-def _by_size(rows: DataFrame, *ties: str) -> DataFrame:
-    return rows.orderBy(F.col("max_context_used_tokens").desc(), F.col("turns").desc(), *ties).limit(MAX_ROWS)
+def _by_size(rows: DataFrame, limit: int | None, *ties: str) -> DataFrame:
+    ranked = rows.orderBy(F.col("max_context_used_tokens").desc(), F.col("turns").desc(), *ties)
+    return ranked.limit(limit) if limit else ranked
 
 
 def _long_context_totals() -> list[Column]:
@@ -27,29 +28,29 @@ def _long_context_totals() -> list[Column]:
     ]
 
 
-def long_context_applied(records: DataFrame, card: DataFrame) -> DataFrame:
+def long_context_applied(records: DataFrame, card: DataFrame, limit: int | None = MAX_ROWS) -> DataFrame:
     """Models billed at a long-context rate: sessions, turns above the threshold, largest context."""
     hit = _long_context(records, card).filter(F.col("long_rate").isNotNull())
     rows = hit.groupBy("model", long_context_id(F.col("model")).alias("effective_model")).agg(*_long_context_totals())
-    return _by_size(rows, "model")
+    return _by_size(rows, limit, "model")
 
 
-def long_context_missing(records: DataFrame, card: DataFrame) -> DataFrame:
+def long_context_missing(records: DataFrame, card: DataFrame, limit: int | None = MAX_ROWS) -> DataFrame:
     """Models above the threshold without a long-context rate."""
     missed = _long_context(records, card).filter(F.col("long_rate").isNull())
-    return _by_size(missed.groupBy("model").agg(*_long_context_totals()), "model")
+    return _by_size(missed.groupBy("model").agg(*_long_context_totals()), limit, "model")
 
 
-def midnight_sessions(sessions: DataFrame) -> DataFrame:
+def midnight_sessions(sessions: DataFrame, limit: int | None = MAX_ROWS) -> DataFrame:
     """Sessions whose first and last local day differ, by cost."""
     first, last = local_day(F.col("first_ts_utc")), local_day(F.col("last_ts_utc"))
-    return (
+    ranked = (
         with_usd(sessions.filter(first != last))
         .select("source", "session_id", "workspace", first.alias("first_day"), last.alias("last_day"),
                 "total_tokens", "cost_usd")
         .orderBy(F.col("cost_usd").desc(), "source", "session_id")
-        .limit(MAX_ROWS)
     )
+    return ranked.limit(limit) if limit else ranked
 
 
 def folder_day(path: Column) -> Column:

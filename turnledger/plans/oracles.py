@@ -315,7 +315,6 @@ _TOKEN_SUMS = ", ".join(f"CAST(SUM({c}) AS BIGINT) AS {c}" for c in _TOKENS)
 _add("a03_file_sessions", f"""
 SELECT s.*, t.* EXCLUDE (source, session_id) FROM (SELECT {_SESS} FROM sess) s
 JOIN (SELECT source, session_id, MIN(file_id) AS file_id, {_TOKEN_SUMS} FROM rec GROUP BY source, session_id) t USING (source, session_id)""")
-ORACLES["a03_file_sessions"] = ORACLES["a03_file_sessions"].replace("SELECT s.*", "SELECT s.* EXCLUDE (peak_context_fill)")
 _add("a03_file_counts", """
 SELECT file_id, CAST(COUNT(*) AS BIGINT) AS turns, CAST(SUM(k % 4) AS BIGINT) AS tools FROM rec GROUP BY file_id""")
 _HALF = """
@@ -331,11 +330,14 @@ _add("a04_merged_contributions", f"""{_HALF}
 SELECT day_local, source, variant_id, MIN(model) AS base_model, workspace, {_SUMS}, CAST(COUNT(*) AS BIGINT) AS turns,
   CAST(SUM(half_nano) AS DOUBLE) / 1e9 AS cost_usd, CAST(SUM(CASE WHEN cost_unknown THEN 1 ELSE 0 END) AS BIGINT) AS unknown_cost_turns
 FROM half GROUP BY day_local, source, variant_id, workspace""")
-_add("a05_merged_sessions", f"""{_HALF}
-SELECT source, session_id, MIN(ts_utc) AS first_ts_utc, MAX(ts_utc) AS last_ts_utc, CAST(COUNT(*) AS BIGINT) AS turns,
+_add("a05_merged_sessions", f"""{_HALF},
+half_model AS (SELECT source, session_id, hour_local < 12 AS early, model, MAX(workspace) AS w FROM half GROUP BY ALL),
+half_named AS (SELECT source, session_id, early, arg_min(w, model) AS w FROM half_model GROUP BY ALL),
+named AS (SELECT source, session_id, arg_max(w, CASE WHEN early THEN 0 ELSE 1 END) AS workspace FROM half_named GROUP BY ALL)
+SELECT source, session_id, any_value(workspace_later) AS workspace, MIN(ts_utc) AS first_ts_utc, MAX(ts_utc) AS last_ts_utc, CAST(COUNT(*) AS BIGINT) AS turns,
   CAST(SUM(total_tokens) AS BIGINT) AS total_tokens, CAST(SUM(half_nano) AS DOUBLE) / 1e9 AS cost_usd, MAX(context_used_tokens) / 1000000 AS peak_context_fill,
   CAST(SUM(CASE WHEN is_sidechain THEN total_tokens ELSE 0 END) AS BIGINT) AS sidechain_tokens
-FROM half GROUP BY source, session_id""")
+FROM half JOIN (SELECT source, session_id, workspace AS workspace_later FROM named) USING (source, session_id) GROUP BY source, session_id""")
 _add("a06_subtract_file", f"""
 SELECT day_local, source, variant_id, MIN(model) AS base_model, workspace, {_SUMS}, CAST(COUNT(*) AS BIGINT) AS turns,
   CAST(SUM(nano) AS DOUBLE) / 1e9 AS cost_usd, CAST(SUM(CASE WHEN cost_unknown THEN 1 ELSE 0 END) AS BIGINT) AS unknown_cost_turns
@@ -420,13 +422,25 @@ UNION ALL SELECT 'oversized_lines', '', COUNT(*) FROM log WHERE n_bytes - 1 > 40
 UNION ALL SELECT DISTINCT 'unmapped_model', model, 1 FROM rec WHERE model = 'unlisted-model'""")
 _log("q13_latest_rate_limit", """
 SELECT ts_utc, CAST(k AS DOUBLE) AS primary_pct, CAST(k % 7 AS DOUBLE) AS secondary_pct FROM cx_turn WHERE timed ORDER BY ts_utc DESC, dedup_key DESC LIMIT 1""")
-_add("q14_dashboard", f"""
-SELECT 'series' AS part, CAST(COUNT(*) AS BIGINT) AS row_count FROM daily WHERE {_TWO_DAYS}
-UNION ALL SELECT 'variants', COUNT(DISTINCT (variant_id, source)) FROM daily WHERE {_TWO_DAYS}
-UNION ALL SELECT 'sessions', LEAST(20, COUNT(*)) FROM sess WHERE first_ts_utc <= 1706572799999 AND last_ts_utc >= 1706400000000
-UNION ALL SELECT 'tools', COUNT(DISTINCT (tool_name, source)) FROM tool WHERE {_TWO_DAYS}
-UNION ALL SELECT 'tool_calls_by_day', COUNT(DISTINCT day_local) FROM tool WHERE {_TWO_DAYS}
-UNION ALL SELECT 'hourly_series', COUNT(DISTINCT (day_local, hour_local)) FROM rec WHERE {_TWO_DAYS}""")
+
+
+def _cells(part: str, rows: str, keys: str, *measures: str) -> str:
+    """One row per key and measure of a part of the dashboard."""
+    return " UNION ALL ".join(
+        f"SELECT '{part}' AS part, concat_ws('|', {keys}) AS key, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM ({rows})" for m in measures
+    )
+
+
+_add("q14_dashboard", "\nUNION ALL ".join((
+    _cells("series", f"SELECT {_DAILY} FROM daily WHERE {_TWO_DAYS}", "day_local, source, variant_id, workspace", "total_tokens", "turns", "cost_usd"),
+    _cells("variants", f"SELECT variant_id, source, SUM(total_tokens) AS total_tokens, CAST(SUM(nano) AS DOUBLE) / 1e9 AS cost_usd FROM daily WHERE {_TWO_DAYS} GROUP BY ALL",
+           "variant_id, source", "total_tokens", "cost_usd"),
+    _cells("sessions", f"SELECT {_SESS} FROM sess WHERE first_ts_utc <= 1706572799999 AND last_ts_utc >= 1706400000000 ORDER BY cost_usd DESC, source, session_id LIMIT 20",
+           "source, session_id, workspace", "total_tokens", "turns", "cost_usd", "peak_context_fill"),
+    _cells("tools", _USAGE.replace(_MONTH, _TWO_DAYS), "tool_name, source", "count", "share_pct"),
+    _cells("tool_calls_by_day", f"SELECT day_local, COUNT(*) AS count FROM tool WHERE {_TWO_DAYS} GROUP BY ALL", "day_local", "count"),
+    _cells("hourly_series", f"{_HOURLY} WHERE {_TWO_DAYS} GROUP BY day_local, hour_local", "day_local, hour_local", "total_tokens", "turns", "cost_usd"),
+)))
 _add("q15_day_total", f"SELECT {_SUMS}, CAST(SUM(turns) AS BIGINT) AS turns, CAST(SUM(nano) AS DOUBLE) / 1e9 AS cost_usd FROM daily WHERE day_local = '2024-01-30'")
 
 # --- period analytics ----------------------------------------------------------------------------

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from turnledger.operators import incremental, normalize, pricing
 from turnledger.operators.incremental import APPEND, REINGEST, SKIP
 from turnledger.operators.logrows import FILE_KEYS
-from turnledger.operators.rollups import file_counts
-from turnledger.plans import views
+from turnledger.operators.rollups import file_counts, file_daily, file_sessions
+from turnledger.plans import diagnostics, views
 from turnledger.session import staged
 from turnledger.sources import inventory, lines as line_source
 from turnledger.sources.store import UsageStore
@@ -161,6 +161,19 @@ def tables(store: UsageStore, card: DataFrame) -> views.UsageTables:
     return views.UsageTables(*[store.read(n) for n in names], card, store.read("daily_rollup"), store.read("session_rollup"))
 
 
+def report(store: UsageStore, card: DataFrame, audit: DataFrame) -> dict[str, DataFrame]:
+    """All diagnostics from the store alone; ``audit`` tells where the rates come from."""
+    records = store.read("usage_record")
+    return diagnostics.full_report(
+        audit, records, store.read("session_rollup"), file_daily(records, card), file_sessions(records, card),
+        store.read("running_total"), card,
+    )
+
+
+def latest_rate_limit(store: UsageStore) -> DataFrame:
+    return views.latest_rate_limit(store.read("rate_limit"))
+
+
 def warnings(store: UsageStore) -> DataFrame:
     """Bad lines of all files as they are now, each counted once, and unmapped models."""
     return views.warnings(store.read("file_state"), store.read("unmapped_model"))

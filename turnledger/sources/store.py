@@ -147,7 +147,8 @@ class UsageStore:
         rows = df.select(*TABLES[name].fieldNames())
         if name in BY_BUCKET:
             rows = rows.withColumn("bucket", bucket(name))
-        rows.write.parquet(content)
+        column = part_column(name)
+        (rows.write.partitionBy(column) if column else rows.write).parquet(content)
         self._note(entry, json.dumps({"name": name, "content": content, "parts": [str(p) for p in parts], "whole": whole}))
         self._put(entry)
         self._drop([entry, content])
@@ -163,7 +164,7 @@ class UsageStore:
         writer = content.write.mode("overwrite").option("partitionOverwriteMode", "static" if note["whole"] else "dynamic")
         (writer.partitionBy(column) if column else writer).parquet(self.path(name))
         if note["parts"]:
-            held = {str(row[0]) for row in content.select(column).distinct().collect()}
+            held = {folder.rpartition("=")[2] for folder in self._listed(note["content"])}
             self._drop(f"{self.path(name)}/{column}={part}" for part in note["parts"] if part not in held)
 
     def _files(self, path: str):
