@@ -66,6 +66,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``staged`` wrote for ``df``, once nothing reads it any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files or "/turnledger-" not in files[0]:
+        df.unpersist()
+        return
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Add a broadcast hint only after counting at most ``max_rows + 1`` rows of ``df``.
 
