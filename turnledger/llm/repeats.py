@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from turnledger.llm import anchors
 from turnledger.llm.text import bound_batches, text_bytes, with_key, word_codes
-from turnledger.session import staged
+from turnledger.session import discard, staged
 
 SPAN_SCHEMA = "_doc_key long, _text_key long, first int, count int, anchor long, content long, inner boolean"
 
@@ -223,7 +223,8 @@ def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
     texts = keyed.select("_doc_key", "_text_key", "text")
     known = keyed.filter("doc_id IS NOT NULL") if spec.earlier_only else keyed
     cut = known.select("_doc_key", "_text_key", "text").mapInArrow(_span_rows(spec), SPAN_SCHEMA)
-    table = staged(cut, "spans")
+    whole = staged(cut, "spans")
+    table = whole
     facts = [F.min("content").alias("c0"), F.max("content").alias("c1"), F.count("*").alias("runs")]
     if spec.earlier_only:
         facts += [F.min("_doc_key").alias("low"), F.max("_doc_key").alias("high")]
@@ -235,6 +236,7 @@ def repeated(docs: DataFrame, spec: Windows) -> DataFrame:
     seen = table.groupBy("anchor").agg(*facts).filter(repeats).withColumns({"alike": alike, "large": F.col("runs") > spec.group_rows})
     seen = seen.drop("c0", "c1", "runs", "high", "twice")
     shared = staged(table.drop("inner").join(seen, "anchor"), "shared")
+    discard(whole)  # the shared spans are stored on their own
     plain = shared.filter(F.col("alike") & loses).select(
         "_doc_key", "_text_key", F.col("first").alias("start"), (F.col("first") + F.col("count") - 1 + spec.window).alias("stop")
     )
