@@ -16,6 +16,8 @@ from turnledger.llm import language_spans, packing, raking, simhash, suffix_tree
 from turnledger.session import staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Share of the tokens that the mixture keeps, whatever the scarcest source or language has.
+MIXED = 2 / 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,8 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn so that sources, languages and topics have their target shares of tokens."""
-    return raking.mix(docs).select(*COLUMNS)
+    """Two thirds of the tokens are drawn, as near to the target shares of sources, languages and topics as they allow."""
+    return raking.mix(docs, keep=MIXED).select(*COLUMNS)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,24 @@ def test_mix_keeps_the_drawn_rows_whole(docs):
     assert out.count() == want
 
 
+def test_a_rare_source_does_not_set_the_size_of_the_mix(spark):
+    """One document of a rare source beside a hot one: it is taken whole, and the budget is met all the same."""
+    rows = [(i, f"w{i} " * 50, "en" if i % 7 else "de", "hot" if i % 3 == 0 else f"s{i % 5}", 1) for i in range(1500)]
+    docs = spark.createDataFrame([*rows, (9999, "rare " * 50, "xx", "rare", 1)], brute.SCHEMA)
+    cells = raking.calibrated(docs, keep=0.6)
+    got = cells.toPandas()
+    assert got["probability"].between(0, 1).all() and got.loc[got["source"] == "rare", "probability"].tolist() == [1]
+    assert (got["n_tokens"] * got["probability"]).sum() == pytest.approx(0.6 * got["n_tokens"].sum(), rel=1e-6)
+    kept = raking.mix(docs, keep=0.6).select("doc_id").toPandas()["doc_id"]
+    assert 0.5 * 1501 < len(kept) < 0.7 * 1501 and 9999 in set(kept)
+    far = raking.margins(cells).toPandas().set_index(["margin", "value"])
+    assert far.groupby("margin")[["target", "share"]].sum().to_numpy() == pytest.approx(1)
+    rare = far.loc["source", "rare"]
+    assert rare["share"] == pytest.approx(50 / (0.6 * got["n_tokens"].sum())) and rare["share"] < rare["target"]
+    others = far.loc["source"].drop("rare")
+    assert (others["share"] / others["target"]).to_numpy() == pytest.approx((1 - rare["share"]) / (1 - rare["target"]), abs=0.05)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], brute.SCHEMA)
     assert raking.drawn(none).isEmpty() and raking.mix(none).isEmpty() and packing.packed(none).isEmpty()

@@ -4,11 +4,16 @@ Tokens are added up per cell of source, language and topic before anything is sh
 source with a third of all rows is a few partial sums. Raking scales the cells' weights to each
 margin's targets in turn. Weight over tokens, divided by its largest value, is the probability that
 a document of the cell is drawn: the expected mix meets the targets with as many tokens as no
-document being taken twice allows. Draws depend on the document only, so a retry repeats them.
+document being taken twice allows. That number is set by the scarcest cell, so ``keep`` names a share
+of all tokens to draw instead: scarce cells are taken whole, the others share the rest in proportion
+to their targets, and ``margins`` tells how far each value stays from its target. Draws depend on
+the document only, so a retry repeats them.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,9 @@ ROUNDS = 12
 #: Target share of a value is its share of all tokens to this power, scaled to add up to one.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 TOGETHER = 100_000  # cells raked in one task
+GAP = 0.01  # a margin's distance from its target that ``mix`` logs a warning for
+
+log = logging.getLogger(__name__)
 
 
 def topic(text: Column) -> Column:
@@ -61,50 +69,116 @@ def _targets(cells: DataFrame, powers: dict[str, float]) -> DataFrame:
     return cells
 
 
-def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
+def _filling(rows: DataFrame, want: Column, most: Column, total: float) -> float:
+    """The factor that makes the sum of least(factor * want, most) ``total``, or all of ``most`` if that is less.
+
+    Each step takes the values that are full at the last factor as given; the factor only grows, and
+    ends with the first step that fills no more of them.
+    """
+    factor = 0.0
+    while True:
+        full = F.lit(factor) * want >= most
+        held, free = rows.agg(F.sum(F.when(full, most).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(want))).first()
+        if not free:
+            return factor
+        grown = (total - (held or 0.0)) / free
+        if grown <= factor * (1 + 1e-12):
+            return factor
+        factor = grown
+
+
+def _able(cells: DataFrame, powers: dict[str, float]) -> DataFrame:
+    """Lower the targets that a margin's value has too few tokens for, and raise the others alike."""
+    for name in powers:
+        values = cells.filter("n_tokens > 0").groupBy(name).agg(F.sum("_most").alias("_most"), F.first(f"_{name}").alias("_want"))
+        factor = _filling(values, F.col("_want"), F.col("_most"), 1.0)
+        most = F.sum("_most").over(Window.partitionBy(name))
+        cells = cells.withColumn(f"_{name}", F.least(F.lit(factor) * F.col(f"_{name}"), most))
+    return cells
+
+
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
     """Add ``weight`` to cells with ``n_tokens``: shares that meet each margin's targets.
 
     A cell without tokens weighs nothing. Up to ``TOGETHER`` cells are raked in one task without
-    any shuffle; more are shuffled by each margin in turn. Both give the same weights.
+    any shuffle; more are shuffled by each margin in turn. Both give the same weights. With a
+    ``budget`` of tokens a cell counts for no more than it has of it, so the other cells of its
+    margins are raked up to make good for it; its own weight may be larger.
     """
     small = cells.count() <= TOGETHER
     near = (lambda df: df.coalesce(1)) if small else (lambda df: df)
     fitted = near(cells).withColumn("weight", F.col("n_tokens").cast("double"))
+    counted = F.col("weight")
+    if budget:
+        fitted = fitted.withColumn("weight", F.col("weight") / F.lit(float(budget)))
+        counted = F.least("weight", "_most")
     fitted = near(staged(_targets(fitted, powers), "cells"))
+    if budget:
+        fitted = near(staged(_able(fitted.withColumn("_most", F.col("n_tokens") / F.lit(float(budget))), powers), "cells"))
     for done in range(rounds):
         for name in powers:
-            held = F.sum("weight").over(Window.partitionBy(name))
+            held = F.sum(counted).over(Window.partitionBy(name))
             scaled = F.col("weight") * F.col(f"_{name}") / held
             fitted = fitted.withColumn("weight", F.when(held > 0, scaled).otherwise(0.0))
         if done % 3 == 2 or done == rounds - 1:
             fitted = near(staged(fitted, "cells"))
-    return fitted.drop(*[f"_{name}" for name in powers])
+    return fitted.drop("_most", *[f"_{name}" for name in powers])
+
 
+def calibrated(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
+    """source, lang, topic, n_tokens, weight and probability of every cell of ``docs``.
 
-def calibrated(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """source, lang, topic, n_tokens, weight and probability of every cell of ``docs``."""
+    With ``keep``, a share of all tokens, the probabilities add up to that many tokens, by one factor
+    for all cells that are not taken whole; without it the largest probability is 1.
+    """
     cells = staged(measured(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens")), "cells")
     ratio = F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(0.0)
-    fitted = staged(rake(cells, powers, rounds).withColumn("ratio", ratio), "fitted")
+    budget = keep and keep * (cells.agg(F.sum("n_tokens")).first()[0] or 0)
+    fitted = staged(rake(cells, powers, rounds, budget).withColumn("ratio", ratio), "fitted")
+    if budget:
+        factor = _filling(fitted.filter("n_tokens > 0"), F.col("weight"), F.col("n_tokens").cast("double"), budget)
+        return fitted.withColumn("probability", F.least(F.lit(factor) * F.col("ratio"), F.lit(1.0))).drop("ratio")
     largest = fitted.agg(F.max("ratio").alias("most"))  # one row
     chance = F.when(F.col("most") > 0, F.col("ratio") / F.col("most")).otherwise(0.0)
     return fitted.join(F.broadcast(largest)).withColumn("probability", chance).drop("most", "ratio")
 
 
-def drawn(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
+def margins(cells: DataFrame, powers: dict[str, float] = POWERS) -> DataFrame:
+    """(margin, value, n_tokens, target, share) of ``calibrated`` cells: what each value should and will have of the mix."""
+    out = None
+    for name, power in powers.items():
+        mine = cells.groupBy(F.lit(name).alias("margin"), F.col(name).alias("value")).agg(
+            F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("_drawn")
+        ).withColumn("_part", F.when(F.col("n_tokens") > 0, F.pow("n_tokens", F.lit(power))).otherwise(0.0))
+        out = mine if out is None else out.union(mine)
+    whole = out.groupBy("margin").agg(F.sum("_part").alias("_parts"), F.sum("_drawn").alias("_all"))  # one row per margin
+    share = lambda part, of: F.when(F.col(of) > 0, F.col(part) / F.col(of)).otherwise(0.0)
+    return out.join(F.broadcast(whole), "margin").select(
+        "margin", "value", "n_tokens", share("_part", "_parts").alias("target"), share("_drawn", "_all").alias("share")
+    )
+
+
+def drawn(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, its cell, n_tokens, draw, probability and ``kept``.
 
     A document is kept if its draw is below its cell's probability. Documents without tokens weigh
     nothing and are never kept. Repeated rows draw alike; an empty table gives an empty result;
     other columns are ignored.
     """
-    cells = calibrated(docs, powers, rounds).select(*MARGINS, "probability")
+    cells = calibrated(docs, powers, rounds, keep).select(*MARGINS, "probability")
     return measured(docs).join(cells, list(MARGINS)).withColumn("kept", F.col("draw") < F.col("probability"))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS) -> DataFrame:
-    """The rows of ``docs`` that are drawn (see ``drawn``), with their columns unchanged."""
-    cells = calibrated(docs, powers, rounds)
+def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
+    """The rows of ``docs`` that are drawn (see ``drawn``), with their columns unchanged.
+
+    With ``keep``, the values that stay furthest from their targets are logged.
+    """
+    cells = calibrated(docs, powers, rounds, keep)
+    if keep:
+        far = margins(cells, powers).withColumn("gap", F.col("share") - F.col("target")).filter(F.abs("gap") > GAP)
+        for row in far.orderBy(F.abs("gap").desc()).limit(20).collect():
+            log.warning("mixture: %s %r has %.4f of the tokens drawn, its target is %.4f", row["margin"], row["value"], row["share"], row["target"])
     cells = cells.select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINS], F.col("probability").alias("_mix_probability"))
     hit = docs.withColumns(_cell("_mix_")).join(cells, [f"_mix_{m}" for m in MARGINS])
     return hit.filter("_mix_draw < _mix_probability").select(*[F.col(f"`{c}`") for c in docs.columns])
