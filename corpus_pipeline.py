@@ -21,10 +21,10 @@ MIXED = 2 / 3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go; of the others the language found replaces an unknown one."""
-    model = language_spans.train_on_rest(docs)
+    """Every document gets the language found in it; those without letters or of an unlearned script go."""
+    model = language_spans.with_unlearned(language_spans.train_on_rest(docs))
     found = language_spans.with_language(docs, model).filter(F.col("language.lang") != language_spans.NONE)
-    return found.withColumn("lang", F.coalesce("lang", "language.lang")).select(*COLUMNS)
+    return found.withColumn("lang", F.col("language.lang")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

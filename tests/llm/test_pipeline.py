@@ -1,8 +1,11 @@
+import random
+
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm import brute
+from tests.llm.test_language import DE, EN
 from turnledger.llm import queries
 
 
@@ -36,6 +39,18 @@ def test_texts_without_letters_go(spark, folder, stages):
     assert stages["language"].filter("lang IS NULL").isEmpty()
 
 
+def test_the_language_found_takes_effect(spark):
+    """Mislabelled documents get their own language; those in a script that no learned language uses go."""
+    draw, rows = random.Random(4), []
+    for i in range(120):
+        lang, words = (("en", EN), ("de", DE))[i % 2]
+        rows.append((i, " ".join(draw.choices(words, k=40)), lang if i % 12 > 1 else {"en": "de", "de": "en"}[lang], "s", 1))
+    rows += [(200, "漢字 かな 漢字", "en", "s", 1), (201, "Ωμέγα άλφα", None, "s", 1), (202, "Ωμέγα " + " ".join(EN), None, "s", 1)]
+    docs = spark.createDataFrame(rows, brute.SCHEMA)
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert got == {i: ("en", "de")[i % 2] for i in range(120)} | {202: "en"}
+
+
 def test_one_document_of_each_group_stays(stages):
     rows = stages["language"].collect()
     prints = [brute.fingerprint(r["text"]) for r in rows]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -129,6 +129,7 @@ class Model:
     script: np.ndarray  # script x language: penalty of a word in that script
     letter: np.ndarray
     scripts: np.ndarray
+    learned: np.ndarray  # scripts that some language uses
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -151,7 +152,19 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     score = np.log((grams + 0.3) / (grams.sum(axis=0) + 0.3 * BUCKETS)) if languages else grams
     uses = letters >= 0.01 * letters.sum(axis=0)
     known = uses.any(axis=1, keepdims=True)
-    return Model(languages, score.astype(np.float32), np.where(uses | ~known, 0, -1e6).astype(np.float32), letter, scripts)
+    return Model(languages, score.astype(np.float32), np.where(uses | ~known, 0, -1e6).astype(np.float32), letter, scripts, known[:, 0])
+
+
+def with_unlearned(model: Model) -> Model:
+    """The model with ``und`` as one more language: that of the words in scripts that no learned language uses.
+
+    Without it such words go to some learned language, as nothing tells them apart.
+    """
+    if not model.languages:
+        return model
+    score = np.concatenate([model.score, np.zeros((BUCKETS, 1), np.float32)], axis=1)
+    script = np.concatenate([np.where(model.learned[:, None], model.script, -1e6), np.where(model.learned, -1e6, 0)[:, None]], axis=1)
+    return replace(model, languages=[*model.languages, NONE], score=score, script=script.astype(np.float32))
 
 
 def _word_scores(text: str, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
