@@ -28,6 +28,18 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in blocks("plain &#x41;")] == ["plain A"]
 
 
+@pytest.mark.parametrize(
+    "inner",
+    ['<video-player src="x"></video-player>', "<title-card>one</title-card>", "<script-loader></script-loader>", '<svg class="i"/>', '<svg class="i" />',
+     "<object data=x>", "<video src=x>", "<noscript>", "<video><p>no</p><source></video>", "<object>no <object>no</object> no</object>",
+     "<svg><title>no</title><path/></svg>", "<noscript><iframe>no</noscript>", "</audio>"],
+)
+def test_hidden_elements_end_where_they_end(inner):
+    """Custom elements are no hidden ones, and a hidden one without an end tag hides nothing."""
+    found = [b.text for b in blocks(f"<article><p>one</p>{inner}<p>two</p><p>three</p></article>")]
+    assert found == ["one", *["one"] * inner.startswith("<title-card"), "two", "three"]
+
+
 def test_training_recovers_other_labelled_pages(model):
     right = total = 0
     for page in labelled_pages(120, seed=77):

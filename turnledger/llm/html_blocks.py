@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 #: Fixed values of the HTML standard: elements without an end tag, and elements whose text is no text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script|style|noscript|template|svg|iframe|object|textarea|title|canvas|audio|video"
+RAW = "script|style|textarea|title"  # what follows is no markup up to the end tag, or to the end of the page
+HIDDEN = frozenset("noscript template svg iframe object canvas audio video".split())
 #: Elements that flow with the text around them; all others start and end a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup "
@@ -22,7 +24,7 @@ CONTAINERS = frozenset("ul ol dl table tbody thead tfoot select div section arti
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<silent>{SILENT})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
@@ -47,6 +49,31 @@ def _names(attrs: str) -> list[str]:
     return found
 
 
+def _shown(page: str) -> Iterator[tuple[re.Match, int]]:
+    """The tokens outside hidden elements, each with the place where the page goes on.
+
+    A hidden element reaches from its start tag to its own end tag. A start tag that has none, as a
+    self-closed one, hides nothing: what follows it is as likely the page's text.
+    """
+    tokens = list(_TOKEN.finditer(page))
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for i, token in enumerate(tokens):
+        tag = (token["tag"] or token["tag2"] or "").lower()
+        if tag not in HIDDEN:
+            continue
+        if not (token["end"] or token["end2"]):
+            if not token[0].endswith("/>"):
+                opened.setdefault(tag, []).append(i)
+        elif opened.get(tag):
+            ends[opened[tag].pop()] = i
+    i = 0
+    while i < len(tokens):
+        last = ends.get(i, i)
+        yield tokens[i], tokens[last].end()
+        i = last + 1
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks with any text, in page order. Broken markup is taken as far as it goes."""
     out: list[Block] = []
@@ -82,16 +109,18 @@ def blocks(page: str) -> list[Block]:
                 return
 
     place = 0
-    for token in _TOKEN.finditer(page):
+    for token, stop in _shown(page):
         if token.start() > place:
             piece = page[place : token.start()]
             text.append(piece)
             linked += len(piece) if links else 0
-        place = token.end()
+        place = stop
         tag = token["tag"] or token["tag2"]
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in HIDDEN:
+            continue
         inline = tag in INLINE
         if not inline:
             close()
