@@ -111,6 +111,23 @@ def test_best_fit_equals_a_plain_search():
         assert len(tally) == len(used) and (tally <= capacity).all()
 
 
+@pytest.mark.parametrize("sizes", [np.full(2000, 300), np.random.default_rng(1).integers(280, 321, 2000), np.full(7, 8192), np.zeros(0, int)])
+def test_lengths_compete_for_what_fills_them(sizes):
+    """Texts of like lengths go into longer bins, at less than any one length costs, plain best fit included."""
+    spent = lambda capacity: sum(map(packing.cost, capacity.tolist()))
+    bins, capacity = packing.pack_least(sizes)
+    assert (np.bincount(bins, sizes, len(capacity)) <= capacity).all() and len(bins) == len(sizes)
+    assert all(spent(capacity) <= spent(packing.pack(sizes, least=length)[1]) for length in (0, *packing.LENGTHS))
+    if len(sizes) == 2000:
+        single = [spent(packing.pack(sizes, (length,))[1]) for length in packing.LENGTHS]
+        assert spent(capacity) < min(single) and (capacity > 512).sum() > 400
+        assert spent(capacity) < 0.7 * spent(packing.pack(sizes)[1])
+
+
+def test_bins_are_downsized_to_what_they_hold():
+    assert packing.pack(np.full(7, 300), least=1024)[1].tolist() == [1024, 1024, 512]
+
+
 def test_long_texts_are_cut(spark):
     df = spark.createDataFrame([(1, "w " * 1000, None, None, 0), (None, None, None, None, None)], brute.SCHEMA)
     out = packing.packed(df, (100, 300)).orderBy("doc_id", "piece").collect()

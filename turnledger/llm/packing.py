@@ -1,9 +1,11 @@
 """Best-fit packing of documents into sequences of several permitted lengths.
 
 Texts are cut into pieces of at most the largest length; nothing is dropped. Pieces, longest first,
-go to the open bin that they leave the least room in. If none has room, a bin of the length that
-costs least for what it can still be filled with is opened: all lengths compete for each piece. At
-the end each bin is downsized to the smallest permitted length that holds its contents. Rows are
+go to the open bin that they leave the least room in. If none has room, all lengths compete: each is
+filled in thought with the pieces that no open bin was opened for, and the one that costs least for
+what it then holds is opened. At the end each bin is downsized to the smallest permitted length that
+holds its contents. The same is done with each length alone wherever it is long enough, and the
+cheapest packing is taken, so several lengths never cost more than one. Rows are
 dealt evenly into shards that are packed on their own, so no task holds more than a shard's lengths
 and only a shard's last bins can be worse than those of one long run.
 """
@@ -57,10 +59,60 @@ class _Rooms:
             self.used |= 1 << room
 
 
-def pack(sizes: np.ndarray, lengths: Sequence[int] = LENGTHS) -> tuple[np.ndarray, np.ndarray]:
-    """The bin number of each piece, and the capacity of each bin. Pieces have 1 to max(lengths) tokens."""
+class _Unclaimed:
+    """Counts by size of the pieces to come, and of those that an open bin was opened for."""
+
+    def __init__(self, sizes: np.ndarray, largest: int) -> None:
+        self.free = np.bincount(sizes, minlength=largest + 1).tolist()
+        self.claimed = [0] * (largest + 1)
+        self.used = sum(1 << size for size, n in enumerate(self.free) if n)  # bit s is set if a piece of size s is free
+
+    def take(self, size: int, number: int = 1) -> None:
+        self.free[size] -= number
+        if not self.free[size]:
+            self.used ^= 1 << size
+
+    def placed(self, size: int) -> None:
+        if self.claimed[size]:
+            self.claimed[size] -= 1
+        else:
+            self.take(size)
+
+    def fill(self, room: int) -> list[tuple[int, int]]:
+        """(size, number) of the free pieces that fill ``room``, largest first."""
+        found = []
+        while fitting := self.used & ((1 << (room + 1)) - 1):
+            size = fitting.bit_length() - 1
+            number = min(self.free[size], room // size)
+            found.append((size, number))
+            room = min(room - size * number, size - 1)
+        return found
+
+    def claim(self, found: list[tuple[int, int]]) -> None:
+        for size, number in found:
+            self.take(size, number)
+            self.claimed[size] += number
+
+
+def pack_least(sizes: np.ndarray, lengths: Sequence[int] = LENGTHS) -> tuple[np.ndarray, np.ndarray]:
+    """As ``pack``, with all lengths competing for what they can be filled with, and never dearer than one length."""
+    total = lambda packed: sum(map(cost, packed[1].tolist()))
+    ways = [pack(sizes, lengths, ahead=True), pack(sizes, lengths)]
+    ways += [pack(sizes, lengths, least=length) for length in sorted(lengths)[1:]]
+    return min(ways, key=total)
+
+
+def pack(
+    sizes: np.ndarray, lengths: Sequence[int] = LENGTHS, ahead: bool = False, least: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """The bin number of each piece, and the capacity of each bin. Pieces have 1 to max(lengths) tokens.
+
+    Bins of ``least`` or more are opened. With ``ahead`` the length is chosen by the pieces that can
+    still fill it, else by the number of tokens left.
+    """
     lengths = sorted(lengths)
     costs = {length: cost(length) for length in lengths}
+    unclaimed = _Unclaimed(sizes, lengths[-1]) if ahead else None
     order = np.argsort(-sizes, kind="stable")
     left = int(sizes.sum())
     rooms, filled, room_of = _Rooms(lengths[-1]), [], []
@@ -68,10 +120,19 @@ def pack(sizes: np.ndarray, lengths: Sequence[int] = LENGTHS) -> tuple[np.ndarra
     for i in order.tolist():
         size = int(sizes[i])
         number = rooms.take(size)
+        if unclaimed:
+            unclaimed.placed(size)
         if number is None:
-            # A bin can be filled by what is left at most.
-            able = lengths[bisect_left(lengths, size) :]
-            length = min(able, key=lambda c: (costs[c] / min(c, left), c))
+            able = lengths[bisect_left(lengths, max(size, least)) :]
+            if unclaimed:
+                fills = {c: unclaimed.fill(c - size) for c in able}
+                holds = {c: size + sum(s * n for s, n in fills[c]) for c in able}
+                # At the end a bin is as long as what it holds needs.
+                length = min(able, key=lambda c: (costs[lengths[bisect_left(lengths, holds[c])]] / holds[c], c))
+                unclaimed.claim(fills[length])
+            else:
+                # A bin can be filled by what is left at most.
+                length = min(able, key=lambda c: (costs[c] / min(c, left), c))
             number = len(filled)
             filled.append(0)
             room_of.append(length)
@@ -97,7 +158,7 @@ def _pack_shard(lengths: Sequence[int]) -> Callable[[Iterator[pd.DataFrame]], It
         piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         size = np.minimum(tokens[of] - piece * largest, largest)
         full = size > 0
-        bins, capacity = pack(size[full], lengths)
+        bins, capacity = pack_least(size[full], lengths)
         order = np.argsort(bins, kind="stable")
         ahead = np.cumsum(size[full][order]) - size[full][order]
         first = np.flatnonzero(np.diff(bins[order], prepend=-1))
