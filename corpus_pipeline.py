@@ -18,6 +18,8 @@ from turnledger.session import staged
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Share of the tokens that the mixture keeps, whatever the scarcest source or language has.
 MIXED = 2 / 3
+#: Jaccard similarity of five-word shingles from which documents are near copies.
+SIMILAR = 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    return simhash.one_of_each(docs, similar=SIMILAR).select(*COLUMNS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm import brute
 from tests.llm.test_language import DE, EN
-from turnledger.llm import queries
+from turnledger.llm import queries, shingles
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +61,34 @@ def test_one_document_of_each_group_stays(stages):
     assert least <= {r["doc_id"] for r in kept}
 
 
+@pytest.mark.parametrize("part", [4_000, 3])
+def test_near_copies_by_shingles_equal_brute_force(spark, part, monkeypatch):
+    """Texts of one to many changed words: classes are those of three bits or a Jaccard similarity of 0.8."""
+    monkeypatch.setattr(shingles, "PART", part)
+    draw, texts = random.Random(8), []
+    for _ in range(12):
+        base = [f"w{draw.randrange(900)}" for _ in range(draw.choice((4, 30, 120, 250)))]
+        for _ in range(8):
+            own = list(base)
+            for k in draw.sample(range(len(own)), min(len(own), draw.choice((0, 1, 2, 3, 4, 6, 12)))):
+                own[k] = f"x{draw.randrange(900)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(brute.words, texts)]
+    prints, group = [brute.fingerprint(t) for t in texts], list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            like = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            bits = (prints[i] ^ prints[j]).bit_count()
+            far += like and bits > 3
+            if like or bits <= 3:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert far > 5
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], brute.SCHEMA).repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(group)
+
+
 def test_repeated_passages_go_from_the_texts(stages):
     rows = [tuple(r) for r in stages["near_duplicates"].collect()]
     want = {}

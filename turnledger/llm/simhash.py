@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnledger.llm.components import stars
+from turnledger.llm.shingles import join_classes
 from turnledger.llm.text import bound_batches, with_key
 from turnledger.session import staged
 
@@ -223,13 +224,19 @@ def hexadecimal(name: str = "print") -> Column:
     return F.lower(F.lpad(F.hex(name), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, reach: int = 3) -> DataFrame:
+def one_of_each(docs: DataFrame, reach: int = 3, similar: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near copies: of each class the row with the smallest doc_id stays.
 
+    With ``similar``, texts whose sets of five-word shingles have that Jaccard similarity or more are
+    linked as well, however far apart their fingerprints are.
     Null ids come last; rows that tie on the id are told apart by their text, and of equal rows one
     stays. All columns are kept as they are.
     """
     found = near_duplicates(docs, reach)
+    if similar is not None:
+        found = staged(found.select("_doc_key", "_text_key", "doc_id", "class"), "classes")
+        more = join_classes(with_key(docs), found, similar)
+        found = found.join(more, "class", "left").withColumn("class", F.coalesce("joined", "class"))
     first = F.row_number().over(Window.partitionBy("class").orderBy(F.col("doc_id").asc_nulls_last(), "_text_key"))
     chosen = found.withColumn("n", first).filter("n = 1").select("_doc_key", "_text_key")
     copy = F.row_number().over(Window.partitionBy("_doc_key", "_text_key").orderBy(F.lit(1)))
