@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnledger.llm import html_crf, language_spans, licenses, multi_index, packing, prefix_free_parsing, raking, simhash, suffix_trees, weak_rules
+from turnledger.llm import (
+    factor_quality, html_crf, language_spans, licenses, multi_index, packing, prefix_free_parsing, raking, simhash, simplex_clustering,
+    suffix_trees, weak_rules, whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,12 +68,27 @@ def op10_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_nsimplex_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex_clustering.clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    scored = factor_quality.with_quality(docs, factor_quality.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", factor_quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op13_cholesky_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_entries(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_simhash_vantage_trees, op3_html_crf, op4_prefix_free_parsing, op5_multi_index_hashing,
         op6_license_minhash, op7_raked_mixture,
-        op8_weak_supervision, op9_language_viterbi, op10_suffix_trees,
+        op8_weak_supervision, op9_language_viterbi, op10_suffix_trees, op11_nsimplex_clustering, op12_factorisation_machine,
+        op13_cholesky_jacobi_whitening,
     )
 }
 
@@ -106,4 +124,6 @@ FROM measured JOIN chances USING (source, lang, topic)"""
 
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op6_license_minhash": licenses.scan_sql(), "op7_raked_mixture": _raked_sql()}
+ORACLES: dict[str, str] = {
+    "op6_license_minhash": licenses.scan_sql(), "op7_raked_mixture": _raked_sql(), "op11_nsimplex_clustering": simplex_clustering.clustered_sql(),
+}
