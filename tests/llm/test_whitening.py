@@ -83,7 +83,7 @@ def test_no_variance_and_low_rank(spark):
 def test_large_entries_give_exact_deviations(spark):
     check(spark, [(i, [2.0**18 * (i % 5), -(2.0**19) + 9 * i * i]) for i in range(20)])
     got = whitening.whitened_entries(table(spark, [(i, [2.0**40 * (i % 3), 1.0 * i]) for i in range(20)])).collect()
-    assert len(got) == 40 and all(r["deviation"] is None for r in got)  # beyond a long
+    assert len(got) == 20 and all(r["deviation"] is None for r in got)  # beyond a long, and of rank one in double precision
     wide, _ = whitening.whitened(table(spark, [(i, [2.0**40 * (i % 3), 1.0 * i]) for i in range(20)]))
     x = [(64 * 2**40 * (i % 3), 64 * i) for i in range(20)]
     sums = [sum(c) for c in zip(*x, strict=True)]
