@@ -57,7 +57,7 @@ FILE_CATALOG = _struct(
 )
 
 RUN_METRICS = _struct(
-    ("run_utc", _L), ("full_rescan", _B),
+    ("run_utc", _L), ("full_rescan", _B), ("read_bytes", _L),
 )
 
 # Days of each billing key, with its largest context of the day.
@@ -74,4 +74,12 @@ RATE_LIMIT = _struct(
     ("file_path", _S), ("ts_utc", _L), ("dedup_key", _S), ("primary_pct", _D), ("secondary_pct", _D),
 )
 
+# What a parse must know to go on with a file; see operators/carry.py.
+CARRY = _struct(
+    ("source", _S), ("file_path", _S), ("part", _S), ("line_offset", _L), ("session_id", _S), ("model", _S), ("effort", _S),
+    ("approval_policy", _S), ("sandbox_mode", _S), ("calls_seen", _L),
+    ("total", _struct(("input", _L), ("cached", _L), ("output", _L), ("reasoning", _L))),
+    ("tool_name", _S), ("request_id", _S), ("recorded", _B),
+)
+
 UNMAPPED_MODEL = _struct(("model", _S), ("first_seen_utc", _L))

@@ -30,6 +30,7 @@ TABLES: dict[str, T.StructType] = {
     "rate_limit": schemas.RATE_LIMIT,
     "file_state": schemas.FILE_STATE,
     "running_total": schemas.RUNNING_TOTAL,
+    "carry": schemas.CARRY,
     "file_catalog": schemas.FILE_CATALOG,
     "unmapped_model": schemas.UNMAPPED_MODEL,
     "run_metrics": schemas.RUN_METRICS,
@@ -39,7 +40,7 @@ BY_DAY = ("usage_record", "tool_event", "daily_rollup")
 # Columns whose hash gives the bucket of a row.
 BY_BUCKET = {
     "session_rollup": ("source", "session_id"), "session_day": ("source", "session_id"), "session": ("file_path",),
-    "rate_limit": ("file_path",), "file_state": ("file_path",), "running_total": ("file_path",), "file_catalog": ("file_path",),
+    "rate_limit": ("file_path",), "file_state": ("file_path",), "running_total": ("file_path",), "carry": ("file_path",), "file_catalog": ("file_path",),
 }
 BUCKETS = 32
 # Kept when ingested data is cleared for a full rescan; a reset drops these too.
