@@ -149,6 +149,7 @@ class Failing(UsageStore):
     """A store whose run ends at its n-th write."""
 
     def __init__(self, spark, root, writes):
+        self.left = 1000
         super().__init__(spark, root)
         self.left = writes
 

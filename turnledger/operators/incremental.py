@@ -16,8 +16,8 @@ from turnledger.operators.rollups import (
     session_sums,
 )
 from turnledger.session import staged
+from turnledger.sources import ranges
 from turnledger.sources.inventory import DAY_MS, DAYS_PER_MONTH
-from turnledger.sources.lines import with_offsets
 
 if TYPE_CHECKING:
     from turnledger.sources.store import UsageStore
@@ -54,35 +54,11 @@ def classify(inventory: DataFrame, state: DataFrame, backfill_months: int = 0, n
     )
 
 
-def prefix_checks(lines: DataFrame, upto: DataFrame) -> DataFrame:
-    """Per file: fingerprint of the lines that end at or before ``last_offset``.
-
-    Lines are hashed before they are shuffled, so their text stays where it was read; the limit is
-    brought to them by chunk, so a large file is not one join key. ``bit_xor`` does not depend on
-    order and cannot overflow.
-    """
-    keys = ["source", "file_path"]
-    hashed = lines.select(*keys, "chunk", "pos", F.xxhash64("value").alias("_line"), "value")
-    limits = lines.select(*keys, "chunk").distinct().join(upto.select(*keys, "last_offset"), keys)
-    return (
-        with_offsets(hashed).drop("value")
-        .join(limits, [*keys, "chunk"])
-        .filter(F.col("line_offset") + F.col("n_bytes") - 1 <= F.col("last_offset"))
-        .groupBy(*keys)
-        .agg(F.bit_xor(F.xxhash64("line_offset", "_line")).alias("prefix_check"))
-    )
-
-
-def rewritten_files(lines: DataFrame, state: DataFrame) -> DataFrame:
+def rewritten_files(state: DataFrame) -> DataFrame:
     """Files of ``state`` whose stored prefix no longer reads the same."""
     keys = ["source", "file_path"]
-    stored = state.select(*keys, F.col("prefix_check").alias("_stored"))
-    return (
-        stored.join(lines.select(*keys).distinct(), keys, "left_semi")
-        .join(prefix_checks(lines, state), keys, "left")
-        .filter(~F.col("_stored").eqNullSafe(F.col("prefix_check")))
-        .select(*keys)
-    )
+    now = ranges.prefix_anchors(state).select(*keys, F.col("prefix_check").alias("_now"))
+    return state.join(now, keys, "left").filter(~F.col("prefix_check").eqNullSafe(F.col("_now"))).select(*keys)
 
 
 def overlapping_files(appended: DataFrame, stored: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from turnledger.functions.columns import base_model, effort_of, local_day, local_hour, local_weekday
 from turnledger.operators import claude, codex, filters, incremental, logrows, normalize, pricing, rollups
 from turnledger.operators.filters import UsageQuery
-from turnledger.plans import diagnostics, extras, periods, samples, views
+from turnledger.plans import diagnostics, extras, logfiles, periods, refresh, samples, views
 from turnledger.session import staged, work_folder
-from turnledger.sources import inventory, lines as line_source, rates, store
+from turnledger.sources import inventory, lines as line_source, ranges, rates, store
 from turnledger.streaming import rollups as stream_rollups, stateful_parse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,15 +76,45 @@ def _parsed(spark: SparkSession, sf: str) -> normalize.ParsedLogs:
 # --- sources and sinks ---------------------------------------------------------------------------
 
 
+def _written(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Rendered lines with their offsets, and the folder that their files are to lie in."""
+    return staged(line_source.with_offsets(_logs(spark, sf)), "placed"), logfiles.local_folder(work_folder(spark, "files"))
+
+
+def _small_store(spark: SparkSession) -> store.UsageStore:
+    return store.UsageStore(spark, work_folder(spark, "store"), buckets=2)
+
+
+def _roots(root: str) -> dict[str, str | None]:
+    return {"codex": f"{root}/logs/codex", "claude": f"{root}/logs/claude"}
+
+
+def _below(root: str) -> Column:
+    return F.substring("file_path", len(root) + 1, 1 << 20).alias("file_path")
+
+
 @query
 def s01_file_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    return inventory.newest_first(inventory.scan_roots(spark, {"codex": sf, "claude": None}, "*.parquet"))
+    """All log files written from the events, and a root that is off."""
+    rows, root = _written(spark, sf)
+    logfiles.write_files(rows, root)
+    found = inventory.newest_first(inventory.scan_roots(spark, {**_roots(root), "other": None}))
+    return found.select("source", _below(root), "size")
 
 
 @query
 def s02_changed_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    changed = [f"{sf}/events.parquet", f"{sf}/orders.parquet", f"{sf}/gone.parquet", "/elsewhere/a.parquet"]
-    return inventory.scan_changed(spark, changed, {"codex": sf}, "*.parquet")
+    """Some folders and files of the same, some that are gone, and some outside the roots."""
+    rows, root = _written(spark, sf)
+    logfiles.write_files(rows, root)
+    paths = rows.select("file_path").distinct()
+    folders = paths.filter(F.endswith("file_path", F.lit("-4.jsonl"))).select(F.regexp_replace("file_path", "/[^/]*$", "").alias("path"))
+    files = paths.filter(F.endswith("file_path", F.lit("-2.jsonl"))).select(F.col("file_path").alias("path"))
+    gone = files.select(F.concat("path", F.lit("l")).alias("path"))
+    named = folders.unionByName(files).unionByName(gone).select(F.concat(F.lit(root), "path").alias("path"))
+    outside = named.select(F.concat(F.lit("/elsewhere"), "path").alias("path"))
+    found = inventory.scan_changed(spark, named.unionByName(outside), {"codex": f"{root}/logs/codex"})
+    return found.select("source", _below(root), "size")
 
 
 @query
@@ -93,6 +123,27 @@ def s03_line_offsets(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("source", "file_path", "line_offset", "n_bytes")
 
 
+@query
+def s03_file_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from real files, as Spark's reader gives them."""
+    rows, root = _written(spark, sf)
+    logfiles.write_files(rows, root)
+    parts = [line_source.read_lines(spark, [folder], source) for source, folder in _roots(root).items()]
+    logs = parts[0].unionByName(parts[1]).withColumn("file_path", inventory.plain_path(F.col("file_path")))
+    return line_source.emitted_lines(logs).select("source", _below(root), "line_offset", "n_bytes")
+
+
+@query
+def s03_block_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from blocks of two kilobytes, each read by itself."""
+    rows, root = _written(spark, sf)
+    logfiles.write_files(rows, root)
+    found = inventory.scan_roots(spark, _roots(root))
+    files = found.select("source", "file_path", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("file_size"))
+    lines = ranges.read_ranges(files, block_bytes=2_048, piece_bytes=300).filter("line_offset IS NOT NULL AND value IS NOT NULL")
+    return lines.select("source", _below(root), "line_offset", "n_bytes")
+
+
 @query
 def s04_oversized_lines(spark: SparkSession, sf: str) -> DataFrame:
     return line_source.oversized_counts(
@@ -102,8 +153,15 @@ def s04_oversized_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def s05_incomplete_files(spark: SparkSession, sf: str) -> DataFrame:
-    logs = samples.sized_log_lines(spark, sf)
-    return logrows.incomplete_files(codex.rows(logs)).unionByName(logrows.incomplete_files(claude.rows(logs)))
+    """Files of every third user lack their last newline, as a file still being written does."""
+    rows, root = _written(spark, sf)
+    last = rows.groupBy("file_path").agg(F.max("line_offset").alias("last"))
+    ended = (F.col("user_id") % 3 != 0) | (F.col("line_offset") != F.col("last"))
+    logfiles.write_files(rows.join(last, "file_path"), root, ended)
+    parts = [line_source.read_lines(spark, [folder], source) for source, folder in _roots(root).items()]
+    logs = staged(parts[0].unionByName(parts[1]).withColumn("file_path", inventory.plain_path(F.col("file_path"))), "read")
+    found = logrows.incomplete_files(codex.rows(logs)).unionByName(logrows.incomplete_files(claude.rows(logs)))
+    return found.select("source", _below(root))
 
 
 def _event_files(spark: SparkSession, sf: str, upto: int | None = None) -> DataFrame:
@@ -147,7 +205,7 @@ def s08_upsert_tool_events(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def s08_store_repeat(spark: SparkSession, sf: str) -> DataFrame:
     """Two batches through a store; the second fails half-way, is recovered and comes again."""
-    usage, card = store.UsageStore(spark, work_folder(spark, "store")), rates.default_card(spark)
+    usage, card = _small_store(spark), rates.default_card(spark)
     old, new = (staged(rows, "batch") for rows in _two_batches(spark, sf))
     none, no_calls = old.select("file_id").limit(0), spark.createDataFrame([], store.TABLES["tool_event"])
     usage.apply(none, old, no_calls)
@@ -847,23 +905,15 @@ def i01_classified_files(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def i02_rewritten_files(spark: SparkSession, sf: str) -> DataFrame:
     """Files read once, then again after some had their first line changed and all had grown."""
-    logs = _logs(spark, sf)
-    sizes = logs.groupBy("source", "file_path").agg(F.sum(line_source.line_bytes()).alias("last_offset"))
-    state = sizes.join(incremental.prefix_checks(logs, sizes), ["source", "file_path"], "left")
-    first = F.min("pos").alias("_first")
-    heads = logs.groupBy("source", "file_path").agg(first)
-    changed = F.endswith("file_path", F.lit("-3.jsonl")) & (F.col("pos") == F.col("_first"))
-    # The first line's place is brought to the lines by chunk, like everything joined to lines.
-    by_chunk = heads.join(logs.select("source", "file_path", "chunk").distinct(), ["source", "file_path"])
-    again = logs.join(by_chunk, ["source", "file_path", "chunk"]).select(
-        "source", "file_path", "user_id", "chunk", "pos",
-        F.when(changed, F.reverse("value")).otherwise(F.col("value")).alias("value"), "file_size",
-    )
-    grown = again.unionByName(
-        heads.select("source", "file_path", F.lit(0).cast("bigint").alias("user_id"), F.lit(1 << 40).alias("chunk"),
-                     F.lit(0).cast("bigint").alias("pos"), F.lit("{}").alias("value"), F.lit(None).cast("bigint").alias("file_size"))
-    )
-    return incremental.rewritten_files(grown, state)
+    rows, root = _written(spark, sf)
+    logfiles.write_files(rows, root)
+    found = inventory.scan_roots(spark, _roots(root)).withColumn("last_offset", F.col("size"))
+    state = staged(ranges.prefix_anchors(found).join(found.select("source", "file_path", "last_offset"), ["source", "file_path"]), "state")
+    first = rows.filter((F.col("line_offset") == 0) & F.endswith("file_path", F.lit("-3.jsonl")))
+    ends = rows.groupBy("source", "file_path").agg(F.max(F.col("line_offset") + F.col("n_bytes")).alias("line_offset"))
+    logfiles.write_files(first.withColumn("value", F.reverse("value")), root)
+    logfiles.write_files(ends.withColumn("value", F.lit("{}")), root)
+    return incremental.rewritten_files(state).select("source", _below(root))
 
 
 @query
@@ -897,10 +947,21 @@ def i05_replaced_files(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.replace_files(rows, files, fresh).select("dedup_key", "file_id")
 
 
+def _no_scope(key: str) -> Column:
+    """A key without the hash of its file's path, which depends on where the file lies."""
+    return F.regexp_replace(key, ":[0-9a-f]{16}:", ":").alias(key)
+
+
 @query
 def i06_append_equals_full(spark: SparkSession, sf: str) -> DataFrame:
-    """Records of the logs parsed in three pieces, state carried from one to the next."""
-    return _in_pieces(spark, sf).outputs("records").select("dedup_key", "session_id", "ts_utc", "model", "variant_id", "total_tokens")
+    """Records after two refreshes of files that grow in between, cut through sessions, turns and requests."""
+    rows, root = _written(spark, sf)
+    usage, options, card = _small_store(spark), refresh.RefreshOptions(_roots(root)), rates.default_card(spark)
+    early = F.col("line_offset") < 6_000
+    for turn, part in enumerate((early, ~early)):
+        logfiles.write_files(rows.filter(part), root)
+        refresh.refresh(usage, options, card, turn)
+    return usage.read("usage_record").select(_no_scope("dedup_key"), "session_id", "ts_utc", "model", "variant_id", "total_tokens")
 
 
 @query
@@ -981,7 +1042,7 @@ def t03_stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
 def _streamed_store(spark: SparkSession, sf: str) -> store.UsageStore:
     """Turns and their tool calls put into a store batch by batch."""
     folder = work_folder(spark, "store")
-    usage, card = store.UsageStore(spark, f"{folder}/tables"), rates.default_card(spark)
+    usage, card = _small_store(spark), rates.default_card(spark)
     handle = stream_rollups.into_store(usage, card)
 
     def put(rows: DataFrame, batch: int) -> None:

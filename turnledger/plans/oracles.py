@@ -184,6 +184,14 @@ def _log(name: str, body: str) -> None:
 
 # --- sources and sinks ---------------------------------------------------------------------------
 
+_log("s01_file_inventory", "SELECT source, file_path, CAST(SUM(n_bytes) AS BIGINT) AS size FROM log GROUP BY ALL")
+_log("s02_changed_inventory", """
+SELECT source, file_path, CAST(SUM(n_bytes) AS BIGINT) AS size FROM log
+WHERE source = 'codex' AND (file_path LIKE '%-2.jsonl' OR regexp_replace(file_path, '/[^/]*$', '') IN (
+  SELECT regexp_replace(file_path, '/[^/]*$', '') FROM log WHERE source = 'codex' AND file_path LIKE '%-4.jsonl'))
+GROUP BY ALL""")
+for _name in ("s03_file_lines", "s03_block_ranges"):
+    _log(_name, "SELECT source, file_path, line_offset, n_bytes FROM log WHERE n_bytes - 1 <= 1048576")
 _log("s03_line_offsets", "SELECT source, file_path, line_offset, n_bytes FROM log WHERE n_bytes - 1 <= 1048576")
 _log("s04_oversized_lines", """
 SELECT source, file_path, CAST(COUNT(*) AS BIGINT) AS line_count, CAST(COUNT(*) FILTER (n_bytes - 1 > 4096) AS BIGINT) AS oversized_count
@@ -629,7 +637,7 @@ SELECT file_id AS file_path, session_id FROM rec GROUP BY ALL
 HAVING SUM(input_tokens) FILTER (ts_utc <= 1705708800000) * 4 <= 272000 AND SUM(input_tokens) * 4 > 272000
   AND bool_or(ts_utc > 1705708800000 AND model = 'gpt-5.5')""")
 _add("i05_replaced_files", "SELECT dedup_key, file_id FROM rec WHERE event_id % 7 <> 2 OR hour_local < 12")
-_log("i06_append_equals_full", f"SELECT dedup_key, session_id, ts_utc, model, variant_id, total_tokens FROM ({_PARSED})")
+_log("i06_append_equals_full", f"SELECT regexp_replace(dedup_key, ':[0-9a-f]{{16}}:', ':') AS dedup_key, session_id, ts_utc, model, variant_id, total_tokens FROM ({_PARSED})")
 _add("i07_file_catalog", f"""
 SELECT f.file_path, CASE WHEN f.file_path LIKE '%-6.jsonl' THEN k.size ELSE f.size END AS size,
   CASE WHEN k.file_id IS NULL THEN 1706659199999 ELSE 1705708800000 END AS first_seen_utc,

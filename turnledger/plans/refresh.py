@@ -97,12 +97,12 @@ def refresh(store: UsageStore, options: RefreshOptions, card: DataFrame, now_ms:
     months = 0 if options.full_rescan else options.backfill_months
     state = store.read("file_state")
     actions = staged(_guarded(staged(incremental.classify(found, state, months, now_ms), "classified"), state), "actions")
-    store.overwrite("file_catalog", incremental.catalog_discovered(store.read("file_catalog"), actions.select(*found.columns), now_ms))
+    catalog = incremental.catalog_discovered(store.read("file_catalog"), actions.select(*found.columns), now_ms)
 
     read = _read(store, options, actions, changed is None)
     if read is None:
         incremental.refresh_rollups(store, card)  # what a failed run left
-        return _finish(store, actions, None, now_ms, options, card, 0)
+        return _finish(store, catalog, actions, None, now_ms, options, card, 0)
 
     parsed, resumed = read.parsed, read.resumed
     records, tools = staged(parsed.records, "records"), staged(parsed.tool_events, "tools")
@@ -115,7 +115,7 @@ def refresh(store: UsageStore, options: RefreshOptions, card: DataFrame, now_ms:
     store.apply(replaced, records, tools, resumed.turn_keys if resumed else None)
     incremental.refresh_rollups(store, card)
     _remember_files(store, applied, records, tools, parsed, resumed)
-    return _finish(store, decided, records, now_ms, options, card, read.read_bytes)
+    return _finish(store, catalog, decided, records, now_ms, options, card, read.read_bytes)
 
 
 def _remember_files(
@@ -170,7 +170,8 @@ def _remember_files(
 
 
 def _finish(
-    store: UsageStore, actions: DataFrame, records: DataFrame | None, now_ms: int, options: RefreshOptions, card: DataFrame, read_bytes: int
+    store: UsageStore, catalog: DataFrame, actions: DataFrame, records: DataFrame | None, now_ms: int, options: RefreshOptions, card: DataFrame,
+    read_bytes: int,
 ) -> DataFrame:
     """Catalog, run metrics and unmapped models; no fact is read for them."""
     spark = store.spark
@@ -181,7 +182,7 @@ def _finish(
         actions.join(held, "file_path", "left").join(spans, "file_id", "left")
         .select("file_path", "action", F.coalesce("has_state", F.lit(False)).alias("has_state"), "min_day", "max_day")
     )
-    store.overwrite("file_catalog", incremental.catalog_ingested(store.read("file_catalog"), results, now_ms))
+    store.overwrite("file_catalog", incremental.catalog_ingested(catalog, results, now_ms))
     store.append("run_metrics", spark.range(1).select(
         F.lit(now_ms).cast("bigint").alias("run_utc"), F.lit(options.full_rescan).alias("full_rescan"),
         F.lit(read_bytes).cast("bigint").alias("read_bytes"),

@@ -3,7 +3,8 @@
 Facts and daily rollups are partitioned by local day, the other large tables by a hash bucket of
 their key. A change reads the touched partitions only and replaces them. Every replacement is
 written down first: its content is complete in the store's own folder and a journal entry names it
-before any partition is touched, so ``recover`` can finish it after a failure. Billing keys and
+before any partition is touched; then whole partition folders are moved into place, so ``recover``
+can finish it after a failure and nothing is written twice. Billing keys and
 days whose rollups are not up to date yet stand in the ``pending`` table from before the facts
 change until the rollups are done. So a run can fail at any step and be repeated.
 """
@@ -50,16 +51,19 @@ def part_column(name: str) -> str | None:
     return "day_local" if name in BY_DAY else "bucket" if name in BY_BUCKET else None
 
 
-def bucket(name: str) -> Column:
-    return F.pmod(F.xxhash64(*BY_BUCKET[name]), F.lit(BUCKETS)).cast("int")
-
-
 class UsageStore:
-    """Named tables under one root folder."""
+    """Named tables under one root folder. A store keeps the number of buckets it was begun with."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        noted = self.path("_buckets")
+        self.buckets = int(self._noted(noted)) if self._exists(noted) else buckets or BUCKETS
+        if not self._exists(noted):
+            self._note(noted, str(self.buckets))
+
+    def bucket(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(*BY_BUCKET[name]), F.lit(self.buckets)).cast("int")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -77,7 +81,7 @@ class UsageStore:
 
     def parts_of(self, name: str, rows: DataFrame) -> list[str | int]:
         """Days or buckets that ``rows`` fall into: as many values as the table has partitions at most."""
-        value = F.col("day_local") if name in BY_DAY else bucket(name)
+        value = F.col("day_local") if name in BY_DAY else self.bucket(name)
         return sorted(row[0] for row in rows.select(value.alias("p")).distinct().collect())
 
     def overwrite(self, name: str, df: DataFrame) -> None:
@@ -147,26 +151,36 @@ class UsageStore:
         content, entry = f"{self.path('_content')}/{name}-{mark}", f"{self.path('_journal')}/{name}-{mark}"
         rows = df.select(*TABLES[name].fieldNames())
         if name in BY_BUCKET:
-            rows = rows.withColumn("bucket", bucket(name))
+            rows = rows.withColumn("bucket", self.bucket(name))
         column = part_column(name)
-        (rows.write.partitionBy(column) if column else rows.write).parquet(content)
-        self._note(entry, json.dumps({"name": name, "content": content, "parts": [str(p) for p in parts], "whole": whole}))
+        if column:
+            # A few files per partition: small ones are put together, one that is too large is split.
+            rows.hint("rebalance", column).write.partitionBy(column).parquet(content)
+        else:
+            rows.write.parquet(content)
+        filled = self._parts(content)
+        gone = self._parts(self.path(name)) if whole else [f"{column}={part}" for part in parts]
+        self._note(entry, json.dumps({"name": name, "content": content, "filled": filled, "gone": sorted(set(gone) - set(filled)), "split": bool(column)}))
         self._put(entry)
         self._drop([entry, content])
 
+    def _parts(self, path: str) -> list[str]:
+        """Names of a table's partition folders."""
+        return [name for name in (folder.rpartition("/")[2] for folder in self._listed(path)) if "=" in name]
+
     def _put(self, entry: str) -> None:
+        """Move the content of a journal entry into its table; what a failed run has moved is no longer there to move."""
         note = json.loads(self._noted(entry))
-        name, column = note["name"], part_column(note["name"])
-        fields = TABLES[name].fields + ([T.StructField("bucket", T.IntegerType())] if name in BY_BUCKET else [])
-        content = self.spark.read.schema(T.StructType(fields)).parquet(note["content"])
-        if column:
-            # A few files per partition: small ones are put together, one that is too large is split.
-            content = content.hint("rebalance", column)
-        writer = content.write.mode("overwrite").option("partitionOverwriteMode", "static" if note["whole"] else "dynamic")
-        (writer.partitionBy(column) if column else writer).parquet(self.path(name))
-        if note["parts"]:
-            held = {folder.rpartition("=")[2] for folder in self._listed(note["content"])}
-            self._drop(f"{self.path(name)}/{column}={part}" for part in note["parts"] if part not in held)
+        target, content = self.path(note["name"]), note["content"]
+        moves = [(f"{content}/{part}", f"{target}/{part}") for part in note["filled"]] if note["split"] else [(content, target)]
+        for begun, ended in moves:
+            if self._exists(begun):
+                self._drop([ended])
+                fs, there = self._files(ended)
+                fs.mkdirs(there.getParent())
+                if not fs.rename(self._files(begun)[1], there):
+                    raise OSError(f"cannot move {begun} to {ended}")
+        self._drop(f"{target}/{part}" for part in note["gone"])
 
     def _files(self, path: str):
         jvm = self.spark.sparkContext._jvm
