@@ -85,8 +85,11 @@ def test_near_copies_by_shingles_equal_brute_force(spark, part, monkeypatch):
                 low, high = sorted((group[i], group[j]))
                 group = [low if g == high else g for g in group]
     assert far > 5
+    texts.append("lone " * 30_000)  # a very long text
+    group.append(len(group))
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], brute.SCHEMA).repartition(3)
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(group)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").isEmpty()
 
 
 def test_repeated_passages_go_from_the_texts(stages):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnledger.session import staged
+from turnledger.session import discard, staged
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def stars(edges: DataFrame) -> DataFrame:
         hooked = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = hooked.groupBy("a").agg(F.min("b").alias("m"))
         lower = hooked.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = staged(lower.union(least).distinct(), "edges")
+        done, edges = edges, staged(lower.union(least).distinct(), "edges")
+        discard(done)
     return edges
 
 

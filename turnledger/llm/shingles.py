@@ -2,9 +2,11 @@
 
 MinHash bands only propose: texts that share a band and are of different classes are compared by
 their whole sets of shingles, and linked if the Jaccard similarity is large enough. At a
-similarity of 0.8 or more a pair shares no band with a chance of 6 in 100,000 or less. Only texts in
-a band with several classes are sent out, so exact and very near copies, which are one class
-already, are not compared again.
+similarity of 0.8 or more a pair shares no band with a chance of 6 in 100,000 or less.
+
+The bands are gone through in a few rounds. Classes joined in one round are one class in the next, so
+most near copies meet once and not in every band they share. Only the texts of a band that still
+has several classes are fetched and sent out, once per such band.
 """
 
 from __future__ import annotations
@@ -19,11 +21,14 @@ from pyspark.sql import functions as F
 
 from turnledger.llm.components import stars
 from turnledger.llm.text import bound_batches, word_codes
-from turnledger.session import discard, staged
+from turnledger.session import broadcast_if_small, discard, staged
 
 WORDS = 5
 BANDS, ROWS = 32, 6
+ROUNDS = (0, 3, 8, 16, BANDS)
 PART = 4_000  # texts of a band compared in one task, about; more are split into pairs of parts
+PART_CODES = 4_000_000  # and their shingles, about
+FEW = 500_000  # texts to fetch whose keys are sent to every task; more are joined by a shuffle
 _DRAW = np.random.default_rng(17)
 _FLIP, _TIMES = _DRAW.integers(0, 2**64, BANDS * ROWS, np.uint64), _DRAW.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -63,10 +68,15 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({
             "_doc_key": frame["_doc_key"], "_text_key": frame["_text_key"],
             "unit": np.array([xxhash.xxh64_intdigest(f.tobytes()) for f in found], np.uint64).view(np.int64),
-            "bands": [bands(f) if len(f) else None for f in found], "codes": [f.tobytes() for f in found],
+            "size": np.array([len(f) for f in found], np.int64), "bands": [bands(f) if len(f) else None for f in found],
         })
 
 
+def _codes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"unit": frame["unit"], "codes": [shingles((text or "").encode()).tobytes() for text in frame["text"]]})
+
+
 def _compare(similar: float):
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come in order of (band, pair); the last group of a batch waits for the next batch."""
@@ -121,34 +131,48 @@ def joined(sets: list[np.ndarray], label: np.ndarray, similar: float) -> tuple[l
     return a, b
 
 
+def _mixed_bands(units: DataFrame, low: int, high: int) -> DataFrame:
+    """(band, pair, unit, class) of the texts to compare: those of bands ``low`` to ``high`` with several classes."""
+    members = units.select("unit", "class", "size", F.explode(F.slice("bands", low + 1, high - low)).alias("band"))
+    held = members.groupBy("band").agg(
+        F.count("*").alias("n"), F.sum("size").alias("codes"), F.min("class").alias("least"), F.max("class").alias("most"),
+        F.expr("bit_xor(xxhash64(unit, class))").alias("who"),
+    )
+    # Bands with the same texts are compared once.
+    mixed = held.filter("least < most").groupBy("n", "who").agg(F.min("band").alias("band"), F.first("codes").alias("codes"))
+    parts = F.greatest(F.ceil(F.col("n") / PART), F.ceil(F.col("codes") / PART_CODES)).cast("long")
+    part = F.pmod(F.xxhash64("unit", "class"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    dealt = members.join(mixed.withColumn("parts", parts).select("band", "parts"), "band").withColumn("part", part).withColumn("other", other)
+    return dealt.select("band", "unit", "class", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("pair"))
+
+
 def join_classes(keyed: DataFrame, classes: DataFrame, similar: float) -> DataFrame:
     """(class, joined) of the classes that links of texts join to a class with a smaller number.
 
     ``keyed`` has _doc_key, _text_key and text, ``classes`` the first two and class. Texts without words
-    are not compared.
+    are not compared; an empty table, or one whose bands hold one class each, gives an empty result.
     """
     bound_batches(keyed)
-    columns = "_doc_key long, _text_key long, unit long, bands array<long>, codes binary"
-    sets = staged(keyed.select("_doc_key", "_text_key", "text").mapInPandas(_sets, columns), "shingles")
-    known = sets.filter("bands IS NOT NULL").select("_doc_key", "_text_key", "unit", "bands")
-    known = known.join(classes.select("_doc_key", "_text_key", "class").distinct(), ["_doc_key", "_text_key"])
-    members = staged(known.select("unit", "class", F.explode("bands").alias("band")).distinct(), "members")
-    held = members.groupBy("band").agg(
-        F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"), F.expr("bit_xor(xxhash64(unit, class))").alias("who"),
-    )
-    # Bands with the same texts are compared once.
-    mixed = held.filter("low < high").groupBy("n", "who").agg(F.min("band").alias("band")).select("band", "n")
-    parts = F.ceil(F.col("n") / PART).cast("long")
-    part = F.pmod(F.xxhash64("unit", "class"), F.col("parts"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    dealt = members.join(mixed, "band").withColumn("parts", parts).withColumn("part", part).withColumn("other", other)
-    dealt = staged(dealt.select(
-        "band", "unit", "class", (F.least("part", "other") * F.col("parts") + F.greatest("part", "other")).alias("pair"),
-    ), "dealt")
-    needed = sets.select("unit", "codes").join(dealt.select("unit").distinct(), "unit", "left_semi").dropDuplicates(["unit"])
-    sent = dealt.join(needed, "unit").select("band", "pair", "class", "codes")
-    links = sent.repartition("band", "pair").sortWithinPartitions("band", "pair").mapInPandas(_compare(similar), "a long, b long")
-    star = stars(links)
-    for done in (sets, members, dealt):
-        discard(done)
+    texts = keyed.select("_doc_key", "_text_key", "text")
+    sets = staged(texts.mapInPandas(_sets, "_doc_key long, _text_key long, unit long, size long, bands array<long>"), "bands")
+    known = sets.filter("bands IS NOT NULL").join(classes.select("_doc_key", "_text_key", "class").distinct(), ["_doc_key", "_text_key"])
+    at = F.min(F.struct("_doc_key", "_text_key")).alias("at")
+    # One row per set of shingles and class, and one text that has the set.
+    units = staged(known.groupBy("unit", F.col("class").alias("begun")).agg(at, F.first("size").alias("size"), F.first("bands").alias("bands")), "units")
+    discard(sets)
+    star = keyed.sparkSession.createDataFrame([], "a long, b long")
+    for low, high in zip(ROUNDS[:-1], ROUNDS[1:], strict=True):
+        now = units.join(star, units["begun"] == star["a"], "left").select("unit", "size", "bands", F.coalesce("b", "begun").alias("class"))
+        dealt = staged(_mixed_bands(now, low, high), "dealt")
+        wanted = units.join(dealt.select("unit").distinct(), "unit", "left_semi").groupBy("unit").agg(F.min("at").alias("at"))
+        wanted = staged(wanted.select("unit", "at.*"), "wanted")
+        fetched = texts.join(broadcast_if_small(wanted, FEW), ["_doc_key", "_text_key"]).select("unit", "text")
+        codes = fetched.mapInPandas(_codes, "unit long, codes binary").dropDuplicates(["unit"])
+        sent = dealt.join(codes, "unit").select("band", "pair", "class", "codes")
+        links = staged(sent.repartition("band", "pair").sortWithinPartitions("band", "pair").mapInPandas(_compare(similar), "a long, b long"), "links")
+        before, star = star, stars(star.unionByName(links))
+        for done in (dealt, wanted, links, before):
+            discard(done)
+    discard(units)
     return star.select(F.col("a").alias("class"), F.col("b").alias("joined"))

@@ -235,7 +235,7 @@ def one_of_each(docs: DataFrame, reach: int = 3, similar: float | None = None) -
     found = near_duplicates(docs, reach)
     if similar is not None:
         found = staged(found.select("_doc_key", "_text_key", "doc_id", "class"), "classes")
-        more = join_classes(with_key(docs), found, similar)
+        more = join_classes(with_key(docs.select("doc_id", "text")), found, similar)
         found = found.join(more, "class", "left").withColumn("class", F.coalesce("joined", "class"))
     first = F.row_number().over(Window.partitionBy("class").orderBy(F.col("doc_id").asc_nulls_last(), "_text_key"))
     chosen = found.withColumn("n", first).filter("n = 1").select("_doc_key", "_text_key")
