@@ -26,11 +26,21 @@ def corpus():
     base = prose(300)
     texts += [base] * 4 + [base.replace(base.split()[k], "changed", 1) for k in (3, 90, 200)]
     texts += ["a" * 900, "xy " * 400, "Ünï ßcode " * 60, "ONE two", "one TWO", "", None, "   \n ", "x\x0by\x0cz", "word", prose(6000)]
+    texts += thue_morse()
     rows = [(i * 7 % 101 + i, text, ("en", "de", None)[i % 3], f"s{i % 4}" if i % 9 else None, len(text or "")) for i, text in enumerate(texts)]
     rows += [(None, base, None, None, 0), (None, None, None, None, None), (None, prose(80), "en", "s1", 1), rows[3], rows[3], rows[45]]
     return rows + [(rows[4][0], prose(60) + " " + passage, "en", "s1", 5)]
 
 
+def thue_morse():
+    """Texts that share no long window, but whose polynomial hashes modulo 2^64 are the same."""
+    word = lambda n, x, y: [(x, y)[i.bit_count() % 2] for i in range(n)]
+    gap, gaps = "qwertyuiopasdfghjklzxcvbnmQWERTYUIOPASDFGHJKLZXC", [f"g31_{k}" for k in range(10)]
+    bytes_of = lambda x, y: "".join([*word(128, x, y), gap, *word(128, y, x)])
+    words_of = lambda x, y: " ".join([*word(32, x, y), *gaps, *word(32, y, x)])
+    return [bytes_of("-", "Y"), bytes_of("Y", "-"), words_of("w141553", "w384525"), words_of("w384525", "w141553")]
+
+
 def prefix_free(rows, length=200):
     seen, data = Counter(), [(t or "").encode() for _, t, *_ in rows]
     for text in data:

@@ -4,6 +4,9 @@ A rolling hash gives each gram of ``gram`` symbols a value. The anchor of a wind
 value among its grams, so equal windows have equal anchors wherever they stand. Neighbouring
 windows with one anchor form a span; each window lies in exactly one span. A corpus of n symbols
 has about 2 n / (window - gram + 2) spans, which is what is shuffled instead of n windows.
+
+The rolling hash only brings windows together: it is a polynomial modulo 2^64, which some
+different sequences share, so no two windows or spans are taken for equal by it.
 """
 
 from __future__ import annotations
@@ -70,7 +73,6 @@ class Spans:
     first: np.ndarray  # place of the first window in the symbols
     count: np.ndarray  # windows
     anchor: np.ndarray
-    content: np.ndarray  # hash of all symbols of the span
     inner: np.ndarray  # may hold its anchor twice, so windows of it may equal each other
 
 
@@ -109,6 +111,4 @@ def spans(codes: np.ndarray, ends: np.ndarray, window: int, gram: int, longest:
     ranked, place = value[place][order], place[order]
     close = (ranked[1:] == ranked[:-1]) & (np.diff(place) < int(count.max()) + width)
     inner = np.isin(anchor, ranked[1:][close])
-    other = prefix_sums(codes, 1)
-    content = ranges_hash(other, 1, first, first + count - 1 + window) ^ mixed(count.astype(np.uint64))
-    return Spans(first, count, anchor, content, inner)
+    return Spans(first, count, anchor, inner)

@@ -1,12 +1,14 @@
-"""Exact substring dedup over bytes by prefix-free parsing.
+"""Substring dedup over bytes by prefix-free parsing, without its suffix arrays.
 
 Rolling-hash triggers (the smallest hash of each window, see ``anchors``) cut every text into
 phrases. Neighbouring phrases overlap by one byte less than the window, so no phrase is a prefix of
 the next place's phrase and each window lies whole in one phrase. The distinct phrases are the
-dictionary, and the parse says where each one stands and how often. Only the dictionary's suffixes
-are sorted: a suffix class that agrees on a window's length has as many places in the corpus as the
-parse has copies of its phrases. Corpus order beyond that length cannot change the answer, so the
-parse needs no suffix array of its own. Work grows with the dictionary, not with the repeats.
+dictionary, and the parse says where each one stands and how often.
+
+What is asked are windows of one length, and each lies inside one phrase. So the dictionary is
+sorted by windows inside the groups of one trigger, not as one suffix array, and of the parse only
+its counts are needed, not its suffix array: the order of the corpus beyond a window changes no
+answer. Work grows with the dictionary, not with the repeats.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Find every window of a fixed number of symbols that stands elsewhere too, exactly and at scale.
 
-1. Each document is cut into anchored spans (``anchors``); a span is one row of ids and hashes.
+1. Each document is cut into anchored spans (``anchors``); a span is one row of ids, its anchor and a
+   digest of its real symbols.
 2. Per anchor a small aggregate tells whether its windows can repeat at all, and whether all its
    spans are alike. Alike spans are settled there: copies cost one row a span, never a comparison.
 3. Of the rest, one representative per distinct span fetches its symbols. They are dealt out by
@@ -9,13 +10,18 @@
 4. An anchor with more than ``group_rows`` spans could outgrow a task: its key is lengthened to
    the whole window, and a hash aggregate with partial sums gives the same classes.
 
-Nothing is capped or dropped: the two ways differ in cost only.
+Nothing is capped or dropped: the two ways differ in cost only. Digests of spans (64 bits, told
+apart within one anchor) and of windows (128 bits) and codes of words are keyed with a secret drawn
+for each run, so no text can be written to make unequal ones meet; by chance two given ones do
+with a probability of 2^-64.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+import hashlib
+import os
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -41,25 +47,39 @@ class Windows:
     longest: int = 512  # windows of a span
     chunk: int = 1 << 18  # symbols handled at once
     group_rows: int = 20_000  # spans of an anchor that one task sorts
+    secret: bytes = field(default_factory=lambda: os.urandom(16))
+
+    @property
+    def seed(self) -> int:
+        return int.from_bytes(self.secret[:8], "big") | 1
+
+    def digest(self, symbols: Sequence[bytes] | bytes, size: int) -> bytes:
+        """A keyed digest of bytes, or of words, which hold no space."""
+        whole = b" ".join(symbols) if self.words else symbols
+        return hashlib.blake2b(whole, digest_size=size, key=self.secret).digest()
 
 
 def _codes(data: bytes, spec: Windows) -> np.ndarray:
-    return word_codes(data) if spec.words else anchors.BYTE_CODES[np.frombuffer(data, np.uint8)]
+    return word_codes(data, spec.seed) if spec.words else anchors.BYTE_CODES[np.frombuffer(data, np.uint8)]
+
+
+Piece = tuple[int, int, int, np.ndarray, Sequence[bytes] | bytes]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], spec: Windows) -> Iterator[list[tuple[int, int, int, np.ndarray]]]:
-    """(id, hash, offset, codes) lists of about ``chunk`` symbols; long texts are cut with an overlap."""
-    held: list[tuple[int, int, int, np.ndarray]] = []
+def _pieces(batches: Iterator[pa.RecordBatch], spec: Windows) -> Iterator[list[Piece]]:
+    """(id, hash, offset, codes, symbols) lists of about ``chunk`` symbols; long texts are cut with an overlap."""
+    held: list[Piece] = []
     size = 0
     for batch in batches:
         ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for i, data in enumerate(text_bytes(batch.column(2))):
             codes = _codes(data, spec)
+            symbols = data.split() if spec.words else data
             for offset in range(0, max(1, len(codes) - spec.window + 1), spec.chunk):
-                piece = codes[offset : offset + spec.chunk + spec.window - 1]
-                if len(piece) >= spec.window:
-                    held.append((ids[i], hashes[i], offset, piece))
-                    size += len(piece)
+                part = slice(offset, offset + spec.chunk + spec.window - 1)
+                if len(codes[part]) >= spec.window:
+                    held.append((ids[i], hashes[i], offset, codes[part], symbols[part]))
+                    size += len(codes[part])
                 if size >= spec.chunk:
                     yield held
                     held, size = [], 0
@@ -70,19 +90,22 @@ def _pieces(batches: Iterator[pa.RecordBatch], spec: Windows) -> Iterator[list[t
 def _span_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _pieces(batches, spec):
-            ends = np.cumsum([len(piece) for *_, piece in held])
-            found = anchors.spans(np.concatenate([piece for *_, piece in held]), ends, spec.window, spec.gram, spec.longest)
+            ends = np.cumsum([len(piece[3]) for piece in held])
+            found = anchors.spans(np.concatenate([piece[3] for piece in held]), ends, spec.window, spec.gram, spec.longest)
             if found is None:
                 continue
             of = np.searchsorted(ends, found.first, side="right")
             ids, hashes, offsets = (np.array(column, np.int64) for column in zip(*[h[:3] for h in held], strict=True))
-            starts = ends - np.array([len(piece) for *_, piece in held])
+            starts = ends - np.array([len(piece[3]) for piece in held])
+            first = found.first - starts[of]
+            stop = first + found.count - 1 + spec.window
+            content = b"".join([spec.digest(held[k][4][a:b], 8) for k, a, b in zip(of.tolist(), first.tolist(), stop.tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[of]), pa.array(hashes[of]),
-                    pa.array((found.first - starts[of] + offsets[of]).astype(np.int32)),
+                    pa.array((first + offsets[of]).astype(np.int32)),
                     pa.array(found.count.astype(np.int32)), pa.array(found.anchor.view(np.int64)),
-                    pa.array(found.content.view(np.int64)), pa.array(found.inner),
+                    pa.array(np.frombuffer(content, np.int64)), pa.array(found.inner),
                 ],
                 names=["_doc_key", "_text_key", "first", "count", "anchor", "content", "inner"],
             )
@@ -98,7 +121,7 @@ def _contents(spec: Windows) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
             parts = []
             for text, spans in zip(frame["text"], frame["spans"], strict=True):
                 data = text.encode()
-                symbols = word_codes(data).astype(">u8") if spec.words else np.frombuffer(data, np.uint8)
+                symbols = word_codes(data, spec.seed).astype(">u8") if spec.words else np.frombuffer(data, np.uint8)
                 parts += [
                     (s["anchor"], s["content"], s["copies"], s["owner"], s["large"],
                      symbols[s["first"] : s["first"] + s["count"] - 1 + spec.window].tobytes())
@@ -120,9 +143,9 @@ def _windows_of(symbols: list[bytes], spec: Windows) -> tuple[np.ndarray, np.nda
     return np.repeat(np.cumsum(sizes) - sizes, counts) + number, span, number, joined
 
 
-def _hashes(place: np.ndarray, joined: np.ndarray, spec: Windows) -> list[np.ndarray]:
+def _hashes(place: np.ndarray, joined: np.ndarray, spec: Windows) -> np.ndarray:
     codes = joined.astype(np.uint64) if spec.words else anchors.BYTE_CODES[joined]
-    return [anchors.ranges_hash(anchors.prefix_sums(codes, which), which, place, place + spec.window) for which in (0, 1)]
+    return anchors.ranges_hash(anchors.prefix_sums(codes, 0), 0, place, place + spec.window)
 
 
 def _slices(starts: np.ndarray, size: int, rows: int) -> Iterator[tuple[int, int]]:
@@ -146,7 +169,7 @@ def _nodes(frame: pd.DataFrame, spec: Windows) -> pd.DataFrame:
     frame = frame.drop_duplicates(["anchor", "content"], ignore_index=True)  # fetched from rows that repeat
     place, span, number, joined = _windows_of(frame["symbols"].tolist(), spec)
     anchor = frame["anchor"].to_numpy()[span]
-    key = _hashes(place, joined, spec)[0] ^ anchors.mixed(anchor.view(np.uint64))
+    key = _hashes(place, joined, spec) ^ anchors.mixed(anchor.view(np.uint64))
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     shared = np.zeros(len(key), bool)
@@ -198,16 +221,20 @@ def _sorted_groups(spec: Windows) -> Callable[[Iterator[pd.DataFrame]], Iterator
 
 
 def _lengthened(spec: Windows) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """One row per window, keyed by a 128-bit hash of the whole window."""
+    """One row per window, keyed by a digest of the whole window."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for start in range(0, len(frame), 500):
                 part = frame.iloc[start : start + 500]
                 place, span, number, joined = _windows_of(part["symbols"].tolist(), spec)
-                one, two = _hashes(place, joined, spec)
+                data, width = joined.tobytes(), joined.itemsize
+                whole = b"".join([
+                    hashlib.blake2b(data[p * width : (p + spec.window) * width], digest_size=16, key=spec.secret).digest() for p in place.tolist()
+                ])
+                one, two = np.frombuffer(whole, np.int64).reshape(-1, 2).T
                 columns = {name: part[name].to_numpy()[span] for name in ("anchor", "content", "copies", "owner")}
-                yield pd.DataFrame({**columns, "start": number.astype(np.int32), "one": one.view(np.int64), "two": two.view(np.int64)})
+                yield pd.DataFrame({**columns, "start": number.astype(np.int32), "one": one, "two": two})
 
     return rows
 

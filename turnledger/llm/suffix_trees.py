@@ -1,11 +1,12 @@
-"""Substring dedup over words by prefix-partitioned suffix trees.
-
-Suffixes are dealt out by a prefix, and each group's subtree is built by sorting its suffixes in
-one task; nodes at least a window deep are the repeats, and the smallest document id below such a
-node owns it. Prefixes have variable length: first ``prefix`` words at an anchor that every copy of
-a window shares; where a prefix has too many suffixes for a task's memory it is lengthened to the
-whole window, whose subtree is one deep node that needs no sorting. Prefixes that a single document
-has are dropped before any text moves, and suffixes alike in all their span count once.
+"""Substring dedup over words by suffixes in groups of a prefix, cut at one depth.
+
+Suffixes are dealt out by ten words that every copy of a window shares, the window's anchor, which
+lies inside the window instead of at its start. A group is sorted by its first ``length`` words in one
+task; runs of equal ones are the nodes of the suffix tree at that depth, and the smallest document id
+below a node owns it. The tree above and below that depth (its edges, longest common prefixes and
+maximal repeats) is not built: windows of one length are all that is asked. A group too large for a
+task is dealt out by whole windows, which need no sorting. Anchors that a single document has are
+dropped before any text moves, and suffixes alike in all their span count once.
 """
 
 from __future__ import annotations

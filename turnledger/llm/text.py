@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,11 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-def word_codes(data: bytes) -> np.ndarray:
+def word_codes(data: bytes, seed: int = 0) -> np.ndarray:
     """A 64-bit code of each word."""
     words = data.split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    digest = partial(xxhash.xxh3_64_intdigest, seed=seed) if seed else xxhash.xxh3_64_intdigest
+    return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
 def word_count(column: Column) -> Column:
