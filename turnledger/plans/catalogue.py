@@ -12,7 +12,7 @@ from turnledger.operators.filters import UsageQuery
 from turnledger.plans import diagnostics, extras, logfiles, periods, refresh, samples, views
 from turnledger.session import staged, work_folder
 from turnledger.sources import inventory, lines as line_source, ranges, rates, store
-from turnledger.streaming import rollups as stream_rollups, stateful_parse
+from turnledger.streaming import growing, rollups as stream_rollups, stateful_parse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -657,15 +657,6 @@ def q15_day_total(spark: SparkSession, sf: str) -> DataFrame:
 # --- period analytics ----------------------------------------------------------------------------
 
 
-def _each_period(spark: SparkSession, sf: str, make: Callable[[DataFrame, str], DataFrame], names: tuple[str, ...] = periods.PERIODS) -> DataFrame:
-    daily = staged(_daily(spark, sf), "daily")
-    out = None
-    for name in names:
-        part = make(daily, name)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query
 def w01_period_windows(spark: SparkSession, sf: str) -> DataFrame:
     table = periods.period_table(periods.latest_day(_daily(spark, sf)))
@@ -692,22 +683,22 @@ def w03_fetch_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def w04_window_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return _each_period(spark, sf, lambda d, p: periods.window_totals(d, p, _as_of()))
+    return periods.window_totals(_daily(spark, sf), periods.PERIODS, _as_of())
 
 
 @query
 def w05_period_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    return _each_period(spark, sf, lambda d, p: periods.period_comparison(d, p, _as_of()))
+    return periods.period_comparison(_daily(spark, sf), periods.PERIODS, _as_of())
 
 
 @query
 def w06_peak_day(spark: SparkSession, sf: str) -> DataFrame:
-    return _each_period(spark, sf, lambda d, p: periods.peak_day(d, p, _as_of()))
+    return periods.peak_day(_daily(spark, sf), periods.PERIODS, _as_of())
 
 
 @query
 def w07_period_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    return _each_period(spark, sf, lambda d, p: periods.period_buckets(d, p, _as_of(), periods.TREND_BUCKETS))
+    return periods.period_buckets(_daily(spark, sf), periods.PERIODS, _as_of(), periods.TREND_BUCKETS)
 
 
 @query
@@ -728,18 +719,18 @@ def w09_top_models(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def w10_composition(spark: SparkSession, sf: str) -> DataFrame:
-    return _each_period(spark, sf, lambda d, p: periods.composition(d, p, _as_of()))
+    return periods.composition(_daily(spark, sf), periods.PERIODS, _as_of())
 
 
 @query
 def w11_current_vs_average(spark: SparkSession, sf: str) -> DataFrame:
-    return _each_period(spark, sf, lambda d, p: periods.current_vs_average(d, p, _as_of()), periods.PERIODS[1:])
+    return periods.current_vs_average(_daily(spark, sf), periods.PERIODS[1:], _as_of())
 
 
 @query
 def w12_caching_and_tools(spark: SparkSession, sf: str) -> DataFrame:
-    calls = staged(views.tool_calls_by_day(samples.tools(spark, sf), samples.records(spark, sf), MONTH), "tool-days")
-    return _each_period(spark, sf, lambda d, p: periods.caching_and_tools(d, calls, p, _as_of()))
+    calls = views.tool_calls_by_day(samples.tools(spark, sf), samples.records(spark, sf), MONTH)
+    return periods.caching_and_tools(_daily(spark, sf), calls, periods.PERIODS, _as_of())
 
 
 @query
@@ -749,7 +740,7 @@ def w13_today_ratios(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def w14_cache_savings(spark: SparkSession, sf: str) -> DataFrame:
-    return _each_period(spark, sf, lambda d, p: periods.cache_savings_estimate(d, p, _as_of()), periods.PERIODS[1:])
+    return periods.cache_savings_estimate(_daily(spark, sf), periods.PERIODS[1:], _as_of())
 
 
 @query
@@ -988,29 +979,30 @@ def i08_missing_sources(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams -------------------------------------------------------------------------------------
 
 
-def _in_pieces(spark: SparkSession, sf: str) -> stateful_parse.BatchParser:
-    """The rendered logs as a stream of three files, cut through the middle of sessions, turns and requests."""
-    placed = staged(line_source.with_offsets(_logs(spark, sf)), "placed")
+def _in_pieces(spark: SparkSession, sf: str) -> tuple[stateful_parse.Outputs, str]:
+    """A stream of log files that grow between its three runs, cut through the middle of sessions, turns and requests."""
+    rows, root = _written(spark, sf)
     folder = work_folder(spark, "stateful")
-    rows = placed.select("source", "file_path", "line_offset", "value")
+    spark.dataSource.register(growing.GrowingLogs)
     piece = F.least(F.lit(2), F.shiftright("line_offset", 12))
-    # Each run of the stream finds one more file; what came before is known by its checkpoint.
-    for batch in range(3):
-        rows.filter(piece == batch).write.mode("append").parquet(f"{folder}/in")
-        lines = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-        stateful_parse.start(lines, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return stateful_parse.BatchParser(spark, f"{folder}/out")
+    for turn in range(3):
+        logfiles.write_files(rows.filter(piece == turn), root)
+        reader = spark.readStream.format("growing_logs").options(**_roots(root))
+        stateful_parse.start(reader.load(), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return stateful_parse.Outputs(spark, f"{folder}/out"), root
 
 
 @query
 def t01_stateful_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return _in_pieces(spark, sf).outputs("tool_events").select("event_key", "tool_name", "session_id", "ts_utc")
+    out, _ = _in_pieces(spark, sf)
+    return out.latest("tool_events").select(_no_scope("event_key"), "tool_name", "session_id", "ts_utc")
 
 
 @query
 def t01_stateful_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Bad lines of the same stream: as many as one parse of the whole counts."""
-    return _in_pieces(spark, sf).quality().filter("malformed_count + oversized_count > 0")
+    out, root = _in_pieces(spark, sf)
+    return out.quality().filter("malformed_count + oversized_count > 0").select("source", _below(root), "malformed_count", "oversized_count")
 
 
 def _turn_stream(spark: SparkSession, sf: str, folder: str) -> DataFrame:
@@ -1031,12 +1023,22 @@ def t02_stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("dedup_key", "total_tokens")
 
 
+@query
+def t02_store_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The same into a store, batch after batch, and once more from a new stream that has no state of the first."""
+    folder, usage = work_folder(spark, "once"), _small_store(spark)
+    for run in range(2):
+        rows = samples.as_records(_turn_stream(spark, sf, f"{folder}/{run}"))
+        stream_rollups.into_store_once(rows, usage, f"{folder}/{run}/state").awaitTermination()
+    return usage.read("usage_record").select("dedup_key", "total_tokens")
+
+
 @query
 def t03_stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_folder(spark, "hourly")
     rows = samples.as_records(_turn_stream(spark, sf, folder))
     stream_rollups.into_windows(rows, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return stream_rollups.window_totals(spark.read.parquet(f"{folder}/out"))
+    return stream_rollups.stored_windows(spark, f"{folder}/out")
 
 
 def _streamed_store(spark: SparkSession, sf: str) -> store.UsageStore:
@@ -1048,7 +1050,7 @@ def _streamed_store(spark: SparkSession, sf: str) -> store.UsageStore:
     def put(rows: DataFrame, batch: int) -> None:
         turns = staged(rows, "batch")
         kept = samples.as_records(turns)
-        handle(kept, samples.tools_of(turns), kept.select("dedup_key"), batch)
+        handle(kept, samples.tools_of(turns), kept.select("dedup_key", "file_id"), batch)
 
     (
         _turn_stream(spark, sf, folder).writeStream.foreachBatch(put)

@@ -650,14 +650,15 @@ _add("i08_missing_sources", "SELECT DISTINCT source FROM rec WHERE source = 'cla
 # --- streams -------------------------------------------------------------------------------------
 
 _log("t01_stateful_parse", f"""
-SELECT x.event_key, x.tool_name, x.session_id, t.ts_utc FROM ({_CX_TOOLS}) x JOIN cx_turn t ON t.dedup_key = x.record_dedup_key WHERE x.timed
+SELECT regexp_replace(event_key, ':[0-9a-f]{{16}}:', ':') AS event_key, * EXCLUDE (event_key) FROM (SELECT x.event_key, x.tool_name, x.session_id, t.ts_utc FROM ({_CX_TOOLS}) x JOIN cx_turn t ON t.dedup_key = x.record_dedup_key WHERE x.timed
 UNION ALL SELECT dedup_key || '#' || n, CASE WHEN k % 10 = 5 THEN 'unknown' WHEN n = 0 THEN 'shell' WHEN n = 1 THEN 'apply_patch' ELSE 'read_file' END,
-  session_id, ts_utc FROM (SELECT *, unnest(range(k % 4)) AS n FROM cl_turn WHERE timed)""")
+  session_id, ts_utc FROM (SELECT *, unnest(range(k % 4)) AS n FROM cl_turn WHERE timed))""")
 _BAD = "(source = 'codex' AND i IN (10, 11)) OR (source = 'claude' AND i IN (4, 5))"
 _log("t01_stateful_quality", f"""
 SELECT source, file_path, CAST(COUNT(*) FILTER ({_BAD}) AS BIGINT) AS malformed_count, CAST(0 AS BIGINT) AS oversized_count
 FROM log GROUP BY ALL HAVING malformed_count > 0""")
-_add("t02_stream_dedup", "SELECT dedup_key, total_tokens FROM rec")
+for _name in ("t02_stream_dedup", "t02_store_once"):
+    _add(_name, "SELECT dedup_key, total_tokens FROM rec")
 _add("t03_stream_hourly", f"""
 SELECT ts_utc // 3600000 * 3600000 AS window_start_utc, source, {_SUMS}, CAST(COUNT(*) AS BIGINT) AS turns FROM rec GROUP BY ts_utc // 3600000, source""")
 _add("t04_stream_tool_events", "SELECT event_key, record_dedup_key, tool_name, day_local FROM tool")

@@ -6,6 +6,7 @@ reaches the scan as a pushed-down filter; taken from data it is a one-row aggreg
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -106,47 +107,60 @@ def _tally(flag: Column) -> dict[str, Column]:
     }
 
 
-def window_totals(daily: DataFrame, period: str, as_of: Column) -> DataFrame:
-    """Totals of the window, one row."""
-    w = period_window(period, as_of)
-    kept = daily.filter(in_range(w.start, w.end))
-    return kept.agg(*[e.alias(n) for n, e in _tally(F.lit(True)).items()]).select(
-        F.lit(period).alias("period"), "*"
-    )
+def names_of(period: str | Sequence[str]) -> tuple[str, ...]:
+    return (period,) if isinstance(period, str) else tuple(period)
+
+
+def in_periods(daily: DataFrame, period: str | Sequence[str], as_of: Column) -> DataFrame:
+    """Rows of the previous, present and running windows of each period, once per period they lie in.
+
+    One scan serves all periods: ``current`` and ``running`` tell the windows apart, ``bucket`` is
+    the period's bucket of the day.
+    """
+    windows = [period_window(name, as_of) for name in names_of(period)]
+    cells = [
+        F.struct(
+            F.lit(w.period).alias("period"), in_range(w.prev_start, w.end).alias("_held"), in_range(w.start, w.end).alias("current"),
+            in_range(w.current_start, w.end).alias("running"), _bucket_key(w.period, F.to_date("day_local")).alias("bucket"),
+        )
+        for w in windows
+    ]
+    starts = [w.prev_start for w in windows]
+    kept = daily.filter(in_range(F.least(*starts) if len(starts) > 1 else starts[0], as_of))
+    return kept.select("*", F.inline(F.array(*cells))).filter("_held").drop("_held")
+
+
+def _per_period(rows: DataFrame, period: str | Sequence[str], aggs: Sequence[Column]) -> DataFrame:
+    """Aggregates of each period, of those without rows too."""
+    every = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(name) for name in names_of(period)])).alias("period"))
+    return every.join(rows.groupBy("period").agg(*aggs), "period", "left")
 
 
-def period_comparison(daily: DataFrame, period: str, as_of: Column) -> DataFrame:
+def _filled(names: Sequence[str]) -> list[Column]:
+    return [F.coalesce(name, F.lit(0.0 if "cost" in name else 0)).alias(name) for name in names]
+
+
+def window_totals(daily: DataFrame, period: str | Sequence[str], as_of: Column) -> DataFrame:
+    """Totals of the window, one row per period."""
+    tally = _tally(F.col("current"))
+    return _per_period(in_periods(daily, period, as_of), period, [e.alias(n) for n, e in tally.items()]).select("period", *_filled([*tally]))
+
+
+def period_comparison(daily: DataFrame, period: str | Sequence[str], as_of: Column) -> DataFrame:
     """Window against previous window in one pass, with the change in per cent."""
-    w = period_window(period, as_of)
-    is_current = in_range(w.start, w.end)
-    kept = daily.filter(in_range(w.prev_start, w.end))
-    aggs = []
-    for name in ("tokens", "cost_usd", "turns"):
-        aggs += [
-            _tally(is_current)[name].alias(f"cur_{name}"),
-            _tally(~is_current)[name].alias(f"prev_{name}"),
-        ]
-    return kept.agg(*aggs).select(
-        F.lit(period).alias("period"), "*",
-        *[
-            percent_change(F.col(f"cur_{n}").cast("double"), F.col(f"prev_{n}").cast("double")).alias(f"{n}_delta_pct")
-            for n in ("tokens", "cost_usd", "turns")
-        ],
-    )
+    measures = ("tokens", "cost_usd", "turns")
+    present, before = _tally(F.col("current")), _tally(~F.col("current"))
+    aggs = [e[n].alias(f"{when}_{n}") for n in measures for when, e in (("cur", present), ("prev", before))]
+    totals = _per_period(in_periods(daily, period, as_of), period, aggs).select("period", *_filled([f"{w}_{n}" for n in measures for w in ("cur", "prev")]))
+    change = lambda n: percent_change(F.col(f"cur_{n}").cast("double"), F.col(f"prev_{n}").cast("double"))
+    return totals.select("*", *[change(n).alias(f"{n}_delta_pct") for n in measures])
 
 
-def peak_day(daily: DataFrame, period: str, as_of: Column) -> DataFrame:
+def peak_day(daily: DataFrame, period: str | Sequence[str], as_of: Column) -> DataFrame:
     """Day with the most tokens in the window; the first wins ties; none if nothing was used."""
-    w = period_window(period, as_of)
-    days = daily.filter(in_range(w.start, w.end)).groupBy("day_local").agg(
-        F.sum("total_tokens").alias("tokens")
-    )
-    return (
-        days.filter(F.col("tokens") > 0)
-        .orderBy(F.col("tokens").desc(), "day_local")
-        .limit(1)
-        .select(F.lit(period).alias("period"), "day_local", "tokens")
-    )
+    days = in_periods(daily, period, as_of).filter("current").groupBy("period", "day_local").agg(F.sum("total_tokens").alias("tokens"))
+    best = F.min_by(F.struct("day_local", "tokens"), F.struct(-F.col("tokens"), F.col("day_local"))).alias("_d")
+    return days.filter(F.col("tokens") > 0).groupBy("period").agg(best).select("period", "_d.day_local", "_d.tokens")
 
 
 def _bucket_key(period: str, day: Column) -> Column:
@@ -157,27 +171,30 @@ def _bucket_key(period: str, day: Column) -> Column:
     return F.substring(_day(day), 1, 7 if period == "month" else 4)
 
 
-def period_buckets(daily: DataFrame, period: str, as_of: Column, last: int | None = None) -> DataFrame:
-    """Zero-filled buckets of the window, newest first."""
-    w = period_window(period, as_of)
-    step = {"today": "1 DAY", "day": "1 DAY", "week": "7 DAYS", "month": "1 MONTH", "year": "1 YEAR"}[period]
-    spark = daily.sparkSession
-    calendar = spark.range(1).select(
-        F.explode(F.sequence(w.start, w.current_start, F.expr(f"INTERVAL {step}"))).alias("_at")
-    ).select(_bucket_key(period, F.col("_at")).alias("bucket"))
+_STEPS = {"today": "1 DAY", "day": "1 DAY", "week": "7 DAYS", "month": "1 MONTH", "year": "1 YEAR"}
+
+
+def _calendar(name: str, as_of: Column, last: int | None) -> Column:
+    """(period, bucket) of a period's window, newest first."""
+    w = period_window(name, as_of)
+    days = F.reverse(F.sequence(w.start, w.current_start, F.expr(f"INTERVAL {_STEPS[name]}")))
+    return F.transform(F.slice(days, 1, last) if last else days, lambda at: F.struct(F.lit(name).alias("period"), _bucket_key(name, at).alias("bucket")))
+
+
+def period_buckets(daily: DataFrame, period: str | Sequence[str], as_of: Column, last: int | None = None) -> DataFrame:
+    """Zero-filled buckets of the window, newest first; of each period the ``last`` ones."""
+    calendar = daily.sparkSession.range(1).select(F.inline(F.flatten(F.array(*[_calendar(name, as_of, last) for name in names_of(period)]))))
     names = {"tokens": "total_tokens", "turns": "turns", "input": "input_tokens",
              "output": "output_tokens", "cache": "cache_read_tokens", "reasoning": "reasoning_tokens"}
     used = (
-        daily.filter(in_range(w.start, w.end))
-        .groupBy(_bucket_key(period, F.to_date("day_local")).alias("bucket"))
+        in_periods(daily, period, as_of).filter("current").groupBy("period", "bucket")
         .agg(*[F.sum(c).alias(n) for n, c in names.items()], F.sum("cost_nano").alias("cost_nano"))
-    )
-    filled = calendar.join(used, "bucket", "left").select(
-        F.lit(period).alias("period"), "bucket",
+    )
+    return calendar.join(used, ["period", "bucket"], "left").select(
+        "period", "bucket",
         *[F.coalesce(n, F.lit(0)).alias(n) for n in names],
         F.coalesce(usd(F.col("cost_nano")), F.lit(0.0)).alias("cost_usd"),
-    ).orderBy(F.col("bucket").desc())
-    return filled.limit(last) if last else filled
+    ).orderBy("period", F.col("bucket").desc())
 
 
 def today_hours(hourly: DataFrame, day: Column) -> DataFrame:
@@ -233,7 +250,7 @@ def top_models(daily: DataFrame, period: str, as_of: Column, limit: int | None =
     return ranked.limit(limit) if limit else ranked
 
 
-def composition(daily: DataFrame, period: str, as_of: Column) -> DataFrame:
+def composition(daily: DataFrame, period: str | Sequence[str], as_of: Column) -> DataFrame:
     """Shares of the four parts and the class they fall in; no row where nothing was used."""
     t = window_totals(daily, period, as_of)
     whole = F.col("input") + F.col("output") + F.col("cache") + F.col("reasoning")
@@ -251,31 +268,22 @@ def composition(daily: DataFrame, period: str, as_of: Column) -> DataFrame:
     )
 
 
-def current_vs_average(daily: DataFrame, period: str, as_of: Column) -> DataFrame:
+def current_vs_average(daily: DataFrame, period: str | Sequence[str], as_of: Column) -> DataFrame:
     """Running period against the average bucket of the window."""
-    w = period_window(period, as_of)
-    kept = daily.filter(in_range(F.least(w.start, w.current_start), w.end))
-    current = _tally(in_range(w.current_start, w.end))
-    window = _tally(in_range(w.start, w.end))["cost_usd"]
-    return kept.agg(
-        *[current[n].alias(n) for n in ("tokens", "turns", "input", "output", "caching_tokens", "models", "cost_usd")],
-        window.alias("_window_cost"),
-    ).select(
-        F.lit(period).alias("period"),
-        "tokens", "turns", "input", "output", "caching_tokens", "models", "cost_usd",
-        (F.col("_window_cost") / w.buckets).alias("average_cost_usd"),
-        percent_change(F.col("cost_usd"), F.col("_window_cost") / w.buckets).alias("delta_pct"),
-    )
+    running = _tally(F.col("running"))
+    names = ("tokens", "turns", "input", "output", "caching_tokens", "models", "cost_usd")
+    aggs = [*[running[n].alias(n) for n in names], _tally(F.col("current"))["cost_usd"].alias("_window_cost")]
+    totals = _per_period(in_periods(daily, period, as_of), period, aggs).select("period", *_filled([*names, "_window_cost"]))
+    buckets = F.element_at(F.create_map(*[F.lit(x) for name in names_of(period) for x in (name, BUCKETS[name])]), F.col("period"))
+    average = F.col("_window_cost") / buckets
+    return totals.select("period", *names, average.alias("average_cost_usd"), percent_change(F.col("cost_usd"), average).alias("delta_pct"))
 
 
-def caching_and_tools(daily: DataFrame, tool_days: DataFrame, period: str, as_of: Column) -> DataFrame:
+def caching_and_tools(daily: DataFrame, tool_days: DataFrame, period: str | Sequence[str], as_of: Column) -> DataFrame:
     """Caching tokens (read plus creation) and tool calls of the window."""
-    w = period_window(period, as_of)
-    caching = daily.filter(in_range(w.start, w.end)).agg(_tally(F.lit(True))["caching_tokens"].alias("caching_tokens"))
-    calls = tool_days.filter(in_range(w.start, w.end)).agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("tool_calls")
-    )
-    return caching.crossJoin(calls).select(F.lit(period).alias("period"), "*")
+    caching = _per_period(in_periods(daily, period, as_of), period, [_tally(F.col("current"))["caching_tokens"].alias("caching_tokens")])
+    calls = _per_period(in_periods(tool_days, period, as_of), period, [F.sum(F.when(F.col("current"), F.col("count"))).alias("tool_calls")])
+    return caching.join(calls, "period").select("period", *_filled(["caching_tokens", "tool_calls"]))
 
 
 def today_ratios(daily: DataFrame, as_of: Column) -> DataFrame:
@@ -289,20 +297,18 @@ def today_ratios(daily: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def cache_savings_estimate(daily: DataFrame, period: str, as_of: Column) -> DataFrame:
+def cache_savings_estimate(daily: DataFrame, period: str | Sequence[str], as_of: Column) -> DataFrame:
     """Rough savings: cached tokens at half the blended rate of everything fetched."""
-    w = period_window(period, as_of)
-    fetched = daily.filter(in_range(w.prev_start, w.end)).agg(
-        F.coalesce(F.sum(F.when(in_range(w.start, w.end), F.col("cache_read_tokens"))), F.lit(0)).alias("cache"),
-        usd(F.sum("cost_nano")).alias("_cost"),
-        F.sum("total_tokens").alias("_tokens"),
-        F.count("*").alias("_rows"),
-    )
+    fetched = _per_period(in_periods(daily, period, as_of), period, [
+        _tally(F.col("current"))["cache"].alias("cache"), usd(F.sum("cost_nano")).alias("_cost"),
+        F.sum("total_tokens").alias("_tokens"), F.count("*").alias("_rows"),
+    ])
+    fetched = fetched.withColumns({"cache": F.coalesce("cache", F.lit(0)), "_rows": F.coalesce("_rows", F.lit(0))})
     blended = F.when(F.col("_tokens") > 0, F.col("_cost") / F.col("_tokens") * 1000).otherwise(F.lit(0.005))
     saved = F.when(F.col("_rows") > 0, F.col("cache") / 1000 * blended * 0.5).otherwise(
         F.col("cache") / 1000 * 0.0025
     )
-    return fetched.select(F.lit(period).alias("period"), "cache", saved.alias("cache_saved_usd"))
+    return fetched.select("period", "cache", saved.alias("cache_saved_usd"))
 
 
 def today_insights(daily: DataFrame, as_of: Column) -> DataFrame:

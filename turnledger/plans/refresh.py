@@ -68,15 +68,11 @@ def _read(store: UsageStore, options: RefreshOptions, actions: DataFrame, whole:
         total = todo.agg(F.sum("size")).first()[0]
         return _Read(normalize.parse_lines(logs, options.max_line_bytes), None, total)
     files = todo.select(*FILE_KEYS, "start", F.col("size").alias("file_size"))
-    typed = [
-        staged(resume.typed_rows(ranges.read_ranges(files.filter(F.col("source") == kind.SOURCE), options.max_line_bytes), kind, options.max_line_bytes), "typed")
-        for kind in (codex, claude)
-    ]
+    both = staged(resume.typed_both(ranges.read_ranges(files, options.max_line_bytes), options.max_line_bytes), "typed")
     appends = staged(todo.filter(F.col("action") == APPEND).select(*FILE_KEYS), "appends")
     carry = store.read("carry", store.parts_of("carry", appends)).join(appends, FILE_KEYS, "left_semi")
-    resumed = resume.finish(*typed, staged(carry, "carry"))
-    read = [rows.agg(F.coalesce(F.sum("read_bytes"), F.lit(0))).first()[0] for rows in typed]
-    return _Read(resumed.parsed, resumed, sum(read))
+    resumed = resume.finish(resume.typed_of(both, codex), resume.typed_of(both, claude), staged(carry, "carry"))
+    return _Read(resumed.parsed, resumed, both.agg(F.coalesce(F.sum("read_bytes"), F.lit(0))).first()[0])
 
 
 def refresh(store: UsageStore, options: RefreshOptions, card: DataFrame, now_ms: int, changed: list[str] | None = None) -> DataFrame:

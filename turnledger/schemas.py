@@ -74,6 +74,9 @@ RATE_LIMIT = _struct(
     ("file_path", _S), ("ts_utc", _L), ("dedup_key", _S), ("primary_pct", _D), ("secondary_pct", _D),
 )
 
+# Days on which a file has records, or had: where the old copy of a record can lie.
+FILE_DAY = _struct(("file_id", _S), ("day_local", _S))
+
 # What a parse must know to go on with a file; see operators/carry.py.
 CARRY = _struct(
     ("source", _S), ("file_path", _S), ("part", _S), ("line_offset", _L), ("session_id", _S), ("model", _S), ("effort", _S),

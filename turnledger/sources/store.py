@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from turnledger import schemas
 from turnledger.operators import incremental
 from turnledger.session import staged
+from turnledger.sources.folders import Folders
 
 TABLES: dict[str, T.StructType] = {
     "usage_record": schemas.USAGE_RECORD,
@@ -32,6 +33,7 @@ TABLES: dict[str, T.StructType] = {
     "file_state": schemas.FILE_STATE,
     "running_total": schemas.RUNNING_TOTAL,
     "carry": schemas.CARRY,
+    "file_day": schemas.FILE_DAY,
     "file_catalog": schemas.FILE_CATALOG,
     "unmapped_model": schemas.UNMAPPED_MODEL,
     "run_metrics": schemas.RUN_METRICS,
@@ -41,7 +43,7 @@ BY_DAY = ("usage_record", "tool_event", "daily_rollup")
 # Columns whose hash gives the bucket of a row.
 BY_BUCKET = {
     "session_rollup": ("source", "session_id"), "session_day": ("source", "session_id"), "session": ("file_path",),
-    "rate_limit": ("file_path",), "file_state": ("file_path",), "running_total": ("file_path",), "carry": ("file_path",), "file_catalog": ("file_path",),
+    "rate_limit": ("file_path",), "file_state": ("file_path",), "running_total": ("file_path",), "carry": ("file_path",), "file_day": ("file_id",), "file_catalog": ("file_path",),
 }
 BUCKETS = 32
 # Kept when ingested data is cleared for a full rescan; a reset drops these too.
@@ -57,6 +59,7 @@ class UsageStore:
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
+        self.folders = Folders(spark)
         noted = self.path("_buckets")
         self.buckets = int(self._noted(noted)) if self._exists(noted) else buckets or BUCKETS
         if not self._exists(noted):
@@ -118,21 +121,47 @@ class UsageStore:
     def apply(self, files: DataFrame, records: DataFrame, tools: DataFrame, keys: DataFrame | None = None) -> None:
         """Put the rows of re-read ``files`` in the place of their old ones.
 
-        Old rows with one of ``keys`` (by default the keys of the new records) go as well, whatever
-        file they came from. Touched billing keys and days are added to ``pending`` first.
+        Old rows with one of ``keys`` (by default the keys of the new records) go as well. If ``keys``
+        has a column ``file_id``, a key belongs to that file, as keys of parsed records do, and only
+        the days of the files at hand are looked at; else an old row may lie on any day.
+        Touched billing keys and days are added to ``pending`` first.
         """
-        keys = records.select("dedup_key") if keys is None else keys
-        leaving = incremental.leaving_rows(self.read("usage_record"), files, keys)
-        moved = staged(incremental.touched_days(leaving, records), "moved")
+        keys = records.select("dedup_key", "file_id") if keys is None else keys
+        days = self.days_of(files, keys)
+        old = self.read("usage_record", days)
+        moved = staged(incremental.touched_days(incremental.leaving_rows(old, files, keys), records), "moved")
         if moved.isEmpty():
             return
         self.append("pending", moved)
+        self._note_days(records)
         days = self.parts_of("usage_record", moved)
         kept = incremental.delete_files(self.read("usage_record", days), files)
         kept_tools = incremental.delete_files(self.read("tool_event", days), files)
         self.replace("tool_event", days, incremental.upsert_tools(kept_tools, keys, tools))
         self.replace("usage_record", days, incremental.upsert_records(kept, records, keys))
 
+    def days_of(self, files: DataFrame, keys: DataFrame) -> list[str] | None:
+        """Days that may hold rows of ``files`` or old copies of ``keys``; None for any day."""
+        known = self._exists(self.path("file_day")) or not self._exists(self.path("usage_record"))
+        if not known or "file_id" not in keys.columns:
+            return None
+        involved = staged(files.select("file_id").unionByName(keys.select("file_id")).distinct(), "involved")
+        held = self.read("file_day", self.parts_of("file_day", involved)).join(involved, "file_id", "left_semi")
+        return self.parts_of("usage_record", held)
+
+    def _note_days(self, records: DataFrame) -> None:
+        """Add the days of ``records`` to the index, before they are stored: it may name a day too many, never one too few.
+
+        A store begun without the index goes on without it.
+        """
+        if self._exists(self.path("usage_record")) and not self._exists(self.path("file_day")):
+            return
+        given = staged(records.select("file_id", "day_local").distinct(), "file-days")
+        parts = self.parts_of("file_day", given)
+        held = self.read("file_day", parts)
+        if not given.join(held, ["file_id", "day_local"], "left_anti").isEmpty():
+            self.replace("file_day", parts, held.unionByName(given).distinct())
+
     def done_pending(self) -> None:
         """The rollups hold what ``pending`` names."""
         self._drop([self.path("pending")])
@@ -175,44 +204,30 @@ class UsageStore:
         moves = [(f"{content}/{part}", f"{target}/{part}") for part in note["filled"]] if note["split"] else [(content, target)]
         for begun, ended in moves:
             if self._exists(begun):
-                self._drop([ended])
-                fs, there = self._files(ended)
-                fs.mkdirs(there.getParent())
-                if not fs.rename(self._files(begun)[1], there):
-                    raise OSError(f"cannot move {begun} to {ended}")
+                self.folders.move(begun, ended)
         self._drop(f"{target}/{part}" for part in note["gone"])
 
-    def _files(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return target.getFileSystem(conf), target
-
     def _note(self, path: str, text: str) -> None:
         """Write a small file; it appears whole, by a rename."""
-        fs, target = self._files(path)
-        _, begun = self._files(f"{path}.tmp")
+        fs, target = self.folders.at(path)
+        _, begun = self.folders.at(f"{path}.tmp")
         out = fs.create(begun, True)
         out.write(bytearray(text.encode()))
         out.close()
         fs.rename(begun, target)
 
     def _noted(self, path: str) -> str:
-        fs, target = self._files(path)
+        fs, target = self.folders.at(path)
         reader = fs.open(target)
         text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(reader, "UTF-8")
         reader.close()
         return text
 
     def _exists(self, path: str) -> bool:
-        fs, target = self._files(path)
-        return fs.exists(target)
+        return self.folders.exists(path)
 
     def _listed(self, path: str) -> list[str]:
-        fs, target = self._files(path)
-        return [str(status.getPath()) for status in fs.listStatus(target)] if fs.exists(target) else []
+        return self.folders.listed(path)
 
     def _drop(self, paths: Iterable[str]) -> None:
-        for path in paths:
-            fs, target = self._files(path)
-            fs.delete(target, True)
+        self.folders.drop(paths)

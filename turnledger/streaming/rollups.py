@@ -4,26 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from turnledger.functions.columns import TOKEN_COLUMNS, instant
 from turnledger.operators import incremental
+from turnledger.schemas import USAGE_RECORD
+from turnledger.session import staged
+from turnledger.sources.folders import Folders
 from turnledger.sources.store import UsageStore
 
+MERGED = 16  # parts put into one
+
 _MEASURES = (*TOKEN_COLUMNS, "total_tokens")
 
 
-def deduplicated(records: DataFrame, watermark: str | None = None) -> DataFrame:
-    """First record per key, at any age; run it after requests are collapsed.
+def deduplicated(records: DataFrame, recent: str | None = None) -> DataFrame:
+    """First record per key; run it after requests are collapsed.
 
-    All keys stay in the state store, which should be on disk (RocksDB). ``watermark`` bounds the
-    state instead, at a price: keys come back after it, and records that are later than it are lost.
+    Without ``recent`` all keys stay in the state store, which should be on disk (RocksDB). With
+    it ("6 hours") keys stay for so long after they arrived, whatever time the record itself tells, so
+    no record is late and the state is bounded; ``unstored`` finds the copies that come later still.
     """
-    if watermark is None:
+    if recent is None:
         return records.dropDuplicates(["dedup_key"])
-    timed = records.withColumn("event_time", instant(F.col("ts_utc"))).withWatermark("event_time", watermark)
-    return timed.dropDuplicatesWithinWatermark(["dedup_key"])
+    timed = records.withColumn("arrived", F.current_timestamp()).withWatermark("arrived", recent)
+    return timed.dropDuplicatesWithinWatermark(["dedup_key"]).drop("arrived")
+
+
+def unstored(records: DataFrame, store: UsageStore) -> DataFrame:
+    """Records whose key is not in the store yet: only the days of their own files are looked at."""
+    keys = records.select("dedup_key", "file_id")
+    held = store.read("usage_record", store.days_of(keys.select("file_id").limit(0), keys))
+    return records.join(held.select("dedup_key"), "dedup_key", "left_anti").select(*records.columns)
+
+
+def into_store_once(records: DataFrame, store: UsageStore, checkpoint: str, recent: str = "6 hours") -> StreamingQuery:
+    """Store each record once, the first that comes; recent copies meet in state, older ones in the store.
+
+    A batch that comes again after a failure finds its records stored and adds none.
+    """
+
+    def handle(batch_rows: DataFrame, batch: int) -> None:
+        store.recover()
+        fresh = staged(unstored(batch_rows.select(*USAGE_RECORD.fieldNames()), store), "fresh")
+        store.apply(fresh.select("file_id").limit(0), fresh, store.read("tool_event", []))
+
+    return (
+        deduplicated(records, recent).writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
 
 
 def window_sums(records: DataFrame, width: str = "1 hour") -> DataFrame:
@@ -41,14 +71,59 @@ def window_totals(parts: DataFrame) -> DataFrame:
     return parts.groupBy("window_start_utc", "source").agg(*[F.sum(c).alias(c) for c in (*_MEASURES, "turns")])
 
 
+def _part(folder: str, level: int, number: int) -> str:
+    return f"{folder}/level={level}/batch={number}"
+
+
+def _whole(folders: Folders, path: str) -> bool:
+    return folders.exists(f"{path}/_SUCCESS")
+
+
+def _merge(spark: SparkSession, folder: str, batch: int) -> None:
+    """Put each full run of MERGED parts into one of the next level; a merge that was done is not done again."""
+    folders, level, number = Folders(spark), 0, batch
+    while number % MERGED == MERGED - 1:
+        parts = [_part(folder, level, number - k) for k in range(MERGED)]
+        level, number = level + 1, number // MERGED
+        merged = _part(folder, level, number)
+        if not _whole(folders, merged):
+            sums = window_totals(spark.read.parquet(*[p for p in parts if _whole(folders, p)]))
+            sums.coalesce(1).write.mode("overwrite").parquet(merged)
+        folders.drop(parts)
+
+
+def stored_parts(spark: SparkSession, folder: str) -> list[str]:
+    """The parts that together hold every batch once: of a merged run the merged part."""
+    folders = Folders(spark)
+    found = []
+    for level_folder in folders.listed(folder):
+        level = int(level_folder.rpartition("=")[2])
+        found += [(level, int(p.rpartition("=")[2]), p) for p in folders.listed(level_folder) if _whole(folders, p)]
+    known = {(level, number) for level, number, _ in found}
+    levels = range(1, 1 + max((level for level, *_ in found), default=0))
+    above = lambda level, number: any((up, number // MERGED ** (up - level)) in known for up in levels if up > level)
+    return sorted(path for level, number, path in found if not above(level, number))
+
+
+def stored_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows over all batches that ``into_windows`` wrote."""
+    return window_totals(spark.read.parquet(*stored_parts(spark, folder)))
+
+
 def into_windows(records: DataFrame, folder: str, checkpoint: str, width: str = "1 hour") -> StreamingQuery:
-    """Write the window sums of every batch to a folder of its own; see ``window_totals``.
+    """Write the window sums of every batch to a part of its own; read them by ``stored_windows``.
 
-    No state and no watermark: a window never closes, and a repeated batch overwrites its folder.
+    No state and no watermark: a window never closes, and a repeated batch overwrites its part. Parts are
+    merged in runs of MERGED, so as many stay as the logarithm of the batches.
     """
 
     def handle(batch_rows: DataFrame, batch: int) -> None:
-        window_sums(batch_rows, width).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        spark = batch_rows.sparkSession
+        folders = Folders(spark)
+        above = [_part(folder, level, batch // MERGED**level) for level in range(1, 1 + len(folders.listed(folder)))]
+        if not any(_whole(folders, path) for path in above):
+            window_sums(batch_rows, width).write.mode("overwrite").parquet(_part(folder, 0, batch))
+        _merge(spark, folder, batch)
 
     return (
         records.writeStream.foreachBatch(handle)

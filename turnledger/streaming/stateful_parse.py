@@ -1,187 +1,110 @@
 """Parsing a stream of log lines, with the state of each file kept between micro-batches.
 
-Every micro-batch runs the batch operators on its new rows plus a few state rows per file, placed
-before them: the carried context, the last cumulative total of each session, the tool calls still
-waiting for a turn, the open request. So a batch boundary changes nothing, and one busy file is
-still spread over many tasks. State and output of a batch lie in folders named by the batch id;
-a batch that is repeated after a failure reads the same state and overwrites the same folders.
+Every micro-batch runs the batch operators on its new rows behind the rows carried from the batches
+before (``operators/carry``), so a batch boundary changes nothing and one busy file is still spread
+over many tasks. The carried rows lie in the stream's keyed state (``carry_state``). The output of
+a batch lies in folders named by the batch id; a repeated batch meets the same state and overwrites
+the same folders.
 
-The stream brings ``source, file_path, line_offset, value``.
+The stream brings ``source, file_path, line_offset, value``, as ``growing`` does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from types import ModuleType
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from turnledger.operators import claude, codex, normalize
-from turnledger.operators.logrows import FILE_KEYS, parsed_lines, quality
-from turnledger.operators.ordered import scan
-from turnledger.sources.lines import DEFAULT_MAX_LINE_BYTES, is_oversized, line_text
+from turnledger.operators import claude, codex, resume
+from turnledger.operators.logrows import FILE_KEYS
+from turnledger.session import discard, staged
+from turnledger.sources.lines import DEFAULT_MAX_LINE_BYTES
+from turnledger.streaming import carry_state
 
-# Bytes of a file per chunk, as a power of two.
-CHUNK_BITS = 27
-BEFORE = -1  # chunk of the state rows
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+TYPED, CARRIED = "typed", "carried"
 
+Handler = Callable[[DataFrame, DataFrame, DataFrame, int], None]
 
-def _long(value: int) -> Column:
-    return F.lit(value).cast("bigint")
 
+class Outputs:
+    """What the batches of a stream gave, in one folder per table and batch."""
 
-def _judged(lines: DataFrame, source: ModuleType, max_line_bytes: int) -> DataFrame:
-    """Rows cut down as the batch parse does: the same limit, keyword and JSON rules."""
-    oversized = is_oversized(max_line_bytes)
-    cut = lines.select(
-        *FILE_KEYS, F.shiftright("line_offset", CHUNK_BITS).alias("chunk"), F.col("line_offset").alias("pos"), "line_offset",
-        oversized.alias("oversized"), F.when(~oversized & source.keyword(F.col("value")), line_text()).alias("candidate"),
-    )
-    rows = source.extract(parsed_lines(cut, source.SCHEMA)).drop("doc", "candidate")
-    return rows.filter(F.col("kind").isNotNull() | F.col("malformed") | F.col("oversized"))
-
-
-def _last(rows: DataFrame, keys: list[str], *names: str) -> DataFrame:
-    """Values of the last row per key."""
-    best = F.max_by(F.struct(*names), F.struct("chunk", "pos"))
-    return rows.groupBy(*keys).agg(best.alias("_r")).select(*keys, "_r.*")
-
-
-def _in_front(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("chunk", _long(BEFORE))
-
-
-class BatchParser:
-    """Parses batches of lines one after another; their ids count up from 0."""
-
-    def __init__(self, spark: SparkSession, folder: str, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES) -> None:
+    def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
-        self.max_line_bytes = max_line_bytes
 
-    def _keep(self, batch: int, name: str, df: DataFrame) -> DataFrame:
+    def keep(self, batch: int, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}/batch={batch}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _with_state(self, batch: int, name: str, rows: DataFrame) -> DataFrame:
-        """Rows of the batch behind the state rows the previous batch left."""
-        if batch == 0:
-            return rows
-        state = self.spark.read.parquet(f"{self.folder}/{name}/batch={batch - 1}")
-        return rows.unionByName(state, allowMissingColumns=True)
-
-    def run(self, lines: DataFrame, batch: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Records, tool events and turn keys of the batch.
-
-        A request that goes on in a later batch comes again then under the same key, and replaces
-        what came before. It may also come without a valid time; then it has a key but no record,
-        and the earlier record must go.
-        """
-        tokens, calls = self._codex(lines.filter(F.col("source") == codex.SOURCE), batch)
-        won = self._claude(lines.filter(F.col("source") == claude.SOURCE), batch)
-        turns = normalize.codex_buckets(tokens).unionByName(normalize.claude_buckets(won))
-        tools = normalize.to_tool_events(calls.unionByName(claude.tool_events(won)))
-        return (
-            self._keep(batch, "records", normalize.to_records(turns)),
-            self._keep(batch, "tool_events", tools),
-            self._keep(batch, "turn_keys", turns.select("dedup_key")),
-        )
-
-    def outputs(self, name: str) -> DataFrame:
+    def latest(self, name: str) -> DataFrame:
         """Records or tool events so far, without those a later batch replaced."""
         key = "dedup_key" if name == "records" else "record_dedup_key"
-        latest = (
-            self.spark.read.parquet(f"{self.folder}/turn_keys")
-            .groupBy(F.col("dedup_key").alias(key)).agg(F.max("batch").alias("batch"))
-        )
-        rows = self.spark.read.parquet(f"{self.folder}/{name}")
-        return rows.join(latest, [key, "batch"], "left_semi").drop("batch")
+        keys = self.spark.read.parquet(f"{self.folder}/turn_keys")
+        last = keys.groupBy(F.col("dedup_key").alias(key)).agg(F.max("batch").alias("batch"))
+        return self.spark.read.parquet(f"{self.folder}/{name}").join(last, [key, "batch"], "left_semi").drop("batch")
 
     def quality(self) -> DataFrame:
         """Malformed and oversized lines per file, over all batches so far."""
         counts = [F.sum(c).alias(c) for c in ("malformed_count", "oversized_count")]
         return self.spark.read.parquet(f"{self.folder}/quality").groupBy(*FILE_KEYS).agg(*counts)
 
-    def _typed(self, lines: DataFrame, source: ModuleType, batch: int) -> DataFrame:
-        """Typed rows of one source; its bad lines are counted on the way."""
-        rows = self._keep(batch, f"{source.SOURCE}_rows", _judged(lines, source, self.max_line_bytes))
-        self._keep(batch, f"quality/source_rows={source.SOURCE}", quality(rows))
-        return rows.filter(F.col("kind").isNotNull()).drop("malformed", "oversized")
-
-    def _codex(self, lines: DataFrame, batch: int) -> tuple[DataFrame, DataFrame]:
-        typed = self._typed(lines, codex, batch)
-        added = F.when(F.col("kind") == "tool", 1).when(F.col("kind") == "state", F.col("calls_so_far")).otherwise(0)
-        rows = self._with_state(batch, "codex_context", typed.withColumn("calls_so_far", _long(0)))
-        carried = self._keep(
-            batch, "codex_carried", codex.resolved(scan(rows, FILE_KEYS, "chunk", "pos", **codex.context_scan(added)))
-        )
-        context = _last(carried, FILE_KEYS, "session_id", "model", "effort", "approval_policy", "sandbox_mode", "calls_seen")
-        self._keep(batch, "codex_context", _in_front(context.select(
-            *FILE_KEYS, _long(0).alias("pos"), _long(0).alias("line_offset"), F.lit("state").alias("kind"),
-            F.struct(F.nullif("session_id", F.lit("")).alias("id"), *[
-                F.lit(None).cast("string").alias(n) for n in ("cwd", "cli_version", "origin", "git_branch", "git_repo")
-            ]).alias("session"),
-            F.struct(F.nullif("model", F.lit(codex.UNKNOWN_MODEL)).alias("model"), "effort", "approval_policy", "sandbox_mode")
-            .alias("context"),
-            F.col("calls_seen").alias("calls_so_far"),
-        )))
-
-        own = carried.filter(F.col("chunk") != BEFORE)
-        known = F.col("model") != codex.UNKNOWN_MODEL
-        billable = self._with_state(batch, "codex_totals", own.filter((F.col("kind") == "tokens") & known))
-        tokens = self._keep(
-            batch, "codex_tokens", codex.token_rows(billable).filter(F.col("chunk") != BEFORE)
-        )
-        totals = _last(billable.filter(F.col("total").isNotNull()), [*FILE_KEYS, "session_id"], "total", "model", "line_offset")
-        self._keep(batch, "codex_totals", _in_front(totals.select(
-            "*", F.col("line_offset").alias("pos"), F.lit("tokens").alias("kind"), _long(0).alias("calls_seen")
-        )))
-
-        turns = tokens.select(*FILE_KEYS, "chunk", "pos", "calls_seen", "dedup_key", "session_id", "ts_utc", "billed")
-        ends = self._with_state(batch, "codex_last_turn", turns)
-        waiting = self._with_state(
-            batch, "codex_waiting", own.filter(F.col("kind") == "tool").select(*FILE_KEYS, "chunk", "pos", "tool_name", "calls_seen")
-        )
-        given = self._keep(batch, "codex_given", codex.placed_calls(waiting, ends))
-        self._keep(batch, "codex_waiting", _in_front(
-            given.filter(F.col("to_turn").isNull()).select(*waiting.columns)
-        ))
-        # Where the count of calls stood at the last turn; it lies before every waiting call.
-        self._keep(batch, "codex_last_turn", _in_front(
-            ends.groupBy(*FILE_KEYS).agg(F.max("calls_seen").alias("calls_seen"))
-            .withColumn("pos", _long(-1)).withColumn("billed", F.lit(False))
-        ))
-        return tokens, codex.given_calls(given)
-
-    def _claude(self, lines: DataFrame, batch: int) -> DataFrame:
-        typed = self._typed(lines, claude, batch).select(*FILE_KEYS, "chunk", "pos", "line_offset", "turn.*")
-        rows = self._keep(batch, "claude_typed", self._with_state(batch, "claude_open", typed))
-        request = F.col("request_id")
-        edged = self._keep(batch, "claude_edged", scan(
-            rows, FILE_KEYS, "chunk", "pos", previous={"prev_request": request}, following={"next_request": request}
-        ))
-        won = self._keep(batch, "claude_turns", claude.turns(edged))
-        still_open = _last(won, FILE_KEYS, "request_id", "head_offset", "head_session")
-        self._keep(batch, "claude_open", _in_front(still_open.select(
-            *FILE_KEYS, _long(0).alias("pos"), F.col("head_offset").alias("line_offset"), "request_id",
-            F.col("head_session").alias("session_id"),
-        )))
-        return won.filter(F.col("chunk") != BEFORE)
-
-
-def start(lines: DataFrame, folder: str, checkpoint: str, on_batch: Callable[[DataFrame, DataFrame, DataFrame, int], None] | None = None,
-          max_line_bytes: int = DEFAULT_MAX_LINE_BYTES, **trigger: object) -> StreamingQuery:
-    """Parse a stream of lines; ``on_batch`` receives records, tool events and keys of each batch."""
-    parser = BatchParser(lines.sparkSession, folder, max_line_bytes)
-
-    def handle(batch_lines: DataFrame, batch: int) -> None:
-        output = parser.run(batch_lines, batch)
+    def to_reread(self) -> DataFrame:
+        """Files whose state had been dropped when they went on; a refresh has to read them again."""
+        return self.spark.read.parquet(f"{self.folder}/to_reread").select(*FILE_KEYS).distinct()
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines with the columns that a range reader gives beside."""
+    more = {"n_bytes": F.octet_length("value").cast("bigint") + 1, "ended": F.lit(True), "read_bytes": F.lit(None).cast("bigint")}
+    return lines.withColumns({name: value for name, value in more.items() if name not in lines.columns})
+
+
+def _rows(lines: DataFrame, max_line_bytes: int, idle_ms: int | None) -> DataFrame:
+    """Typed rows and carried rows in one frame, told apart by which struct is there. Two reads of a batch's bytes."""
+    placed = _placed(lines).filter(F.col("line_offset").isNotNull())
+    both = resume.typed_both(placed, max_line_bytes)
+    carry = carry_state.carried(carry_state.steps(both, placed), idle_ms)
+    return both.select(F.struct(*both.columns).alias(TYPED)).unionByName(carry.select(F.struct(*carry.columns).alias(CARRIED)), allowMissingColumns=True)
+
+
+def start(
+    lines: DataFrame, folder: str, checkpoint: str, on_batch: Handler | None = None, max_line_bytes: int = DEFAULT_MAX_LINE_BYTES,
+    idle_ms: int | None = None, **trigger: object,
+) -> StreamingQuery:
+    """Parse a stream of lines; ``on_batch`` receives records, tool events and keys of each batch.
+
+    With ``idle_ms`` the state of a file goes after so many milliseconds without a line. If it goes on
+    later, its lines are not parsed and the file is listed in ``to_reread``.
+    """
+    spark = lines.sparkSession
+    outputs = Outputs(spark, folder)
+    rows = _rows(lines, max_line_bytes, idle_ms)
+
+    def handle(batch_rows: DataFrame, batch: int) -> None:
+        held = staged(batch_rows, "batch")  # the stateful plan runs once
+        both, carry = (held.filter(F.col(kind).isNotNull()).select(f"{kind}.*") for kind in (TYPED, CARRIED))
+        is_lost = F.col("part") == carry_state.LOST
+        lost = outputs.keep(batch, "to_reread", carry.filter(is_lost).select(*FILE_KEYS))
+        known = both.join(lost, FILE_KEYS, "left_anti")
+        out = resume.finish(resume.typed_of(known, codex), resume.typed_of(known, claude), carry.filter(~is_lost))
+        parsed = out.parsed
+        outputs.keep(batch, "quality", parsed.quality)
+        kept = [outputs.keep(batch, n, df) for n, df in (("records", parsed.records), ("tool_events", parsed.tool_events), ("turn_keys", out.turn_keys))]
         if on_batch:
-            on_batch(*output, batch)
+            on_batch(*kept, batch)
+        discard(held)
 
-    return (
-        lines.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
-    )
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        return (
+            rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start()
+        )
+    finally:
+        spark.conf.set(STATE_STORE, before)
