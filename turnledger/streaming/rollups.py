@@ -79,6 +79,12 @@ def _whole(folders: Folders, path: str) -> bool:
     return folders.exists(f"{path}/_SUCCESS")
 
 
+def _merged_above(folders: Folders, folder: str, level: int, number: int) -> bool:
+    """Whether a part of a higher level holds this one."""
+    levels = range(level + 1, 1 + len(folders.listed(folder)))
+    return any(_whole(folders, _part(folder, up, number // MERGED ** (up - level))) for up in levels)
+
+
 def _merge(spark: SparkSession, folder: str, batch: int) -> None:
     """Put each full run of MERGED parts into one of the next level; a merge that was done is not done again."""
     folders, level, number = Folders(spark), 0, batch
@@ -86,7 +92,7 @@ def _merge(spark: SparkSession, folder: str, batch: int) -> None:
         parts = [_part(folder, level, number - k) for k in range(MERGED)]
         level, number = level + 1, number // MERGED
         merged = _part(folder, level, number)
-        if not _whole(folders, merged):
+        if not _whole(folders, merged) and not _merged_above(folders, folder, level, number):
             sums = window_totals(spark.read.parquet(*[p for p in parts if _whole(folders, p)]))
             sums.coalesce(1).write.mode("overwrite").parquet(merged)
         folders.drop(parts)
@@ -119,9 +125,7 @@ def into_windows(records: DataFrame, folder: str, checkpoint: str, width: str =
 
     def handle(batch_rows: DataFrame, batch: int) -> None:
         spark = batch_rows.sparkSession
-        folders = Folders(spark)
-        above = [_part(folder, level, batch // MERGED**level) for level in range(1, 1 + len(folders.listed(folder)))]
-        if not any(_whole(folders, path) for path in above):
+        if not _merged_above(Folders(spark), folder, 0, batch):
             window_sums(batch_rows, width).write.mode("overwrite").parquet(_part(folder, 0, batch))
         _merge(spark, folder, batch)
 
