@@ -84,11 +84,15 @@ def crossing_sessions(before: DataFrame, after: DataFrame, appended: DataFrame,
     return passed.join(rated, keys, "left_semi").select(*keys)
 
 
+def missing_files(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """Stored (source, path, id) that are not on disk as such any more."""
+    keys = ["source", "file_path", "file_id"]
+    return stored.select(*keys).join(found, keys, "left_anti")
+
+
 def rebuild_is_safe(stored: DataFrame, found: DataFrame) -> bool:
     """True if every stored (source, path, id) is still on disk; False for an empty side."""
-    keys = ["source", "file_path", "file_id"]
-    missing = stored.join(found, keys, "left_anti")
-    return not stored.isEmpty() and not found.isEmpty() and missing.isEmpty()
+    return not stored.isEmpty() and not found.isEmpty() and missing_files(stored, found).isEmpty()
 
 
 def missing_sources(records: DataFrame, found: DataFrame) -> DataFrame:

@@ -188,6 +188,22 @@ def _two_batches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
+@query
+def s07_rate_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A rate file with comments, odd keys and odd values, written for the models seen and read back."""
+    turns = samples.records(spark, sf).groupBy("model").agg(F.count("*").alias("n"), F.max("input_tokens").alias("most"))
+    body = F.format_string('{"inputPer1K": %d.5, /* seen %d times */ "outputPer1K": 0.25}', "most", "n")
+    rows = [
+        F.format_string('  "%s": %s, // a model', "model", body), F.format_string('  "$%s": %s,', "model", body),
+        F.format_string('  "%s-text": "none", "%s-list": [%d], "%s-cached": {"cachedInputPer1K": 0.00125},', "model", "model", "n", "model"),
+    ]
+    text = turns.select(F.concat_ws("\n", *rows).alias("line")).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("all"))
+    whole = text.select(F.concat(F.lit("{\n"), "all", F.lit('\n  "$fallback": {"outputPer1K": 2}\n}')).alias("value"))
+    folder = work_folder(spark, "rates")
+    whole.coalesce(1).write.text(folder)
+    return rates.read_rate_file(spark, folder).select("model", *[F.col(c).cast("double").alias(c) for c in rates.RATE_COLUMNS])
+
+
 @query
 def s08_upsert_records(spark: SparkSession, sf: str) -> DataFrame:
     old, new = _two_batches(spark, sf)
@@ -223,6 +239,24 @@ def s09_delete_files(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.delete_files(rows, files).select("dedup_key", "file_id")
 
 
+@query
+def s10_clear_and_refill(spark: SparkSession, sf: str) -> DataFrame:
+    """A store that was filled, cleared and filled with other records; its run metrics stay until a reset."""
+    usage, card = _small_store(spark), rates.default_card(spark)
+    rows = staged(samples.records(spark, sf), "rows")
+    no_calls = spark.createDataFrame([], store.TABLES["tool_event"])
+    runs = rows.groupBy("day_local").agg(F.max("ts_utc").alias("run_utc")).select("run_utc", F.lit(False).alias("full_rescan"), F.lit(0).cast("bigint").alias("read_bytes"))
+    usage.append("run_metrics", runs)
+    for part in (rows, rows.filter(F.col("hour_local") < 6)):
+        usage.clear()
+        usage.apply(part.select("file_id").limit(0), part, no_calls)
+    incremental.refresh_rollups(usage, card)
+    kept = usage.read("usage_record").groupBy("source").agg(F.count("*").alias("turns"), F.sum("total_tokens").alias("total_tokens"))
+    held = usage.read("daily_rollup").groupBy("source").agg(F.sum("total_tokens").alias("rollup_tokens"))
+    metrics = usage.read("run_metrics").agg(F.count("*").alias("runs"))
+    return kept.join(held, "source").crossJoin(metrics)
+
+
 # --- parse ---------------------------------------------------------------------------------------
 
 
@@ -638,15 +672,7 @@ def q14_dashboard(spark: SparkSession, sf: str) -> DataFrame:
     """All values of the dashboard, one row per part, key and measure."""
     tables = _tables(spark, sf)
     tables.daily, tables.sessions = staged(tables.daily, "daily"), staged(tables.sessions, "sessions")
-    out = None
-    for name, part in views.dashboard(tables, TWO_DAYS).items():
-        keys, measures = DASHBOARD_CELLS[name]
-        cells = part.select(
-            F.lit(name).alias("part"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"),
-            *[F.col(m).cast("double").alias(m) for m in measures],
-        ).unpivot(["part", "key"], list(measures), "measure", "value")
-        out = cells if out is None else out.unionByName(cells)
-    return out
+    return _cells(views.dashboard(tables, TWO_DAYS), DASHBOARD_CELLS)
 
 
 @query
@@ -821,20 +847,41 @@ def d06_reconciliation_checked(spark: SparkSession, sf: str) -> DataFrame:
     return diagnostics.reconciliation_checked(*_reconciliation(spark, sf))
 
 
+# Key columns and measures of the report's parts.
+REPORT_CELLS = {
+    "pricing": (("outcome", "model"), ()),
+    "long_context_applied": (("model", "effective_model"), ("sessions", "turns", "max_context_used_tokens")),
+    "long_context_missing": (("model",), ("sessions", "turns", "max_context_used_tokens")),
+    "midnight_sessions": (("source", "session_id", "workspace", "first_day", "last_day"), ("total_tokens", "cost_usd")),
+    "folder_day_costs": (("day",), ("event_cost_usd", "folder_cost_usd", "delta_usd")),
+    "folder_day_mismatches": (("file_path", "folder_day", "event_days"), ("cost_usd",)),
+    "reconciliation_checked": ((), ("checked_sessions",)),
+    "reconciliation_mismatches": (("file_path", "session_id"), ("final_total_tokens", "ingested_total_tokens", "delta_tokens")),
+}
+
+
+def _cells(parts: dict[str, DataFrame], layout: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
+    """One row per part, key and measure; a part without measures gives the value 1 per key."""
+    out = None
+    for name, part in parts.items():
+        keys, measures = layout[name]
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("")
+        values = [F.col(m).cast("double").alias(m) for m in measures] or [F.lit(1.0).alias("present")]
+        cells = part.select(F.lit(name).alias("part"), key.alias("key"), *values).unpivot(["part", "key"], list(measures) or ["present"], "measure", "value")
+        out = cells if out is None else out.unionByName(cells)
+    return out
+
+
 @query
 def d07_full_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Row count of every part of the diagnostics report."""
+    """All values of the diagnostics report, one row per part, key and measure."""
     card, rows = rates.default_card(spark), samples.records(spark, sf)
     parsed = _parsed(spark, sf)
     report = diagnostics.full_report(
         rates.merge_audit(rates.default_rates(spark), _overrides(spark, sf)), rows, rollups.session_rollup(rows, card),
         rollups.file_daily(rows, card), rollups.file_sessions(parsed.records, card), parsed.running_totals, card,
     )
-    out = None
-    for name, part in report.items():
-        size = part.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("part"), "row_count")
-        out = size if out is None else out.unionByName(size)
-    return out
+    return _cells(report, REPORT_CELLS)
 
 
 # --- extras --------------------------------------------------------------------------------------
@@ -955,8 +1002,8 @@ def i06_append_equals_full(spark: SparkSession, sf: str) -> DataFrame:
     return usage.read("usage_record").select(_no_scope("dedup_key"), "session_id", "ts_utc", "model", "variant_id", "total_tokens")
 
 
-@query
-def i07_file_catalog(spark: SparkSession, sf: str) -> DataFrame:
+def _catalogs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The catalog after a listing up to the cut-off and one of all files but some; and the second listing."""
     files = inventory.INVENTORY_COLUMNS
     before = _event_files(spark, sf, CUT_OFF).select(*files)
     empty = before.limit(0).select(
@@ -965,10 +1012,29 @@ def i07_file_catalog(spark: SparkSession, sf: str) -> DataFrame:
     )
     first = staged(incremental.catalog_discovered(empty, before, CUT_OFF), "catalog")
     after = _event_files(spark, sf).filter(~F.endswith("file_path", F.lit("-6.jsonl"))).select(*files)
-    catalog = incremental.catalog_discovered(first, after, MONTH.to_utc)
+    return incremental.catalog_discovered(first, after, MONTH.to_utc), after
+
+
+@query
+def i07_file_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    catalog, _ = _catalogs(spark, sf)
     return catalog.select("file_path", "size", "first_seen_utc", "last_seen_utc", "last_changed_utc", "state")
 
 
+@query
+def i07_catalog_after_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after a run that read what is new or changed; some files gave nothing."""
+    catalog, after = _catalogs(spark, sf)
+    known = _event_files(spark, sf, CUT_OFF).select("file_path", F.col("size").alias("_size"))
+    days = samples.records(spark, sf).groupBy(F.col("file_id").alias("file_path")).agg(F.min("day_local").alias("min_day"), F.max("day_local").alias("max_day"))
+    same = F.coalesce(F.col("size") == F.col("_size"), F.lit(False))
+    results = after.join(known, "file_path", "left").join(days, "file_path", "left").select(
+        "file_path", F.when(same, incremental.SKIP).otherwise(incremental.REINGEST).alias("action"),
+        (~F.endswith("file_path", F.lit("-5.jsonl"))).alias("has_state"), "min_day", "max_day",
+    )
+    return incremental.catalog_ingested(catalog, results, MONTH.to_utc + 1).select("file_path", "last_checked_utc", "last_ingested_utc", "min_day", "max_day", "state")
+
+
 @query
 def i08_missing_sources(spark: SparkSession, sf: str) -> DataFrame:
     rows = samples.records(spark, sf)
@@ -976,6 +1042,13 @@ def i08_missing_sources(spark: SparkSession, sf: str) -> DataFrame:
     return incremental.missing_sources(rows, found)
 
 
+@query
+def i08_missing_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored files of which some are gone from disk and some have another identity there."""
+    found = _event_files(spark, sf).filter(~F.endswith("file_path", F.lit("-6.jsonl")))
+    return incremental.missing_files(_file_state(spark, sf), found)
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 
@@ -1005,10 +1078,10 @@ def t01_stateful_quality(spark: SparkSession, sf: str) -> DataFrame:
     return out.quality().filter("malformed_count + oversized_count > 0").select("source", _below(root), "malformed_count", "oversized_count")
 
 
-def _turn_stream(spark: SparkSession, sf: str, folder: str) -> DataFrame:
-    """The events as a stream of five files whose times overlap and go back, one file per batch."""
+def _turn_stream(spark: SparkSession, sf: str, folder: str, files: int = 5) -> DataFrame:
+    """The events as a stream of some files whose times overlap and go back, one file per batch."""
     raw = spark.read.parquet(f"{sf}/events.parquet")
-    raw.repartition(5, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    raw.repartition(files, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
     arriving = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     return samples.turns_of(arriving)
 
@@ -1028,7 +1101,7 @@ def t02_store_once(spark: SparkSession, sf: str) -> DataFrame:
     """The same into a store, batch after batch, and once more from a new stream that has no state of the first."""
     folder, usage = work_folder(spark, "once"), _small_store(spark)
     for run in range(2):
-        rows = samples.as_records(_turn_stream(spark, sf, f"{folder}/{run}"))
+        rows = samples.as_records(_turn_stream(spark, sf, f"{folder}/{run}", 2))
         stream_rollups.into_store_once(rows, usage, f"{folder}/{run}/state").awaitTermination()
     return usage.read("usage_record").select("dedup_key", "total_tokens")
 

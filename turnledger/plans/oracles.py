@@ -203,6 +203,15 @@ _FILES = """
 SELECT source, file_id AS file_path, file_id, CAST(COUNT(*) * 100 AS BIGINT) AS size, MAX(ts_utc) AS mtime_ms FROM rec GROUP BY source, file_id"""
 _add("s06_backfill_window", f"""
 SELECT * FROM ({_FILES}) WHERE mtime_ms >= 1706659199999 - 3 * 86400000""")
+_add("s07_rate_file", """
+, m AS (SELECT model, MAX(input_tokens) AS most FROM rec GROUP BY model)
+SELECT model, (most + 0.5) * 1e6::DOUBLE AS input_rate, 0.0::DOUBLE AS cached_rate, 0.0::DOUBLE AS write_rate, 250000.0::DOUBLE AS output_rate FROM m
+UNION ALL SELECT model || '-cached', 0.0, 1250.0, 0.0, 0.0 FROM m
+UNION ALL SELECT '$fallback', 0.0, 0.0, 0.0, 2000000.0""")
+_add("s10_clear_and_refill", """
+SELECT source, CAST(COUNT(*) AS BIGINT) AS turns, CAST(SUM(total_tokens) AS BIGINT) AS total_tokens, CAST(SUM(total_tokens) AS BIGINT) AS rollup_tokens,
+  (SELECT CAST(COUNT(DISTINCT day_local) AS BIGINT) FROM rec) AS runs
+FROM rec WHERE hour_local < 6 GROUP BY source""")
 _add("s08_upsert_records", """
 SELECT dedup_key, day_local, output_tokens FROM rec WHERE hour_local < 12
 UNION ALL SELECT dedup_key, day_local, output_tokens + 1 FROM rec WHERE hour_local >= 12""")
@@ -596,15 +605,43 @@ rc AS (SELECT file_id AS file_path, session_id, CAST(f AS BIGINT) AS final_total
   FROM ing WHERE f IS NOT NULL AND g <> 0)"""
 _log("d06_reconciliation_mismatches", f"{_RECON} SELECT * FROM rc WHERE delta_tokens <> 0 ORDER BY ABS(delta_tokens) DESC, file_path, session_id LIMIT 20")
 _log("d06_reconciliation_checked", f"{_RECON} SELECT CAST(COUNT(*) AS BIGINT) AS checked_sessions FROM rc")
-_log("d07_full_report", f"""{_RECON}, f AS ({_DATED})
-SELECT 'pricing' AS part, CAST(COUNT(DISTINCT model) + 1 AS BIGINT) AS row_count FROM rec
-UNION ALL SELECT 'long_context_applied', COUNT(DISTINCT model) FROM {_ABOVE} WHERE model = 'gpt-5.5'
-UNION ALL SELECT 'long_context_missing', COUNT(DISTINCT model) FROM {_ABOVE} WHERE model <> 'gpt-5.5'
-UNION ALL SELECT 'midnight_sessions', LEAST(20, COUNT(*)) FROM sess WHERE first_ts_utc // 86400000 <> last_ts_utc // 86400000
-UNION ALL SELECT 'folder_day_costs', LEAST(20, COUNT(*)) FROM (SELECT day_local FROM f UNION SELECT folder_day FROM f)
-UNION ALL SELECT 'folder_day_mismatches', LEAST(20, COUNT(DISTINCT file_id)) FROM f WHERE day_local <> folder_day
-UNION ALL SELECT 'reconciliation_checked', 1
-UNION ALL SELECT 'reconciliation_mismatches', LEAST(20, COUNT(*)) FROM rc WHERE delta_tokens <> 0""")
+
+
+def _body(name: str) -> str:
+    """What comes after the shared tables in the SQL of another query."""
+    sql = ORACLES[name]
+    return sql.removeprefix(_LOGS if sql.startswith(_LOGS) else _BASE).strip()
+
+
+def _report_cells(part: str, keys: tuple[str, ...], measures: tuple[str, ...], rows: str) -> str:
+    key = " || '|' || ".join(keys) or "''"
+    cells = [f"SELECT '{part}' AS part, {key} AS key, '{m}' AS measure, CAST({m} AS DOUBLE) AS value FROM {rows}" for m in measures]
+    return "\nUNION ALL ".join(cells or [f"SELECT '{part}' AS part, {key} AS key, 'present' AS measure, 1.0::DOUBLE AS value FROM {rows}"])
+
+
+def _report_sql() -> str:
+    long_context = ("sessions", "turns", "max_context_used_tokens")
+    parts = {
+        "pricing": ("r02_merge_audit", ("outcome", "model"), ()),
+        "long_context_applied": ("d01_long_context_applied", ("model", "effective_model"), long_context),
+        "long_context_missing": ("d02_long_context_missing", ("model",), long_context),
+        "midnight_sessions": ("d03_midnight_sessions", ("source", "session_id", "workspace", "first_day", "last_day"), ("total_tokens", "cost_usd")),
+        "reconciliation_checked": ("d06_reconciliation_checked", (), ("checked_sessions",)),
+        "reconciliation_mismatches": ("d06_reconciliation_mismatches", ("file_path", "session_id"), ("final_total_tokens", "ingested_total_tokens", "delta_tokens")),
+        "folder_day_costs": ("d04_folder_day_costs", ("day",), ("event_cost_usd", "folder_cost_usd", "delta_usd")),
+        "folder_day_mismatches": ("d05_folder_day_mismatches", ("file_path", "folder_day", "event_days"), ("cost_usd",)),
+    }
+    own, cells = "", []
+    for part, (name, keys, measures) in parts.items():
+        body = _body(name)
+        # Tables that the query adds to the shared ones are its own subquery's here.
+        inner = f"WITH {body[1:].strip()}" if body.startswith(",") else body
+        own += f",\npart_{part} AS ({inner})"
+        cells.append(_report_cells(part, keys, measures, f"part_{part}"))
+    return own + "\n" + "\nUNION ALL ".join(cells)
+
+
+_log("d07_full_report", _report_sql())
 
 # --- extras --------------------------------------------------------------------------------------
 
@@ -645,6 +682,18 @@ SELECT f.file_path, CASE WHEN f.file_path LIKE '%-6.jsonl' THEN k.size ELSE f.si
   CASE WHEN k.file_id IS NULL OR (f.file_path NOT LIKE '%-6.jsonl' AND k.size <> f.size) THEN 1706659199999 ELSE 1705708800000 END AS last_changed_utc,
   CASE WHEN k.file_id IS NULL THEN 'discovered' WHEN f.file_path NOT LIKE '%-6.jsonl' AND k.size <> f.size THEN 'changed' ELSE 'discovered' END AS state
 FROM ({_FILES}) f LEFT JOIN {_KNOWN} k ON k.file_id = f.file_id WHERE k.file_id IS NOT NULL OR f.file_path NOT LIKE '%-6.jsonl'""")
+_add("i07_catalog_after_run", f"""
+SELECT f.file_path, CASE WHEN f.file_path LIKE '%-6.jsonl' THEN NULL ELSE 1706659200000 END AS last_checked_utc,
+  CASE WHEN f.file_path NOT LIKE '%-6.jsonl' AND f.size IS DISTINCT FROM k.size THEN 1706659200000 END AS last_ingested_utc,
+  CASE WHEN f.file_path NOT LIKE '%-6.jsonl' AND f.size IS DISTINCT FROM k.size THEN d.min_day END AS min_day,
+  CASE WHEN f.file_path NOT LIKE '%-6.jsonl' AND f.size IS DISTINCT FROM k.size THEN d.max_day END AS max_day,
+  CASE WHEN f.file_path LIKE '%-6.jsonl' THEN 'discovered' WHEN f.file_path LIKE '%-5.jsonl' THEN 'ignored' ELSE 'complete' END AS state
+FROM ({_FILES}) f LEFT JOIN {_KNOWN} k ON k.file_id = f.file_id
+JOIN (SELECT file_id, MIN(day_local) AS min_day, MAX(day_local) AS max_day FROM rec GROUP BY file_id) d ON d.file_id = f.file_id
+WHERE k.file_id IS NOT NULL OR f.file_path NOT LIKE '%-6.jsonl'""")
+_add("i08_missing_files", f"""
+SELECT source, file_id AS file_path, CASE WHEN u % 11 = 3 THEN file_id || '~old' ELSE file_id END AS file_id
+FROM {_KNOWN} WHERE u % 11 = 3 OR file_id LIKE '%-6.jsonl'""")
 _add("i08_missing_sources", "SELECT DISTINCT source FROM rec WHERE source = 'claude'")
 
 # --- streams -------------------------------------------------------------------------------------

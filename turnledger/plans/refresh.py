@@ -205,7 +205,8 @@ def reprice(store: UsageStore, card: DataFrame, now_ms: int) -> None:
 def tables(store: UsageStore, card: DataFrame) -> views.UsageTables:
     """What the views read, from the store."""
     names = ("usage_record", "tool_event")
-    return views.UsageTables(*[store.read(n) for n in names], card, store.read("daily_rollup"), store.read("session_rollup"))
+    long_keys = incremental.long_keys_of_days(store.read("session_day"))
+    return views.UsageTables(*[store.read(n) for n in names], card, store.read("daily_rollup"), store.read("session_rollup"), long_keys)
 
 
 def report(store: UsageStore, card: DataFrame, audit: DataFrame) -> dict[str, DataFrame]:

@@ -126,18 +126,18 @@ def tool_calls_by_day(tools: DataFrame, records: DataFrame, q: UsageQuery) -> Da
     )
 
 
-def hourly_series(records: DataFrame, card: DataFrame, q: UsageQuery) -> DataFrame:
-    """Hours of the range; the long-context flag still looks at all records."""
-    hours = hourly_rollup(filter_records(records, q), card, long_context_keys(records))
+def hourly_series(records: DataFrame, card: DataFrame, q: UsageQuery, long_keys: DataFrame | None = None) -> DataFrame:
+    """Hours of the range. The long-context flag is one of all records: ``long_keys`` if they are known, else these are read."""
+    hours = hourly_rollup(filter_records(records, q), card, long_context_keys(records) if long_keys is None else long_keys)
     return with_usd(hours).orderBy("day_local", "hour_local")
 
 
-def heatmap(records: DataFrame, card: DataFrame, q: UsageQuery) -> DataFrame:
+def heatmap(records: DataFrame, card: DataFrame, q: UsageQuery, long_keys: DataFrame | None = None) -> DataFrame:
     """Tokens per weekday and hour. ``cost_usd`` is always 0; ``cost_usd_priced`` is the cost."""
     priced = price_sums(
         session_sums(filter_records(records, q), ["dow_local", "hour_local"]),
         card,
-        long_keys=long_context_keys(records),
+        long_keys=long_context_keys(records) if long_keys is None else long_keys,
     )
     return (
         priced.groupBy(F.col("dow_local").alias("dow"), F.col("hour_local").alias("hour"))
@@ -210,13 +210,18 @@ def day_total(daily: DataFrame, day: str) -> DataFrame:
 
 @dataclass
 class UsageTables:
-    """Tables the views read. Rollups not given are derived from the records."""
+    """Tables the views read. Rollups not given are derived from the records.
+
+    ``long_keys`` are the billing keys that count as long context; with them a view of two days reads
+    two days.
+    """
 
     records: DataFrame
     tools: DataFrame
     card: DataFrame
     daily: DataFrame | None = None
     sessions: DataFrame | None = None
+    long_keys: DataFrame | None = None
 
     def __post_init__(self) -> None:
         if self.daily is None:
@@ -238,7 +243,7 @@ def dashboard(t: UsageTables, q: UsageQuery) -> dict[str, DataFrame]:
         "tool_calls_by_day": tool_calls_by_day(t.tools, t.records, q),
     }
     if q.to_utc - q.from_utc <= HOURLY_MAX_RANGE_MS:
-        parts["hourly_series"] = hourly_series(t.records, t.card, q)
+        parts["hourly_series"] = hourly_series(t.records, t.card, q, t.long_keys)
     return parts
 
 
@@ -251,7 +256,7 @@ def run_query(t: UsageTables, q: UsageQuery) -> dict[str, DataFrame]:
         "variants": lambda: variant_breakdown(t.daily, q),
         "sessions": lambda: session_leaderboard(t.sessions, q),
         "tools": lambda: tool_usage(t.tools, t.records, q),
-        "heatmap": lambda: heatmap(t.records, t.card, q),
+        "heatmap": lambda: heatmap(t.records, t.card, q, t.long_keys),
         "comparison": lambda: source_comparison(t.daily, q),
     }
     if q.view not in answers:
