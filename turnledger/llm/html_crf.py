@@ -21,6 +21,7 @@ from turnledger.llm.labelled_pages import labelled_pages
 from turnledger.llm.text import bound_batches
 
 _HINTS = ("cookie", "subscribe", "newsletter", "copyright", "©", "rights reserved", "sign up", "privacy", "share", "comment", "reply", "advert")
+HINTED = 25  # words of a block to each mention of a hint, at most
 
 
 def path_features(path: tuple[str, ...]) -> list[str]:
@@ -45,8 +46,11 @@ def text_features(block: Block) -> list[str]:
     if text[-1] in ".!?…。":
         found.append("ends a sentence")
     found.append(f"commas {min(text.count(','), 2)}")
-    low = text[:200].lower()
-    found += [f"says {hint}" for hint in _HINTS if hint in low]
+    low = text.lower()
+    said = {hint: low.count(hint) for hint in _HINTS}
+    # A word of a notice counts by how often it comes in the whole block: an article may mention it.
+    found += [f"says {hint}" for hint, times in said.items() if times * HINTED >= words]
+    found.append(f"hints {min(3, 3 * HINTED * sum(said.values()) // (4 * words))}")
     return found
 
 

@@ -99,7 +99,11 @@ def _vote(value: Column, good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """1 for good, -1 for bad, 0 for no opinion."""
+    """1 for good, -1 for bad, 0 for no opinion.
+
+    Distinct words grow more slowly than words, so the least number of them follows a share in short
+    texts and a power of the length in long ones; the two meet at 5,000 words.
+    """
     symbols, again = _share("n_symbols", "n_words"), _share("n_dup_lines", "n_lines")
     repeat, length = _share("n_repeat_words", "n_words"), _share("word_chars", "n_words")
     upper, letters, fresh = _share("n_upper", "n_letters"), _share("n_letters", "word_chars"), _share("n_distinct", "n_words")
@@ -112,7 +116,7 @@ def rules() -> dict[str, Column]:
         "shouting": _vote(upper, upper < 0.15, upper > 0.5),
         "letters": _vote(letters, letters > 0.92, letters < 0.8),
         "tables": _vote(bars, bars < 0.01, bars > 0.1),
-        "variety": _vote(fresh, fresh > 0.35, (fresh < 0.15) & (F.col("n_words") < 5_000)),
+        "variety": _vote(fresh, fresh > 0.35, F.col("n_distinct") < F.least(0.15 * F.col("n_words"), 4.53 * F.pow("n_words", 0.6))),
         "brevity": _vote(F.col("n_words"), F.col("n_words") >= 100, F.col("n_words") < 20),
     }
 
