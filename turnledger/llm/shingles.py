@@ -165,14 +165,20 @@ def join_classes(keyed: DataFrame, classes: DataFrame, similar: float) -> DataFr
     for low, high in zip(ROUNDS[:-1], ROUNDS[1:], strict=True):
         now = units.join(star, units["begun"] == star["a"], "left").select("unit", "size", "bands", F.coalesce("b", "begun").alias("class"))
         dealt = staged(_mixed_bands(now, low, high), "dealt")
+        if dealt.isEmpty():
+            discard(dealt)
+            continue
         wanted = units.join(dealt.select("unit").distinct(), "unit", "left_semi").groupBy("unit").agg(F.min("at").alias("at"))
         wanted = staged(wanted.select("unit", "at.*"), "wanted")
         fetched = texts.join(broadcast_if_small(wanted, FEW), ["_doc_key", "_text_key"]).select("unit", "text")
         codes = fetched.mapInPandas(_codes, "unit long, codes binary").dropDuplicates(["unit"])
         sent = dealt.join(codes, "unit").select("band", "pair", "class", "codes")
         links = staged(sent.repartition("band", "pair").sortWithinPartitions("band", "pair").mapInPandas(_compare(similar), "a long, b long"), "links")
-        before, star = star, stars(star.unionByName(links))
-        for done in (dealt, wanted, links, before):
+        for done in (dealt, wanted):
             discard(done)
+        if not links.isEmpty():
+            before, star = star, stars(star.unionByName(links))
+            discard(before)
+        discard(links)
     discard(units)
     return star.select(F.col("a").alias("class"), F.col("b").alias("joined"))
