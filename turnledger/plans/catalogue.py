@@ -1053,13 +1053,13 @@ def i08_missing_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _in_pieces(spark: SparkSession, sf: str) -> tuple[stateful_parse.Outputs, str]:
-    """A stream of log files that grow between its three runs, cut through the middle of sessions, turns and requests."""
+    """A stream of log files that grow between its two runs, cut through the middle of sessions, turns and requests."""
     rows, root = _written(spark, sf)
     folder = work_folder(spark, "stateful")
     spark.dataSource.register(growing.GrowingLogs)
-    piece = F.least(F.lit(2), F.shiftright("line_offset", 12))
-    for turn in range(3):
-        logfiles.write_files(rows.filter(piece == turn), root)
+    early = F.col("line_offset") < 6_000
+    for part in (early, ~early):
+        logfiles.write_files(rows.filter(part), root)
         reader = spark.readStream.format("growing_logs").options(**_roots(root))
         stateful_parse.start(reader.load(), f"{folder}/out", f"{folder}/state").awaitTermination()
     return stateful_parse.Outputs(spark, f"{folder}/out"), root
