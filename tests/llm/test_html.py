@@ -53,7 +53,7 @@ def test_training_recovers_other_labelled_pages(model):
 def test_viterbi_is_the_best_of_all_labellings(model):
     for page in labelled_pages(25, seed=5):
         found = blocks(page)[:9]
-        own = [sum(model.weight.get(n, 0.0) for n in html_crf.path_features(b.path) + html_crf.text_features(b)) for b in found]
+        own = [sum(model.weight.get(n, 0.0) for n in html_crf.path_features(*at) + html_crf.text_features(b)) for b, at in zip(found, html_crf.page_paths(found), strict=True)]
 
         def value(labels, own=own):
             chain = sum(model.move[a][b] for a, b in itertools.pairwise(labels))
@@ -85,6 +85,42 @@ def test_article_without_what_stands_around_it(spark, model):
     assert html_crf.with_main_text(spark.createDataFrame([], SCHEMA), model).isEmpty()
 
 
+_PLAIN = "The old bridge was closed in winter. It opened again in spring, to the joy of the village."
+_BAKING = (
+    "Bake them for ten minutes, then subscribe to patience: privacy in the kitchen matters when cookies cool on the tray and nobody steals "
+    "one before dinner is served to all the guests."
+)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div><h1>The bridge</h1><p>{_PLAIN}</p><p>{_PLAIN}</p></div>", ["The bridge", _PLAIN, _PLAIN]),
+        (f"<body>{_PLAIN}<br><br>{_PLAIN}</body>", [f"{_PLAIN} {_PLAIN}"]),
+        (_PLAIN, [_PLAIN]),
+        (f"<body><nav><a href=a>Home</a></nav><h1>The bridge</h1><p>{_PLAIN}</p><p>{_BAKING}</p><footer>&copy; Daily</footer>", ["The bridge", _PLAIN, _BAKING]),
+        (f"<article><p>{_PLAIN}</p><aside>Most read this week</aside><p>{_PLAIN}</p></article>", [_PLAIN, _PLAIN]),
+        (f"<article><p>{_PLAIN}</p><aside><p>{_PLAIN}</p></aside><p>{_PLAIN}</p></article>", [_PLAIN, _PLAIN]),
+        (f"<article><p>{_PLAIN}</p><div class='disclaimer'>This is no advice.</div><p>{_PLAIN}</p></article>", [_PLAIN, _PLAIN]),
+        (
+            f"<article><header><h1>The bridge</h1><p class='byline'>By A Writer</p></header><p>{_PLAIN}</p><footer>Posted by A</footer></article>",
+            ["The bridge", _PLAIN],
+        ),
+        *[(f"<article><p>{_PLAIN}</p><p {how}>{_PLAIN} no</p><p>{_PLAIN}</p></article>", [_PLAIN, _PLAIN]) for how in ("style='display:none'", "hidden")],
+        (f"<article><p>{_PLAIN}</p></article><div class='talkback'><p>Nice one!</p><p>{_PLAIN}</p></div>", [_PLAIN]),
+        (f"<article><p>{_PLAIN}</p><p>{_BAKING}</p></article>", [_PLAIN, _BAKING]),
+        (f"<body><div>Accept all cookies</div><article><p>{_PLAIN}</p></article></body>", [_PLAIN]),
+    ],
+)
+def test_plain_pages_and_what_stands_inside_an_article(model, page, want):
+    assert html_crf.main_text(page, model, {}) == "\n\n".join(want)
+
+
+def test_hidden_is_an_attribute_and_no_part_of_a_value():
+    found = blocks("<p class='hidden-gem'>a</p><p title=' hidden '>b</p><p hidden>c</p><p style='color:red; display : none'>d</p><p aria-hidden='false'>e</p>")
+    assert ["!unseen" in b.path[-1] for b in found] == [False, False, True, True, False]
+
+
 def test_given_pages_give_their_articles(spark, model):
     """The pages' articles, read off by their tags, which the model is not told of."""
     import html

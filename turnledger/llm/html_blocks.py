@@ -31,13 +31,16 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _MARK = re.compile(r"\bdata-main\b", re.IGNORECASE)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\baria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_HIDES = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 
 
 @dataclass
 class Block:
     text: str  # references decoded, white space as single spaces
-    path: tuple[str, ...]  # open elements, outermost first, as "tag" or "tag.name.name"
+    path: tuple[str, ...]  # open elements, outermost first, as "tag" or "tag.name.name"; "!unseen" is the name of one that is not shown
     linked: int  # characters inside links
     main: bool  # inside an element with a data-main attribute: the label of training pages
 
@@ -46,6 +49,8 @@ def _names(attrs: str) -> list[str]:
     found = []
     for quoted in _NAMES.findall(attrs):
         found += _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(quoted)).lower())
+    if _UNSEEN.search(attrs) or _HIDES.search(_QUOTED.sub("", attrs)):
+        found.append("!unseen")
     return found
 
 
@@ -144,7 +149,7 @@ def blocks(page: str) -> list[Block]:
                         break
         attrs = token["attrs"] or ""
         stack.append(tag)
-        path.append(".".join([tag, *_names(attrs)]) if "=" in attrs else tag)
+        path.append(".".join([tag, *_names(attrs)]) if "=" in attrs or "hidden" in attrs.lower() else tag)
         main = "data-main" in attrs and bool(_MARK.search(attrs))
         marked.append(main)
         marks += main

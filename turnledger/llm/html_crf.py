@@ -24,20 +24,43 @@ _HINTS = ("cookie", "subscribe", "newsletter", "copyright", "©", "rights reserv
 HINTED = 25  # words of a block to each mention of a hint, at most
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    """Of a block's ancestors: each tag and name, the parent's, and those of the nearest named one."""
-    found = {"bias"}
-    for step in path:
-        tag, *names = step.split(".")
-        found.add(f"in {tag}")
-        found.update(f"named {name}" for name in names)
+#: Tags that say what the text in them is; text in none of them, and in nothing named, stands loose.
+_TELLING = frozenset("article main section nav header footer aside form blockquote figure".split())
+#: Names that pages give to the element around their article.
+_FRAMES = frozenset("content article post story entry main".split())
+
+
+def framed(path: tuple[str, ...]) -> bool:
+    """Whether a block stands in an element that pages use for their article."""
+    steps = [step.split(".") for step in path]
+    return any(tag in ("article", "main") or not _FRAMES.isdisjoint(names) for tag, *names in steps)
+
+
+def path_features(path: tuple[str, ...], beside: bool = False) -> list[str]:
+    """Of a block's ancestors: each tag and name, tags in pairs from the outside in, and the parent's.
+
+    ``beside`` says that other blocks of the page are framed and this one is not.
+    """
+    steps = [step.split(".") for step in path]
+    tags = [tag for tag, *_ in steps]
+    found = {"bias", *(f"in {tag}" for tag in tags), *(f"named {name}" for _, *names in steps for name in names)}
+    found.update(f"{outer} > {inner}" for outer, inner in zip(tags, tags[1:], strict=False))
     if path:
-        found.add(f"parent {path[-1].split('.')[0]}")
-    if not any(step.split(".")[0] in ("article", "main") or len(step.split(".")) > 1 for step in path):
+        found.add(f"parent {tags[-1]}")
+    if _TELLING.isdisjoint(tags) and not any(names for _, *names in steps):
         found.add("in nothing")
+    if beside:
+        found.add("beside the frame")
     return sorted(found)
 
 
+def page_paths(found: list[Block]) -> list[tuple[tuple[str, ...], bool]]:
+    """The arguments of ``path_features`` for each block of a page."""
+    inside = [framed(b.path) for b in found]
+    some = any(inside)
+    return [(b.path, some and not own) for b, own in zip(found, inside, strict=True)]
+
+
 def text_features(block: Block) -> list[str]:
     """The shape of a block's text."""
     text = block.text
@@ -63,7 +86,7 @@ class Model:
 
 def _padded(pages: list[list[Block]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Feature names, a page x place x feature table, labels and a mask."""
-    each = [[path_features(b.path) + text_features(b) for b in page] for page in pages]
+    each = [[path_features(*at) + text_features(b) for b, at in zip(page, page_paths(page), strict=True)] for page in pages]
     names = sorted({name for page in each for found in page for name in found})
     number = {name: i for i, name in enumerate(names)}
     longest = max(len(page) for page in pages)
@@ -116,15 +139,15 @@ def train(pages: list[str] | None = None, rounds: int = 250, ridge: float = 0.00
     return Model(dict(zip(names, map(float, weight), strict=True)), float(start), tuple(map(tuple, move.tolist())))
 
 
-def decode(found: list[Block], model: Model, known: dict[tuple[str, ...], float]) -> list[bool]:
+def decode(found: list[Block], model: Model, known: dict[tuple, float]) -> list[bool]:
     """Viterbi labels of a page's blocks; ``known`` remembers the scores of ancestor paths."""
     get = model.weight.get
     steps: list[tuple[bool, bool]] = []
     (stay0, to1), (to0, stay1) = model.move
     none = main = 0.0
-    for i, block in enumerate(found):
-        if (score := known.get(block.path)) is None:
-            score = known[block.path] = sum(get(name, 0.0) for name in path_features(block.path))
+    for i, (block, at) in enumerate(zip(found, page_paths(found), strict=True)):
+        if (score := known.get(at)) is None:
+            score = known[at] = sum(get(name, 0.0) for name in path_features(*at))
         score += sum(get(name, 0.0) for name in text_features(block))
         if i == 0:
             none, main = 0.0, score + model.start
@@ -140,7 +163,7 @@ def decode(found: list[Block], model: Model, known: dict[tuple[str, ...], float]
     return out[::-1][: len(found)]
 
 
-def main_text(page: str | None, model: Model, known: dict[tuple[str, ...], float]) -> str:
+def main_text(page: str | None, model: Model, known: dict[tuple, float]) -> str:
     found = blocks(page or "")
     if not found:
         return ""
@@ -156,7 +179,7 @@ def extract(html: Column, model: Model) -> Column:
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[tuple[str, ...], float] = {}
+        known: dict[tuple, float] = {}
         for pages in batches:
             yield pages.map(lambda page: main_text(page, model, known))
 

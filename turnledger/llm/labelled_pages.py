@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import random
 
-PAGES = 320
+PAGES = 480
 
 _WORDS = (
     "river stone window letter garden market winter summer morning evening road bridge table paper music story doctor "
     "teacher village harbour signal engine measure report method result question answer number pattern history future "
     "light colour water forest mountain island weather season travel journey kitchen dinner bread apple silver copper"
 ).split()
+#: Sentences of articles that use the words of notices.
+_MENTIONS = (
+    "Bake the cookies for ten minutes.", "The law on privacy was changed.", "Readers subscribe to the paper by post.", "He had no comment on the report.",
+    "They share the harbour with the village.", "The copyright of the song ran out.", "Her reply came in winter.", "The advert hung on the bridge.",
+)
 _LABELS = "Home About News Sport Contact Archive Help Login Search Store Blog Team Jobs Privacy Terms Sitemap Press Media".split()
 
 
@@ -56,6 +61,10 @@ class _Maker:
             return f"<p data-main>{self.text(1, 2)} {self.link()} {self.text(1, 2)}</p>"
         if kind < 0.35:
             return f"<p data-main>{self.words(1, 2).capitalize()}.</p>"
+        if kind < 0.43:
+            return f"<p data-main>{body} {self.random.choice(_MENTIONS)} {self.text(1, 3)} {self.random.choice(_MENTIONS)} {self.text(2, 5)}</p>"
+        if kind < 0.48:
+            return f"<p data-main>{body}<br><br>{self.text(1, 5)}</p>"
         return f"<p data-main>{body}</p>"
 
     def content(self) -> str:
@@ -83,7 +92,7 @@ class _Maker:
         return f'<{(tag := self.random.choice(("div", "div", "aside", "section")))} class="{name}">{inner}</{tag}>'
 
     def notice(self) -> str:
-        name = self.random.choice(("cookie", "cookie-notice", "cookie-banner", "notice", "consent", "gdpr", "alert", "newsletter", "subscribe", "paywall", "popup", "modal"))
+        name = self.random.choice(("cookie", "cookie-notice", "cookie-banner", "notice", "consent", "gdpr", "alert", "newsletter", "subscribe", "paywall", "popup", "modal", "disclaimer", "warning", "disclosure"))
         text = self.random.choice((
             "We use cookies to improve your visit. Accept all cookies?", "Subscribe to our newsletter for weekly updates.",
             "By continuing you agree to our privacy policy.", "Sign up now and never miss a story.", self.text(1, 2),
@@ -97,7 +106,7 @@ class _Maker:
         )
 
     def comments(self) -> str:
-        name = self.random.choice(("comments", "comment-list", "responses", "disqus_thread", "replies", "reader-comments", "discussion"))
+        name = self.random.choice(("comments", "comment-list", "responses", "disqus_thread", "replies", "reader-comments", "discussion", "talkback", "feedback", "reactions"))
         one = lambda: (
             f'<{(tag := self.random.choice(("div", "li", "article")))} class="{self.random.choice(("comment", "reply", "comment-body", "response"))}">'
             f'<span class="author">{self.words(1, 2)}</span><p>{self.text(1, 4)}</p></{tag}>'
@@ -118,7 +127,7 @@ class _Maker:
 
     def sidebar(self) -> str:
         inner = self.random.choice((f"<h3>{self.words(1, 3)}</h3><ul>{self.links()}</ul>", f"<p>{self.text(1, 3)}</p>", f"<h4>Related</h4>{self.link()} {self.link()}<p>{self.sentence()}</p>"))
-        return self.random.choice((f"<aside>{inner}</aside>", f'<div {self.random.choice(("class", "id"))}="{self.random.choice(("sidebar", "side", "related", "widget", "recommended", "most-read", "trending", "rail"))}">{inner}</div>'))
+        return self.random.choice((f"<aside>{inner}</aside>", f'<div {self.random.choice(("class", "id"))}="{self.random.choice(("sidebar", "side", "related", "widget", "recommended", "most-read", "trending", "rail", "infobox", "promo-box"))}">{inner}</div>'))
 
     def extras(self) -> str:
         return self.random.choice((
@@ -126,12 +135,52 @@ class _Maker:
             f'<div class="{self.random.choice(("tags", "pagination", "pager"))}">{self.link()} {self.link()}</div>', self.advert(), self.notice(), self.form(),
         ))
 
+    def byline(self) -> str:
+        tag, name = self.random.choice(("p", "div", "span")), self.random.choice(("byline", "author", "meta", "dateline", "timestamp", "post-meta"))
+        return f'<div><{tag} class="{name}">{self.random.choice(("By ", "", "Posted by "))}{self.words(1, 3).title()}</{tag}></div>'
+
+    def unseen(self) -> str:
+        """Text that no reader is shown."""
+        how = self.random.choice(('style="display:none"', 'style="color:red; display: none"', "hidden", 'aria-hidden="true"', 'style="visibility:hidden"'))
+        return self.random.choice((f"<p {how}>{self.text(1, 4)}</p>", f"<div {how}><p>{self.text(1, 4)}</p></div>", f"<div {how}>{self.text(1, 3)}</div>"))
+
+    def inner_head(self, title: str) -> str:
+        """The head of an article: its title is main text, who wrote it and when is not."""
+        if not title or self.random.random() < 0.65:
+            return title
+        return f"<header>{title}{self.byline() if self.random.random() < 0.7 else ''}</header>"
+
+    def inner_extra(self) -> str:
+        """What stands between an article's paragraphs without being of it."""
+        return self.random.choice((self.notice, self.sidebar, self.unseen, self.byline, self.inner_foot))()
+
+    def inner_foot(self) -> str:
+        return f"<footer>{self.random.choice((self.text(1, 2), f'<p>{self.text(1, 2)}</p>', 'Posted by ' + self.words(1, 2).title()))}</footer>"
+
+    def bare(self) -> str:
+        """A page of text without any element for its article."""
+        kind = self.random.random()
+        if kind < 0.3:
+            return f"<html><body data-main>{'<br><br>'.join(self.text(1, 5) for _ in range(self.random.randint(1, 4)))}</body></html>"
+        title = f"<h1 data-main>{self.sentence()}</h1>" if self.random.random() < 0.8 else ""
+        parts = [title, *(self.content() for _ in range(self.random.randint(1, 4)))]
+        if self.random.random() < 0.3:
+            parts.insert(self.random.randint(1, len(parts)), self.random.choice((self.extras, self.inner_extra))())
+        before = [make() for make, chance in ((self.header, 0.3), (self.menu, 0.4), (self.advert, 0.15), (self.notice, 0.15)) if self.random.random() < chance]
+        after = [make() for make, chance in ((self.comments, 0.2), (self.sidebar, 0.2), (self.footer, 0.5)) if self.random.random() < chance]
+        text = "".join(parts)
+        for _ in range(self.random.randint(0, 3)):
+            text = f"<div>{text}</div>"
+        return f"<html><body>{''.join([*before, text, *after])}</body></html>"
+
     def page(self) -> str:
         draw = self.random.random
+        if draw() < 0.25:
+            return self.bare()
         head = f'<head><title>{self.words(2, 6)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head>' if draw() < 0.8 else ""
         title = f"<h1 data-main>{self.sentence()}</h1>" if draw() < 0.85 else ""
-        parts = [title] + [self.content() for _ in range(self.random.randint(1, 6))]
-        for make, chance in ((self.extras, 0.4), (self.advert, 0.4), (self.notice, 0.3), (self.sidebar, 0.3), (self.comments, 0.3)):
+        parts = [self.inner_head(title)] + [self.content() for _ in range(self.random.randint(1, 6))]
+        for make, chance in ((self.extras, 0.4), (self.advert, 0.4), (self.notice, 0.3), (self.sidebar, 0.3), (self.inner_extra, 0.4), (self.comments, 0.3)):
             if draw() < chance:
                 at = len(parts) if make == self.comments else self.random.randint(1, len(parts))
                 parts.insert(at, make())
