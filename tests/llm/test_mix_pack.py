@@ -70,6 +70,38 @@ def test_a_rare_source_does_not_set_the_size_of_the_mix(spark):
     assert (others["share"] / others["target"]).to_numpy() == pytest.approx((1 - rare["share"]) / (1 - rare["target"]), abs=0.05)
 
 
+def test_given_targets_are_met_within_the_tolerance(spark):
+    """Half the tokens from each of two sources, two languages as given; what is not named stays out."""
+    rows = [(i, f"w{i} " * 50, ("en", "de", "fr")[i % 3], ("hot", "hot", "hot", "small")[i % 4], 1) for i in range(1200)]
+    docs = spark.createDataFrame(rows, brute.SCHEMA)
+    targets = {"source": {"hot": 1, "small": 1, "absent": 5}, "lang": {"en": 3, "de": 1}}
+    cells = raking.calibrated(docs, rounds=60, keep=0.2, targets=targets, tolerance=1e-6)
+    far = raking.margins(cells, targets=targets).toPandas().set_index(["margin", "value"])
+    assert far.loc[("source", "small"), "share"] == pytest.approx(0.5, abs=1e-5) and far.loc[("lang", "en"), "share"] == pytest.approx(0.75, abs=1e-5)
+    assert far.loc[("lang", "fr"), "share"] == 0 and (far["share"] - far["target"]).abs().max() < 1e-5
+    assert raking.mix(docs, keep=0.2, targets=targets, tolerance=1e-6).filter("lang = 'fr'").isEmpty()
+    assert raking.mix(docs, keep=0.2, targets={"source": {}}).isEmpty()
+
+
+def test_a_rare_source_hardly_changes_what_the_query_draws(spark, tmp_path):
+    """One document of a new source: the share of tokens kept stays, in the query and in its SQL."""
+    import duckdb
+
+    from turnledger.llm.queries import ORACLES, op7_raked_mixture
+
+    rows = [(i, f"w{i} " * 50, "en" if i % 7 else "de", "hot" if i % 3 == 0 else f"s{i % 5}", 1) for i in range(1500)]
+    for extra in ([], [(9999, "rare " * 50, "xx", "rare", 1)]):
+        folder = str(tmp_path / f"d{len(extra)}")
+        spark.createDataFrame([*rows, *extra], brute.SCHEMA).write.parquet(f"{folder}/documents.parquet")
+        got = op7_raked_mixture(spark, folder).toPandas()
+        assert got.loc[got["kept"], "n_tokens"].sum() / got["n_tokens"].sum() == pytest.approx(2 / 3, abs=0.02)
+        assert (got["n_tokens"] * got["probability"]).sum() / got["n_tokens"].sum() == pytest.approx(2 / 3, abs=1e-6)
+        sql = ORACLES["op7_raked_mixture"].replace("FROM documents", f"FROM '{folder}/documents.parquet/*.parquet'")
+        want = duckdb.sql(sql).df().sort_values("doc_id")
+        assert np.allclose(got.sort_values("doc_id")["probability"], want["probability"], atol=2e-9)
+        assert (got.sort_values("doc_id")["kept"].to_numpy() == want["kept"].to_numpy()).all()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], brute.SCHEMA)
     assert raking.drawn(none).isEmpty() and raking.mix(none).isEmpty() and packing.packed(none).isEmpty()

@@ -43,7 +43,7 @@ def op6_license_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raking.drawn(_table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 9))
+    return raking.drawn(_table(spark, sf_dir, "documents"), keep=raking.SHARE).withColumn("probability", F.round("probability", 9))
 
 
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +93,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _filling_sql(name: str, rows: str, want: str, most: str, total: str) -> list[str]:
+    """Tables that end in ``name`` (factor): the sum of least(factor * want, most) over ``rows`` is the total.
+
+    In the order in which rows are full, the first one that the rest of the total does not fill ends the search.
+    """
+    order = "ORDER BY edge, want, most"
+    return [
+        f"{name}_edges AS (SELECT {want} AS want, {most} AS most, {most} / {want} AS edge, {total} AS total FROM {rows} WHERE {want} > 0)",
+        f"""{name}_steps AS (SELECT edge, (total - coalesce(sum(most) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(want) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor FROM {name}_edges)""",
+        f"{name} AS (SELECT coalesce(arg_min(factor, edge) FILTER (factor <= edge), max(edge)) AS factor FROM {name}_steps)",
+    ]
+
+
 def _raked_sql() -> str:
     """The rounds of raking, one common table each: every margin's sum is a window over the cells."""
     names, powers = raking.MARGINS, raking.POWERS
@@ -105,19 +119,25 @@ def _raked_sql() -> str:
            ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || coalesce(text, '')), 1, 12))::BIGINT / pow(2, 48) AS draw
     FROM documents)""",
         "sums AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n_tokens FROM measured GROUP BY ALL)",
+        f"budget AS (SELECT {raking.SHARE!r}::DOUBLE * sum(n_tokens) AS budget FROM sums)",
     ]
     for name in names:
-        share = f"pow(sum(n_tokens), {powers[name]})"
-        parts.append(f"target_{name} AS (SELECT {name}, {share} / sum({share}) OVER () AS t_{name} FROM sums GROUP BY {name})")
+        part = f"CASE WHEN sum(n_tokens) > 0 THEN pow(sum(n_tokens), {powers[name]}) ELSE 0 END"
+        parts.append(f"""wants_{name} AS MATERIALIZED (SELECT {name}, {part} / sum({part}) OVER () AS want, sum(n_tokens) / any_value(budget) AS most
+           FROM sums, budget GROUP BY {name})""")
+        parts += _filling_sql(f"level_{name}", f"wants_{name}", "want", "most", "1.0")
+        parts.append(f"target_{name} AS MATERIALIZED (SELECT {name}, least(factor * want, most) AS t_{name} FROM wants_{name}, level_{name})")
     joins = " ".join(f"JOIN target_{name} USING ({name})" for name in names)
-    parts.append(f"r0 AS (SELECT *, n_tokens AS weight FROM sums {joins})")
+    parts.append(f"r0 AS MATERIALIZED (SELECT *, n_tokens / budget AS most, n_tokens / budget AS weight FROM sums CROSS JOIN budget {joins})")
     for step in range(raking.ROUNDS * len(names)):
         name = names[step % len(names)]
-        held = f"sum(weight) OVER (PARTITION BY {name})"
+        held = f"sum(least(weight, most)) OVER (PARTITION BY {name})"
         scaled = f"CASE WHEN {held} > 0 THEN weight * t_{name} / {held} ELSE 0 END AS weight"
         parts.append(f"r{step + 1} AS MATERIALIZED (SELECT * REPLACE ({scaled}) FROM r{step})")
-    parts.append(f"ratios AS (SELECT *, CASE WHEN n_tokens > 0 THEN weight / n_tokens ELSE 0 END AS ratio FROM r{raking.ROUNDS * len(names)})")
-    parts.append("chances AS (SELECT source, lang, topic, CASE WHEN max(ratio) OVER () > 0 THEN ratio / max(ratio) OVER () ELSE 0 END AS p FROM ratios)")
+    last = f"r{raking.ROUNDS * len(names)}"
+    parts += _filling_sql("level", last, "weight", "n_tokens", "budget")
+    parts.append(f"""chances AS (SELECT source, lang, topic, least(factor * CASE WHEN n_tokens > 0 THEN weight / n_tokens ELSE 0 END, 1.0) AS p
+    FROM {last}, level)""")
     return "WITH " + ",\n".join(parts) + """
 SELECT source, lang, topic, doc_id, draw, n_tokens, round(p, 9) AS probability, draw < p AS kept
 FROM measured JOIN chances USING (source, lang, topic)"""

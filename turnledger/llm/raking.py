@@ -8,11 +8,15 @@ document being taken twice allows. That number is set by the scarcest cell, so `
 of all tokens to draw instead: scarce cells are taken whole, the others share the rest in proportion
 to their targets, and ``margins`` tells how far each value stays from its target. Draws depend on
 the document only, so a retry repeats them.
+
+Targets are powers of the corpus's own shares, or given per value of a margin. Margins that go
+together may contradict each other; raking then ends after its rounds with a gap left.
 """
 
 from __future__ import annotations
 
 import logging
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +29,8 @@ ROUNDS = 12
 #: Target share of a value is its share of all tokens to this power, scaled to add up to one.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 TOGETHER = 100_000  # cells raked in one task
+#: Share of the tokens that the registered query draws.
+SHARE = 2 / 3
 GAP = 0.01  # a margin's distance from its target that ``mix`` logs a warning for
 
 log = logging.getLogger(__name__)
@@ -58,17 +64,37 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *cell, word_count(F.col("text")).alias("n_tokens"))
 
 
-def _targets(cells: DataFrame, powers: dict[str, float]) -> DataFrame:
+def _part(name: str, tokens: Column, power: float, targets: dict[str, dict[str, float]] | None) -> Column:
+    """A value's part of its margin's targets: as given, 0 where it has no tokens or is not named, or a power of its tokens."""
+    given = (targets or {}).get(name)
+    if given is None:
+        part = F.pow(tokens, F.lit(power))
+    elif given:
+        part = F.coalesce(F.create_map(*[F.lit(x) for x in chain(*((k, float(v)) for k, v in given.items()))])[F.col(name)], F.lit(0.0))
+    else:
+        part = F.lit(0.0)
+    return F.when(tokens > 0, part).otherwise(0.0)
+
+
+def _targets(cells: DataFrame, powers: dict[str, float], targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Add each margin's target share as ``_<name>``: 0 for values without tokens."""
     for name, power in powers.items():
         whole = F.sum("n_tokens").over(Window.partitionBy(name))
         first = F.row_number().over(Window.partitionBy(name).orderBy(*MARGINS))
-        cells = cells.withColumn("_part", F.pow(whole, F.lit(power))).withColumn("_once", F.when(first == 1, F.col("_part")))
+        cells = cells.withColumn("_part", _part(name, whole, power, targets)).withColumn("_once", F.when(first == 1, F.col("_part")))
         total = cells.agg(F.sum("_once").alias("_all"))  # one row
-        cells = cells.join(F.broadcast(total)).withColumn(f"_{name}", F.col("_part") / F.col("_all")).drop("_part", "_once", "_all")
+        share = F.when(F.col("_all") > 0, F.col("_part") / F.col("_all")).otherwise(0.0)
+        cells = cells.join(F.broadcast(total)).withColumn(f"_{name}", share).drop("_part", "_once", "_all")
     return cells
 
 
+def _gap(cells: DataFrame, powers: dict[str, float], counted: Column) -> float:
+    """The largest distance of a margin's value from its target."""
+    away = [F.max(f"_gap_{name}") for name in powers]
+    gaps = {f"_gap_{name}": F.abs(F.sum(counted).over(Window.partitionBy(name)) - F.col(f"_{name}")) for name in powers}
+    return max((value or 0.0 for value in cells.withColumns(gaps).agg(*away).first()), default=0.0)
+
+
 def _filling(rows: DataFrame, want: Column, most: Column, total: float) -> float:
     """The factor that makes the sum of least(factor * want, most) ``total``, or all of ``most`` if that is less.
 
@@ -97,13 +123,16 @@ def _able(cells: DataFrame, powers: dict[str, float]) -> DataFrame:
     return cells
 
 
-def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, budget: float | None = None) -> DataFrame:
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, budget: float | None = None,
+         targets: dict[str, dict[str, float]] | None = None, tolerance: float | None = None) -> DataFrame:
     """Add ``weight`` to cells with ``n_tokens``: shares that meet each margin's targets.
 
     A cell without tokens weighs nothing. Up to ``TOGETHER`` cells are raked in one task without
     any shuffle; more are shuffled by each margin in turn. Both give the same weights. With a
     ``budget`` of tokens a cell counts for no more than it has of it, so the other cells of its
-    margins are raked up to make good for it; its own weight may be larger.
+    margins are raked up to make good for it; its own weight may be larger. ``targets`` names the parts
+    of a margin's values, in place of its power; values that it does not name weigh nothing. With a
+    ``tolerance`` raking ends when no value is further from its target; ``rounds`` is then its bound.
     """
     small = cells.count() <= TOGETHER
     near = (lambda df: df.coalesce(1)) if small else (lambda df: df)
@@ -112,7 +141,7 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUN
     if budget:
         fitted = fitted.withColumn("weight", F.col("weight") / F.lit(float(budget)))
         counted = F.least("weight", "_most")
-    fitted = near(staged(_targets(fitted, powers), "cells"))
+    fitted = near(staged(_targets(fitted, powers, targets), "cells"))
     if budget:
         fitted = near(staged(_able(fitted.withColumn("_most", F.col("n_tokens") / F.lit(float(budget))), powers), "cells"))
     for done in range(rounds):
@@ -122,19 +151,23 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUN
             fitted = fitted.withColumn("weight", F.when(held > 0, scaled).otherwise(0.0))
         if done % 3 == 2 or done == rounds - 1:
             fitted = near(staged(fitted, "cells"))
+            if tolerance is not None and _gap(fitted, powers, counted) <= tolerance:
+                break
     return fitted.drop("_most", *[f"_{name}" for name in powers])
 
 
-def calibrated(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
+def calibrated(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep: float | None = None,
+               targets: dict[str, dict[str, float]] | None = None, tolerance: float | None = None) -> DataFrame:
     """source, lang, topic, n_tokens, weight and probability of every cell of ``docs``.
 
     With ``keep``, a share of all tokens, the probabilities add up to that many tokens, by one factor
-    for all cells that are not taken whole; without it the largest probability is 1.
+    for all cells that are not taken whole; without it the largest probability is 1. ``targets`` and
+    ``tolerance`` are those of ``rake``.
     """
     cells = staged(measured(docs).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n_tokens")), "cells")
     ratio = F.when(F.col("n_tokens") > 0, F.col("weight") / F.col("n_tokens")).otherwise(0.0)
     budget = keep and keep * (cells.agg(F.sum("n_tokens")).first()[0] or 0)
-    fitted = staged(rake(cells, powers, rounds, budget).withColumn("ratio", ratio), "fitted")
+    fitted = staged(rake(cells, powers, rounds, budget, targets, tolerance).withColumn("ratio", ratio), "fitted")
     if budget:
         factor = _filling(fitted.filter("n_tokens > 0"), F.col("weight"), F.col("n_tokens").cast("double"), budget)
         return fitted.withColumn("probability", F.least(F.lit(factor) * F.col("ratio"), F.lit(1.0))).drop("ratio")
@@ -143,13 +176,14 @@ def calibrated(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int =
     return fitted.join(F.broadcast(largest)).withColumn("probability", chance).drop("most", "ratio")
 
 
-def margins(cells: DataFrame, powers: dict[str, float] = POWERS) -> DataFrame:
+def margins(cells: DataFrame, powers: dict[str, float] = POWERS, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """(margin, value, n_tokens, target, share) of ``calibrated`` cells: what each value should and will have of the mix."""
     out = None
     for name, power in powers.items():
-        mine = cells.groupBy(F.lit(name).alias("margin"), F.col(name).alias("value")).agg(
-            F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("_drawn")
-        ).withColumn("_part", F.when(F.col("n_tokens") > 0, F.pow("n_tokens", F.lit(power))).otherwise(0.0))
+        mine = cells.groupBy(name).agg(F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_tokens") * F.col("probability")).alias("_drawn"))
+        mine = mine.select(
+            F.lit(name).alias("margin"), F.col(name).alias("value"), "n_tokens", "_drawn", _part(name, F.col("n_tokens"), power, targets).alias("_part")
+        )
         out = mine if out is None else out.union(mine)
     whole = out.groupBy("margin").agg(F.sum("_part").alias("_parts"), F.sum("_drawn").alias("_all"))  # one row per margin
     share = lambda part, of: F.when(F.col(of) > 0, F.col(part) / F.col(of)).otherwise(0.0)
@@ -158,25 +192,27 @@ def margins(cells: DataFrame, powers: dict[str, float] = POWERS) -> DataFrame:
     )
 
 
-def drawn(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
+def drawn(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep: float | None = None,
+          targets: dict[str, dict[str, float]] | None = None, tolerance: float | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, its cell, n_tokens, draw, probability and ``kept``.
 
     A document is kept if its draw is below its cell's probability. Documents without tokens weigh
     nothing and are never kept. Repeated rows draw alike; an empty table gives an empty result;
     other columns are ignored.
     """
-    cells = calibrated(docs, powers, rounds, keep).select(*MARGINS, "probability")
+    cells = calibrated(docs, powers, rounds, keep, targets, tolerance).select(*MARGINS, "probability")
     return measured(docs).join(cells, list(MARGINS)).withColumn("kept", F.col("draw") < F.col("probability"))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, keep: float | None = None,
+        targets: dict[str, dict[str, float]] | None = None, tolerance: float | None = None) -> DataFrame:
     """The rows of ``docs`` that are drawn (see ``drawn``), with their columns unchanged.
 
     With ``keep``, the values that stay furthest from their targets are logged.
     """
-    cells = calibrated(docs, powers, rounds, keep)
+    cells = calibrated(docs, powers, rounds, keep, targets, tolerance)
     if keep:
-        far = margins(cells, powers).withColumn("gap", F.col("share") - F.col("target")).filter(F.abs("gap") > GAP)
+        far = margins(cells, powers, targets).withColumn("gap", F.col("share") - F.col("target")).filter(F.abs("gap") > GAP)
         for row in far.orderBy(F.abs("gap").desc()).limit(20).collect():
             log.warning("mixture: %s %r has %.4f of the tokens drawn, its target is %.4f", row["margin"], row["value"], row["share"], row["target"])
     cells = cells.select(*[F.col(m).alias(f"_mix_{m}") for m in MARGINS], F.col("probability").alias("_mix_probability"))
