@@ -103,3 +103,23 @@ def test_exact_cache_savings(spark, card):
     row = record("a", "2024-01-01T00:00:00", model="gpt-5", cache_read_tokens=2000)
     saved = extras.exact_cache_savings(records(spark, row), card).first().saved_usd
     assert abs(saved - 2 * (0.00125 - 0.000125)) < 1e-12
+
+
+def test_a_hot_session_is_dealt_in_parts(spark, card):
+    """A session with a third of all records spreads over many parts, all others lie in one; costs are those without parts."""
+    sizes = {"hot": 3000, **{f"s{i}": 3 for i in range(2000)}}
+    names = spark.createDataFrame(list(sizes.items()), "name string, n int").selectExpr("name", "explode(sequence(1, n)) AS i")
+    one = records(spark, record("a", "2024-01-01T00:00:00"))
+    many = names.crossJoin(one.drop("session_id", "dedup_key", "context_used_tokens")).selectExpr(
+        "*", "name AS session_id", "concat(name, '/', i) AS dedup_key",
+        "CASE WHEN i = 1 AND (name = 'hot' OR hash(name) % 2 = 0) THEN 900000L ELSE 10L END AS context_used_tokens",
+    ).select(*one.columns)
+    hot = pricing.hot_keys(many)
+    assert [r._parts for r in hot.collect()] == [-(-3000 * pricing.SHARES // 9000)]
+    parts = pricing.spread(many, hot).groupBy("session_id", "_salt").count()
+    assert parts.agg(F.max("count")).first()[0] < 40 and parts.filter("session_id <> 'hot' AND _salt > 0").isEmpty()
+    priced = pricing.price_records(many, card)
+    assert priced.count() == 9000 and priced.filter("session_id = 'hot' AND long_context_requested").count() == 3000
+    asked = priced.groupBy("session_id").agg(F.sum(F.col("long_context_requested").cast("int")).alias("n"), F.max("context_used_tokens").alias("c"))
+    assert asked.filter("n <> CASE WHEN session_id = 'hot' THEN 3000 WHEN c > 10 THEN 3 ELSE 0 END").isEmpty()
+    assert pricing.hot_keys(many.limit(0)).isEmpty() and pricing.price_records(many.limit(0), card).isEmpty()

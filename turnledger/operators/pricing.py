@@ -16,8 +16,10 @@ from turnledger.functions.rates import FALLBACK_RATE, LONG_CONTEXT_THRESHOLD
 from turnledger.sources.rates import RATE_COLUMNS, RATE_TYPE, long_context_id, nano
 
 BILLING_KEY = ["source", "session_id", "model"]
-# Copies of the small side and parts of the large side of the record-grain join.
-SALTS = 32
+# A key with more than one in so many of all records is dealt in parts of about that size.
+SHARES = 1024
+# Keys that the sketch of frequent keys tracks: its counts are then off by a tenth of such a part at most.
+TRACKED = 16_384
 
 
 def _fallback() -> Column:
@@ -88,15 +90,35 @@ def price_sums(
     return rated.withColumn("cost_nano", cost_nano()).drop("_context", "rate", "long_rate", "billed_rate")
 
 
+def hot_keys(records: DataFrame, keys: Sequence[str] = BILLING_KEY) -> DataFrame:
+    """(_hash, _parts) of the keys that hold more than one in ``SHARES`` of all records: fewer than ``SHARES`` rows.
+
+    A sketch of frequent keys per task is merged into one, so no key is shuffled to be counted.
+    """
+    hashed = records.select(F.xxhash64(*keys).alias("h"))
+    found = hashed.agg(F.expr(f"approx_top_k(h, {SHARES}, {TRACKED})").alias("top"), F.count("*").alias("n"))
+    parts = F.ceil(F.col("top.count") * F.lit(SHARES) / F.col("n")).cast("int")
+    return found.select("n", F.explode("top").alias("top")).select(F.col("top.item").alias("_hash"), parts.alias("_parts")).filter("_parts > 1")
+
+
+def spread(records: DataFrame, hot: DataFrame, keys: Sequence[str] = BILLING_KEY) -> DataFrame:
+    """Add ``_salt``: the part of its key that a record is dealt to, 0 for keys that are not hot."""
+    hashed = records.withColumn("_hash", F.xxhash64(*keys)).join(F.broadcast(hot), "_hash", "left")
+    salt = F.pmod(F.xxhash64("dedup_key"), F.coalesce("_parts", F.lit(1))).cast("int")
+    return hashed.withColumn("_salt", salt).drop("_hash", "_parts")
+
+
 def price_records(records: DataFrame, card: DataFrame) -> DataFrame:
     """Every record with its status and cost.
 
-    The join spreads each session over ``SALTS`` parts, so a session with a third of all records
-    does not land in one task; the flagged keys, a small share of sessions, are copied instead.
+    The join deals the records of a hot session in parts (see ``hot_keys``), and copies its flag
+    once for each part; the flags of all other sessions are there once.
     """
-    salted = records.withColumn("_salt", F.pmod(F.xxhash64("dedup_key"), F.lit(SALTS)).cast("int"))
-    flagged = long_context_keys(records).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    hot = hot_keys(records)
+    salted = spread(records, hot)
+    flagged = long_context_keys(records).withColumn("_hash", F.xxhash64(*BILLING_KEY)).join(F.broadcast(hot), "_hash", "left")
+    flagged = flagged.select(
+        *BILLING_KEY, "key_context", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_salt")
     )
     known = salted.join(flagged, [*BILLING_KEY, "_salt"], "left")
     requested = F.coalesce(F.col("key_context") > LONG_CONTEXT_THRESHOLD, F.lit(False))
