@@ -133,7 +133,8 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
     cursor = con.execute(queries.ORACLES[name])
     names = [d[0] for d in cursor.description]
     want = sorted(map(str, cursor.fetchall()))

@@ -225,11 +225,11 @@ def clustered(vectors: DataFrame, k: int = 16, rounds: int = 3, dimension: int =
 
 def clustered_sql(k: int = 16, rounds: int = 3, dimension: int = 64, seed: int = 1) -> str:
     """The same by comparing every vector with every centroid, as DuckDB SQL."""
-    apart = "list_sum(list_transform(list_zip(kept.v, c{0}.v), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    apart = "list_sum(list_transform(list_zip(kept.v, c{0}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
     parts = [
         f"""kept AS MATERIALIZED (
-    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
-    WHERE len(embedding) = {dimension} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
         f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY hash) - 1 AS cluster, v
     FROM (SELECT v, sha256('{seed}:' || vec_id) AS hash FROM kept ORDER BY hash LIMIT {k}))""",
     ]
