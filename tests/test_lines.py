@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from turnledger.operators import codex, logrows
+from turnledger.plans import samples
 from turnledger.sources import inventory, lines as line_source
 from helpers import lines, offsets
 
@@ -71,3 +72,15 @@ def test_inventory(spark, tmp_path):
     later = newest + 31 * inventory.DAY_MS
     assert inventory.within_backfill(found, 1, later).count() == 0
     assert inventory.within_backfill(found, 0, later).count() == 2
+
+
+def test_rendered_lines_are_made_once_behind_the_exchange(spark, tmp_path):
+    """No filter on the rendered array is moved below the exchange, where few tasks read the compact table."""
+    spark.range(40).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts", "id % 5 AS user_id", "'view' AS event_type", "1.5D AS value", "concat('{\"k\": ', id, '}') AS props"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    for source in ("codex", "claude"):
+        lines = samples.unsized_log_lines(spark, str(tmp_path), source=source)
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert not any("Filter" in line and "get_json_object" in line for line in plan.splitlines()), source
+        assert lines.count() > 40
