@@ -3,6 +3,7 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,22 @@ def test_a_grown_last_line_is_read_again(spark, card, tmp_path):
     with open(path, "a") as out:
         out.write('": 1}\n' + json.dumps(assistant("r3", 5)) + "\n")
     assert run(2) == "reingest" and store.read("usage_record").count() == 2 and consistent(store, card)
+
+
+def test_a_file_is_opened_once_for_all_its_blocks(tmp_path, monkeypatch):
+    """Tiny blocks of some files: one opening per file, few batches, every line with its offset."""
+    rows, want, seen = [], [], []
+    for n in range(3):
+        path, at = str(tmp_path / f"{n}.jsonl"), 0
+        texts = [f"{n}-{i} größe" for i in range(50)]
+        (tmp_path / f"{n}.jsonl").write_text("".join(t + "\n" for t in texts))
+        for text in texts:
+            want.append((path, at, text))
+            at += len(text.encode()) + 1
+        rows += [{"source": "codex", "file_path": path, "start": s, "end": min(s + 16, at), "file_size": at} for s in range(0, at, 16)]
+    real = ranges.opened
+    monkeypatch.setattr(ranges, "opened", lambda path: seen.append(path) or real(path))
+    batches = list(ranges._read(4_096, 7)(iter([pa.RecordBatch.from_pylist(rows)])))
+    got = [(r["file_path"], r["line_offset"], r["value"]) for b in batches for r in b.to_pylist() if r["line_offset"] is not None]
+    assert sorted(got) == sorted(want) and len(seen) == 3 and len(batches) == 1
+    assert sum(r["read_bytes"] is not None for b in batches for r in b.to_pylist()) == len(rows)
