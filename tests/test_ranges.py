@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from turnledger.operators import normalize, rollups
+from turnledger.operators import normalize, resume, rollups
 from turnledger.plans import refresh
 from turnledger.plans.refresh import RefreshOptions
 from turnledger.sources import inventory, ranges, rates
@@ -176,3 +176,10 @@ def test_a_file_is_opened_once_for_all_its_blocks(tmp_path, monkeypatch):
     got = [(r["file_path"], r["line_offset"], r["value"]) for b in batches for r in b.to_pylist() if r["line_offset"] is not None]
     assert sorted(got) == sorted(want) and len(seen) == 3 and len(batches) == 1
     assert sum(r["read_bytes"] is not None for b in batches for r in b.to_pylist()) == len(rows)
+
+
+def test_appended_lines_are_parsed_once(spark):
+    """The filter on what a parse gives stays above it: below, it would hold the parse once for each field it names."""
+    files = spark.createDataFrame([], "source string, file_path string, start long, file_size long")
+    plan = resume.typed_both(ranges.read_ranges(files))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("from_json(") <= 2
