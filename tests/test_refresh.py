@@ -225,3 +225,39 @@ def test_a_small_change_reads_and_writes_few_partitions(spark, small_card, tmp_p
         assert len(touched) == 1, (name, touched)
     plan = store.read("usage_record", ["2024-01-05"])._jdf.queryExecution().executedPlan().toString()
     assert "day_local" in plan.split("PartitionFilters")[1].split("]")[0] and "2024-01-05" in plan.split("PartitionFilters")[1].split("]")[0]
+
+
+def test_days_that_no_row_leaves_are_added_to(spark, tmp_path, monkeypatch):
+    """Files of such a day stay as they are; a failed addition is finished once, and many small files become few."""
+    from turnledger.sources import store as stored
+    from helpers import calls
+
+    usage = UsageStore(spark, str(tmp_path / "t"))
+    none = records(spark, record("a", "2024-01-01T00:00:00")).select("file_id").limit(0)
+    files = lambda name, day: {f for p in usage._listed(usage.path(name)) if p.endswith(day) for f in usage._listed(p)}
+    keys = lambda: sorted(r.dedup_key for r in usage.read("usage_record").collect())
+    events = lambda: sorted(r.event_key for r in usage.read("tool_event").collect())
+    usage.apply(none, records(spark, record("a", "2024-01-01T00:00:00"), record("b", "2024-01-02T00:00:00")), calls(spark, ("a", "x")))
+    first = {name: files(name, "2024-01-01") for name in ("usage_record", "tool_event")}
+
+    # The run ends while the second table is put in place.
+    failing = Failing(spark, str(tmp_path / "t"), 1000)
+    put, failing._put = failing._put, lambda entry: put(entry) if "usage_record" not in entry else (_ for _ in ()).throw(InterruptedError())
+    new, new_calls = records(spark, record("c", "2024-01-01T01:00:00")), calls(spark, ("c", "y"))
+    with pytest.raises(InterruptedError):
+        failing.apply(none, new, new_calls)
+    usage.recover()
+    usage.recover()
+    assert (keys(), events()) == (["a", "b", "c"], ["a#0", "c#0"])
+    for name, held in first.items():
+        assert held < files(name, "2024-01-01"), name
+
+    # Tool events of a run that failed between the tables do not double, and a key that comes again replaces.
+    usage.replace("tool_event", [], calls(spark, ("d", "z")), ["2024-01-01"])
+    usage.apply(none, records(spark, record("a", "2024-01-01T00:00:00", input_tokens=3), record("d", "2024-01-01T02:00:00")), calls(spark, ("d", "z")))
+    assert (keys(), events()) == (["a", "b", "c", "d"], ["c#0", "d#0"])
+
+    monkeypatch.setattr(stored, "MANY_FILES", 0)
+    assert usage.crowded("usage_record", ["2024-01-01", "2024-01-09"]) == ["2024-01-01"]
+    usage.apply(none, records(spark, record("e", "2024-01-01T03:00:00")), calls(spark, ("e", "x")))
+    assert len(files("usage_record", "2024-01-01")) == 1 and (keys(), events()) == (["a", "b", "c", "d", "e"], ["c#0", "d#0", "e#0"])

@@ -1,9 +1,9 @@
 """Stored tables as Parquet folders.
 
 Facts and daily rollups are partitioned by local day, the other large tables by a hash bucket of
-their key. A change reads the touched partitions only and replaces them. Every replacement is
-written down first: its content is complete in the store's own folder and a journal entry names it
-before any partition is touched; then whole partition folders are moved into place, so ``recover``
+their key. A change reads the touched partitions only: one that old rows leave is replaced, one that
+only gains rows gets new files. Every such change is written down first: its content is complete in the store's own folder and a journal entry names it
+before any partition is touched; then partition folders or files are moved into place, so ``recover``
 can finish it after a failure and nothing is written twice. Billing keys and
 days whose rollups are not up to date yet stand in the ``pending`` table from before the facts
 change until the rollups are done. So a run can fail at any step and be repeated.
@@ -46,6 +46,8 @@ BY_BUCKET = {
     "rate_limit": ("file_path",), "file_state": ("file_path",), "running_total": ("file_path",), "carry": ("file_path",), "file_day": ("file_id",), "file_catalog": ("file_path",),
 }
 BUCKETS = 32
+# A partition of more files than this is written anew if they are small on average.
+MANY_FILES, SMALL_FILE = 16, 16 << 20
 # Kept when ingested data is cleared for a full rescan; a reset drops these too.
 KEPT_ON_CLEAR = ("run_metrics",)
 
@@ -94,10 +96,22 @@ class UsageStore:
     def append(self, name: str, df: DataFrame) -> None:
         df.select(*TABLES[name].fieldNames()).write.mode("append").parquet(self.path(name))
 
-    def replace(self, name: str, parts: Sequence[str | int], df: DataFrame) -> None:
-        """Replace the partitions ``parts`` with ``df``, whose rows lie in them; one without rows is dropped."""
-        if parts:
-            self._journalled(name, df, parts, whole=False)
+    def replace(self, name: str, parts: Sequence[str | int], df: DataFrame, added: Sequence[str | int] = ()) -> None:
+        """Replace the partitions ``parts`` with ``df``; one without rows is dropped.
+
+        The rows of ``df`` lie in ``parts``, or in ``added``: those join what these partitions hold.
+        """
+        if parts or added:
+            self._journalled(name, df, parts, whole=False, added=added)
+
+    def crowded(self, name: str, parts: Sequence[str | int]) -> list[str | int]:
+        """Those of ``parts`` that hold many small files."""
+        column, found = part_column(name), []
+        for part in parts:
+            files, size = self.folders.held(f"{self.path(name)}/{column}={part}")
+            if files > MANY_FILES and size < files * SMALL_FILE:
+                found.append(part)
+        return found
 
     def replace_rows(self, name: str, keys: DataFrame, on: Sequence[str], df: DataFrame) -> None:
         """In a bucketed table, replace the rows with ``keys`` (of columns ``on``) by ``df``."""
@@ -124,21 +138,32 @@ class UsageStore:
         Old rows with one of ``keys`` (by default the keys of the new records) go as well. If ``keys``
         has a column ``file_id``, a key belongs to that file, as keys of parsed records do, and only
         the days of the files at hand are looked at; else an old row may lie on any day.
-        Touched billing keys and days are added to ``pending`` first.
+        Touched billing keys and days are added to ``pending`` first. Days that no old row leaves are not
+        read again: the new rows are added to them.
         """
         keys = records.select("dedup_key", "file_id") if keys is None else keys
         days = self.days_of(files, keys)
         old = self.read("usage_record", days)
-        moved = staged(incremental.touched_days(incremental.leaving_rows(old, files, keys), records), "moved")
+        leaving = staged(incremental.leaving_rows(old, files, keys), "leaving")
+        moved = staged(incremental.touched_days(leaving, records), "moved")
         if moved.isEmpty():
             return
         self.append("pending", moved)
         self._note_days(records)
         days = self.parts_of("usage_record", moved)
-        kept = incremental.delete_files(self.read("usage_record", days), files)
-        kept_tools = incremental.delete_files(self.read("tool_event", days), files)
-        self.replace("tool_event", days, incremental.upsert_tools(kept_tools, keys, tools))
-        self.replace("usage_record", days, incremental.upsert_records(kept, records, keys))
+        held_tools = self.read("tool_event", days)
+        # Of the tool events themselves: a run that failed between the two tables has stored them without records.
+        changed, added = self._changed("tool_event", days, incremental.leaving_tools(held_tools, files, keys, tools))
+        kept_tools = incremental.delete_files(self.read("tool_event", changed), files)
+        self.replace("tool_event", changed, incremental.upsert_tools(kept_tools, keys, tools), added)
+        changed, added = self._changed("usage_record", days, leaving)
+        kept = incremental.delete_files(self.read("usage_record", changed), files)
+        self.replace("usage_record", changed, incremental.upsert_records(kept, records, keys), added)
+
+    def _changed(self, name: str, days: Sequence[str], leaving: DataFrame) -> tuple[list[str], list[str]]:
+        """Those of ``days`` to be written anew, and those that only gain rows."""
+        left = {*self.parts_of(name, leaving), *self.crowded(name, days)}
+        return [d for d in days if d in left], [d for d in days if d not in left]
 
     def days_of(self, files: DataFrame, keys: DataFrame) -> list[str] | None:
         """Days that may hold rows of ``files`` or old copies of ``keys``; None for any day."""
@@ -157,10 +182,11 @@ class UsageStore:
         if self._exists(self.path("usage_record")) and not self._exists(self.path("file_day")):
             return
         given = staged(records.select("file_id", "day_local").distinct(), "file-days")
-        parts = self.parts_of("file_day", given)
-        held = self.read("file_day", parts)
-        if not given.join(held, ["file_id", "day_local"], "left_anti").isEmpty():
-            self.replace("file_day", parts, held.unionByName(given).distinct())
+        held = self.read("file_day", self.parts_of("file_day", given))
+        new = staged(given.join(held, ["file_id", "day_local"], "left_anti"), "new-file-days")
+        parts = self.parts_of("file_day", new)
+        full = self.crowded("file_day", parts)
+        self.replace("file_day", full, self.read("file_day", full).unionByName(new), [p for p in parts if p not in full])
 
     def done_pending(self) -> None:
         """The rollups hold what ``pending`` names."""
@@ -175,7 +201,7 @@ class UsageStore:
         # Content without an entry was never begun to be put in place.
         self._drop([self.path("_content")])
 
-    def _journalled(self, name: str, df: DataFrame, parts: Sequence[str | int], whole: bool) -> None:
+    def _journalled(self, name: str, df: DataFrame, parts: Sequence[str | int], whole: bool, added: Sequence[str | int] = ()) -> None:
         mark = uuid.uuid4().hex
         content, entry = f"{self.path('_content')}/{name}-{mark}", f"{self.path('_journal')}/{name}-{mark}"
         rows = df.select(*TABLES[name].fieldNames())
@@ -189,7 +215,10 @@ class UsageStore:
             rows.write.parquet(content)
         filled = self._parts(content)
         gone = self._parts(self.path(name)) if whole else [f"{column}={part}" for part in parts]
-        self._note(entry, json.dumps({"name": name, "content": content, "filled": filled, "gone": sorted(set(gone) - set(filled)), "split": bool(column)}))
+        joined = [f"{column}={part}" for part in added]
+        self._note(entry, json.dumps({
+            "name": name, "content": content, "filled": filled, "gone": sorted(set(gone) - set(filled)), "split": bool(column), "added": joined,
+        }))
         self._put(entry)
         self._drop([entry, content])
 
@@ -202,8 +231,12 @@ class UsageStore:
         note = json.loads(self._noted(entry))
         target, content = self.path(note["name"]), note["content"]
         moves = [(f"{content}/{part}", f"{target}/{part}") for part in note["filled"]] if note["split"] else [(content, target)]
+        added = {f"{target}/{part}" for part in note.get("added", [])}
         for begun, ended in moves:
-            if self._exists(begun):
+            if ended in added:  # names of files are those of one write, so none is met twice
+                for file in self._listed(begun):
+                    self.folders.move(file, f"{ended}/{file.rpartition('/')[2]}")
+            elif self._exists(begun):
                 self.folders.move(begun, ended)
         self._drop(f"{target}/{part}" for part in note["gone"])
 
