@@ -261,3 +261,47 @@ def test_days_that_no_row_leaves_are_added_to(spark, tmp_path, monkeypatch):
     assert usage.crowded("usage_record", ["2024-01-01", "2024-01-09"]) == ["2024-01-01"]
     usage.apply(none, records(spark, record("e", "2024-01-01T03:00:00")), calls(spark, ("e", "x")))
     assert len(files("usage_record", "2024-01-01")) == 1 and (keys(), events()) == (["a", "b", "c", "d", "e"], ["c#0", "d#0", "e#0"])
+
+
+def test_a_repeat_after_a_failure_leaves_stored_rows_where_they_are(spark, small_card, tmp_path):
+    """A batch that comes again before its rollups are done writes only what differs; all else is as if it had been written."""
+    from helpers import calls
+
+    usage = UsageStore(spark, str(tmp_path / "t"))
+    day = lambda d: f"2024-01-{d:02}T00:00:00"
+    batch = records(spark, *[record(f"k{d}", day(d), session_id=f"s{d % 2}", effort=None) for d in range(1, 5)])
+    none, tools = batch.select("file_id").limit(0), calls(spark, ("k1", "x")).withColumn("day_local", F.lit("2024-01-01"))
+    files = lambda: {f for p in usage._listed(usage.path("usage_record")) for f in usage._listed(p)}
+    events = lambda: sorted((r.event_key, r.tool_name) for r in usage.read("tool_event").collect())
+    usage.apply(none, batch, tools)
+    assert usage.read("pending").count() == 2 + 4  # sessions and days, not their pairs
+    held = files()
+    usage.apply(none, batch, tools)
+    assert files() == held and events() == [("k1#0", "x")]
+
+    # One record that differs, one with another call, one that is new, one whose key gets no record; the null stays a null.
+    other = records(
+        spark, record("k2", day(2), session_id="s0", effort=None, input_tokens=400_000, context_used_tokens=300_000, model="m"),
+        record("k3", day(3), session_id="s1", effort=None), record("k9", day(9), session_id="s1"),
+    )
+    keys = other.select("dedup_key").unionByName(spark.createDataFrame([("k4",)], "dedup_key string"))
+    usage.apply(none, other, tools.filter("false"), keys)
+    assert {f for f in held - files() if "2024-01-01" in f or "2024-01-03" in f} == set()
+    usage.apply(none, batch.filter("dedup_key = 'k1'"), tools.withColumn("tool_name", F.lit("y")))
+    assert events() == [("k1#0", "y")]
+    assert {r.dedup_key for r in usage.read("usage_record").collect()} == {"k1", "k2", "k3", "k9"}
+    incremental.refresh_rollups(usage, small_card)
+    assert consistent(usage, small_card)
+
+    # A file that is read again gives up its rows, even those that come again as they were.
+    usage.append("pending", usage.read("session_day").select("source", "session_id", "model", "day_local"))
+    usage.apply(spark.createDataFrame([("f1",)], "file_id string"), batch.filter("dedup_key = 'k3'"), tools.filter("false"))
+    assert [r.dedup_key for r in usage.read("usage_record").collect()] == ["k3"] and events() == []
+    incremental.refresh_rollups(usage, small_card)
+    assert consistent(usage, small_card)
+
+
+def test_daily_sums_tell_sessions_apart_only_at_long_context_rates(spark, small_card):
+    rows = records(spark, *[record(f"{m}{i}", "2024-01-01T00:00:00", session_id=f"s{i}", model=m) for i in range(5) for m in ("m", "other")])
+    got = {(r.model, r.session_id): r.turns for r in rollups.daily_sums(rows, small_card).collect()}
+    assert got == {("other", None): 5, **{("m", f"s{i}"): 1 for i in range(5)}}

@@ -70,15 +70,17 @@ def price_sums(
     sums: DataFrame,
     card: DataFrame,
     *,
-    keys: Sequence[str] = BILLING_KEY,
+    keys: Sequence[str] | None = BILLING_KEY,
     long_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Price pre-aggregated sums.
 
     Whether a key is billed at its long-context rate comes from ``long_keys``, or else from the
-    largest ``max_context`` of the key inside ``sums``.
+    largest ``max_context`` of the key inside ``sums``; without ``keys`` each row is a whole key.
     """
-    if long_keys is None:
+    if keys is None:
+        known = sums.withColumn("_context", F.col("max_context"))
+    elif long_keys is None:
         over_key = Window.partitionBy(*keys)
         known = sums.withColumn("_context", F.max("max_context").over(over_key))
     else:

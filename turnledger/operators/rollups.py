@@ -10,6 +10,7 @@ from turnledger.functions.columns import TOKEN_COLUMNS, base_model, usd
 from turnledger.functions.rates import LONG_CONTEXT_THRESHOLD
 from turnledger.operators.pricing import BILLING_KEY, price_sums
 from turnledger.schemas import DAILY_ROLLUP, SESSION_ROLLUP
+from turnledger.sources.rates import MAX_BROADCAST_MODELS
 
 DAILY_KEY = ["day_local", "source", "variant_id", "workspace"]
 SESSION_KEY = ["source", "session_id"]
@@ -56,6 +57,20 @@ def daily_rollup(records: DataFrame, card: DataFrame) -> DataFrame:
     )
 
 
+def daily_sums(records: DataFrame, card: DataFrame) -> DataFrame:
+    """Records added up for the daily rollup, to be priced with the long-context keys of all records.
+
+    A session is told apart only where its model has a long-context rate, as no other cost depends on
+    it; the rest adds up to the rollup's own rows at once.
+    """
+    extra = ["day_local", "variant_id", "workspace"]
+    rated = card.filter(F.col("long_rate").isNotNull()).select("model", F.lit(True).alias("_rated"))
+    if rated.limit(MAX_BROADCAST_MODELS + 1).count() > MAX_BROADCAST_MODELS:
+        return session_sums(records, extra)
+    told = records.join(rated.hint("broadcast"), "model", "left")
+    return session_sums(told.withColumn("session_id", F.when(F.col("_rated"), F.col("session_id"))), extra)
+
+
 def hourly_rollup(records: DataFrame, card: DataFrame, long_keys: DataFrame) -> DataFrame:
     """One row per (day, hour). ``long_keys`` must come from all records, not the filtered ones."""
     priced = price_sums(
@@ -69,10 +84,8 @@ def hourly_rollup(records: DataFrame, card: DataFrame, long_keys: DataFrame) ->
     )
 
 
-def _priced_session_parts(
-    records: DataFrame, card: DataFrame, extra: Sequence[str] = (), only: DataFrame | None = None
-) -> DataFrame:
-    """Priced sums per billing key, workspace and ``extra``, laid out by session.
+def _session_parts(records: DataFrame, extra: Sequence[str] = (), only: DataFrame | None = None) -> DataFrame:
+    """Sums per billing key, workspace and ``extra``, laid out by session.
 
     Records are summed by hash before anything else. What is left of a session is one row per model
     and workspace, so sessions can then be brought together whole.
@@ -92,26 +105,30 @@ def _priced_session_parts(
     )
     if only is not None:
         parts = parts.join(only, SESSION_KEY, "left_semi")
-    by_session = parts.repartition(*[F.col(c) for c in (*extra, *SESSION_KEY)])
-    return price_sums(by_session, card, keys=[*extra, *BILLING_KEY])
+    return parts.repartition(*[F.col(c) for c in (*extra, *SESSION_KEY)])
 
 
-def _sessions(priced: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _sessions(parts: DataFrame, card: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add parts up per model, price that, and add it up per ``keys``: a model of a session has one rate."""
+
     def totals() -> list[Column]:
         return [
             F.min("first_ts_utc").alias("first_ts_utc"),
             F.max("last_ts_utc").alias("last_ts_utc"),
             F.sum("turns").alias("turns"),
             *[F.sum(c).alias(c) for c in _MEASURES],
-            F.sum("cost_nano").cast("decimal(38,6)").alias("cost_nano"),
             F.max("peak_context_fill").alias("peak_context_fill"),
             F.sum("sidechain_tokens").alias("sidechain_tokens"),
         ]
 
-    per_model = priced.groupBy(*keys, "model").agg(F.max("workspace").alias("workspace"), *totals())
+    per_model = parts.groupBy(*keys, "model").agg(
+        F.max("workspace").alias("workspace"), F.max("max_context").alias("max_context"), *totals()
+    )
     named = F.when(F.col("workspace") != "", F.col("model"))
-    return per_model.groupBy(*keys).agg(
-        F.coalesce(F.min_by("workspace", named), F.lit("")).alias("workspace"), *totals()
+    return price_sums(per_model, card, keys=None).groupBy(*keys).agg(
+        F.coalesce(F.min_by("workspace", named), F.lit("")).alias("workspace"),
+        F.sum("cost_nano").cast("decimal(38,6)").alias("cost_nano"),
+        *totals(),
     )
 
 
@@ -120,7 +137,7 @@ def session_rollup(records: DataFrame, card: DataFrame, only: DataFrame | None =
 
     ``only`` restricts it to some sessions, after their records are added up.
     """
-    sessions = _sessions(_priced_session_parts(records, card, only=only), SESSION_KEY)
+    sessions = _sessions(_session_parts(records, only=only), card, SESSION_KEY)
     return sessions.select(*SESSION_ROLLUP.fieldNames())
 
 
@@ -133,8 +150,7 @@ def file_daily(records: DataFrame, card: DataFrame) -> DataFrame:
 
 def file_sessions(records: DataFrame, card: DataFrame) -> DataFrame:
     """What each file adds to the session rollup, token buckets included."""
-    priced = _priced_session_parts(records, card, ["file_id"])
-    return _sessions(priced, ["file_id", *SESSION_KEY])
+    return _sessions(_session_parts(records, ["file_id"]), card, ["file_id", *SESSION_KEY])
 
 
 def file_counts(records: DataFrame, tools: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Facts and daily rollups are partitioned by local day, the other large tables by
 their key. A change reads the touched partitions only: one that old rows leave is replaced, one that
 only gains rows gets new files. Every such change is written down first: its content is complete in the store's own folder and a journal entry names it
 before any partition is touched; then partition folders or files are moved into place, so ``recover``
-can finish it after a failure and nothing is written twice. Billing keys and
+can finish it after a failure and nothing is written twice. Sessions and
 days whose rollups are not up to date yet stand in the ``pending`` table from before the facts
 change until the rollups are done. So a run can fail at any step and be repeated.
 """
@@ -77,7 +77,7 @@ class UsageStore:
         """A table, or some of its days or buckets: a literal filter, so that only they are listed and read."""
         schema = TABLES[name]
         if not self._exists(self.path(name)):
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], schema).limit(0)  # so that joins with it are dropped from a plan
         stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]) if name in BY_BUCKET else schema
         table = self.spark.read.schema(stored).parquet(self.path(name))
         if parts is not None:
@@ -138,19 +138,28 @@ class UsageStore:
         Old rows with one of ``keys`` (by default the keys of the new records) go as well. If ``keys``
         has a column ``file_id``, a key belongs to that file, as keys of parsed records do, and only
         the days of the files at hand are looked at; else an old row may lie on any day.
-        Touched billing keys and days are added to ``pending`` first. Days that no old row leaves are not
-        read again: the new rows are added to them.
+        Touched sessions and days are added to ``pending`` first. Days that no old row leaves are not
+        read again: the new rows are added to them. If a run before has left something pending, records that
+        are stored just so, calls included, are left where they are.
         """
         keys = records.select("dedup_key", "file_id") if keys is None else keys
         days = self.days_of(files, keys)
         old = self.read("usage_record", days)
+        if self._exists(self.path("pending")):
+            # A run ended before its rollups: these rows may be those that it has stored.
+            staying = [incremental.delete_files(rows, files) for rows in (old, self.read("tool_event", days))]
+            changed = staged(incremental.changed_keys(*staying, records, tools, keys), "changed")
+            if changed.isEmpty() and files.isEmpty():
+                return
+            records = staged(records.join(changed, "dedup_key", "left_semi"), "records")
+            tools = tools.join(changed.withColumnRenamed("dedup_key", "record_dedup_key"), "record_dedup_key", "left_semi")
+            keys = keys.join(changed, "dedup_key", "left_semi")
         leaving = staged(incremental.leaving_rows(old, files, keys), "leaving")
-        moved = staged(incremental.touched_days(leaving, records), "moved")
-        if moved.isEmpty():
+        days = self.parts_of("usage_record", incremental.touched_days(leaving, records))
+        if not days:
             return
-        self.append("pending", moved)
+        self.append("pending", incremental.pending_rows(leaving, records))
         self._note_days(records)
-        days = self.parts_of("usage_record", moved)
         held_tools = self.read("tool_event", days)
         # Of the tool events themselves: a run that failed between the two tables has stored them without records.
         changed, added = self._changed("tool_event", days, incremental.leaving_tools(held_tools, files, keys, tools))
@@ -167,11 +176,12 @@ class UsageStore:
 
     def days_of(self, files: DataFrame, keys: DataFrame) -> list[str] | None:
         """Days that may hold rows of ``files`` or old copies of ``keys``; None for any day."""
-        known = self._exists(self.path("file_day")) or not self._exists(self.path("usage_record"))
-        if not known or "file_id" not in keys.columns:
+        if not self._exists(self.path("usage_record")):
+            return []
+        if not self._exists(self.path("file_day")) or "file_id" not in keys.columns:
             return None
-        involved = staged(files.select("file_id").unionByName(keys.select("file_id")).distinct(), "involved")
-        held = self.read("file_day", self.parts_of("file_day", involved)).join(involved, "file_id", "left_semi")
+        involved = files.select("file_id").unionByName(keys.select("file_id"))
+        held = self.read("file_day", self.parts_of("file_day", involved)).join(involved.distinct(), "file_id", "left_semi")
         return self.parts_of("usage_record", held)
 
     def _note_days(self, records: DataFrame) -> None:
@@ -181,9 +191,9 @@ class UsageStore:
         """
         if self._exists(self.path("usage_record")) and not self._exists(self.path("file_day")):
             return
-        given = staged(records.select("file_id", "day_local").distinct(), "file-days")
+        given = records.select("file_id", "day_local")
         held = self.read("file_day", self.parts_of("file_day", given))
-        new = staged(given.join(held, ["file_id", "day_local"], "left_anti"), "new-file-days")
+        new = staged(given.distinct().join(held, ["file_id", "day_local"], "left_anti"), "new-file-days")
         parts = self.parts_of("file_day", new)
         full = self.crowded("file_day", parts)
         self.replace("file_day", full, self.read("file_day", full).unionByName(new), [p for p in parts if p not in full])
