@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from turnledger.operators import codex, logrows
 from turnledger.plans import samples
-from turnledger.sources import inventory, lines as line_source
+from turnledger.sources import inventory, lines as line_source, ranges
 from helpers import lines, offsets
 
 
@@ -84,3 +84,39 @@ def test_rendered_lines_are_made_once_behind_the_exchange(spark, tmp_path):
         plan = lines._jdf.queryExecution().executedPlan().toString()
         assert not any("Filter" in line and "get_json_object" in line for line in plan.splitlines()), source
         assert lines.count() > 40
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Small bounds, so that several jobs go down the tree; the names are those that Spark's reader lists, and empty files."""
+    monkeypatch.setattr(ranges, "ENTRIES", 5)
+    for n in range(40):
+        folder = tmp_path / f"a{n % 4}" / f"b{n % 3}" / "c"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{n} +%20.jsonl").write_text("x" * (n + 1))
+    for name in ("_no.jsonl", ".no.jsonl", "_k=v.jsonl", "no.txt"):
+        (tmp_path / "a0" / name).write_text("x")
+    (tmp_path / "a1" / ".hidden").mkdir()
+    (tmp_path / "a1" / ".hidden" / "no.jsonl").write_text("x")
+    (tmp_path / "a1" / "gone.jsonl").symlink_to(tmp_path / "nowhere")
+    root = str(tmp_path)
+    names = ["file_path", "size", "mtime_ms"]
+    want = {tuple(r[c] for c in names) for r in inventory._listing(spark, [root], "codex", inventory.LOG_GLOB).collect()}
+    monkeypatch.setattr(inventory, "_listing", None)
+    (tmp_path / "empty.jsonl").touch()
+    got = inventory.scan_roots(spark, {"codex": f"file:{root}/", "claude": f"{root}/none"}).collect()
+    assert len(want) == 41 and len(got) == 42
+    assert {tuple(r[c] for c in names) for r in got if r.size} == want
+
+
+def test_whole_files_are_as_sparks_reader_gives_them(spark, tmp_path):
+    """Bytes that are no UTF-8, CR, empty lines, a long line and a missing last newline, in blocks that cut through them."""
+    (tmp_path / "a b.jsonl").write_bytes(b"\xff\xfe1\r\n\n" + "größe\n".encode() * 9 + b"y" * 300 + b"\nlast")
+    (tmp_path / "none.jsonl").write_bytes(b"")
+    found = inventory.scan_roots(spark, {"codex": str(tmp_path)})
+    mine = ranges.whole_files(found, block_bytes=7)
+    spark_s = line_source.read_lines(spark, [str(tmp_path)], "codex").withColumn("file_path", inventory.plain_path(F.col("file_path")))
+    shown = [
+        sorted((r.file_path, r.line_offset, bytes(r.v), r.file_size) for r in line_source.with_offsets(lines).select("*", F.col("value").cast("binary").alias("v")).collect())
+        for lines in (mine, spark_s)
+    ]
+    assert len(shown[0]) == 13 and shown[0] == shown[1]
