@@ -305,3 +305,15 @@ def test_daily_sums_tell_sessions_apart_only_at_long_context_rates(spark, small_
     rows = records(spark, *[record(f"{m}{i}", "2024-01-01T00:00:00", session_id=f"s{i}", model=m) for i in range(5) for m in ("m", "other")])
     got = {(r.model, r.session_id): r.turns for r in rollups.daily_sums(rows, small_card).collect()}
     assert got == {("other", None): 5, **{("m", f"s{i}"): 1 for i in range(5)}}
+
+
+def test_a_first_read_needs_no_file_index(spark, small_card, tmp_path, monkeypatch):
+    """Tasks list and read the files of a first run too; Spark's readers, which hold every file on the driver, are not asked."""
+    for module, name in ((refresh.inventory, "_listing"), (refresh.line_source, "read_lines")):
+        monkeypatch.setattr(module, name, None)
+    path = tmp_path / "logs" / "claude" / "b.jsonl"
+    write(path, [assistant("r1", 5), assistant("r2", 6)])
+    store = UsageStore(spark, str(tmp_path / "tables"))
+    refresh.refresh(store, RefreshOptions({"claude": str(tmp_path / "logs")}), small_card, 1)
+    assert store.read("usage_record").count() == 2
+    assert store.read("run_metrics").first().read_bytes == path.stat().st_size

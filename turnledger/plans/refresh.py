@@ -41,7 +41,7 @@ def _guarded(actions: DataFrame, state: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Read:
-    """What the files to read gave; ``resumed`` is None if all were read from their start by Spark's reader."""
+    """What the files to read gave; ``resumed`` is None if all were read by Spark's reader."""
 
     parsed: normalize.ParsedLogs
     resumed: resume.Resumed | None
@@ -51,13 +51,14 @@ class _Read:
 def _read(store: UsageStore, options: RefreshOptions, actions: DataFrame, whole: bool) -> _Read | None:
     """Parse what is new.
 
-    Where nothing is skipped or appended (a first run, a full rescan) the roots are read as they are.
-    Otherwise each file is a byte range, from its start or from where the last read of it ended;
-    no list of files comes to the driver.
+    Each file is a byte range, from its start or from where the last read of it ended; no list of
+    files comes to the driver. Of roots whose files tasks cannot open, Spark's reader reads all where nothing
+    is skipped or appended (a first run, a full rescan).
     """
     todo = actions.filter(F.col("action") != SKIP)
     if todo.isEmpty():
         return None
+    whole = whole and not all(ranges.reachable(root) for root in options.roots.values() if root)
     if whole and actions.filter(F.col("action").isin(SKIP, APPEND)).isEmpty():
         out = None
         for source, root in options.roots.items():
